@@ -228,3 +228,88 @@ def q_agg_min_group_size(spark, sf):
 @query("agg_batch_counts")
 def q_agg_batch_counts(spark, sf):
     return C.batch_counts(P.split_holdout(X.fv(spark, sf)), batch_size=32)
+
+
+# ---- 2.G/2.H prototypes, scoring and metrics ------------------------------------------------
+
+from .operators import metrics as M  # noqa: E402
+from .operators import prototypes as V  # noqa: E402
+from .plans import evaluate as EV  # noqa: E402
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+def _fv_split(spark, sf):
+    return P.split_holdout(X.fv(spark, sf))
+
+
+def _val_scored(spark, sf):
+    s = _fv_split(spark, sf)
+    return EV.score_split(s, EV.train_heads(s))
+
+
+@query("agg_prototypes")
+def q_agg_prototypes(spark, sf):
+    v = X.fv(spark, sf)
+    ep = P.episode_support_query(P.episode_sampler(v.select("row_id", "task", "emotion_ind", "x"), k=10, epochs=2))
+    protos = V.prototypes(ep.where(F.col("role") == "support"), ["epoch", "episode", "task"],
+                          C.class_cardinality(v))
+    return protos.select("epoch", "episode", "task", "emotion_ind", "n_support",
+                         F.posexplode("c").alias("i", "c")).withColumn("c", _r(F.col("c")))
+
+
+@query("proto_head")
+def q_proto_head(spark, sf):
+    h = EV.train_heads(_fv_split(spark, sf))
+    return h.select("task", "emotion_ind", _r(F.col("b")).alias("b"), F.posexplode("w").alias("i", "w")) \
+        .withColumn("w", _r(F.col("w")))
+
+
+@query("proto_logits")
+def q_proto_logits(spark, sf):
+    s = _val_scored(spark, sf)
+    return s.select("row_id", "task", F.posexplode("logits").alias("k", "logit")).withColumn("logit", _r(F.col("logit")))
+
+
+@query("predict_argmax")
+def q_predict_argmax(spark, sf):
+    return _val_scored(spark, sf).select("row_id", "task", "emotion_ind", "pred")
+
+
+@query("loss_cross_entropy")
+def q_loss_cross_entropy(spark, sf):
+    return _val_scored(spark, sf).select("row_id", "task", _r(F.col("loss")).alias("loss"))
+
+
+@query("agg_accuracy_micro")
+def q_agg_accuracy_micro(spark, sf):
+    return M.accuracy_micro(_val_scored(spark, sf)).withColumn("accuracy", _r(F.col("accuracy")))
+
+
+@query("agg_loss_batch_mean")
+def q_agg_loss_batch_mean(spark, sf):
+    return M.loss_batch_mean(_val_scored(spark, sf)).withColumn("loss", _r(F.col("loss")))
+
+
+@query("agg_accuracy_batch_mean")
+def q_agg_accuracy_batch_mean(spark, sf):
+    sc = EV.episode_scores(X.fv(spark, sf).select("row_id", "task", "emotion_ind", "x"))
+    out = M.accuracy_batch_mean(sc, ["epoch", "episode", "task"])
+    return out.select("n_episodes", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))
+
+
+@query("agg_macro_task_mean")
+def q_agg_macro_task_mean(spark, sf):
+    sc = _val_scored(spark, sf)
+    per_task = M.accuracy_micro(sc).join(M.loss_batch_mean(sc), "task")
+    out = M.macro_task_mean(per_task)
+    return out.select("n_tasks", _r(F.col("macro_accuracy")).alias("macro_accuracy"),
+                      _r(F.col("macro_loss")).alias("macro_loss"))
+
+
+@query("job_evaluate_split")
+def q_job_evaluate_split(spark, sf):
+    out = EV.evaluate_split(_fv_split(spark, sf))
+    return out.withColumn("accuracy", _r(F.col("accuracy"))).withColumn("loss", _r(F.col("loss")))

@@ -328,3 +328,103 @@ s AS (SELECT split, task, count(*) AS n, CAST(ceil(count(*) / 32.0) AS BIGINT) A
 SELECT split, task, n, n_batches, min(n_batches) OVER w AS min_batches, max(n_batches) OVER w AS max_batches,
        CAST(sum(n_batches) OVER w AS BIGINT) AS total_batches
 FROM s WINDOW w AS (PARTITION BY split)"""
+
+# ---- prototypes, scoring, metrics ----------------------------------------------------------
+SCORED = FV_SPLIT + """,
+tr_el AS (
+  SELECT task, emotion_ind, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM fv_split WHERE split = 'train'
+),
+protos AS (SELECT task, emotion_ind, i, avg(v) AS c FROM tr_el GROUP BY 1, 2, 3),
+heads AS (
+  SELECT task, emotion_ind AS k, i, 2 * c AS w, -sum(c * c) OVER (PARTITION BY task, emotion_ind) AS b FROM protos
+),
+val AS (
+  SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('3:0:0:' || row_id), row_id) AS rk
+  FROM fv_split WHERE split = 'val'
+),
+val_el AS (SELECT row_id, task, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM val),
+logits AS (
+  SELECT e.row_id, e.task, h.k, sum(h.w * e.v) + min(h.b) AS logit
+  FROM val_el e JOIN heads h ON e.task = h.task AND e.i = h.i GROUP BY 1, 2, 3
+),
+agg AS (
+  SELECT row_id, max(logit) AS m, ln(sum(exp(logit - mx))) AS lse0
+  FROM (SELECT *, max(logit) OVER (PARTITION BY row_id) AS mx FROM logits) GROUP BY row_id
+),
+scored AS (
+  SELECT v.row_id, v.task, v.emotion_ind, CAST((v.rk - 1) // 32 AS BIGINT) AS batch,
+         (SELECT min(l.k) FROM logits l WHERE l.row_id = v.row_id AND l.logit = a.m) AS pred,
+         a.m + a.lse0 - (SELECT l.logit FROM logits l WHERE l.row_id = v.row_id AND l.k = v.emotion_ind) AS loss
+  FROM val v JOIN agg a ON v.row_id = a.row_id
+),
+per_task AS (
+  SELECT a.task, a.n, a.accuracy, b.loss, b.n_batches FROM
+    (SELECT task, count(*) AS n, avg(CASE WHEN pred = emotion_ind THEN 1.0 ELSE 0.0 END) AS accuracy
+     FROM scored GROUP BY task) a
+  JOIN (SELECT task, avg(bl) AS loss, count(*) AS n_batches
+        FROM (SELECT task, batch, avg(loss) AS bl FROM scored GROUP BY 1, 2) GROUP BY task) b ON a.task = b.task
+)"""
+
+SQL["proto_head"] = with_(SCORED) + """
+SELECT task, k AS emotion_ind, round(b, 6) AS b, CAST(i AS INTEGER) AS i, round(w, 6) AS w FROM heads"""
+
+SQL["proto_logits"] = with_(SCORED) + """
+SELECT row_id, task, CAST(k AS INTEGER) AS k, round(logit, 6) AS logit FROM logits"""
+
+SQL["predict_argmax"] = with_(SCORED) + "SELECT row_id, task, emotion_ind, CAST(pred AS INTEGER) AS pred FROM scored"
+
+SQL["loss_cross_entropy"] = with_(SCORED) + "SELECT row_id, task, round(loss, 6) AS loss FROM scored"
+
+SQL["agg_accuracy_micro"] = with_(SCORED) + "SELECT task, n, round(accuracy, 6) AS accuracy FROM per_task"
+
+SQL["agg_loss_batch_mean"] = with_(SCORED) + "SELECT task, round(loss, 6) AS loss, n_batches FROM per_task"
+
+SQL["agg_macro_task_mean"] = with_(SCORED) + """
+SELECT count(*) AS n_tasks, round(avg(accuracy), 6) AS macro_accuracy, round(avg(loss), 6) AS macro_loss FROM per_task"""
+
+SQL["job_evaluate_split"] = with_(SCORED) + """
+SELECT task, n, round(accuracy, 6) AS accuracy, round(loss, 6) AS loss, n_batches FROM per_task
+UNION ALL
+SELECT '__macro__', count(*), round(avg(accuracy), 6), round(avg(loss), 6), NULL FROM per_task"""
+
+EP_ROLES = EPISODES + """,
+roles AS (
+  SELECT e.*, CASE WHEN pos < floor(count(*) OVER (PARTITION BY epoch, episode, task, emotion_ind) / 2)
+                   THEN 'support' ELSE 'query' END AS role
+  FROM episodes e
+),
+ep_el AS (
+  SELECT r.epoch, r.episode, r.task, r.emotion_ind, r.row_id, r.role, unnest(f.x) AS v, unnest(range(0, len(f.x))) AS i
+  FROM roles r JOIN fv f ON r.row_id = f.row_id
+),
+ep_protos AS (
+  SELECT epoch, episode, task, emotion_ind, i, avg(v) AS c, count(*) AS n_el
+  FROM ep_el WHERE role = 'support' GROUP BY 1, 2, 3, 4, 5
+)"""
+
+SQL["agg_prototypes"] = with_(EP_ROLES) + """
+SELECT epoch, episode, task, emotion_ind, CAST(n_el AS BIGINT) AS n_support, CAST(i AS INTEGER) AS i, round(c, 6) AS c
+FROM ep_protos"""
+
+SQL["agg_accuracy_batch_mean"] = with_(EP_ROLES) + """,
+ep_heads AS (
+  SELECT epoch, episode, task, emotion_ind AS k, i, 2 * c AS w,
+         -sum(c * c) OVER (PARTITION BY epoch, episode, task, emotion_ind) AS b FROM ep_protos
+),
+q_logits AS (
+  SELECT e.epoch, e.episode, e.task, e.row_id, e.emotion_ind AS y, h.k, sum(h.w * e.v) + min(h.b) AS logit
+  FROM ep_el e JOIN ep_heads h ON e.epoch = h.epoch AND e.episode = h.episode AND e.task = h.task AND e.i = h.i
+  WHERE e.role = 'query' GROUP BY 1, 2, 3, 4, 5, 6
+),
+q_rows AS (
+  SELECT epoch, episode, task, row_id, y,
+         arg_min(k, CASE WHEN logit = mx THEN 0 ELSE 1 END * 1000 + k) AS pred,
+         mx + ln(sum(exp(logit - mx))) - max(CASE WHEN k = y THEN logit END) AS loss
+  FROM (SELECT *, max(logit) OVER (PARTITION BY epoch, episode, task, row_id) AS mx FROM q_logits)
+  GROUP BY 1, 2, 3, 4, 5, mx
+),
+per_ep AS (
+  SELECT epoch, episode, task, avg(CASE WHEN pred = y THEN 1.0 ELSE 0.0 END) AS acc, avg(loss) AS ls
+  FROM q_rows GROUP BY 1, 2, 3
+)
+SELECT count(*) AS n_episodes, round(avg(acc), 6) AS accuracy, round(avg(ls), 6) AS loss FROM per_ep"""
