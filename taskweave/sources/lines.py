@@ -28,13 +28,15 @@ def read_lines_positional(spark: SparkSession, path: str, skip_blank: bool = Fal
     ``skip_blank=False`` keeps them as NULL rows (text files).  With ``na_tokens``
     the pandas missing-value strings become NULL.  No quoting is applied.
     """
-    raw = spark.read.text(path).select(
+    raw = spark.read.text(path)
+    if skip_blank:
+        raw = raw.where(F.col("value") != "")
+    # numbered after the filter, so the ids of one split stay consecutive
+    raw = raw.select(
         F.col("value").alias(col),
         F.col("_metadata.file_path").alias("__f"),
         F.col("_metadata.file_block_start").alias("__b"),
         F.monotonically_increasing_id().alias("__m"))
-    if skip_blank:
-        raw = raw.where(F.col(col) != "")
     splits = raw.groupBy("__f", "__b").agg(F.min("__m").alias("__m0"), F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
