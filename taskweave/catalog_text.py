@@ -13,13 +13,13 @@ MAX_LEN = 180
 
 @query("txt_vocab")
 def q_txt_vocab(spark, sf):
-    return TK.build_vocab(corpus_from_tables(spark, sf))
+    return TK.build_vocab(TK.tokenize_text(corpus_from_tables(spark, sf), materialize=False))
 
 
 @query("txt_encode_fixed")
 def q_txt_encode_fixed(spark, sf):
-    corpus = corpus_from_tables(spark, sf)
-    enc = TK.encode_fixed(corpus, TK.build_vocab(corpus), max_len=MAX_LEN)
+    tok = TK.tokenize_text(corpus_from_tables(spark, sf))
+    enc = TK.encode_fixed(tok, TK.build_vocab(tok), max_len=MAX_LEN)
     ids = F.concat_ws(",", F.transform("input_ids", lambda x: x.cast("string")))
     return enc.select("row_id", "n_tokens", F.md5(ids).alias("ids_md5"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("mask_sum"),

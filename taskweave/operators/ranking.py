@@ -33,18 +33,21 @@ def draw_key(seed, salt, row_id) -> Column:
 
 
 def bucketed_rank(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column],
-                  rank_col: str = "rank") -> DataFrame:
+                  rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
     """1-based rank of each row within ``by`` ordered by ``order``.
 
     ``bucket`` must be monotone in ``order`` (rows of a lower bucket always sort
     first).  The result equals ``row_number() over (partition by by order by order)``.
+    ``total_col`` also attaches the group size, taken from the small bucket-count
+    table, so callers need no second aggregate over the data.
     """
     by = list(by)
     b = "__bucket"
     df = df.withColumn(b, bucket)
     counts = df.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    extra = [F.sum("__n").over(Window.partitionBy(*by)).alias(total_col)] if total_col else []
+    offsets = counts.select(*by, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"), *extra)
     inner = Window.partitionBy(*by, b).orderBy(*order)
     return (df.join(offsets, [*by, b])
               .withColumn(rank_col, (F.row_number().over(inner) + F.col("__off")).cast("long"))
@@ -52,7 +55,8 @@ def bucketed_rank(df: DataFrame, by: Sequence[str], bucket: Column, order: Seque
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], key: str, tiebreak: str,
-              rank_col: str = "rank", bucket_chars: int = DEFAULT_BUCKET_CHARS) -> DataFrame:
+              rank_col: str = "rank", bucket_chars: int = DEFAULT_BUCKET_CHARS,
+              total_col: str | None = None) -> DataFrame:
     """Rank by a hex hash column ``key`` (ties broken by ``tiebreak``) within ``by``."""
     return bucketed_rank(df, by, F.substring(F.col(key), 1, bucket_chars),
-                         [F.col(key), F.col(tiebreak)], rank_col)
+                         [F.col(key), F.col(tiebreak)], rank_col, total_col)

@@ -29,9 +29,8 @@ def split_holdout(df: DataFrame, seed: int = 3, test_size: float = 0.3, by: Sequ
     """
     by = list(by)
     keyed = df.withColumn("__k", draw_key(seed, "split", row_id))
-    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = hash_rank(keyed, by, "__k", row_id, "__rk")
-    out = ranked.join(sizes, by).withColumn(
+    ranked = hash_rank(keyed, by, "__k", row_id, "__rk", total_col="__n")
+    out = ranked.withColumn(
         "split", F.when(F.col("__rk") <= F.ceil(F.col("__n") * F.lit(test_size)), holdout).otherwise(train))
     return out.drop("__k", "__rk", "__n")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
+from ..session import fresh_dir
 from .ranking import bucketed_rank
 
 # Special token ids.
@@ -30,27 +31,42 @@ def tokens(text) -> "F.Column":
     return F.filter(F.split(text, WS + "+"), lambda t: t != "")
 
 
-def build_vocab(rows: DataFrame, text: str = "tweet") -> DataFrame:
-    """``token, count, id`` over every token of every text."""
-    counts = (rows.select(F.explode(tokens(F.col(text))).alias("token"))
+def tokenize_text(rows: DataFrame, text: str = "tweet", key: str = "row_id", materialize: bool = True) -> DataFrame:
+    """``key, tokens`` for every row.
+
+    The vocabulary and the encoding both consume the tokens; with ``materialize``
+    the table is written once as parquet into the shared checkpoint folder (one
+    pass; ``Dataset.checkpoint`` would compute the plan twice) so the cleaning
+    upstream runs a single time and lineage is cut.
+    """
+    tok = rows.select(key, tokens(F.col(text)).alias("tokens"))
+    if materialize:
+        spark = rows.sparkSession
+        path = fresh_dir(spark, "tokens")
+        tok.write.mode("overwrite").parquet(path)
+        tok = spark.read.parquet(path)
+    return tok
+
+
+def build_vocab(tok: DataFrame) -> DataFrame:
+    """``token, count, id`` over every token of every text (``tok`` from ``tokenize_text``)."""
+    counts = (tok.select(F.explode("tokens").alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
     ranked = bucketed_rank(counts, [], bucket, [F.col("count").desc(), F.col("token")], "rk")
     return ranked.select("token", "count", (F.col("rk") - 1 + FIRST_ID).cast("int").alias("id"))
 
 
-def encode_fixed(rows: DataFrame, vocab: DataFrame, max_len: int = 180, text: str = "tweet",
-                 key: str = "row_id") -> DataFrame:
+def encode_fixed(tok: DataFrame, vocab: DataFrame, max_len: int = 180, key: str = "row_id") -> DataFrame:
     """Adds ``n_tokens`` (whole text), ``input_ids`` and ``attention_mask`` (both ``max_len``)."""
     keep = max_len - 2
-    tok = rows.select(key, tokens(F.col(text)).alias("__t"))
-    sized = tok.select(key, F.size("__t").alias("n_tokens"), F.slice("__t", 1, keep).alias("__t"))
-    exploded = sized.select(key, F.posexplode("__t").alias("pos", "token"))
+    sized = tok.select(key, F.size("tokens").alias("n_tokens"), F.slice("tokens", 1, keep).alias("__t"))
+    # posexplode_outer keeps token-less rows (pos NULL), so no join back is needed
+    exploded = sized.select(key, "n_tokens", F.posexplode_outer("__t").alias("pos", "token"))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     ids = (exploded.join(vocab.select("token", "id"), "token", "left")
-           .withColumn("id", F.coalesce("id", F.lit(UNK)))
-           .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__s")))
-    body = F.coalesce(F.transform("__s", lambda s: s["id"]), F.array().cast("array<int>"))
-    out = sized.select(key, "n_tokens").join(ids, key, "left").withColumn("__b", body)
+           .groupBy(key, "n_tokens").agg(F.array_sort(F.collect_list(item)).alias("__s")))
+    out = ids.withColumn("__b", F.transform("__s", lambda s: s["id"]))
     pad = F.array_repeat(F.lit(PAD), F.lit(keep) - F.size("__b"))
     return out.select(
         key, "n_tokens",
