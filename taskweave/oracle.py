@@ -397,9 +397,23 @@ ep_el AS (
   SELECT r.epoch, r.episode, r.task, r.emotion_ind, r.row_id, r.role, unnest(f.x) AS v, unnest(range(0, len(f.x))) AS i
   FROM roles r JOIN fv f ON r.row_id = f.row_id
 ),
-ep_protos AS (
+ep_obs AS (
   SELECT epoch, episode, task, emotion_ind, i, avg(v) AS c, count(*) AS n_el
   FROM ep_el WHERE role = 'support' GROUP BY 1, 2, 3, 4, 5
+),
+ep_groups AS (SELECT DISTINCT epoch, episode, task FROM roles WHERE role = 'support'),
+ncls AS (SELECT task, count(DISTINCT emotion_ind) AS nc FROM fv GROUP BY task),
+ep_spine AS (
+  SELECT g.epoch, g.episode, g.task, CAST(c.k AS INTEGER) AS emotion_ind, d.i
+  FROM ep_groups g JOIN ncls n ON g.task = n.task
+  CROSS JOIN LATERAL (SELECT unnest(range(0, n.nc)) AS k) c
+  CROSS JOIN (SELECT unnest(range(0, (SELECT max(len(x)) FROM fv))) AS i) d
+),
+ep_protos AS (
+  SELECT s.epoch, s.episode, s.task, s.emotion_ind, s.i, coalesce(o.c, CAST('NaN' AS DOUBLE)) AS c,
+         coalesce(o.n_el, 0) AS n_el
+  FROM ep_spine s LEFT JOIN ep_obs o ON s.epoch = o.epoch AND s.episode = o.episode AND s.task = o.task
+                                     AND s.emotion_ind = o.emotion_ind AND s.i = o.i
 )"""
 
 SQL["agg_prototypes"] = with_(EP_ROLES) + """
