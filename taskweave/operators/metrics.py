@@ -24,6 +24,16 @@ def loss_batch_mean(scored: DataFrame, keys: Sequence[str] = ("task",), batch: s
     return per_batch.groupBy(*keys).agg(F.avg("bl").alias("loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
+def task_metrics(scored: DataFrame, keys: Sequence[str] = ("task",), batch: str = "batch") -> DataFrame:
+    """A5 + A6 in one two-level aggregate: ``n, accuracy, loss, n_batches`` per key."""
+    per_batch = scored.groupBy(*keys, batch).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum((F.col("pred") == F.col("emotion_ind")).cast("long")).alias("__ok"),
+        F.avg("loss").alias("__bl"))
+    return per_batch.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), (F.sum("__ok") / F.sum("__n")).alias("accuracy"),
+        F.avg("__bl").alias("loss"), F.count(F.lit(1)).alias("n_batches"))
+
+
 def accuracy_batch_mean(scored: DataFrame, episode_keys: Sequence[str]) -> DataFrame:
     """Unweighted mean over (task, episode) of per-episode accuracy and loss."""
     per = scored.groupBy(*episode_keys).agg(

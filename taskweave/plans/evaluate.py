@@ -33,7 +33,7 @@ def score_split(split_rows: DataFrame, heads: DataFrame, split: str = "val", bat
 def evaluate_split(split_rows: DataFrame, batch_size: int = 32, seed: int = 3) -> DataFrame:
     """Per task micro accuracy and batch-mean loss, plus a ``__macro__`` row."""
     scored = score_split(split_rows, train_heads(split_rows), batch_size=batch_size, seed=seed)
-    per_task = M.accuracy_micro(scored).join(M.loss_batch_mean(scored), "task")
+    per_task = M.task_metrics(scored)
     macro = M.macro_task_mean(per_task).select(
         F.lit("__macro__").alias("task"), F.col("n_tasks").alias("n"),
         F.col("macro_accuracy").alias("accuracy"), F.col("macro_loss").alias("loss"),
