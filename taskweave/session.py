@@ -51,7 +51,10 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="taskweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # noqa: BLE001  (some sessions refuse core settings at runtime)
+            pass
         spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
