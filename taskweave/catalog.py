@@ -37,6 +37,11 @@ def q_corpus_build(spark, sf):
     return corpus_from_tables(spark, sf)
 
 
+@query("corpus_build_balanced")
+def q_corpus_build_balanced(spark, sf):
+    return corpus_from_tables(spark, sf, balance=True)
+
+
 @query("corpus_summary")
 def q_corpus_summary(spark, sf):
     return corpus_summary(corpus_from_tables(spark, sf))

@@ -124,3 +124,11 @@ def q_job_interference_report(spark, sf):
     return r.select("pair", "grp", "n_points", _r(F.col("mean_similarity")).alias("mean_similarity"),
                     _r(F.col("negative_share")).alias("negative_share"), "n_rolling",
                     _r(F.col("last_rolling")).alias("last_rolling"))
+
+
+@query("win_epoch_history_long")
+def q_win_epoch_history_long(spark, sf):
+    cols = ["train_accuracy", "train_loss", "val_accuracy", "val_loss"]
+    wide = M.epoch_history(X.fm(spark, sf))
+    back = M.history_to_long(wide, ["run", "task", "epoch"], cols)
+    return back.select("run", "task", "epoch", "split", "name", _r(F.col("value")).alias("value"))

@@ -99,7 +99,11 @@ def value_counts(df: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
             | ((F.col("level") == "emotion") & F.col("emotion").isNotNull())
             | ((F.col("level") == "task_emotion_ind") & F.col("task").isNotNull()
                & F.col("emotion_ind").isNotNull()))
-    return out.where(keep).select(*keys, "level", "task", "emotion", "emotion_ind", "n")
+    out = out.where(keep)
+    # descending like value_counts, ties by key; the window runs over the small count table
+    order = Window.partitionBy(*keys, "level").orderBy(F.col("n").desc(), "task", "emotion", "emotion_ind")
+    return out.select(*keys, "level", "task", "emotion", "emotion_ind", "n",
+                      F.row_number().over(order).alias("rank"))
 
 
 def class_cardinality(df: DataFrame) -> DataFrame:

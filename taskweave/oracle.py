@@ -308,14 +308,26 @@ SELECT row_id, task, emotion_ind, CAST(epoch AS INTEGER) AS epoch, step_ AS step
        CASE WHEN pos < floor(count(*) OVER (PARTITION BY epoch, step_, task) / 2) THEN 'support' ELSE 'query' END AS role
 FROM sched"""
 
-SQL["agg_value_counts"] = with_(CORPUS) + """
-SELECT split, 'task' AS level, task, NULL AS emotion, NULL AS emotion_ind, count(*) AS n
-FROM corpus WHERE task IS NOT NULL GROUP BY split, task
-UNION ALL
-SELECT split, 'emotion', NULL, emotion, NULL, count(*) FROM corpus WHERE emotion IS NOT NULL GROUP BY split, emotion
-UNION ALL
-SELECT split, 'task_emotion_ind', task, NULL, emotion_ind, count(*) FROM corpus
-WHERE task IS NOT NULL AND emotion_ind IS NOT NULL GROUP BY split, task, emotion_ind"""
+SQL["agg_value_counts"] = with_(CORPUS) + """,
+vc AS (
+  SELECT split, 'task' AS level, task, NULL AS emotion, NULL AS emotion_ind, count(*) AS n
+  FROM corpus WHERE task IS NOT NULL GROUP BY split, task
+  UNION ALL
+  SELECT split, 'emotion', NULL, emotion, NULL, count(*) FROM corpus WHERE emotion IS NOT NULL GROUP BY split, emotion
+  UNION ALL
+  SELECT split, 'task_emotion_ind', task, NULL, emotion_ind, count(*) FROM corpus
+  WHERE task IS NOT NULL AND emotion_ind IS NOT NULL GROUP BY split, task, emotion_ind
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY split, level ORDER BY n DESC, task, emotion, emotion_ind) AS INTEGER) AS rank
+FROM vc"""
+
+SQL["corpus_build_balanced"] = with_(FD_SPLIT) + f""",
+bsz AS (SELECT split, task, count(*) AS n FROM fd_split GROUP BY 1, 2),
+bm AS (SELECT split, min(n) AS m FROM bsz GROUP BY 1),
+br AS (SELECT *, row_number() OVER (PARTITION BY split, task ORDER BY md5('3:balance:' || row_id), row_id) AS rk
+       FROM fd_split)
+SELECT br.row_id, {sanitize_sql('br.tweet')} AS tweet, br.emotion, br.emotion_ind, br.task, br.split
+FROM br JOIN bm ON br.split = bm.split WHERE br.rk <= bm.m"""
 
 SQL["agg_class_cardinality"] = with_(FV_SPLIT) + """
 SELECT task, count(DISTINCT emotion_ind) AS num_class FROM fv_split WHERE split = 'train' GROUP BY task"""

@@ -191,3 +191,10 @@ SELECT pair, grp, count(*) AS n_points,
        count(rolling) AS n_rolling,
        round(max(CASE WHEN idx = last_idx THEN rolling END), 6) AS last_rolling
 FROM ser GROUP BY pair, grp"""
+
+SQL["win_epoch_history_long"] = with_(FS) + """
+SELECT 'fs' AS run, series AS task, idx // 4 AS epoch,
+       (['train', 'train', 'val', 'val'])[CAST(idx % 4 AS INTEGER) + 1] AS split,
+       (['accuracy', 'loss', 'accuracy', 'loss'])[CAST(idx % 4 AS INTEGER) + 1] AS name,
+       round(CASE WHEN idx % 4 IN (0, 2) THEN value % 1 ELSE value END, 6) AS value
+FROM fs"""

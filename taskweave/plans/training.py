@@ -158,10 +158,13 @@ class JointResult:
 
 def joint_multitask(rows: DataFrame, tasks, epochs: int = 2, batch_size: int = 32, lr: float = 2e-5,
                     mode: str = "mean_max_min", seed: int = 3, every_nth: int = 10, hidden: int = 16,
-                    num_class: int = 2, init: Params | None = None) -> JointResult:
+                    num_class: int = 2, init: Params | None = None,
+                    snapshot_dir: str | None = None) -> JointResult:
     """Per step one batch per task; all task gradients of ``loss/2`` at the same
     parameters; shared parameters move by the sum, each head by its own gradient.
-    Similarity of the task gradients on every ``every_nth`` step of an epoch."""
+    Similarity of the task gradients on every ``every_nth`` step of an epoch.
+    With ``snapshot_dir`` the parameters are written after every epoch
+    (``<dir>/epoch=<e>``, readable by ``load_params``) so a restarted run can resume."""
     spark = rows.sparkSession
     tasks = list(tasks)
     rows = rows.where(F.col("task").isin(tasks)).select("row_id", "task", F.col("emotion_ind").alias("y"), "x")
@@ -172,7 +175,9 @@ def joint_multitask(rows: DataFrame, tasks, epochs: int = 2, batch_size: int = 3
     steps = sorted((r[0], r[1]) for r in spark.read.parquet(path).select("epoch", "step").distinct().collect())
     stored = spark.read.parquet(path)
     records, metrics = [], []
-    for epoch, step in steps:
+    for i, (epoch, step) in enumerate(steps):
+        if snapshot_dir and i > 0 and steps[i - 1][0] != epoch:
+            _snapshot(spark, params, snapshot_dir, steps[i - 1][0])
         batch = stored.where((F.col("epoch") == epoch) & (F.col("step") == step))
         stats = batch_stats(batch, params_frame(spark, {t: params for t in tasks}), num_class, d)
         grads = {t: gradients(stats[t], params, t, 0.5) for t in tasks if t in stats}
@@ -184,6 +189,8 @@ def joint_multitask(rows: DataFrame, tasks, epochs: int = 2, batch_size: int = 3
         for t, g in grads.items():
             params.W[t] -= lr * g["fc_layer.weight"]
             params.b[t] -= lr * g["fc_layer.bias"].ravel()
+    if snapshot_dir and steps:
+        _snapshot(spark, params, snapshot_dir, steps[-1][0])
     sims = similarity_frame(spark, records, tasks)
     sims = sims.select((F.col("step") / 100000).cast("int").alias("epoch"), (F.col("step") % 100000).alias("step"),
                        "pair", "grp", "similarity")
@@ -326,12 +333,16 @@ def params_to_frame(spark: SparkSession, p: Params) -> DataFrame:
     return spark.createDataFrame(rows, "task string, param string, n_rows int, g array<double>")
 
 
-def save_params(spark: SparkSession, p: Params) -> str:
-    path = fresh_dir(spark, "params")
+def save_params(spark: SparkSession, p: Params, path: str | None = None) -> str:
+    path = path or fresh_dir(spark, "params")
     params_to_frame(spark, p).write.mode("overwrite").parquet(path)
     return path
 
 
+def _snapshot(spark: SparkSession, p: Params, directory: str, epoch: int) -> None:
+    save_params(spark, p, f"{directory.rstrip('/')}/epoch={epoch}")
+
+
 def load_params(spark: SparkSession, path: str) -> Params:
     rows = spark.read.parquet(path).collect()      # model-sized table
     out = Params(np.zeros((0, 0)))

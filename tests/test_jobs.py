@@ -104,3 +104,13 @@ def test_saved_params_round_trip(spark):
     p = TR.init_params(["a", "b"], 8, 4)
     q = TR.load_params(spark, TR.save_params(spark, p))
     assert np.array_equal(p.P, q.P) and all(np.array_equal(p.W[t], q.W[t]) for t in "ab")
+
+
+def test_joint_snapshots_each_epoch(spark):
+    from taskweave.session import fresh_dir
+    _, train, tasks = _train(spark)
+    snap = fresh_dir(spark, "snap")
+    res = TR.joint_multitask(train, tasks, epochs=2, batch_size=32, lr=0.5, snapshot_dir=snap)
+    last = TR.load_params(spark, f"{snap}/epoch=1")
+    first = TR.load_params(spark, f"{snap}/epoch=0")
+    assert np.allclose(last.P, res.params.P) and not np.allclose(first.P, res.params.P)
