@@ -31,6 +31,7 @@ HEADLINE = [
     "win_rolling_mean",
     "win_running_best",
     "src_lines_positional",
+    "job_joint_multitask",
 ]
 
 

@@ -143,8 +143,9 @@ def _materialize(df: DataFrame, name: str, parts) -> str:
     return path
 
 
-def _dim(rows: DataFrame) -> int:
-    return rows.select(F.size("x").alias("d")).agg(F.max("d")).first()[0]
+def _dim(stored: DataFrame) -> int:
+    """Vector length from one row of a materialised table (vectors have one fixed length)."""
+    return stored.select(F.size("x")).first()[0]
 
 
 # ---- C1 / C7: joint multi-task training ---------------------------------------------------
@@ -168,12 +169,12 @@ def joint_multitask(rows: DataFrame, tasks, epochs: int = 2, batch_size: int = 3
     spark = rows.sparkSession
     tasks = list(tasks)
     rows = rows.where(F.col("task").isin(tasks)).select("row_id", "task", F.col("emotion_ind").alias("y"), "x")
-    d = _dim(rows)
-    params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
     sched = P.multitask_step_schedule(rows, batch_size, epochs=epochs, mode=mode, seed=seed)
     path = _materialize(sched.select("epoch", "step", "task", "y", "x"), "joint-schedule", ["epoch", "step"])
-    steps = sorted((r[0], r[1]) for r in spark.read.parquet(path).select("epoch", "step").distinct().collect())
     stored = spark.read.parquet(path)
+    steps = sorted((r[0], r[1]) for r in stored.select("epoch", "step").distinct().collect())
+    d = init.P.shape[1] if init is not None else _dim(stored)
+    params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
     records, metrics = [], []
     for i, (epoch, step) in enumerate(steps):
         if snapshot_dir and i > 0 and steps[i - 1][0] != epoch:
@@ -238,14 +239,14 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
     spark = rows.sparkSession
     tasks = list(tasks)
     rows = rows.where(F.col("task").isin(tasks))
-    d = _dim(rows)
-    params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
     ep = P.episode_support_query(P.episode_sampler(rows.select("row_id", "task", "emotion_ind", "x"),
                                                    k=k, epochs=epochs, seed=seed))
     path = _materialize(ep.select("epoch", "episode", "task", "role", F.col("emotion_ind").alias("y"), "x"),
                         "meta-episodes", ["epoch", "episode"])
     stored = spark.read.parquet(path)
     keys = sorted((r[0], r[1]) for r in stored.select("epoch", "episode").distinct().collect())
+    d = init.P.shape[1] if init is not None else _dim(stored)
+    params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
     records, log = [], []
     for epoch, episode in keys:
         this = stored.where((F.col("epoch") == epoch) & (F.col("episode") == episode))
@@ -302,7 +303,7 @@ def adapt_evaluate(train_rows: DataFrame, val_rows: DataFrame, init: Params, tas
     then every validation row of the task is scored.  Adds a ``__macro__`` row."""
     spark = train_rows.sparkSession
     tasks = list(tasks)
-    d = _dim(train_rows)
+    d = init.P.shape[1]
     ep = P.episode_support_query(P.episode_sampler(
         train_rows.where(F.col("task").isin(tasks)).select("row_id", "task", "emotion_ind", "x"), k=k, epochs=1, seed=seed))
     support = ep.where((F.col("episode") == 0) & (F.col("role") == "support")) \
@@ -370,7 +371,7 @@ def finetune_sequential(train_rows: DataFrame, val_rows: DataFrame, init: Params
     spark = train_rows.sparkSession
     tasks = list(tasks)
     rows = train_rows.where(F.col("task").isin(tasks))
-    d = _dim(rows)
+    d = init.P.shape[1]
     params = init.copy()
     for t in tasks:
         params.W[t] = np.zeros((num_class, params.P.shape[0]))
