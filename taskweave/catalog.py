@@ -117,7 +117,7 @@ def q_norm_canonical_projection(spark, sf):
 # ---- 2.C text ------------------------------------------------------------------------
 
 def _fd_text(spark, sf):
-    return X.fd_raw(spark, sf).select("row_id", "tweet")
+    return X.fd_raw(spark, sf, spread=True).select("row_id", "tweet")
 
 
 def _text_query(fn):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators.ranking import bucketed_rank
-from ..session import read_table
+from ..session import read_table, spread_rows
 
 # Fixed values of the fixtures.
 FD_TASKS = ("quality", "toxic")
@@ -30,9 +30,15 @@ FM_SLOTS = (("train", "accuracy"), ("train", "loss"), ("val", "accuracy"), ("val
 FS_BUCKET_SECONDS = 3600
 
 
-def fd_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FD before cleaning: ``row_id, doc_id, tweet, label, emotion_ind, emotion, task``."""
+def fd_raw(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """FD before cleaning: ``row_id, doc_id, tweet, label, emotion_ind, emotion, task``.
+
+    ``spread=True`` is for callers that run CPU-heavy text work right after the
+    scan: the document scan is spread over the cluster when it has too few splits.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    if spread:
+        docs = spread_rows(docs)
     labs = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     joined = docs.join(labs, "doc_id", "inner")                      # J2
     long = joined.unpivot(["doc_id", "text"], list(FD_TASKS), "task", "label")  # U1 of one wide source

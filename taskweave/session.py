@@ -68,6 +68,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def spread_rows(df):
+    """Spread rows before CPU-heavy per-row work when the input has too few partitions.
+
+    A file with one row group is one scan task; regex cleaning of whole texts
+    would then run on one core.  Only when the plan has fewer partitions than the
+    cluster's default parallelism is a round-robin repartition added -- on a
+    large input (thousands of splits) this is a no-op and adds no shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
