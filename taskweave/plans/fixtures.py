@@ -13,6 +13,8 @@ Every fixture reads the given parquet tables, so its work grows with them.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,25 +141,23 @@ FG_PARAMS = (("encoder.P", 0), ("fc_layer.weight", 1), ("fc_layer.bias", 2))
 FG_ZERO_TASK = "tz"
 
 
-def _fg_element_rows(v: DataFrame, extra: list[str]) -> DataFrame:
-    """Per-row parameter contributions as ``(keys..., param, i, v)`` elements."""
-    sign = (F.col("emotion_ind") * 2 - 1).cast("double")
-    enc = v.select(*extra, F.lit("encoder.P").alias("param"),
-                   F.posexplode(F.transform("x", lambda e: e * sign)).alias("i", "v"))
-    head = v.select(*extra, F.lit("fc_layer.weight").alias("param"),
-                    F.posexplode(F.slice("x", 1, FG_HEAD_DIM)).alias("i", "v"))
-    bias = v.select(*extra, F.lit("fc_layer.bias").alias("param"),
-                    F.posexplode(F.array(F.lit(1.0), F.col("emotion_ind").cast("double"))).alias("i", "v"))
-    return enc.unionByName(head).unionByName(bias)
-
+def _fg_grads(v: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-group parameter gradients in one aggregate (no per-element rows).
 
-def _fg_assemble(elems: DataFrame, keys: list[str]) -> DataFrame:
-    summed = elems.groupBy(*keys, "param", "i").agg(F.sum("v").alias("v"))
-    arr = (summed.groupBy(*keys, "param")
-           .agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-           .select(*keys, "param", F.transform("s", lambda s: s["v"]).alias("g")))
-    order = F.create_map(*[x for name, o in FG_PARAMS for x in (F.lit(name), F.lit(o))])
-    return arr.withColumn("param_ord", order[F.col("param")].cast("int")).withColumn("chunk", F.lit(0))
+    ``encoder.P`` = sum of (2*emotion_ind - 1) * x, ``fc_layer.weight`` = sum of the
+    first 16 components, ``fc_layer.bias`` = [count, sum of emotion_ind].  Vector
+    sums use ``Summarizer`` (JVM, map-side partial aggregation); the three
+    parameters are then unpivoted into rows.
+    """
+    sign = (F.col("emotion_ind") * 2 - 1).cast("double")
+    agg = v.groupBy(*keys).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.transform("x", lambda e: e * sign)))).alias("p0"),
+        vector_to_array(Summarizer.sum(array_to_vector(F.slice("x", 1, FG_HEAD_DIM)))).alias("p1"),
+        F.array(F.count(F.lit(1)).cast("double"), F.sum("emotion_ind").cast("double")).alias("p2"))
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("param"), F.lit(o).alias("param_ord"),
+                                        F.col(f"p{o}").alias("g")) for name, o in FG_PARAMS]))
+    out = agg.select(*keys, rows.alias("r"))
+    return out.select(*keys, "r.param", "r.param_ord", F.lit(0).alias("chunk"), "r.g")
 
 
 def fg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +166,7 @@ def fg(spark: SparkSession, sf_dir: str) -> DataFrame:
     Includes task ``tz`` at step 0 with all-zero gradients (forces NaN cosines).
     """
     v = fv(spark, sf_dir).withColumn("step", (F.col("vec_id") % FG_STEPS).cast("int"))
-    elems = _fg_element_rows(v, ["step", "task", "emotion_ind"]).drop("emotion_ind")
-    grads = _fg_assemble(elems, ["step", "task"])
+    grads = _fg_grads(v, ["step", "task"])
     zero = (grads.where((F.col("step") == 0))
             .groupBy("step", "param", "param_ord", "chunk")
             .agg(F.max(F.size("g")).alias("n"))
@@ -183,5 +182,4 @@ def fg_phased(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("phase", F.when(F.floor(F.col("vec_id") / FG_STEPS) % 2 == 0, "inner").otherwise("outer"))
          .withColumn("kind", F.when(F.floor(F.col("vec_id") / (2 * FG_STEPS)) % 2 == 0, "episode")
                      .otherwise("ref")))
-    elems = _fg_element_rows(v, ["step", "task", "phase", "kind", "emotion_ind"]).drop("emotion_ind")
-    return _fg_assemble(elems, ["step", "task", "phase", "kind"])
+    return _fg_grads(v, ["step", "task", "phase", "kind"])
