@@ -82,3 +82,14 @@ def q_job_finetune_sequential(spark, sf):
     tasks = _tasks(train)
     out = TR.finetune_sequential(train, val, TR.init_params(tasks, 64), tasks, epochs=2, batch_size=32, lr=1e-3)
     return out.withColumn("accuracy", _r(F.col("accuracy"))).withColumn("loss", _r(F.col("loss")))
+
+
+@query("job_adapt_evaluate_zero")
+def q_job_adapt_evaluate_zero(spark, sf):
+    """C4 with no inner step from an identity encoder: episode-0 prototype heads scored
+    on every validation row -- the case plain SQL can express."""
+    s = _split(spark, sf)
+    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+    tasks = _tasks(train)
+    out = TR.adapt_evaluate(train, val, TR.identity_params(tasks, 64), tasks, k=10, inner_steps=0)
+    return out.select("task", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))

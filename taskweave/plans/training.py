@@ -60,6 +60,15 @@ def init_params(tasks, d: int, h: int = 16, num_class: int = 2, seed: int = 3) -
     return p
 
 
+def identity_params(tasks, d: int, num_class: int = 2) -> Params:
+    """Identity encoder and zero heads: prototype heads then score raw vectors."""
+    p = Params(np.eye(d))
+    for t in tasks:
+        p.W[t] = np.zeros((num_class, d))
+        p.b[t] = np.zeros(num_class)
+    return p
+
+
 def params_frame(spark: SparkSession, per_task: dict[str, Params]) -> DataFrame:
     """One row per task with that task's (possibly adapted) parameters.
 
