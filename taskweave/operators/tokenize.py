@@ -53,7 +53,8 @@ def build_vocab(tok: DataFrame) -> DataFrame:
     counts = (tok.select(F.explode("tokens").alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
-    ranked = bucketed_rank(counts, [], bucket, [F.col("count").desc(), F.col("token")], "rk")
+    ranked = bucketed_rank(counts, [], bucket, [F.col("count").desc(), F.col("token")], "rk",
+                           coarse=lambda b: b["c"])
     return ranked.select("token", "count", (F.col("rk") - 1 + FIRST_ID).cast("int").alias("id"))
 
 

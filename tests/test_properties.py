@@ -79,3 +79,17 @@ def test_series_index_contiguous(spark):
     s = X.fs(spark, SF_SMALL)
     for r in s.groupBy("series").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n")).collect():
         assert r.lo == 0 and r.hi == r.n - 1
+
+
+def test_two_level_rank_equals_plain_window(spark):
+    v = X.fv(spark, SF_MID).withColumn("k", R.draw_key(3, "x", "row_id"))
+    bucket = F.struct(F.substring("k", 1, 1).alias("a"), F.substring("k", 2, 2).alias("b"))
+    got = R.bucketed_rank(v, ["task"], bucket, [F.col("k"), F.col("row_id")], "rk", total_col="tot",
+                          coarse=lambda b: b["a"])
+    ref = v.withColumn("rk2", F.row_number().over(Window.partitionBy("task").orderBy("k", "row_id"))) \
+        .withColumn("tot2", F.count("*").over(Window.partitionBy("task")))
+    j = got.join(ref, "row_id")
+    assert j.where((F.col("rk") != F.col("rk2")) | (F.col("tot") != F.col("tot2"))).count() == 0
+    g2 = R.bucketed_rank(v, [], bucket, [F.col("k"), F.col("row_id")], "rk", coarse=lambda b: b["a"])
+    r2 = v.withColumn("rk2", F.row_number().over(Window.orderBy("k", "row_id")))
+    assert g2.join(r2, "row_id").where(F.col("rk") != F.col("rk2")).count() == 0
