@@ -20,7 +20,6 @@ executor only re-reads files.
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -418,6 +417,3 @@ def finetune_sequential(train_rows: DataFrame, val_rows: DataFrame, init: Params
         out.append((t, epoch, float(acc), float(loss), bool(improved)))
     return spark.createDataFrame(out, "task string, epoch int, accuracy double, loss double, improved boolean")
 
-
-def pairs_in_order(tasks):
-    return [f"{a}-{b}" for a, b in itertools.combinations(list(tasks), 2)]
