@@ -136,11 +136,33 @@ def gradient_rows(step: int, grads: dict[str, dict[str, np.ndarray]]):
 GRAD_SCHEMA = "step int, task string, param string, param_ord int, chunk int, g array<double>"
 
 
-def similarity_frame(spark: SparkSession, records: list, tasks) -> DataFrame:
+class GradientLog:
+    """Sampled gradient records, appended to a parquet table in the shared folder.
+
+    The driver buffers at most one epoch of records; ``flush`` is called at epoch
+    boundaries, so the run's gradient history never accumulates on the driver.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.buf, self.written = spark, fresh_dir(spark, name), [], False
+
+    def add(self, rows: list) -> None:
+        self.buf += rows
+
+    def flush(self) -> None:
+        if self.buf:
+            self.spark.createDataFrame(self.buf, GRAD_SCHEMA).write.mode("append").parquet(self.path)
+            self.buf, self.written = [], True
+
+    def frame(self) -> DataFrame | None:
+        self.flush()
+        return self.spark.read.parquet(self.path) if self.written else None
+
+
+def similarity_frame(spark: SparkSession, grads: DataFrame | None, tasks) -> DataFrame:
     """V6 on the recorded gradients: ``(step, pair, grp, similarity)`` in task-list order."""
-    if not records:
+    if grads is None:
         return spark.createDataFrame([], "step int, pair string, grp string, similarity double")
-    grads = spark.createDataFrame(records, GRAD_SCHEMA)
     sims = I.group_cosines(grads, I.task_pairs(I.task_order(list(tasks), spark)))
     return sims.select("step", "pair", "grp", "similarity")
 
@@ -183,24 +205,26 @@ def joint_multitask(rows: DataFrame, tasks, epochs: int = 2, batch_size: int = 3
     steps = sorted((r[0], r[1]) for r in stored.select("epoch", "step").distinct().collect())
     d = init.P.shape[1] if init is not None else _dim(stored)
     params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
-    records, metrics = [], []
+    glog, metrics = GradientLog(spark, "joint-grads"), []
     for i, (epoch, step) in enumerate(steps):
-        if snapshot_dir and i > 0 and steps[i - 1][0] != epoch:
-            _snapshot(spark, params, snapshot_dir, steps[i - 1][0])
+        if i > 0 and steps[i - 1][0] != epoch:
+            glog.flush()
+            if snapshot_dir:
+                _snapshot(spark, params, snapshot_dir, steps[i - 1][0])
         batch = stored.where((F.col("epoch") == epoch) & (F.col("step") == step))
         stats = batch_stats(batch, params_frame(spark, {t: params for t in tasks}), num_class, d)
         grads = {t: gradients(stats[t], params, t, 0.5) for t in tasks if t in stats}
         for t in grads:
             metrics.append((epoch, step, t, stats[t].n, stats[t].loss_sum / stats[t].n, stats[t].correct))
         if step % every_nth == 0:
-            records += gradient_rows(epoch * 100000 + step, grads)
+            glog.add(gradient_rows(epoch * 100000 + step, grads))
         params.P -= lr * sum(g["encoder.P"] for g in grads.values())
         for t, g in grads.items():
             params.W[t] -= lr * g["fc_layer.weight"]
             params.b[t] -= lr * g["fc_layer.bias"].ravel()
     if snapshot_dir and steps:
         _snapshot(spark, params, snapshot_dir, steps[-1][0])
-    sims = similarity_frame(spark, records, tasks)
+    sims = similarity_frame(spark, glog.frame(), tasks)
     sims = sims.select((F.col("step") / 100000).cast("int").alias("epoch"), (F.col("step") % 100000).alias("step"),
                        "pair", "grp", "similarity")
     m = spark.createDataFrame(metrics, "epoch int, step int, task string, n long, batch_loss double, correct long")
@@ -255,8 +279,10 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
     keys = sorted((r[0], r[1]) for r in stored.select("epoch", "episode").distinct().collect())
     d = init.P.shape[1] if init is not None else _dim(stored)
     params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
-    records, log = [], []
-    for epoch, episode in keys:
+    glog, log = GradientLog(spark, "meta-grads"), []
+    for i, (epoch, episode) in enumerate(keys):
+        if i > 0 and keys[i - 1][0] != epoch:
+            glog.flush()
         this = stored.where((F.col("epoch") == epoch) & (F.col("episode") == episode))
         support, query = this.where(F.col("role") == "support"), this.where(F.col("role") == "query")
         local = {t: params.task_view(t) for t in tasks}
@@ -280,12 +306,12 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
         for t in qg:
             log.append((epoch, episode, t, qs[t].loss_sum / qs[t].n, qs[t].correct / qs[t].n))
         if episode % every_nth == 0 and len(inner) >= 2:
-            records += gradient_rows(epoch * 100000 + episode, inner)
+            glog.add(gradient_rows(epoch * 100000 + episode, inner))
         params.P -= beta * sum(g["encoder.P"] for g in qg.values())
         for t, g in qg.items():
             params.W[t] -= beta * g["fc_layer.weight"]
             params.b[t] -= beta * g["fc_layer.bias"].ravel()
-    sims = similarity_frame(spark, records, tasks).select(
+    sims = similarity_frame(spark, glog.frame(), tasks).select(
         (F.col("step") / 100000).cast("int").alias("epoch"), (F.col("step") % 100000).alias("episode"),
         "pair", "grp", "similarity")
     episodes = spark.createDataFrame(log, "epoch int, episode int, task string, loss double, accuracy double")
