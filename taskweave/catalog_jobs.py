@@ -93,3 +93,16 @@ def q_job_adapt_evaluate_zero(spark, sf):
     tasks = _tasks(train)
     out = TR.adapt_evaluate(train, val, TR.identity_params(tasks, 64), tasks, k=10, inner_steps=0)
     return out.select("task", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))
+
+
+@query("job_conflict_study")
+def q_job_conflict_study(spark, sf):
+    """Two-task conflict study (single head, reference episodes): six per-parameter
+    cosine series per step, also written as wide CSVs (K1)."""
+    from .sources import similarity as S
+    from .session import fresh_dir
+    s = _split(spark, sf)
+    train = s.where(F.col("split") == "train")
+    res = TR.conflict_study(train, "t0", "t1", epochs=1, k=10, alpha=1e-3, beta=1e-4)
+    S.write_wide_csv(res.similarity, fresh_dir(spark, "conflict-wide"), list(TR.PARAM_ORDER))
+    return res.similarity.withColumn("similarity", _r(F.col("similarity")))

@@ -143,15 +143,16 @@ class GradientLog:
     boundaries, so the run's gradient history never accumulates on the driver.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, schema: str = GRAD_SCHEMA):
         self.spark, self.path, self.buf, self.written = spark, fresh_dir(spark, name), [], False
+        self.schema = schema
 
     def add(self, rows: list) -> None:
         self.buf += rows
 
     def flush(self) -> None:
         if self.buf:
-            self.spark.createDataFrame(self.buf, GRAD_SCHEMA).write.mode("append").parquet(self.path)
+            self.spark.createDataFrame(self.buf, self.schema).write.mode("append").parquet(self.path)
             self.buf, self.written = [], True
 
     def frame(self) -> DataFrame | None:
@@ -258,7 +259,7 @@ def _proto_heads(support: DataFrame, params: Params, tasks, num_class: int, d: i
 def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: float = 1e-3, beta: float = 1e-4,
                inner_steps: int = 1, prototypes: bool = True, seed: int = 3, every_nth: int = 10,
                hidden: int = 16, num_class: int = 2, init: Params | None = None,
-               zero_head: bool = False) -> MetaResult:
+               zero_head: bool = False, query_prototypes: bool = False) -> MetaResult:
     """C2 (``prototypes=False``) / C3 (``prototypes=True``), first-order.
 
     Per episode and task: copy the parameters (head from support prototypes for C3,
@@ -301,6 +302,15 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
                 local[t].P -= alpha * g["encoder.P"]
                 local[t].W[t] -= alpha * g["fc_layer.weight"]
                 local[t].b[t] -= alpha * g["fc_layer.bias"].ravel()
+        if query_prototypes:      # H5: head rebuilt from the query rows before scoring them
+            qm = class_means(query.withColumnRenamed("y", "emotion_ind"), ["task"], "x").collect()
+            for t in tasks:
+                c_x = np.full((num_class, d), np.nan)
+                for r in qm:
+                    if r["task"] == t:
+                        c_x[r["emotion_ind"]] = np.asarray(r["c"])
+                c_z = c_x @ local[t].P.T
+                local[t].W[t], local[t].b[t] = 2.0 * c_z, -np.sum(c_z * c_z, axis=1)
         qs = batch_stats(query, params_frame(spark, local), num_class, d)
         qg = {t: gradients(qs[t], local[t], t) for t in tasks if t in qs}
         for t in qg:
@@ -318,6 +328,113 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
     return MetaResult(params, sims, episodes)
 
 
+# ---- C3 two-task conflict study (single head, reference episodes, per-parameter cosines) -----
+
+@dataclass
+class StudyResult:
+    params: Params
+    similarity: DataFrame      # V7 long form: step, phase, pair, param, similarity
+    gradients: str             # shared-folder table the similarities were computed from
+
+
+HEAD = "head"
+STUDY_SCHEMA = ("step int, task string, phase string, kind string, param string, param_ord int, chunk int, "
+                "g array<double>")
+
+
+def _heads_from_means(means: dict, key: str, p: Params, role: str, num_class: int, d: int):
+    c_x = np.full((num_class, d), np.nan)
+    for (k, r, y), c in means.items():
+        if k == key and r == role:
+            c_x[y] = c
+    c_z = c_x @ p.P.T
+    return 2.0 * c_z, -np.sum(c_z * c_z, axis=1)
+
+
+def conflict_study(rows: DataFrame, task_1: str, task_2: str, epochs: int = 1, k: int = 10, alpha: float = 1e-3,
+                   beta: float = 1e-4, inner_steps: int = 1, seed: int = 3, hidden: int = 16, num_class: int = 2,
+                   query_prototypes: bool = True, init: Params | None = None) -> StudyResult:
+    """Two-task ProtoMAML with a single shared head.
+
+    Every step consumes two consecutive draws of the persistent class streams: draw
+    ``2s`` is the episode, ``2s+1`` an independent reference episode.  For each of
+    the four (kind, task) episodes the head starts from support prototypes, takes
+    ``inner_steps`` SGD steps (the first inner step's gradients are kept), is rebuilt
+    from query prototypes when ``query_prototypes`` (the reference's behaviour), and
+    the query gradient is taken.  The initial parameters move by ``beta`` times the
+    sum of the two episode tasks' query gradients.  Six per-parameter cosine series
+    per step: {outer, inner} x {a-b, a-ref(a), b-ref(b)} (V7).
+    """
+    spark = rows.sparkSession
+    tasks = [task_1, task_2]
+    rows = rows.where(F.col("task").isin(tasks)).select("row_id", "task", "emotion_ind", "x")
+    sizes = rows.groupBy("task", "emotion_ind").count().collect()          # streams: tasks x classes
+    L = min(-(-r["count"] // k) for r in sizes)
+    ep = P.episode_support_query(P.episode_sampler(rows, k=k, epochs=2 * epochs, seed=seed))
+    g = F.col("epoch") * L + F.col("episode")
+    study = ep.select((g / (2 * L)).cast("int").alias("s_epoch"), ((g % (2 * L)) / 2).cast("int").alias("s_step"),
+                      F.when(g % 2 == 0, "episode").otherwise("ref").alias("kind"),
+                      F.concat(F.when(g % 2 == 0, "episode").otherwise("ref"), F.lit("|"), "task").alias("key"),
+                      "task", "role", F.col("emotion_ind").alias("y"), "x")
+    path = _materialize(study, "study-episodes", ["s_epoch", "s_step"])
+    stored = spark.read.parquet(path)
+    # class means of every draw in one aggregate: they do not depend on the parameters
+    means_path = _materialize(
+        class_means(stored.withColumnRenamed("y", "emotion_ind"), ["s_epoch", "s_step", "key", "role"], "x"),
+        "study-means", ["s_epoch", "s_step"])
+    means_all = spark.read.parquet(means_path)
+    keys = sorted((r[0], r[1]) for r in stored.select("s_epoch", "s_step").distinct().collect())
+    d = init.P.shape[1] if init is not None else _dim(stored)
+    params = init.copy() if init is not None else init_params([HEAD], d, hidden, num_class, seed)
+    glog = GradientLog(spark, "study-grads", STUDY_SCHEMA)
+    for i, (epoch, step) in enumerate(keys):
+        if i > 0 and keys[i - 1][0] != epoch:
+            glog.flush()
+        this = stored.where((F.col("s_epoch") == epoch) & (F.col("s_step") == step)).withColumn("task", F.col("key"))
+        means = {(r["key"], r["role"], r["emotion_ind"]): np.asarray(r["c"]) for r in
+                 means_all.where((F.col("s_epoch") == epoch) & (F.col("s_step") == step)).collect()}
+        ekeys = sorted({kk for kk, _, _ in means})
+        local = {}
+        for kk in ekeys:
+            lp = Params(params.P.copy())
+            lp.W[kk], lp.b[kk] = _heads_from_means(means, kk, params, "support", num_class, d)
+            local[kk] = lp
+        support, query = this.where(F.col("role") == "support"), this.where(F.col("role") == "query")
+        first_inner = {}
+        for it in range(inner_steps):
+            st = batch_stats(support, params_frame(spark, local), num_class, d)
+            for kk in ekeys:
+                if kk not in st:
+                    continue
+                gr = gradients(st[kk], local[kk], kk)
+                if it == 0:
+                    first_inner[kk] = gr
+                local[kk].P -= alpha * gr["encoder.P"]
+                local[kk].W[kk] -= alpha * gr["fc_layer.weight"]
+                local[kk].b[kk] -= alpha * gr["fc_layer.bias"].ravel()
+        if query_prototypes:
+            for kk in ekeys:
+                local[kk].W[kk], local[kk].b[kk] = _heads_from_means(means, kk, local[kk], "query", num_class, d)
+        qs = batch_stats(query, params_frame(spark, local), num_class, d)
+        outer = {kk: gradients(qs[kk], local[kk], kk) for kk in ekeys if kk in qs}
+        ep_keys = [f"episode|{t}" for t in tasks if f"episode|{t}" in outer]
+        params.P -= beta * sum(outer[kk]["encoder.P"] for kk in ep_keys)
+        params.W[HEAD] -= beta * sum(outer[kk]["fc_layer.weight"] for kk in ep_keys)
+        params.b[HEAD] -= beta * sum(outer[kk]["fc_layer.bias"].ravel() for kk in ep_keys)
+        gstep = epoch * 100000 + step
+        for phase, grads in (("outer", outer), ("inner", first_inner)):
+            for kk, gr in grads.items():
+                kind, task = kk.split("|", 1)
+                glog.add([(gstep, task, phase, kind, name, PARAM_ORDER[name], 0, v.ravel().tolist())
+                          for name, v in gr.items()])
+    glog_frame = glog.frame()
+    if glog_frame is None:
+        sims = spark.createDataFrame([], "step int, phase string, pair string, param string, similarity double")
+    else:
+        sims = I.per_param_cosines(glog_frame, task_1, task_2)
+    return StudyResult(params, sims, glog.path)
+
+
 # ---- C4: adapt from an initialisation and evaluate ------------------------------------------
 
 def evaluate(rows: DataFrame, per_task: dict[str, Params], num_class: int, d: int, batch_size: int = 32,

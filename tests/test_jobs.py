@@ -114,3 +114,50 @@ def test_joint_snapshots_each_epoch(spark):
     last = TR.load_params(spark, f"{snap}/epoch=1")
     first = TR.load_params(spark, f"{snap}/epoch=0")
     assert np.allclose(last.P, res.params.P) and not np.allclose(first.P, res.params.P)
+
+
+def test_conflict_study_matches_numpy(spark):
+    _, train, _ = _train(spark)
+    tasks = ["t0", "t1"]
+    res = TR.conflict_study(train, "t0", "t1", epochs=1, k=10, alpha=0.3, beta=0.2, inner_steps=2)
+    rows = train.where(F.col("task").isin(tasks)).select("row_id", "task", "emotion_ind", "x")
+    sizes = rows.groupBy("task", "emotion_ind").count().collect()
+    L = min(-(-r["count"] // 10) for r in sizes)
+    ep = P.episode_support_query(P.episode_sampler(rows, k=10, epochs=2)).collect()
+    groups = defaultdict(list)
+    for r in ep:
+        g = r.epoch * L + r.episode
+        groups[(g // (2 * L), (g % (2 * L)) // 2, "episode" if g % 2 == 0 else "ref", r.task, r.role)].append(
+            (r.x, r.emotion_ind))
+    p = TR.init_params([TR.HEAD], 64)
+    sims = {}
+    for epoch, step in sorted({(e, s) for e, s, _, _, _ in groups}):
+        outer, inner = {}, {}
+        for kind in ("episode", "ref"):
+            for t in tasks:
+                sup, qry = groups[(epoch, step, kind, t, "support")], groups[(epoch, step, kind, t, "query")]
+                Xs, ys = np.array([x for x, _ in sup]), np.array([y for _, y in sup])
+                Xq, yq = np.array([x for x, _ in qry]), np.array([y for _, y in qry])
+                cz = np.stack([Xs[ys == c].mean(axis=0) for c in range(2)]) @ p.P.T
+                Pl, Wl, bl = p.P.copy(), 2 * cz, -np.sum(cz * cz, axis=1)
+                for it in range(2):
+                    gP, gW, gb = _grads(Pl, Wl, bl, Xs, ys)
+                    if it == 0:
+                        inner[(kind, t)] = (gP, gW, gb)
+                    Pl, Wl, bl = Pl - 0.3 * gP, Wl - 0.3 * gW, bl - 0.3 * gb
+                cq = np.stack([Xq[yq == c].mean(axis=0) for c in range(2)]) @ Pl.T
+                Wl, bl = 2 * cq, -np.sum(cq * cq, axis=1)
+                outer[(kind, t)] = _grads(Pl, Wl, bl, Xq, yq)
+        for phase, gr in (("outer", outer), ("inner", inner)):
+            for name, i in (("encoder.P", 0), ("fc_layer.weight", 1), ("fc_layer.bias", 2)):
+                sims[(step, phase, "t0_t1", name)] = _cos(gr[("episode", "t0")][i].ravel(), gr[("episode", "t1")][i].ravel())
+                sims[(step, phase, "t0_t0", name)] = _cos(gr[("episode", "t0")][i].ravel(), gr[("ref", "t0")][i].ravel())
+                sims[(step, phase, "t1_t1", name)] = _cos(gr[("episode", "t1")][i].ravel(), gr[("ref", "t1")][i].ravel())
+        for i, attr in ((0, "P"),):
+            p.P -= 0.2 * (outer[("episode", "t0")][0] + outer[("episode", "t1")][0])
+        p.W[TR.HEAD] -= 0.2 * (outer[("episode", "t0")][1] + outer[("episode", "t1")][1])
+        p.b[TR.HEAD] -= 0.2 * (outer[("episode", "t0")][2] + outer[("episode", "t1")][2])
+    assert np.allclose(res.params.P, p.P, atol=1e-9)
+    got = {(r.step % 100000, r.phase, r.pair, r.param): r.similarity for r in res.similarity.collect()}
+    assert set(got) == set(sims)
+    assert all(abs(got[k] - v) < 1e-8 for k, v in sims.items())
