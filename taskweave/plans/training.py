@@ -280,16 +280,24 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
     keys = sorted((r[0], r[1]) for r in stored.select("epoch", "episode").distinct().collect())
     d = init.P.shape[1] if init is not None else _dim(stored)
     params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
+    means_all = None
+    if prototypes or query_prototypes:
+        # class means of every episode in one aggregate: they do not depend on the parameters
+        means_path = _materialize(class_means(stored.withColumnRenamed("y", "emotion_ind"),
+                                              ["epoch", "episode", "task", "role"], "x"),
+                                  "meta-means", ["epoch", "episode"])
+        means_all = MeansByBlock(spark.read.parquet(means_path), "epoch", "episode", "task")
     glog, log = GradientLog(spark, "meta-grads"), []
     for i, (epoch, episode) in enumerate(keys):
         if i > 0 and keys[i - 1][0] != epoch:
             glog.flush()
         this = stored.where((F.col("epoch") == epoch) & (F.col("episode") == episode))
         support, query = this.where(F.col("role") == "support"), this.where(F.col("role") == "query")
+        means = {} if means_all is None else means_all.get(epoch, episode)
         local = {t: params.task_view(t) for t in tasks}
         if prototypes:
-            for t, (w, b) in _proto_heads(support, params, tasks, num_class, d).items():
-                local[t].W[t], local[t].b[t] = w, b
+            for t in tasks:
+                local[t].W[t], local[t].b[t] = _heads_from_means(means, t, params, "support", num_class, d)
         elif zero_head:
             for t in tasks:
                 local[t].W[t][:] = 0.0
@@ -303,14 +311,8 @@ def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: floa
                 local[t].W[t] -= alpha * g["fc_layer.weight"]
                 local[t].b[t] -= alpha * g["fc_layer.bias"].ravel()
         if query_prototypes:      # H5: head rebuilt from the query rows before scoring them
-            qm = class_means(query.withColumnRenamed("y", "emotion_ind"), ["task"], "x").collect()
             for t in tasks:
-                c_x = np.full((num_class, d), np.nan)
-                for r in qm:
-                    if r["task"] == t:
-                        c_x[r["emotion_ind"]] = np.asarray(r["c"])
-                c_z = c_x @ local[t].P.T
-                local[t].W[t], local[t].b[t] = 2.0 * c_z, -np.sum(c_z * c_z, axis=1)
+                local[t].W[t], local[t].b[t] = _heads_from_means(means, t, local[t], "query", num_class, d)
         qs = batch_stats(query, params_frame(spark, local), num_class, d)
         qg = {t: gradients(qs[t], local[t], t) for t in tasks if t in qs}
         for t in qg:
@@ -337,6 +339,28 @@ class StudyResult:
     gradients: str             # shared-folder table the similarities were computed from
 
 
+class MeansByBlock:
+    """Per-episode class means, fetched a block of episodes at a time.
+
+    One small read per ``block`` episodes instead of one job per episode; driver
+    memory is bounded by ``block x keys x classes x dim`` regardless of run length.
+    """
+
+    def __init__(self, frame: DataFrame, epoch_col: str, step_col: str, key_col: str, block: int = 64):
+        self.frame, self.e, self.s, self.k, self.block, self.cache = frame, epoch_col, step_col, key_col, block, {}
+
+    def get(self, epoch: int, step: int) -> dict:
+        if (epoch, step) not in self.cache:
+            rows = self.frame.where((F.col(self.e) == epoch) & (F.col(self.s) >= step)
+                                    & (F.col(self.s) < step + self.block)).collect()
+            self.cache = {}
+            for r in rows:
+                self.cache.setdefault((r[self.e], r[self.s]), {})[(r[self.k], r["role"], r["emotion_ind"])] = \
+                    np.asarray(r["c"])
+            self.cache.setdefault((epoch, step), {})
+        return self.cache[(epoch, step)]
+
+
 HEAD = "head"
 STUDY_SCHEMA = ("step int, task string, phase string, kind string, param string, param_ord int, chunk int, "
                 "g array<double>")
@@ -382,7 +406,7 @@ def conflict_study(rows: DataFrame, task_1: str, task_2: str, epochs: int = 1, k
     means_path = _materialize(
         class_means(stored.withColumnRenamed("y", "emotion_ind"), ["s_epoch", "s_step", "key", "role"], "x"),
         "study-means", ["s_epoch", "s_step"])
-    means_all = spark.read.parquet(means_path)
+    means_all = MeansByBlock(spark.read.parquet(means_path), "s_epoch", "s_step", "key")
     keys = sorted((r[0], r[1]) for r in stored.select("s_epoch", "s_step").distinct().collect())
     d = init.P.shape[1] if init is not None else _dim(stored)
     params = init.copy() if init is not None else init_params([HEAD], d, hidden, num_class, seed)
@@ -391,8 +415,7 @@ def conflict_study(rows: DataFrame, task_1: str, task_2: str, epochs: int = 1, k
         if i > 0 and keys[i - 1][0] != epoch:
             glog.flush()
         this = stored.where((F.col("s_epoch") == epoch) & (F.col("s_step") == step)).withColumn("task", F.col("key"))
-        means = {(r["key"], r["role"], r["emotion_ind"]): np.asarray(r["c"]) for r in
-                 means_all.where((F.col("s_epoch") == epoch) & (F.col("s_step") == step)).collect()}
+        means = means_all.get(epoch, step)
         ekeys = sorted({kk for kk, _, _ in means})
         local = {}
         for kk in ekeys:
