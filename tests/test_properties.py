@@ -93,3 +93,15 @@ def test_two_level_rank_equals_plain_window(spark):
     g2 = R.bucketed_rank(v, [], bucket, [F.col("k"), F.col("row_id")], "rk", coarse=lambda b: b["a"])
     r2 = v.withColumn("rk2", F.row_number().over(Window.orderBy("k", "row_id")))
     assert g2.join(r2, "row_id").where(F.col("rk") != F.col("rk2")).count() == 0
+
+
+def test_value_counts_rank_descending(spark):
+    from taskweave.operators import corpus as C
+    from taskweave.plans.corpus_build import corpus_from_tables
+    vc = C.value_counts(corpus_from_tables(spark, SF_SMALL)).collect()
+    by = {}
+    for r in vc:
+        by.setdefault((r.split, r.level), []).append((r["rank"], r.n))
+    for items in by.values():
+        ns = [n for _, n in sorted(items)]
+        assert ns == sorted(ns, reverse=True) and sorted(k for k, _ in items) == list(range(1, len(items) + 1))

@@ -68,3 +68,20 @@ def test_similarity_json_round_trip_and_reference_form(spark):
     write(f"{d}/one.json", '{"a-b": {"all_model": [0.5, NaN], "encoder": [], "fc_layer": [1.0]}}')
     one = S.read_similarity_json(spark, f"{d}/one.json", wholetext=True).collect()
     assert len(one) == 3 and {r.grp for r in one} == {"all_model", "fc_layer"}
+
+
+def test_tsv_quote_modes(spark):
+    d = tempfile.mkdtemp()
+    write(f"{d}/a.tsv", 'id\ttweet\n1\t"unbalanced quote\n2\tnext\n3\tlast\n')
+    as_written = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="as_written").collect()
+    intended = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="intended").orderBy("id").collect()
+    assert len(as_written) < 3                       # the open quote swallows the following rows
+    assert [tuple(r) for r in intended] == [(1, '"unbalanced quote'), (2, "next"), (3, "last")]
+
+
+def test_spread_rows_only_when_under_partitioned(spark):
+    from taskweave.session import spread_rows
+    one = spark.range(100).coalesce(1)
+    assert spread_rows(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread_rows(many) is many
