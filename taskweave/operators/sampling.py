@@ -59,10 +59,11 @@ def batch_shuffled(df: DataFrame, batch_size: int, seed: int = 3, epoch: int = 0
                          ((F.col("__rk") - 1) % batch_size).cast("int").alias("pos"))
 
 
-def _stream_draws(streams: DataFrame, by: list[str], batch_size: int, n_draws: Column) -> DataFrame:
-    """Draw table ``(*by, nb, g, pass, batch)`` for ``g`` in ``[0, n_draws)`` per stream."""
+def _stream_draws(streams: DataFrame, by: list[str], batch_size: int, n_draws: Column,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """Draw table ``(*by, nb, *keep, g, pass, batch)`` for ``g`` in ``[0, n_draws)`` per stream."""
     return (streams
-            .select(*by, "nb", F.explode(F.sequence(F.lit(0), n_draws - 1)).alias("g"))
+            .select(*by, "nb", *keep, F.explode(F.sequence(F.lit(0), n_draws - 1)).alias("g"))
             .withColumn("pass", (F.col("g") / F.col("nb")).cast("long"))
             .withColumn("batch", (F.col("g") % F.col("nb")).cast("long")))
 
@@ -97,8 +98,8 @@ def episode_sampler(df: DataFrame, k: int = 10, epochs: int = 1, seed: int = 3,
         .withColumn("nb", F.ceil(F.col("n") / F.lit(k)))
     # L over the per-stream aggregate (one row per task x class).
     streams = streams.withColumn("L", F.min("nb").over(Window.partitionBy()))
-    draws = _stream_draws(streams.withColumn("__nd", F.col("L") * epochs), by, k, F.col("__nd"))
-    draws = draws.join(streams.select(*by, "L"), by).select(
+    draws = _stream_draws(streams.withColumn("__nd", F.col("L") * epochs), by, k, F.col("__nd"), keep=("L",))
+    draws = draws.select(
         *by, "pass", "batch", (F.col("g") / F.col("L")).cast("int").alias("epoch"),
         (F.col("g") % F.col("L")).cast("int").alias("episode"))
     return _read_streams(df, draws, by, k, seed, None, row_id, []).drop("pass", "batch")
