@@ -45,7 +45,8 @@ def prototypes(support: DataFrame, keys: Sequence[str], num_class: DataFrame, x:
     means = class_means(support, keys, x)
     # groups taken from the (small) means table, not from a distinct over every support row
     groups = means.select(*keys).distinct().join(num_class, "task")
-    spine = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.col("num_class") - 1)).alias("emotion_ind"))
+    spine = groups.select(*keys, F.explode(F.sequence(F.lit(0), (F.col("num_class") - 1).cast("int")))
+                          .alias("emotion_ind"))
     d = F.lit(dim) if dim is not None else F.max(F.size("c")).over(_group_window(keys))
     out = spine.join(means, [*keys, "emotion_ind"], "left")
     return out.select(*keys, "emotion_ind", F.coalesce("n", F.lit(0)).alias("n_support"),

@@ -207,7 +207,7 @@ for _k, _f in _TXT.items():
     SQL[_k] = with_(FD_RAW) + f"SELECT row_id, {_f('tweet')} AS tweet FROM fd_raw"
 
 SQL["join_inner_id"] = """
-SELECT d.doc_id AS id, length(d.text) AS tweet_len, l.quality, l.toxic
+SELECT d.doc_id AS id, CAST(length(d.text) AS INTEGER) AS tweet_len, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 SQL["join_label_hierarchy"] = with_(FH) + """

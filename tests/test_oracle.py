@@ -39,11 +39,17 @@ def test_every_query_has_oracle_or_is_iterative():
                for m in missing), missing
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     rel = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
+    types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     order = [rel.columns.index(c) for c in df.columns]
     a = sorted(repr(tuple(norm(x) for x in r)) for r in df.collect())
     b = sorted(repr(tuple(norm(r[i]) for i in order)) for r in rel.fetchall())
