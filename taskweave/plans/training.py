@@ -20,12 +20,13 @@ executor only re-reads files.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import interference as I
@@ -68,22 +69,34 @@ def identity_params(tasks, d: int, num_class: int = 2) -> Params:
     return p
 
 
-def params_frame(spark: SparkSession, per_task: dict[str, Params]) -> DataFrame:
-    """One row per task with that task's (possibly adapted) parameters.
+LITERAL_LIMIT_VALUES = 250_000
+PARAM_MAP_SCHEMA = "map<string, struct<P: array<array<double>>, W: array<array<double>>, b: array<double>>>"
 
-    Broadcast only when the table is provably small: its size is computed from
-    the parameter shapes, not from the data.
+
+def params_frame(spark: SparkSession, per_task: dict[str, Params]):
+    """The per-task (possibly adapted) parameters for one step.
+
+    Small parameter sets (counted from the shapes, not the data) travel as one
+    JSON literal that Catalyst constant-folds into a map: no Python-side
+    DataFrame, no broadcast job per step.  Larger ones become a table, broadcast
+    only below ``BROADCAST_LIMIT_BYTES`` and joined on ``task`` otherwise.
     """
-    rows, size = [], 0
-    for t, p in per_task.items():
-        rows.append((t, p.P.tolist(), p.W[t].tolist(), p.b[t].tolist()))
-        size += 8 * (p.P.size + p.W[t].size + p.b[t].size)
+    n_values = sum(p.P.size + p.W[t].size + p.b[t].size for t, p in per_task.items())
+    if n_values <= LITERAL_LIMIT_VALUES:
+        payload = {t: {"P": p.P.tolist(), "W": p.W[t].tolist(), "b": p.b[t].tolist()} for t, p in per_task.items()}
+        return F.from_json(F.lit(json.dumps(payload)), PARAM_MAP_SCHEMA)
+    rows = [(t, p.P.tolist(), p.W[t].tolist(), p.b[t].tolist()) for t, p in per_task.items()]
     df = spark.createDataFrame(rows, PARAM_SCHEMA)
-    return F.broadcast(df) if size <= BROADCAST_LIMIT_BYTES else df
+    return F.broadcast(df) if 8 * n_values <= BROADCAST_LIMIT_BYTES else df
 
 
-def _forward(rows: DataFrame, pframe: DataFrame) -> DataFrame:
-    j = rows.join(pframe, "task")
+def _forward(rows: DataFrame, pframe) -> DataFrame:
+    if isinstance(pframe, Column):
+        j = (rows.withColumn("__p", pframe[F.col("task")]).where(F.col("__p").isNotNull())
+             .withColumn("P", F.col("__p.P")).withColumn("W", F.col("__p.W")).withColumn("b", F.col("__p.b"))
+             .drop("__p"))
+    else:
+        j = rows.join(pframe, "task")
     j = j.withColumn("__z", F.transform("P", lambda r: dot(r, F.col("x"))))
     j = j.withColumn("__l", F.transform("W", lambda w, k: dot(w, F.col("__z")) + F.element_at(F.col("b"), k + 1)))
     j = j.withColumn("__m", F.array_max("__l"))
