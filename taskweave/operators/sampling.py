@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import draw_key, hash_rank
+from .ranking import draw_key, hash_rank, within_k_smallest
 
 
 def split_holdout(df: DataFrame, seed: int = 3, test_size: float = 0.3, by: Sequence[str] = ("task",),
@@ -28,22 +28,22 @@ def split_holdout(df: DataFrame, seed: int = 3, test_size: float = 0.3, by: Sequ
     Adds column ``split``.
     """
     by = list(by)
-    keyed = df.withColumn("__k", draw_key(seed, "split", row_id))
-    ranked = hash_rank(keyed, by, "__k", row_id, "__rk", total_col="__n")
-    out = ranked.withColumn(
-        "split", F.when(F.col("__rk") <= F.ceil(F.col("__n") * F.lit(test_size)), holdout).otherwise(train))
-    return out.drop("__k", "__rk", "__n")
+    keyed = df.withColumn("__key", draw_key(seed, "split", row_id))
+    # k-smallest membership needs no rank for most rows: the corpus itself is never shuffled
+    out = within_k_smallest(keyed, by, "__key", row_id,
+                            lambda c: c.withColumn("__k", F.ceil(F.col("__tot") * F.lit(test_size))), "__in")
+    return out.withColumn("split", F.when(F.col("__in"), holdout).otherwise(train)).drop("__key", "__in")
 
 
 def balance_min_downsample(df: DataFrame, seed: int = 3, keys: Sequence[str] = ("split",),
                            row_id: str = "row_id") -> DataFrame:
     """Per key, every task is sampled without replacement down to the smallest task size."""
     keys = list(keys)
-    sizes = df.groupBy(*keys, "task").agg(F.count(F.lit(1)).alias("__n"))
-    m = sizes.groupBy(*keys).agg(F.min("__n").alias("__m"))
-    keyed = df.withColumn("__k", draw_key(seed, "balance", row_id))
-    ranked = hash_rank(keyed, [*keys, "task"], "__k", row_id, "__rk")
-    return ranked.join(m, keys).where(F.col("__rk") <= F.col("__m")).drop("__k", "__rk", "__m")
+    keyed = df.withColumn("__key", draw_key(seed, "balance", row_id))
+    # k = smallest task size of the key, computed on the small bucket-count table
+    smallest = F.min("__tot").over(Window.partitionBy(*keys))
+    out = within_k_smallest(keyed, [*keys, "task"], "__key", row_id, lambda c: c.withColumn("__k", smallest), "__in")
+    return out.where(F.col("__in")).drop("__key", "__in")
 
 
 def batch_shuffled(df: DataFrame, batch_size: int, seed: int = 3, epoch: int = 0,

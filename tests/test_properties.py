@@ -105,3 +105,18 @@ def test_value_counts_rank_descending(spark):
     for items in by.values():
         ns = [n for _, n in sorted(items)]
         assert ns == sorted(ns, reverse=True) and sorted(k for k, _ in items) == list(range(1, len(items) + 1))
+
+
+def test_within_k_smallest_equals_rank_cut(spark):
+    v = X.fv(spark, SF_MID).withColumn("key", R.draw_key(3, "x", "row_id"))
+    ref = v.withColumn("rk", F.row_number().over(Window.partitionBy("task").orderBy("key", "row_id"))) \
+        .withColumn("tot", F.count("*").over(Window.partitionBy("task")))
+    for chars in (1, 2, 4):
+        for name, kf, kref in (("third", lambda c: c.withColumn("__k", F.ceil(F.col("__tot") / 3)), F.ceil(F.col("tot") / 3)),
+                               ("zero", lambda c: c.withColumn("__k", F.lit(0)), F.lit(0)),
+                               ("all", lambda c: c.withColumn("__k", F.col("__tot")), F.col("tot")),
+                               ("more", lambda c: c.withColumn("__k", F.col("__tot") + 5), F.col("tot") + 5)):
+            got = R.within_k_smallest(v, ["task"], "key", "row_id", kf, "inside", bucket_chars=chars)
+            j = got.select("row_id", "inside").join(ref.select("row_id", (F.col("rk") <= kref).alias("want")), "row_id")
+            assert j.count() == v.count()
+            assert j.where(F.col("inside") != F.col("want")).count() == 0, (chars, name)
