@@ -70,19 +70,31 @@ def _stream_draws(streams: DataFrame, by: list[str], batch_size: int, n_draws: C
 
 def _read_streams(df: DataFrame, draws: DataFrame, by: list[str], batch_size: int, seed: int,
                   salt_prefix: Column | None, row_id: str, extra_pass_keys: list[str]) -> DataFrame:
-    """Rows of every needed pass, ranked per (stream, pass), joined to the draws."""
-    passes = draws.groupBy(*by, *extra_pass_keys).agg(F.max("pass").alias("__maxpass"))
+    """Rows of every needed pass, ranked per (stream, pass), joined to the draws.
+
+    A pass whose draws stop at batch ``b`` only needs its ``(b+1)*K`` smallest keys,
+    so rows are first filtered by k-smallest membership (bucket counts only, no
+    shuffle of the rows) and only the kept rows are ranked: a huge class from which
+    a run draws a few batches is never sorted as a whole.
+    """
+    gkeys = [*by, *extra_pass_keys]
+    need = draws.groupBy(*gkeys, "pass").agg(((F.max("batch") + 1) * batch_size).alias("__need"))
+    passes = need.groupBy(*gkeys).agg(F.max("pass").alias("__maxpass"))
     expanded = (df.join(passes, by, "inner")
                 .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__maxpass"))))
                 .drop("__maxpass"))
     salt = F.col("pass").cast("string") if salt_prefix is None else \
         F.concat(salt_prefix, F.lit(":"), F.col("pass").cast("string"))
-    keyed = expanded.withColumn("__k", draw_key(seed, salt, row_id))
-    ranked = hash_rank(keyed, [*by, *extra_pass_keys, "pass"], "__k", row_id, "__rk")
+    keyed = expanded.withColumn("__key", draw_key(seed, salt, row_id))
+    kept = within_k_smallest(
+        keyed, [*gkeys, "pass"], "__key", row_id,
+        lambda c: c.join(need, [*gkeys, "pass"], "left").withColumn("__k", F.coalesce("__need", F.lit(0)))
+        .drop("__need"), "__in").where(F.col("__in")).drop("__in")
+    ranked = hash_rank(kept, [*gkeys, "pass"], "__key", row_id, "__rk")
     ranked = (ranked.withColumn("batch", ((F.col("__rk") - 1) / batch_size).cast("long"))
               .withColumn("pos", ((F.col("__rk") - 1) % batch_size).cast("int"))
-              .drop("__k", "__rk"))
-    return ranked.join(draws, [*by, *extra_pass_keys, "pass", "batch"], "inner")
+              .drop("__key", "__rk"))
+    return ranked.join(draws, [*gkeys, "pass", "batch"], "inner")
 
 
 def episode_sampler(df: DataFrame, k: int = 10, epochs: int = 1, seed: int = 3,
