@@ -32,7 +32,9 @@ def build_corpus(raw: DataFrame, seed: int = 3, test_size: float = 0.3, balance:
 
 def corpus_from_tables(spark: SparkSession, sf_dir: str, seed: int = 3, balance: bool = False,
                        mode: str = T.AS_WRITTEN) -> DataFrame:
-    raw = fixtures.fd_raw(spark, sf_dir).select("row_id", "tweet", "emotion", "emotion_ind", "task")
+    # the split no longer shuffles the rows, so an under-split document scan is spread
+    # before the cleaning chain (a no-op when the input has enough splits)
+    raw = fixtures.fd_raw(spark, sf_dir, spread=True).select("row_id", "tweet", "emotion", "emotion_ind", "task")
     out = build_corpus(raw, seed=seed, balance=balance, mode=mode)
     return out.select("row_id", "tweet", "emotion", "emotion_ind", "task", "split")
 
