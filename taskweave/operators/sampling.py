@@ -86,11 +86,16 @@ def _read_streams(df: DataFrame, draws: DataFrame, by: list[str], batch_size: in
     salt = F.col("pass").cast("string") if salt_prefix is None else \
         F.concat(salt_prefix, F.lit(":"), F.col("pass").cast("string"))
     keyed = expanded.withColumn("__key", draw_key(seed, salt, row_id))
-    kept = within_k_smallest(
-        keyed, [*gkeys, "pass"], "__key", row_id,
-        lambda c: c.join(need, [*gkeys, "pass"], "left").withColumn("__k", F.coalesce("__need", F.lit(0)))
-        .drop("__need"), "__in").where(F.col("__in")).drop("__in")
-    ranked = hash_rank(kept, [*gkeys, "pass"], "__key", row_id, "__rk")
+    # Plan choice from one metadata-sized aggregate (one row per stream): prefilter only
+    # when the draws need less than PREFILTER_RATIO of the rows of their passes.
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    m = need.join(sizes, by).agg(F.sum(F.least("__need", "__n")).alias("needed"), F.sum("__n").alias("rows")).first()
+    if (m["needed"] or 0) < PREFILTER_RATIO * (m["rows"] or 0):
+        keyed = within_k_smallest(
+            keyed, [*gkeys, "pass"], "__key", row_id,
+            lambda c: c.join(need, [*gkeys, "pass"], "left").withColumn("__k", F.coalesce("__need", F.lit(0)))
+            .drop("__need"), "__in").where(F.col("__in")).drop("__in")
+    ranked = hash_rank(keyed, [*gkeys, "pass"], "__key", row_id, "__rk")
     ranked = (ranked.withColumn("batch", ((F.col("__rk") - 1) / batch_size).cast("long"))
               .withColumn("pos", ((F.col("__rk") - 1) % batch_size).cast("int"))
               .drop("__key", "__rk"))
@@ -134,6 +139,7 @@ def batch_support_query(batches: DataFrame) -> DataFrame:
 
 
 SCHEDULES = ("zip_shortest", "min", "mean_max_min")
+PREFILTER_RATIO = 0.5
 
 
 def multitask_step_schedule(df: DataFrame, batch_size: int, epochs: int = 1, mode: str = "mean_max_min",

@@ -120,3 +120,18 @@ def test_within_k_smallest_equals_rank_cut(spark):
             j = got.select("row_id", "inside").join(ref.select("row_id", (F.col("rk") <= kref).alias("want")), "row_id")
             assert j.count() == v.count()
             assert j.where(F.col("inside") != F.col("want")).count() == 0, (chars, name)
+
+
+def test_sampler_prefilter_path_is_identical(spark):
+    v = X.fv(spark, SF_SMALL).select("row_id", "task", "emotion_ind")
+    old = P.PREFILTER_RATIO
+    try:
+        P.PREFILTER_RATIO = 10.0          # always take the k-smallest prefilter
+        a = P.episode_sampler(v, k=10, epochs=2).collect()
+        b7 = P.multitask_step_schedule(v.select("row_id", "task"), 8, epochs=2).collect()
+        P.PREFILTER_RATIO = 0.0           # never
+        b = P.episode_sampler(v, k=10, epochs=2).collect()
+        c7 = P.multitask_step_schedule(v.select("row_id", "task"), 8, epochs=2).collect()
+    finally:
+        P.PREFILTER_RATIO = old
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and sorted(map(tuple, b7)) == sorted(map(tuple, c7))
