@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir, read_table
 
-__all__ = ["SPACE", "WORD", "fresh_dir", "read_table", "stored", "new_name", "n_words"]
+__all__ = ["SPACE", "WORD", "fresh_dir", "read_table", "stored", "new_name", "n_words", "input_bytes"]
 
 #: The white space between words, and a word, as a regular expression (Java, Python and DuckDB alike).
 SPACE = r"\x20\x09-\x0D"
@@ -36,3 +36,8 @@ def new_name(df: DataFrame, name: str) -> str:
 def n_words(text):
     """Number of words of a text column; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the bytes that ``df`` reads; used to size partitions, never to change a result."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

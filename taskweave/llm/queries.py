@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, shuffle, url_filter
+from . import byte_bpe, mixing, shuffle, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -20,6 +20,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.encode_digest(spark, read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op2_url_filters", r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
