@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, shuffle, url_filter
+from . import byte_bpe, mixing, shuffle, simhash_dedup, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -46,6 +46,11 @@ def op2_url_filters(spark, sf_dir):
     return url_filter.judge_urls(spark, read_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, url_filter.RULES))
 
 
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark, sf_dir):
+    return simhash_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), words_each=4, most=4)
+
+
 @query("op6_sharding")
 def op6_sharding(spark, sf_dir):
     return shuffle.shard_documents(spark, read_table(spark, sf_dir, "documents"), 40)
