@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, shuffle, simhash_dedup, url_filter
+from . import byte_bpe, line_dedup, mixing, quality, shuffle, simhash_dedup, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -61,6 +61,12 @@ def op7_quality_rules(spark, sf_dir):
     return quality.judge(spark, read_table(spark, sf_dir, "documents"))
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(spark, docs)
+
+
 @query("op9_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
