@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, quality, shuffle, simhash_dedup, url_filter
+from . import byte_bpe, line_dedup, mixing, quality, shuffle, simhash_dedup, token_files, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -46,6 +46,14 @@ def op2_url_filters(spark, sf_dir):
     return url_filter.judge_urls(spark, read_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, url_filter.RULES))
 
 
+@query("op3_token_files")
+def op3_token_files(spark, sf_dir):
+    import public_tokenizers
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_shards(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_shards(spark, manifest, docs.select("doc_id"))
+
+
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), words_each=4, most=4)
