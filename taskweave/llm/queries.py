@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, quality, shuffle, simhash_dedup, token_files, url_filter
+from . import byte_bpe, line_dedup, mixing, quality, shuffle, simhash_dedup, token_files, topk, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -59,6 +59,11 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), words_each=4, most=4)
 
 
+@query("op5_exact_topk")
+def op5_exact_topk(spark, sf_dir):
+    return topk.search(spark, read_table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 @query("op6_sharding")
 def op6_sharding(spark, sf_dir):
     return shuffle.shard_documents(spark, read_table(spark, sf_dir, "documents"), 40)
