@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .word_exchange import Numbers, exchange, flatten, gather, pack, pack_ints, pack_many, unpack_ints, unpack_many, unpack_strings
+from .word_exchange import Numbers, answers, assembled, flatten, gather, pack, pack_ints, pack_many, unpack_ints, unpack_many, unpack_strings
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
@@ -138,8 +138,8 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
                 found.append(ids)
             yield batch, part, pack_many(pack_ints(np.fromiter(map(len, found), np.uint32, len(found))), pack_ints(flatten(found)))
 
-    def assemble(head, answers):
-        fields = [unpack_many(a) for a in answers]
+    def assemble(head, found):
+        fields = [unpack_many(a) for a in found]
         none = [np.empty(0, np.uint32)]
         counts = np.concatenate(none + [unpack_ints(f[0]) for f in fields]).astype(np.int64)
         flat = np.concatenate(none + [unpack_ints(f[1]) for f in fields]).astype(np.int32)
@@ -155,7 +155,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
             ends = totals[np.concatenate([[0], np.cumsum(head.lengths[i:j])])]
             yield from make(head.ids[i:j], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
 
-    return exchange(packed, n_parts, answer, assemble, schema)
+    return assembled(packed, answers(packed, n_parts, answer), assemble, schema)
 
 
 class TokenBytes:

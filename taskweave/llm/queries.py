@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, quality, shuffle, simhash_dedup, token_files, topk, url_filter
+from . import byte_bpe, line_dedup, lm_scoring, mixing, quality, shuffle, simhash_dedup, token_files, topk, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -106,3 +106,10 @@ def op9_mixing(spark, sf_dir):
     doc_id, size, total, target, _, copies = planned.columns
     return planned.select("doc_id", F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(target).alias("target"),
                           (F.col(size) * F.col(copies)).alias("taken"))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark, sf_dir):
+    import public_tokenizers
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return lm_scoring.score_documents(spark, read_table(spark, sf_dir, "documents"), ranks)

@@ -156,12 +156,11 @@ def pack(spark: SparkSession, docs: DataFrame, make_splitter, name: str, count_w
     return stored(spark, packed, name), n_parts
 
 
-def exchange(packed: DataFrame, n_parts: int, answer, assemble, schema) -> DataFrame:
-    """``answer``: a part's fields, for each distinct word list -> bytes; ``assemble``: documents and answers -> rows.
+def answers(packed: DataFrame, n_parts: int, answer) -> DataFrame:
+    """``batch, part, body``: what ``answer`` says to the distinct words of each batch and part.
 
     ``answer(rows)`` gets an iterator over (batch, part, fields) of one task, equal words always in the same task, and
-    yields (batch, part, bytes).  ``assemble(head, answers)`` gets a batch's documents and its parts' answers in order
-    and yields Arrow batches of ``schema``.
+    yields (batch, part, bytes).
     """
     def answered(it):
         def rows():
@@ -172,24 +171,32 @@ def exchange(packed: DataFrame, n_parts: int, answer, assemble, schema) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([p], pa.int32()), pa.array([out], pa.binary())],
                                              ["batch", "part", "body"])
 
+    words = packed.where("part >= 0").select("batch", "part", "words").repartition(n_parts, "part")
+    return words.mapInArrow(answered, "batch long, part int, body binary")
+
+
+def assembled(packed: DataFrame, back: DataFrame, assemble, schema) -> DataFrame:
+    """Documents joined with the answers to their words.
+
+    ``assemble(head, answers)`` gets a batch's documents and its parts' answers in order and yields Arrow batches of
+    ``schema``.
+    """
     def joined(it):
         head = batch = None
-        answers: list[bytes] = []
+        found: list[bytes] = []
         for b in it:
             for i, p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if i != batch:
                     if head is not None:
-                        yield from assemble(Head(head), answers)
-                    batch, head, answers = i, None, []
+                        yield from assemble(Head(head), found)
+                    batch, head, found = i, None, []
                 if p < 0:
                     head = body.as_py()
                 else:
-                    answers.append(body.as_py())
+                    found.append(body.as_py())
         if head is not None:
-            yield from assemble(Head(head), answers)
+            yield from assemble(Head(head), found)
 
-    words = packed.where("part >= 0").select("batch", "part", "words").repartition(n_parts, "part")
-    back = words.mapInArrow(answered, "batch long, part int, body binary")
     heads = packed.where("part < 0").select("batch", "part", F.col("head").alias("body"))
     return (heads.unionByName(back).repartition("batch").sortWithinPartitions("batch", "part")
             .mapInArrow(joined, schema))
