@@ -24,10 +24,11 @@ WINDOWS = "doc_id long, text_key long, fingerprint long, window binary, first in
 SOURCE = "array<long>"
 
 
-def lines_of(text: str) -> tuple[list[int], list[int], list[bytes], list[int]]:
-    """Number, words, digest and hash of each line that has words."""
+def lines_of(text: str) -> tuple[list[int], list[int], list[int], list[bytes], list[int]]:
+    """Number, number of the last blank line behind it, words, digest and hash of each line that has words."""
     numbers, words, digests, hashes = [], [], [], []
-    for i, line in enumerate(text.encode().split(b"\n")):
+    lines = text.encode().split(b"\n")
+    for i, line in enumerate(lines):
         found = line.split()
         if found:
             digest = xxhash.xxh3_128_digest(b" ".join(found))
@@ -35,7 +36,7 @@ def lines_of(text: str) -> tuple[list[int], list[int], list[bytes], list[int]]:
             words.append(len(found))
             digests.append(digest)
             hashes.append(int.from_bytes(digest[:8], "little", signed=True))
-    return numbers, words, digests, hashes
+    return numbers, [*(i - 1 for i in numbers[1:]), len(lines) - 1], words, digests, hashes
 
 
 def windows_of(words: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -59,10 +60,10 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
                 s = b.slice(at, 1024)
                 out = []
                 for i, k, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), s.column(2).to_pylist()):
-                    numbers, words, digests, hashes = lines_of(text or "")
+                    numbers, stops, words, digests, hashes = lines_of(text or "")
                     for first, last in windows_of(words, min_words):
                         whole = digests[first] if first == last else xxhash.xxh3_128_digest(b"".join(digests[first:last + 1]))
-                        out.append((i, k, min(hashes[first:last + 1]), whole, numbers[first], numbers[last]))
+                        out.append((i, k, min(hashes[first:last + 1]), whole, numbers[first], stops[last]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -93,7 +94,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
     """All documents without the later copies of runs of lines; one row for each input row, all columns kept.
 
     A line goes if it lies in a run of consecutive lines with at least ``min_words`` words that stands earlier, in a
-    document of smaller id or higher up in the same text; the first copy stays, so nothing is lost from the corpus.
+    document of smaller id or higher up in the same text; the first copy stays, so nothing is lost from the corpus.  Blank
+    lines are no part of a run and go with the line before them.
     Texts without such a line are unchanged.  Two columns are added: ``removed_lines`` (int) and ``copied_from`` (ids of
     the documents that keep the lines).
 

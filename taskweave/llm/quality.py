@@ -148,7 +148,8 @@ def references(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(),
     counted = (docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
                .mapInArrow(count, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "class")
-    most = stored(spark, counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limits.common_words), "quality-counts")
+    most = stored(spark, counted.withColumn("place", F.row_number().over(order))
+                  .where(F.col("place") <= F.when(F.col("word").isNull(), len(CLASSES) + 1).otherwise(limits.common_words)), "quality-counts")
     sizes = most.where(F.col("class") == len(CLASSES)).select(F.col("lang").alias("known"), F.col("n").alias("size"))
     everything = sizes.agg(F.sum("size")).first()[0] or 0
     sizes = sizes.where(F.col("size") >= limits.least_share * everything)
