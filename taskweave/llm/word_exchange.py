@@ -22,22 +22,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, stored
+from .common import stored
 
 #: UTF-8 bytes of text in a batch (a longer text is a batch of its own).
 BATCH_BYTES = 32 << 20
-#: Input bytes for each part of the vocabulary, and the least number of parts.
-PART_BYTES, LEAST_PARTS = 1 << 30, 32
+#: The vocabulary is dealt into spark.sql.shuffle.partitions parts, but into so many at least.
+LEAST_PARTS = 32
 #: Documents are handed on in slices of about so many words.
 SLICE_WORDS = 200_000
 
+#: Classes of words by the binary logarithm of their frequency in a batch.
+CLASSES = 32
+
 PACKED = "batch long, part int, head binary, words binary"
 
 
 def pack_ints(a: np.ndarray) -> bytes:
     """Unsigned 32-bit integers as compressed byte planes."""
     a = np.ascontiguousarray(a, dtype="<u4")
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack_ints(b: bytes) -> np.ndarray:
@@ -47,7 +50,7 @@ def unpack_ints(b: bytes) -> np.ndarray:
 
 def pack_strings(items: list[bytes]) -> bytes:
     lengths = pack_ints(np.fromiter(map(len, items), np.uint32, len(items)))
-    return len(lengths).to_bytes(8, "little") + lengths + zstandard.ZstdCompressor(level=1).compress(b"".join(items))
+    return len(lengths).to_bytes(8, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(items))
 
 
 def unpack_strings(b: bytes) -> list[bytes]:
@@ -85,10 +88,10 @@ class Numbers(dict):
         return n
 
 
-def _heads(ids: list, marks: list, lengths: list, numbers: np.ndarray, order: np.ndarray) -> bytes:
+def _heads(ids: list, marks: list, lengths: list, numbers: np.ndarray, sizes: np.ndarray) -> bytes:
     known = np.array([x is not None for x in ids], dtype=np.uint8)
     return pack_many(known.tobytes(), np.array([x or 0 for x in ids], dtype="<i8").tobytes(), np.array(marks, dtype=np.uint8).tobytes(),
-                     np.array(lengths, dtype="<i8").tobytes(), pack_ints(numbers), pack_ints(order))
+                     np.array(lengths, dtype="<i8").tobytes(), pack_ints(numbers), pack_ints(sizes))
 
 
 def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYTES, count_words: bool = False):
@@ -106,11 +109,15 @@ def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYT
         flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
         words = [w.encode() if isinstance(w, str) else w for w in vocabulary]
         uses = np.bincount(flat, minlength=len(words))
-        by_use = np.argsort(-uses, kind="stable")  # frequent words get small numbers, which compress well
-        rank = np.empty(len(words), np.uint32)
-        rank[by_use] = np.arange(len(words), dtype=np.uint32)
+        # Frequent words get small numbers, which compress well.  Inside a class of like frequency words are numbered by part
+        # and spelling, so the numbers of a part's words follow from the sizes of the classes alone.
+        spelled = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        kind = CLASSES - 1 - np.minimum(np.log2(np.maximum(uses, 1)).astype(np.int64), CLASSES - 1)
         part = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int64, len(words))
-        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[spelled[np.lexsort((part[spelled], kind[spelled]))]] = np.arange(len(words), dtype=np.uint32)
+        order = spelled[np.lexsort((kind[spelled], part[spelled]))]
+        sizes = np.bincount(part * CLASSES + kind, minlength=n_parts * CLASSES)
         batch = (task << 33) + serial
         serial += 1
         lengths = [len(x) for x in numbers]
@@ -118,7 +125,7 @@ def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYT
         if count_words:
             training = [x for x, m in zip(numbers, marks) if not m]
             seen = np.bincount(np.concatenate(training) if training else flat[:0], minlength=len(words))
-        out = [(batch, -1, _heads(ids, marks, lengths, rank[flat], rank[order]), None)]
+        out = [(batch, -1, _heads(ids, marks, lengths, rank[flat], sizes), None)]
         cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
         for p in range(n_parts):
             own = order[cuts[p]:cuts[p + 1]]
@@ -151,7 +158,7 @@ def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYT
 def pack(spark: SparkSession, docs: DataFrame, make_splitter, name: str, count_words: bool = False,
          batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """Store the packed table of ``docs`` (columns id, mark, text); also the number of parts."""
-    n_parts = max(LEAST_PARTS, -(-input_bytes(docs) // PART_BYTES))
+    n_parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.mapInArrow(lambda it: pack_batches(it, make_splitter, n_parts, batch_bytes, count_words), PACKED)
     return stored(spark, packed, name), n_parts
 
@@ -206,7 +213,7 @@ class Head:
     """The documents of a batch."""
 
     def __init__(self, body: bytes):
-        known, ids, marks, lengths, numbers, self._order = unpack_many(body)
+        known, ids, marks, lengths, numbers, self._sizes = unpack_many(body)
         known = np.frombuffer(known, np.uint8)
         self.ids = [i if k else None for i, k in zip(np.frombuffer(ids, "<i8").tolist(), known.tolist())]
         self.marks = np.frombuffer(marks, np.uint8)
@@ -215,7 +222,9 @@ class Head:
 
     def order(self) -> np.ndarray:
         """The word number of each answered word, in the order of the answers."""
-        return unpack_ints(self._order)
+        sizes = unpack_ints(self._sizes).astype(np.int64).reshape(-1, CLASSES)
+        by_class = np.cumsum(sizes.T.reshape(-1)).reshape(sizes.T.shape).T
+        return gather((by_class - sizes).reshape(-1), sizes.reshape(-1))
 
     def slices(self, most: int = SLICE_WORDS):
         """(first document, end document, first word, end word) of slices of about ``most`` words."""
