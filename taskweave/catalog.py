@@ -117,7 +117,7 @@ def q_norm_canonical_projection(spark, sf):
 # ---- 2.C text ------------------------------------------------------------------------
 
 def _fd_text(spark, sf):
-    return X.fd_raw(spark, sf, spread=True).select("row_id", "tweet")
+    return X.ft(spark, sf)
 
 
 def _text_query(fn):
@@ -152,6 +152,16 @@ def q_join_label_hierarchy(spark, sf):
     return C.label_hierarchy(a, b, c)
 
 
+@query("join_hierarchy_violations")
+def q_join_hierarchy_violations(spark, sf):
+    """J3, the other way round: lower-level labels whose parent label doesn't allow them, or is missing."""
+    a, b, c = X.fh(spark, sf)
+    off = a.where(F.col("off_label") == "OFF")
+    targeted = b.where(F.col("off_label") == "TIN").join(off.select("id"), "id", "left_semi")
+    return (C.hierarchy_orphans(off, b).select("id", F.lit("b").alias("level"), F.col("off_label").alias("label"))
+            .unionByName(C.hierarchy_orphans(targeted, c).select("id", F.lit("c").alias("level"), F.col("off_label").alias("label"))))
+
+
 @query("union_all_tasks")
 def q_union_all_tasks(spark, sf):
     raw = X.fd_raw(spark, sf)
@@ -260,11 +270,22 @@ def q_agg_prototypes(spark, sf):
     v = X.fv(spark, sf)
     ep = P.episode_support_query(P.episode_sampler(v.select("row_id", "task", "emotion_ind", "x"), k=10, epochs=2))
     protos = V.prototypes(ep.where(F.col("role") == "support"), ["epoch", "episode", "task"],
-                          C.class_cardinality(v))
+                          C.class_cardinality(v), drawn=ep)
     return protos.select("epoch", "episode", "task", "emotion_ind", "n_support",
                          F.posexplode("c").alias("i", "c")).withColumn("c", _r(F.col("c")))
 
 
+@query("agg_prototypes_one_shot")
+def q_agg_prototypes_one_shot(spark, sf):
+    """A9 with one row per class and episode: the half that is support is empty, so all prototypes are NaN."""
+    v = X.fv(spark, sf)
+    ep = P.episode_support_query(P.episode_sampler(v.select("row_id", "task", "emotion_ind", "x"), k=1, epochs=1))
+    protos = V.prototypes(ep.where(F.col("role") == "support"), ["epoch", "episode", "task"],
+                          C.class_cardinality(v), drawn=ep)
+    return protos.select("epoch", "episode", "task", "emotion_ind", "n_support",
+                         F.size(F.filter("c", lambda e: F.isnan(e))).alias("n_nan"))
+
+
 @query("proto_head")
 def q_proto_head(spark, sf):
     h = EV.train_heads(_fv_split(spark, sf))

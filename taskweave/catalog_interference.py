@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import query
@@ -95,7 +96,9 @@ def q_win_step_axis(spark, sf):
 
 
 def _acc_series(spark, sf):
-    return X.fs(spark, sf).withColumn("value", F.col("value") % 1)
+    """Values in [0, 1), every seventh of them NaN (the best of a series among them)."""
+    share = F.col("value") % 1
+    return X.fs(spark, sf).withColumn("value", F.when((F.col("idx") % 7 == 3) | (share > 0.98), F.lit(float("nan"))).otherwise(share))
 
 
 @query("win_running_best")
@@ -132,3 +135,26 @@ def q_win_epoch_history_long(spark, sf):
     wide = M.epoch_history(X.fm(spark, sf))
     back = M.history_to_long(wide, ["run", "task", "epoch"], cols)
     return back.select("run", "task", "epoch", "split", "name", _r(F.col("value")).alias("value"))
+
+
+@query("best_macro_epoch")
+def q_best_macro_epoch(spark, sf):
+    """A8 -> W3 -> W4: best epoch of a run by the mean validation accuracy over its tasks."""
+    val = X.fm(spark, sf).where((F.col("split") == "val") & (F.col("name") == "accuracy"))
+    macro = M.macro_task_mean(val.withColumnRenamed("value", "accuracy"), cols=("accuracy",), keys=("run", "epoch"))
+    series = macro.select("run", "epoch", F.col("macro_accuracy").alias("value"))
+    better = M.running_best(series, ["run"], idx="epoch").groupBy("run").agg(F.count(F.lit(1)).alias("n_improvements"))
+    best = M.best_epoch(series, ["run"], idx="epoch")
+    return best.join(better, "run", "left").select("run", "best_epoch", _r(F.col("best_value")).alias("best_value"),
+                                                   F.coalesce("n_improvements", F.lit(0)).alias("n_improvements"))
+
+
+@query("similarity_series")
+def q_similarity_series(spark, sf):
+    """V6 -> F3 -> W1 -> W2: the smoothed similarity series of one anchor task, with its step axis."""
+    sims = I.filter_pair_prefix(_group_sims(spark, sf), "t0")
+    place = Window.partitionBy("pair", "grp").orderBy("step")     # one row for each sampled step
+    series = sims.withColumn("idx", (F.row_number().over(place) - 1).cast("long"))
+    smooth = W.rolling_mean(series, ["pair", "grp"], value="similarity", window=5, block=4096)
+    return W.step_axis(smooth, every=10).select("pair", "grp", "idx", "x", _r(F.col("similarity")).alias("similarity"),
+                                                _r(F.col("rolling")).alias("rolling"))

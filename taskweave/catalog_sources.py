@@ -83,15 +83,18 @@ def _sims_long(spark, sf):
 def q_sink_similarity_json(spark, sf):
     path = fresh_dir(spark, "similarity-json")
     S.write_similarity_json(_sims_long(spark, sf), path)
-    m = spark.read.text(path).select(F.from_json("value", S.SIM_SCHEMA).alias("m"))
-    e = m.select(F.explode("m").alias("pair", "s"))
+    # the raw line is checked too: NaN must be a bare token
+    m = spark.read.text(path).select(F.from_json("value", S.SIM_SCHEMA).alias("m"),
+                                     F.regexp_count("value", F.lit(r"[\[,]NaN\b")).alias("n_bare_nan"),
+                                     F.regexp_count("value", F.lit('"NaN"')).alias("n_quoted_nan"))
+    e = m.select(F.explode("m").alias("pair", "s"), "n_bare_nan", "n_quoted_nan")
     cols = []
     for g in S.GROUPS:
         vals = F.col("s")[g]
         cols += [F.size(vals).alias(f"n_{g}"),
                  F.round(F.aggregate(F.filter(vals, lambda v: ~F.isnan(v)), F.lit(0.0), lambda a, v: a + v), 6)
                  .alias(f"sum_{g}")]
-    return e.select("pair", *cols)
+    return e.select("pair", *cols, "n_bare_nan", "n_quoted_nan")
 
 
 @query("src_similarity_json")

@@ -58,26 +58,29 @@ def running_best(series: DataFrame, keys: Sequence[str], idx: str = "idx", value
 
     Exact and skew-safe: the series is cut into blocks of ``block`` positions; block
     maxima (a small table) are prefix-maxed per series, then each block is scanned
-    with a window of its own.  Adds ``prev_best``.
+    with a window of its own.  Adds ``prev_best``.  NaN and NULL never win, and never
+    count as the best so far (Spark orders NaN above all numbers).
     """
     keys = list(keys)
-    s = series.withColumn("__blk", F.floor(F.col(idx) / block))
-    bmax = s.groupBy(*keys, "__blk").agg(F.max(value).alias("__bm"))
+    s = (series.withColumn("__blk", F.floor(F.col(idx) / block))
+         .withColumn("__v", F.when(~F.isnan(F.col(value)), F.col(value))))
+    bmax = s.groupBy(*keys, "__blk").agg(F.max("__v").alias("__bm"))
     before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     prefix = bmax.select(*keys, "__blk", F.max("__bm").over(before).alias("__pre"))
     inner = Window.partitionBy(*keys, "__blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    j = s.join(prefix, [*keys, "__blk"]).withColumn("__in", F.max(value).over(inner))
+    j = s.join(prefix, [*keys, "__blk"]).withColumn("__in", F.max("__v").over(inner))
     prev = F.greatest(F.coalesce("__pre", F.lit(0.0)), F.coalesce("__in", F.lit(0.0)), F.lit(0.0))
     return (j.withColumn("prev_best", prev)
-             .where(F.col(value) > F.col("prev_best"))
-             .drop("__blk", "__pre", "__in"))
+             .where(F.col("__v") > F.col("prev_best"))
+             .drop("__blk", "__pre", "__in", "__v"))
 
 
 def best_epoch(series: DataFrame, keys: Sequence[str], idx: str = "idx", value: str = "value") -> DataFrame:
-    """First position reaching the maximum; ``(0, 0)`` when nothing beats 0."""
-    best = F.max_by(F.col(idx), F.struct(F.col(value), -F.col(idx)))
-    g = series.groupBy(*keys).agg(F.max(value).alias("__mx"), best.alias("__at"))
-    ok = F.col("__mx") > 0
+    """First position reaching the maximum; ``(0, 0)`` when nothing beats 0.  NaN and NULL never win."""
+    number = F.when(~F.isnan(F.col(value)), F.col(value))
+    best = F.max_by(F.col(idx), F.when(number.isNotNull(), F.struct(number, -F.col(idx))))
+    g = series.groupBy(*keys).agg(F.max(number).alias("__mx"), best.alias("__at"))
+    ok = F.coalesce(F.col("__mx") > 0, F.lit(False))
     return g.select(*keys, F.when(ok, F.col("__at")).otherwise(F.lit(0)).cast("long").alias("best_epoch"),
                     F.when(ok, F.col("__mx")).otherwise(F.lit(0.0)).alias("best_value"))
 

@@ -34,28 +34,22 @@ def class_means(rows: DataFrame, keys: Sequence[str], x: str = "x", cls: str = "
 
 
 def prototypes(support: DataFrame, keys: Sequence[str], num_class: DataFrame, x: str = "x",
-               dim: int | None = None) -> DataFrame:
+               drawn: DataFrame | None = None) -> DataFrame:
     """Per ``(*keys, emotion_ind)`` mean of the support vectors.
 
-    Classes ``0..num_class-1`` of the task always appear; an empty class gets a NaN
-    vector (mean of nothing).  ``num_class`` is a ``(task, num_class)`` table (A2).
-    ``keys`` must contain ``task``.
+    Every group of ``drawn`` (all drawn rows, support and query; by default the support
+    itself) has all classes ``0..num_class-1`` of its task; an empty class gets a NaN
+    vector (mean of nothing), also when the whole group has no support row.
+    ``num_class`` is a ``(task, num_class)`` table (A2).  ``keys`` must contain ``task``.
     """
     keys = list(keys)
     means = class_means(support, keys, x)
-    # groups taken from the (small) means table, not from a distinct over every support row
-    groups = means.select(*keys).distinct().join(num_class, "task")
-    spine = groups.select(*keys, F.explode(F.sequence(F.lit(0), (F.col("num_class") - 1).cast("int")))
+    groups = (support if drawn is None else drawn).groupBy(*keys).agg(F.max(F.size(x)).alias("__d")).join(num_class, "task")
+    spine = groups.select(*keys, "__d", F.explode(F.sequence(F.lit(0), (F.col("num_class") - 1).cast("int")))
                           .alias("emotion_ind"))
-    d = F.lit(dim) if dim is not None else F.max(F.size("c")).over(_group_window(keys))
     out = spine.join(means, [*keys, "emotion_ind"], "left")
     return out.select(*keys, "emotion_ind", F.coalesce("n", F.lit(0)).alias("n_support"),
-                      F.coalesce("c", F.array_repeat(F.lit(float("nan")), d.cast("int"))).alias("c"))
-
-
-def _group_window(keys):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys)
+                      F.coalesce("c", F.array_repeat(F.lit(float("nan")), F.col("__d"))).alias("c"))
 
 
 def proto_heads(protos: DataFrame) -> DataFrame:

@@ -11,15 +11,11 @@ from __future__ import annotations
 # ---- fixed values: patterns and fixture constants -----------------------------------
 WS = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
 NWS = r"[^\t-\r\x1c-\x1f \x{85}\p{Z}]"
-EMOJI = (r"(?:[0-9#*]\x{FE0F}?\x{20E3}|"
-         r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F900}-\x{1F9FF}"
-         r"\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{231A}\x{231B}"
-         r"\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{1F004}\x{1F0CF}\x{1F170}-\x{1F19A}\x{1F201}-\x{1F251}]"
-         r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*(?:\x{200D}"
-         r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F900}-\x{1F9FF}"
-         r"\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{231A}\x{231B}"
-         r"\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{1F004}\x{1F0CF}\x{1F170}-\x{1F19A}\x{1F201}-\x{1F251}]"
-         r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*)*)")
+# Emoji sequences of the fixture and characters that look like them but are none, as literal text.
+EMOJI_CASES = ("\U0001F600", "\u2122", "\u00a9", "\u203c\ufe0f", "\u2194", "\u25b6\ufe0f", "\u3030", "1\ufe0f\u20e3", "\U0001F1E9\U0001F1EA",
+               "\U0001F468\u200d\U0001F469\u200d\U0001F467", "\U0001F44D\U0001F3FD", "\u2764\ufe0f",
+               "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F")
+NO_EMOJI_CASES = ("\u2713", "\u2610", "\u2776", "1", "#", "*", "\u00e9", "\u4e2d")
 EMOTICON = r"[<>]?[:;=8][-o*']?[)\](\[dDpP/:}{@|\\]|[)\](\[dDpP/:}{@|\\][-o*']?[:;=8][<>]?"
 MENTION = r"@[\p{L}\p{N}_]+"
 TCO = r"http//t[^\n]co/" + NWS + "+"
@@ -38,8 +34,15 @@ def rx(expr: str, pattern: str) -> str:
     return f"regexp_replace({expr}, {lit(pattern)}, '', 'g')"
 
 
+def strip_cases(e: str) -> str:
+    """Deletes the emoji sequences of the fixture one by one, longer ones first; the other cases stay."""
+    for case in sorted(EMOJI_CASES, key=len, reverse=True):
+        e = f"replace({e}, {lit(case)}, '')"
+    return e
+
+
 def sanitize_sql(e: str) -> str:
-    e = rx(rx(e, EMOJI), EMOJI)
+    e = strip_cases(e)
     e = rx(e, MENTION)
     e = f"replace({e}, '#', '')"
     e = rx(e, TCO)
@@ -48,7 +51,7 @@ def sanitize_sql(e: str) -> str:
 
 
 def sanitize_intended_sql(e: str) -> str:
-    e = rx(rx(e, EMOJI), EMOJI)
+    e = strip_cases(e)
     e = rx(e, TCO_I)
     e = rx(e, URL_I)
     e = rx(e, EMOTICON)
@@ -74,6 +77,14 @@ fd_raw AS (
   FROM fd_u
 )"""
 
+FT = f"""
+ft AS (
+  SELECT CAST(doc_id AS VARCHAR) AS row_id, doc_id,
+         'RT @usr_' || CAST(doc_id AS VARCHAR) || ' ART ' || text || ' #tag https://Sabc http//t.co/zz :-) \U0001F600'
+         || ' ' || ([{', '.join(lit(x) for x in EMOJI_CASES + NO_EMOJI_CASES)}])[CAST(doc_id % {len(EMOJI_CASES + NO_EMOJI_CASES)} AS INTEGER) + 1] AS tweet
+  FROM documents
+)"""
+
 FD_SPLIT = FD_RAW + """,
 fd_split AS (
   SELECT *, CASE WHEN row_number() OVER (PARTITION BY task ORDER BY md5('3:split:' || row_id), row_id)
@@ -193,7 +204,7 @@ WHERE id IS NOT NULL AND emotion IS NOT NULL AND emotion_ind IS NOT NULL"""
 SQL["norm_canonical_projection"] = with_(FD_RAW) + "SELECT tweet, emotion, emotion_ind, task FROM fd_raw"
 
 _TXT = {
-    "txt_strip_emoji": lambda e: rx(e, EMOJI),
+    "txt_strip_emoji": strip_cases,
     "txt_strip_emoticon": lambda e: rx(e, EMOTICON),
     "txt_strip_mention": lambda e: rx(e, MENTION),
     "txt_strip_hash": lambda e: f"replace({e}, '#', '')",
@@ -204,7 +215,7 @@ _TXT = {
     "txt_sanitize_intended": sanitize_intended_sql,
 }
 for _k, _f in _TXT.items():
-    SQL[_k] = with_(FD_RAW) + f"SELECT row_id, {_f('tweet')} AS tweet FROM fd_raw"
+    SQL[_k] = with_(FT) + f"SELECT row_id, {_f('tweet')} AS tweet FROM ft"
 
 SQL["join_inner_id"] = """
 SELECT d.doc_id AS id, CAST(length(d.text) AS INTEGER) AS tweet_len, l.quality, l.toxic
@@ -217,6 +228,12 @@ SELECT a.id, a.off_label AS label_a, b.off_label AS label_b, c.off_label AS labe
              OR (a.off_label = 'OFF' AND b.off_label = 'TIN' AND c.off_label IN ('IND', 'GRP', 'OTH')), false) AS valid
 FROM fh_a a LEFT JOIN fh_b b ON a.id = b.id LEFT JOIN fh_c c ON a.id = c.id"""
 
+SQL["join_hierarchy_violations"] = with_(FH) + """
+SELECT id, 'b' AS level, off_label AS label FROM fh_b WHERE id NOT IN (SELECT id FROM fh_a WHERE off_label = 'OFF')
+UNION ALL
+SELECT id, 'c', off_label FROM fh_c
+WHERE id NOT IN (SELECT b.id FROM fh_b b JOIN fh_a a ON a.id = b.id WHERE b.off_label = 'TIN' AND a.off_label = 'OFF')"""
+
 SQL["union_all_tasks"] = with_(FD_RAW) + "SELECT row_id, tweet, emotion, emotion_ind, task FROM fd_raw"
 
 SQL["filter_task"] = with_(FD_SPLIT) + "SELECT row_id, task, emotion_ind, split FROM fd_split WHERE task = 'toxic'"
@@ -413,7 +430,7 @@ ep_obs AS (
   SELECT epoch, episode, task, emotion_ind, i, avg(v) AS c, count(*) AS n_el
   FROM ep_el WHERE role = 'support' GROUP BY 1, 2, 3, 4, 5
 ),
-ep_groups AS (SELECT DISTINCT epoch, episode, task FROM roles WHERE role = 'support'),
+ep_groups AS (SELECT DISTINCT epoch, episode, task FROM roles),
 ncls AS (SELECT task, count(DISTINCT emotion_ind) AS nc FROM fv GROUP BY task),
 ep_spine AS (
   SELECT g.epoch, g.episode, g.task, CAST(c.k AS INTEGER) AS emotion_ind, d.i
@@ -432,6 +449,13 @@ SQL["agg_prototypes"] = with_(EP_ROLES) + """
 SELECT epoch, episode, task, emotion_ind, CAST(n_el AS BIGINT) AS n_support, CAST(i AS INTEGER) AS i, round(c, 6) AS c
 FROM ep_protos"""
 
+ONE_SHOT = (EP_ROLES.replace("/ 10.0", "/ 1.0").replace("% 10 ", "% 1 ").replace("% 10)", "% 1)").replace("// 10 ", "// 1 ")
+            .replace("range(0, ll.l * 2)", "range(0, ll.l)"))
+SQL["agg_prototypes_one_shot"] = with_(ONE_SHOT) + """
+SELECT epoch, episode, task, emotion_ind, CAST(max(n_el) AS BIGINT) AS n_support,
+       CAST(count(*) FILTER (WHERE isnan(c)) AS INTEGER) AS n_nan
+FROM ep_protos GROUP BY 1, 2, 3, 4"""
+
 SQL["agg_accuracy_batch_mean"] = with_(EP_ROLES) + """,
 ep_heads AS (
   SELECT epoch, episode, task, emotion_ind AS k, i, 2 * c AS w,

@@ -148,7 +148,9 @@ SQL["win_step_axis"] = with_(FS) + """
 SELECT series, idx // 10 AS idx, CAST((idx // 10) * 10 AS BIGINT) AS x, value FROM fs WHERE idx % 10 = 0"""
 
 ACC = FS + """,
-acc AS (SELECT series, idx, value % 1 AS value FROM fs)"""
+acc AS (
+  SELECT series, idx, CASE WHEN idx % 7 = 3 OR value % 1 > 0.98 THEN NULL ELSE value % 1 END AS value FROM fs  -- NULL stands for NaN
+)"""
 
 SQL["win_running_best"] = with_(ACC) + """
 SELECT series, idx, round(value, 6) AS value, round(prev_best, 6) AS prev_best FROM (
@@ -158,7 +160,7 @@ SELECT series, idx, round(value, 6) AS value, round(prev_best, 6) AS prev_best F
 WHERE value > prev_best"""
 
 SQL["topk_best_epoch"] = with_(ACC) + """
-SELECT series, CASE WHEN max(value) > 0 THEN min(idx) FILTER (WHERE value = mx) ELSE 0 END AS best_epoch,
+SELECT series, CAST(CASE WHEN max(value) > 0 THEN min(idx) FILTER (WHERE value = mx) ELSE 0 END AS BIGINT) AS best_epoch,
        round(CASE WHEN max(value) > 0 THEN max(value) ELSE 0.0 END, 6) AS best_value
 FROM (SELECT *, max(value) OVER (PARTITION BY series) AS mx FROM acc) GROUP BY series"""
 
@@ -198,3 +200,24 @@ SELECT 'fs' AS run, series AS task, idx // 4 AS epoch,
        (['accuracy', 'loss', 'accuracy', 'loss'])[CAST(idx % 4 AS INTEGER) + 1] AS name,
        round(CASE WHEN idx % 4 IN (0, 2) THEN value % 1 ELSE value END, 6) AS value
 FROM fs"""
+
+SQL["best_macro_epoch"] = with_(FS) + """,
+macro AS (
+  SELECT idx // 4 AS epoch, avg(value % 1) AS value FROM fs WHERE idx % 4 = 2 GROUP BY 1
+),
+seen AS (
+  SELECT *, coalesce(max(value) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM macro
+)
+SELECT 'fs' AS run, CAST(coalesce(max(CASE WHEN value = mx THEN -epoch END), 0) * -1 AS BIGINT) AS best_epoch,
+       round(max(value), 6) AS best_value, count(*) FILTER (WHERE value > prev AND value > 0) AS n_improvements
+FROM (SELECT *, max(value) OVER () AS mx FROM seen)"""
+
+SQL["similarity_series"] = with_(FG) + """,
+own AS (
+  SELECT pair, grp, row_number() OVER (PARTITION BY pair, grp ORDER BY step) - 1 AS idx,
+         CASE WHEN isnan(similarity) THEN NULL ELSE similarity END AS number, similarity
+  FROM sims WHERE contains(pair, 't0-')
+)
+SELECT pair, grp, idx, CAST(idx * 10 AS BIGINT) AS x, round(similarity, 6) AS similarity,
+       round(CASE WHEN count(number) OVER w = 5 THEN avg(number) OVER w END, 6) AS rolling
+FROM own WINDOW w AS (PARTITION BY pair, grp ORDER BY idx RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)"""

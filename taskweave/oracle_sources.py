@@ -43,7 +43,8 @@ SELECT pair,
   CAST(count(*) FILTER (WHERE grp = 'encoder') AS INTEGER) AS n_encoder,
   round(coalesce(sum(similarity) FILTER (WHERE grp = 'encoder' AND NOT isnan(similarity)), 0), 6) AS sum_encoder,
   CAST(count(*) FILTER (WHERE grp = 'fc_layer') AS INTEGER) AS n_fc_layer,
-  round(coalesce(sum(similarity) FILTER (WHERE grp = 'fc_layer' AND NOT isnan(similarity)), 0), 6) AS sum_fc_layer
+  round(coalesce(sum(similarity) FILTER (WHERE grp = 'fc_layer' AND NOT isnan(similarity)), 0), 6) AS sum_fc_layer,
+  CAST(count(*) FILTER (WHERE isnan(similarity)) AS INTEGER) AS n_bare_nan, 0 AS n_quoted_nan
 FROM sims GROUP BY pair"""
 
 SQL["src_multi_file_provenance"] = with_(FI) + f"""

@@ -46,6 +46,6 @@ def episode_scores(rows: DataFrame, k: int = 10, epochs: int = 2, seed: int = 3)
     ep = P.episode_support_query(P.episode_sampler(rows, k=k, epochs=epochs, seed=seed))
     keys = ["epoch", "episode", "task"]
     support = ep.where(F.col("role") == "support")
-    protos = V.prototypes(support, keys, C.class_cardinality(rows))
+    protos = V.prototypes(support, keys, C.class_cardinality(rows), drawn=ep)
     heads = V.heads_by_task(V.proto_heads(protos), keys)
     return V.score(ep.where(F.col("role") == "query"), heads, keys)

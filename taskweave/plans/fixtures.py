@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators.ranking import bucketed_rank
-from ..session import read_table, spread_rows
+from ..session import read_table
 
 # Fixed values of the fixtures.
 FD_TASKS = ("quality", "toxic")
@@ -30,17 +30,16 @@ FI_EDGE_CASES = ("10: joy", ": fear", "2: a: b", None)
 FH_LEVEL_C = ("IND", "GRP", "OTH")
 FM_SLOTS = (("train", "accuracy"), ("train", "loss"), ("val", "accuracy"), ("val", "loss"))
 FS_BUCKET_SECONDS = 3600
+#: Emoji: plain, text style, with a variation selector, keycap, flag, family, skin tone, tag sequence; then look-alikes.
+EMOJI_CASES = ("\U0001F600", "\u2122", "\u00a9", "\u203c\ufe0f", "\u2194", "\u25b6\ufe0f", "\u3030", "1\ufe0f\u20e3", "\U0001F1E9\U0001F1EA",
+               "\U0001F468\u200d\U0001F469\u200d\U0001F467", "\U0001F44D\U0001F3FD", "\u2764\ufe0f",
+               "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F",
+               "\u2713", "\u2610", "\u2776", "1", "#", "*", "\u00e9", "\u4e2d")
 
 
-def fd_raw(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """FD before cleaning: ``row_id, doc_id, tweet, label, emotion_ind, emotion, task``.
-
-    ``spread=True`` is for callers that run CPU-heavy text work right after the
-    scan: the document scan is spread over the cluster when it has too few splits.
-    """
+def fd_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FD before cleaning: ``row_id, doc_id, tweet, label, emotion_ind, emotion, task``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    if spread:
-        docs = spread_rows(docs)
     labs = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     joined = docs.join(labs, "doc_id", "inner")                      # J2
     long = joined.unpivot(["doc_id", "text"], list(FD_TASKS), "task", "label")  # U1 of one wide source
@@ -56,6 +55,14 @@ def fd_raw(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     )
 
 
+def ft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FT: ``row_id, doc_id, tweet`` -- every document once, with one emoji (or look-alike) case after the decoration."""
+    docs = read_table(spark, sf_dir, "documents")
+    case = F.element_at(F.array(*[F.lit(x) for x in EMOJI_CASES]), (F.col("doc_id") % len(EMOJI_CASES)).cast("int") + 1)
+    return docs.select(F.col("doc_id").cast("string").alias("row_id"), "doc_id",
+                       F.concat(T.decorate("text", "doc_id"), F.lit(" "), case).alias("tweet"))
+
+
 def fv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FV: ``row_id, vec_id, task, emotion_ind, emotion, x array<double>``."""
     e = read_table(spark, sf_dir, "embeddings")

@@ -43,12 +43,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """Folder under the cluster's shared checkpoint location.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when
-    neither is set -- local tests -- a fresh scratch folder is created and
-    registered as the checkpoint dir so later calls agree.
+    neither is set and the master is local -- tests -- a fresh scratch folder is created and
+    registered as the checkpoint dir so later calls agree; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="taskweave-ckpt-")
         try:
@@ -68,19 +70,6 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def spread_rows(df):
-    """Spread rows before CPU-heavy per-row work when the input has too few partitions.
-
-    A file with one row group is one scan task; regex cleaning of whole texts
-    would then run on one core.  Only when the plan has fewer partitions than the
-    cluster's default parallelism is a round-robin repartition added -- on a
-    large input (thousands of splits) this is a no-op and adds no shuffle.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

@@ -28,8 +28,15 @@ def series_to_json(long: DataFrame, key: str = "pair", grp: str = "grp", idx: st
            .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))).alias("s"))
            .select(key, grp, F.transform("s", lambda e: e["v"]).alias("vals")))
     by_pair = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(grp, "vals"))).alias("m"))
-    body = F.struct(*[F.coalesce(F.col("m")[g], F.array().cast("array<double>")).alias(g) for g in GROUPS])
-    return by_pair.select(F.to_json(F.create_map(F.col(key), body)).alias("value"))
+    body = [F.concat(F.lit(f'"{g}":['), F.concat_ws(",", F.transform(F.col("m")[g], _number)), F.lit("]")) for g in GROUPS]
+    name = F.to_json(F.array(F.col(key)))                     # ["name"], escaped
+    return by_pair.select(F.concat(F.lit("{"), F.substring(name, 2, F.length(name) - 2), F.lit(":{"),
+                                   F.concat_ws(",", *body), F.lit("}}")).alias("value"))
+
+
+def _number(v):
+    """A number as JSON text; NaN and infinities are bare tokens, as the reference writes them (to_json quotes them)."""
+    return F.when(v.isNull(), F.lit("null")).otherwise(v.cast("string"))
 
 
 def write_similarity_json(long: DataFrame, path: str, **kw) -> None:

@@ -77,11 +77,3 @@ def test_tsv_quote_modes(spark):
     intended = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="intended").orderBy("id").collect()
     assert len(as_written) < 3                       # the open quote swallows the following rows
     assert [tuple(r) for r in intended] == [(1, '"unbalanced quote'), (2, "next"), (3, "last")]
-
-
-def test_spread_rows_only_when_under_partitioned(spark):
-    from taskweave.session import spread_rows
-    one = spark.range(100).coalesce(1)
-    assert spread_rows(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread_rows(many) is many
