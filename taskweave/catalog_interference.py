@@ -68,7 +68,7 @@ def q_grad_param_update(spark, sf):
     g = X.fg(spark, sf)
     theta0 = g.groupBy("param", "chunk").agg(vector_to_array(Summarizer.mean(array_to_vector("g"))).alias("g"))
     traj = I.parameter_trajectory(theta0, I.accumulate(g, "sum"), lr=1e-3)
-    return traj.select("step", "param", "i", _r(F.col("value")).alias("value"))
+    return traj.select("step", "param", F.posexplode("g").alias("i", "value")).withColumn("value", _r(F.col("value")))
 
 
 @query("grad_clip_global_norm")

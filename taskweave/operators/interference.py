@@ -76,29 +76,33 @@ def _cosine(dotp: Column, n1: Column, n2: Column) -> Column:
     return F.when((n1 == 0) | (n2 == 0), F.lit(float("nan"))).otherwise(dotp / (F.sqrt(n1) * F.sqrt(n2)))
 
 
-def group_cosines(grads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """V6: per step, group and task pair: ``1 - cosine_distance`` of the concatenated gradients."""
-    g = with_groups(grads).select("step", "task", "grp", "pkey", "chunk", "g")
-    norms = g.groupBy("step", "task", "grp").agg(F.sum(sq_norm(F.col("g"))).alias("nn"))
-    p = pairs.select("task_1", "task_2", "pair")
-    left = g.join(p, g["task"] == p["task_1"]).drop("task")
-    right = g.select("step", F.col("task").alias("task_2"), "grp", "pkey", "chunk", F.col("g").alias("g2"))
-    dots = (left.join(right, ["step", "task_2", "grp", "pkey", "chunk"])
-            .groupBy("step", "pair", "task_1", "task_2", "grp").agg(F.sum(dot(F.col("g"), F.col("g2"))).alias("dot")))
-    n1 = norms.select("step", F.col("task").alias("task_1"), "grp", F.col("nn").alias("n1"))
-    n2 = norms.select("step", F.col("task").alias("task_2"), "grp", F.col("nn").alias("n2"))
-    out = dots.join(n1, ["step", "task_1", "grp"]).join(n2, ["step", "task_2", "grp"])
-    return out.select("step", "pair", "task_1", "task_2", "grp",
-                      _cosine(F.col("dot"), F.col("n1"), F.col("n2")).alias("similarity"))
-
-
-def per_param_cosines(grads: DataFrame, task_1: str, task_2: str) -> DataFrame:
+def group_cosines(grads: DataFrame, pairs: DataFrame, at: Sequence[str] = ("step",)) -> DataFrame:
+    """V6: per step (columns ``at``), group and task pair: ``1 - cosine_distance`` of the concatenated gradients.
+
+    Each pair of chunks gives a dot product and two squared norms, summed per parameter group; ``all_model``
+    is the sum of the groups' sums, so no gradient array is copied or shuffled for it.
+    """
+    at = list(at)
+    g = grads.select(*at, "task", param_key(F.col("param"), F.col("task")).alias("pkey"),
+                     param_group(F.col("param")).alias("grp"), "chunk", "g")
+    left = g.join(pairs.select("task_1", "task_2", "pair"), g["task"] == F.col("task_1")).drop("task")
+    right = g.select(*at, F.col("task").alias("task_2"), "grp", "pkey", "chunk", F.col("g").alias("g2"))
+    keys = [*at, "pair", "task_1", "task_2"]
+    sums = (left.join(right, [*at, "task_2", "grp", "pkey", "chunk"])
+            .select(*keys, "grp", dot(F.col("g"), F.col("g2")).alias("d"), sq_norm(F.col("g")).alias("n1"), sq_norm(F.col("g2")).alias("n2"))
+            .groupBy(*keys, "grp").agg(*[F.sum(c).alias(c) for c in ("d", "n1", "n2")]))
+    both = (sums.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit("all_model"))))
+            .groupBy(*keys, "grp").agg(*[F.sum(c).alias(c) for c in ("d", "n1", "n2")]))
+    return both.select(*keys, "grp", _cosine(F.col("d"), F.col("n1"), F.col("n2")).alias("similarity"))
+
+
+def per_param_cosines(grads: DataFrame, task_1: str, task_2: str, at: Sequence[str] = ("step",)) -> DataFrame:
     """V7: per step, phase and parameter, three series: ``a_b``, ``a_a`` (vs. reference
     episode of a) and ``b_b``.  ``grads`` carries ``phase`` and ``kind`` (episode/ref)."""
     g = grads.withColumn("pkey", param_key(F.col("param"), F.col("task")))
     ep = g.where(F.col("kind") == "episode")
     ref = g.where(F.col("kind") == "ref")
-    keys = ["step", "phase", "pkey", "chunk"]
+    keys = [*at, "phase", "pkey", "chunk"]
 
     def side(df, task, name):
         return df.where(F.col("task") == task).select(*keys, F.col("g").alias(name))
@@ -112,9 +116,9 @@ def per_param_cosines(grads: DataFrame, task_1: str, task_2: str) -> DataFrame:
                                             dot(F.col("a"), F.col("b")).alias("d"),
                                             sq_norm(F.col("a")).alias("na"), sq_norm(F.col("b")).alias("nb")))
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    agg = u.groupBy("pair", "step", "phase", "pkey").agg(F.sum("d").alias("d"), F.sum("na").alias("na"),
+    agg = u.groupBy("pair", *at, "phase", "pkey").agg(F.sum("d").alias("d"), F.sum("na").alias("na"),
                                                         F.sum("nb").alias("nb"))
-    return agg.select("step", "phase", "pair", F.col("pkey").alias("param"),
+    return agg.select(*at, "phase", "pair", F.col("pkey").alias("param"),
                       _cosine(F.col("d"), F.col("na"), F.col("nb")).alias("similarity"))
 
 
@@ -153,18 +157,28 @@ def accumulate(grads: DataFrame, mode: str = "sum") -> DataFrame:
     return out.select("step", "owner", F.col("pkey").alias("param"), "chunk", "g")
 
 
-def parameter_trajectory(theta0: DataFrame, updates: DataFrame, lr: float) -> DataFrame:
+def parameter_trajectory(theta0: DataFrame, updates: DataFrame, lr: float, block: int = 32) -> DataFrame:
     """V8: ``theta_s = theta_0 - lr * sum_{s' <= s} G_s'`` for every step of ``updates``.
 
     ``theta0``: ``param, chunk, g`` (initial values); ``updates``: ``step, param, chunk, g``.
-    Elements are updated independently, so the running sum is a window per element
-    (many small partitions, no single hot group).
+    Whole chunks travel, never single elements.  The steps are cut into blocks of ``block``: block sums are
+    prefix-summed per chunk over the few blocks, and each block sums up its own steps, so no task holds a whole run.
+    Returns ``step, param, chunk, g`` (the parameter after the step).
     """
-    u = updates.select("step", "param", "chunk", F.posexplode("g").alias("i", "u"))
-    t = theta0.select("param", "chunk", F.posexplode("g").alias("i", "t0"))
-    w = Window.partitionBy("param", "chunk", "i").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    j = u.join(t, ["param", "chunk", "i"])
-    return j.select("step", "param", "chunk", "i", (F.col("t0") - F.lit(lr) * F.sum("u").over(w)).alias("value"))
+    keys = ["param", "chunk"]
+    u = updates.select("step", *keys, "g").withColumn("__b", F.floor(F.col("step") / block))
+
+    def add(column, window):
+        return F.aggregate(F.collect_list(column).over(window), F.array().cast("array<double>"),
+                           lambda acc, v: F.when(F.size(acc) == 0, v).otherwise(F.zip_with(acc, v, lambda p, q: p + q)))
+
+    totals = u.groupBy(*keys, "__b").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "__b", add("__s", earlier).alias("__before"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    j = u.withColumn("__in", add("g", inside)).join(before, [*keys, "__b"]).join(theta0.select(*keys, F.col("g").alias("__t0")), keys)
+    moved = F.when(F.size("__before") == 0, F.col("__in")).otherwise(F.zip_with("__in", "__before", lambda p, q: p + q))
+    return j.select("step", *keys, F.zip_with("__t0", moved, lambda t, m: t - F.lit(lr) * m).alias("g"))
 
 
 def clip_global_norm(grads: DataFrame, max_norm: float = 1.0, keys: Sequence[str] = ("step", "task")) -> DataFrame:

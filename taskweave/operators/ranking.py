@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir
+
 DEFAULT_BUCKET_CHARS = 4  # 65,536 hash buckets per group
 
 
@@ -33,41 +35,47 @@ def draw_key(seed, salt, row_id) -> Column:
 
 
 def bucketed_rank(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column],
-                  rank_col: str = "rank", total_col: str | None = None, coarse=None) -> DataFrame:
+                  rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
     """1-based rank of each row within ``by`` ordered by ``order``.
 
     ``bucket`` must be monotone in ``order`` (rows of a lower bucket always sort
     first).  The result equals ``row_number() over (partition by by order by order)``.
     ``total_col`` also attaches the group size, taken from the small bucket-count
-    table, so callers need no second aggregate over the data.  ``coarse`` (a function
-    of the bucket column, monotone in it) adds a second level so the bucket table's
-    prefix sum is itself split -- used when the number of buckets can grow large.
+    table, so callers need no second aggregate over the data.
     """
     by = list(by)
     b = "__bucket"
     df = df.withColumn(b, bucket)
     counts = df.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__n"))
-    if coarse is None:
-        before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        extra = [F.sum("__n").over(Window.partitionBy(*by)).alias(total_col)] if total_col else []
-        offsets = counts.select(*by, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"), *extra)
-    else:
-        # two-level prefix sum: coarse groups first (small), then buckets inside each coarse group
-        counts = counts.withColumn("__c", coarse(F.col(b)))
-        ctot = counts.groupBy(*by, "__c").agg(F.sum("__n").alias("__cn"))
-        cbefore = Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-        extra = [F.sum("__cn").over(Window.partitionBy(*by)).alias(total_col)] if total_col else []
-        coff = ctot.select(*by, "__c", F.coalesce(F.sum("__cn").over(cbefore), F.lit(0)).alias("__coff"), *extra)
-        bbefore = Window.partitionBy(*by, "__c").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (counts.join(coff, [*by, "__c"])
-                   .select(*by, b, (F.col("__coff") + F.coalesce(F.sum("__n").over(bbefore), F.lit(0))).alias("__off"),
-                           *([total_col] if total_col else [])))
+    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("__n").over(Window.partitionBy(*by)).alias(total_col)] if total_col else []
+    offsets = counts.select(*by, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"), *extra)
     inner = Window.partitionBy(*by, b).orderBy(*order)
     return (df.join(offsets, [*by, b])
               .withColumn(rank_col, (F.row_number().over(inner) + F.col("__off")).cast("long"))
               .drop(b, "__off"))
 
 
+def range_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """1-based global rank by ``order`` for orders without a natural bucket.
+
+    Rows are dealt by range, sorted inside each partition and stored in the shared folder, which
+    fixes their places; a rank is the place plus the rows of all earlier partitions.  The counts per
+    partition that are summed up and broadcast are one row for each shuffle partition.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "ranked")
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+       .withColumn("__pid", F.spark_partition_id())
+       .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+       .write.parquet(path))
+    placed = spark.read.parquet(path)
+    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__before"))
+    return (placed.join(F.broadcast(before), "__pid")
+            .withColumn(rank_col, (F.col("__at") + F.col("__before") + 1).cast("long")).drop("__pid", "__at", "__before"))
+
+
 def hash_rank(df: DataFrame, by: Sequence[str], key: str, tiebreak: str,
               rank_col: str = "rank", bucket_chars: int = DEFAULT_BUCKET_CHARS,
               total_col: str | None = None) -> DataFrame:

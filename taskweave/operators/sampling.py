@@ -59,47 +59,26 @@ def batch_shuffled(df: DataFrame, batch_size: int, seed: int = 3, epoch: int = 0
                          ((F.col("__rk") - 1) % batch_size).cast("int").alias("pos"))
 
 
-def _stream_draws(streams: DataFrame, by: list[str], batch_size: int, n_draws: Column,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """Draw table ``(*by, nb, *keep, g, pass, batch)`` for ``g`` in ``[0, n_draws)`` per stream."""
-    return (streams
-            .select(*by, "nb", *keep, F.explode(F.sequence(F.lit(0), n_draws - 1)).alias("g"))
-            .withColumn("pass", (F.col("g") / F.col("nb")).cast("long"))
-            .withColumn("batch", (F.col("g") % F.col("nb")).cast("long")))
-
-
-def _read_streams(df: DataFrame, draws: DataFrame, by: list[str], batch_size: int, seed: int,
-                  salt_prefix: Column | None, row_id: str, extra_pass_keys: list[str]) -> DataFrame:
-    """Rows of every needed pass, ranked per (stream, pass), joined to the draws.
-
-    A pass whose draws stop at batch ``b`` only needs its ``(b+1)*K`` smallest keys,
-    so rows are first filtered by k-smallest membership (bucket counts only, no
-    shuffle of the rows) and only the kept rows are ranked: a huge class from which
-    a run draws a few batches is never sorted as a whole.
+def _read_streams(df: DataFrame, streams: DataFrame, by: list[str], batch_size: int, seed: int,
+                  salt_prefix: Column | None, row_id: str) -> DataFrame:
+    """Rows with the draws that read them: adds ``g`` (global draw number) and ``pos``.
+
+    ``streams`` has one row for each stream (and epoch): ``*by, nb, n_draws`` and further columns, which
+    are kept.  No draw is listed anywhere: a row of rank r in a pass belongs to batch ``(r - 1) / K`` of it,
+    and pass p, batch b is draw ``g = p * nb + b``; rows whose g is not drawn are dropped.
+    Passes of a stream differ only in their hash, so a row is copied once for each pass that is drawn.
     """
-    gkeys = [*by, *extra_pass_keys]
-    need = draws.groupBy(*gkeys, "pass").agg(((F.max("batch") + 1) * batch_size).alias("__need"))
-    passes = need.groupBy(*gkeys).agg(F.max("pass").alias("__maxpass"))
-    expanded = (df.join(passes, by, "inner")
-                .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__maxpass"))))
-                .drop("__maxpass"))
+    expanded = (df.join(streams, by, "inner")
+                .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_draws") - 1) / F.col("nb"))))))
     salt = F.col("pass").cast("string") if salt_prefix is None else \
         F.concat(salt_prefix, F.lit(":"), F.col("pass").cast("string"))
     keyed = expanded.withColumn("__key", draw_key(seed, salt, row_id))
-    # Plan choice from one metadata-sized aggregate (one row per stream): prefilter only
-    # when the draws need less than PREFILTER_RATIO of the rows of their passes.
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    m = need.join(sizes, by).agg(F.sum(F.least("__need", "__n")).alias("needed"), F.sum("__n").alias("rows")).first()
-    if (m["needed"] or 0) < PREFILTER_RATIO * (m["rows"] or 0):
-        keyed = within_k_smallest(
-            keyed, [*gkeys, "pass"], "__key", row_id,
-            lambda c: c.join(need, [*gkeys, "pass"], "left").withColumn("__k", F.coalesce("__need", F.lit(0)))
-            .drop("__need"), "__in").where(F.col("__in")).drop("__in")
-    ranked = hash_rank(keyed, [*gkeys, "pass"], "__key", row_id, "__rk")
-    ranked = (ranked.withColumn("batch", ((F.col("__rk") - 1) / batch_size).cast("long"))
-              .withColumn("pos", ((F.col("__rk") - 1) % batch_size).cast("int"))
-              .drop("__key", "__rk"))
-    return ranked.join(draws, [*gkeys, "pass", "batch"], "inner")
+    groups = [*by, *(["epoch"] if salt_prefix is not None else []), "pass"]
+    ranked = hash_rank(keyed, groups, "__key", row_id, "__rk")
+    return (ranked.withColumn("g", F.col("pass") * F.col("nb") + F.floor((F.col("__rk") - 1) / batch_size))
+            .where(F.col("g") < F.col("n_draws"))
+            .withColumn("pos", ((F.col("__rk") - 1) % batch_size).cast("int"))
+            .drop("__key", "__rk", "pass", "nb", "n_draws"))
 
 
 def episode_sampler(df: DataFrame, k: int = 10, epochs: int = 1, seed: int = 3,
@@ -111,15 +90,12 @@ def episode_sampler(df: DataFrame, k: int = 10, epochs: int = 1, seed: int = 3,
     pos`` (position in the class draw) to the input columns.
     """
     by = ["task", "emotion_ind"]
-    streams = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("nb", F.ceil(F.col("n") / F.lit(k)))
+    streams = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(k)).alias("nb"))
     # L over the per-stream aggregate (one row per task x class).
-    streams = streams.withColumn("L", F.min("nb").over(Window.partitionBy()))
-    draws = _stream_draws(streams.withColumn("__nd", F.col("L") * epochs), by, k, F.col("__nd"), keep=("L",))
-    draws = draws.select(
-        *by, "pass", "batch", (F.col("g") / F.col("L")).cast("int").alias("epoch"),
-        (F.col("g") % F.col("L")).cast("int").alias("episode"))
-    return _read_streams(df, draws, by, k, seed, None, row_id, []).drop("pass", "batch")
+    streams = streams.withColumn("L", F.min("nb").over(Window.partitionBy())).withColumn("n_draws", F.col("L") * epochs)
+    drawn = _read_streams(df, streams, by, k, seed, None, row_id)
+    return (drawn.withColumn("epoch", F.floor(F.col("g") / F.col("L")).cast("int"))
+            .withColumn("episode", (F.col("g") % F.col("L")).cast("int")).drop("g", "L"))
 
 
 def support_query(df: DataFrame, group: Sequence[str], pos: str = "pos") -> DataFrame:
@@ -139,7 +115,6 @@ def batch_support_query(batches: DataFrame) -> DataFrame:
 
 
 SCHEDULES = ("zip_shortest", "min", "mean_max_min")
-PREFILTER_RATIO = 0.5
 
 
 def multitask_step_schedule(df: DataFrame, batch_size: int, epochs: int = 1, mode: str = "mean_max_min",
@@ -153,14 +128,11 @@ def multitask_step_schedule(df: DataFrame, batch_size: int, epochs: int = 1, mod
     if mode not in SCHEDULES:
         raise ValueError(f"mode must be one of {SCHEDULES}")
     by = ["task"]
-    streams = df.groupBy("task").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("nb", F.ceil(F.col("n") / F.lit(batch_size)))
+    streams = df.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / F.lit(batch_size)).alias("nb"))
     w = Window.partitionBy()
     lo, hi = F.min("nb").over(w), F.max("nb").over(w)
     steps = lo if mode in ("zip_shortest", "min") else ((hi + lo) / 2).cast("long")
-    streams = streams.withColumn("S", steps)
-    draws = _stream_draws(streams.withColumn("__nd", F.col("S")), by, batch_size, F.col("__nd"))
-    draws = (draws.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-             .select("task", "epoch", "pass", "batch", F.col("g").cast("int").alias("step")))
-    out = _read_streams(df, draws, by, batch_size, seed, F.col("epoch").cast("string"), row_id, ["epoch"])
-    return out.drop("pass", "batch")
+    streams = (streams.withColumn("n_draws", steps)
+               .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))))
+    drawn = _read_streams(df, streams, by, batch_size, seed, F.col("epoch").cast("string"), row_id)
+    return drawn.withColumn("step", F.col("g").cast("int")).drop("g")

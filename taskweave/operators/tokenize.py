@@ -5,11 +5,13 @@ the vocabulary is a corpus-scale aggregate and encoding is a join:
 
 * tokens: the text split on Unicode whitespace (whole texts, every token counted);
 * vocabulary: token counts, ids by descending count then token -- an exact global
-  rank computed with ``bucketed_rank`` (bucket = count and 2-character prefix, which
-  is monotone in the ordering), so the vocabulary is never sorted in one task;
-* encoding: the first ``max_len - 2`` tokens of each text are joined to the
-  vocabulary (a shuffle join; AQE splits hot tokens), re-assembled per row in
-  position order, wrapped in start/end ids, padded with 0 and given a 0/1 mask.
+  rank over a range shuffle (``range_rank``), so no task gets more than its range,
+  however many tokens share a count or a prefix;
+* encoding: the first ``max_len - 2`` tokens of each text, each distinct token once
+  with its positions, are joined to the vocabulary in two steps: the ``HEAD_TOKENS``
+  most frequent tokens (a proven bound) by broadcast, all others by shuffle.  So a
+  token that stands in half of all texts never travels by its own key.  The ids are
+  put back in place per row, wrapped in start/end ids, padded with 0 and given a mask.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS
 from ..session import fresh_dir
-from .ranking import bucketed_rank
+from .ranking import range_rank
 
 # Special token ids.
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 FIRST_ID = 4
+#: So many of the most frequent tokens are broadcast (a few MB); rarer tokens can't be hot keys.
+HEAD_TOKENS = 20_000
 
 
 def tokens(text) -> "F.Column":
@@ -52,25 +56,32 @@ def build_vocab(tok: DataFrame) -> DataFrame:
     """``token, count, id`` over every token of every text (``tok`` from ``tokenize_text``)."""
     counts = (tok.select(F.explode("tokens").alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
-    ranked = bucketed_rank(counts, [], bucket, [F.col("count").desc(), F.col("token")], "rk",
-                           coarse=lambda b: b["c"])
-    return ranked.select("token", "count", (F.col("rk") - 1 + FIRST_ID).cast("int").alias("id"))
+    ranked = range_rank(counts, [F.col("count").desc(), F.col("token")], "rk")
+    return ranked.select("token", "count", (F.col("rk") - 1 + FIRST_ID).alias("id"))
 
 
 def encode_fixed(tok: DataFrame, vocab: DataFrame, max_len: int = 180, key: str = "row_id") -> DataFrame:
     """Adds ``n_tokens`` (whole text), ``input_ids`` and ``attention_mask`` (both ``max_len``)."""
     keep = max_len - 2
     sized = tok.select(key, F.size("tokens").alias("n_tokens"), F.slice("tokens", 1, keep).alias("__t"))
-    # posexplode_outer keeps token-less rows (pos NULL), so no join back is needed
-    exploded = sized.select(key, "n_tokens", F.posexplode_outer("__t").alias("pos", "token"))
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    ids = (exploded.join(vocab.select("token", "id"), "token", "left")
-           .groupBy(key, "n_tokens").agg(F.array_sort(F.collect_list(item)).alias("__s")))
+    # explode_outer keeps token-less rows (token NULL), so no join back is needed
+    places = F.transform(F.array_distinct("__t"), lambda t: F.struct(
+        t.alias("token"), F.filter(F.transform("__t", lambda u, i: F.when(u == t, i)), lambda i: i.isNotNull()).alias("at")))
+    rows = sized.select(key, "n_tokens", F.explode_outer(places).alias("p")).select(key, "n_tokens", "p.token", "p.at")
+    head = vocab.where(F.col("id") < FIRST_ID + HEAD_TOKENS).select(F.col("token").alias("__h"), F.col("id").alias("__hid"))
+    tail = vocab.where(F.col("id") >= FIRST_ID + HEAD_TOKENS).select(F.col("token").alias("__l"), F.col("id").alias("__tid"))
+    known = rows.join(F.broadcast(head), F.col("token") == F.col("__h"), "left").drop("__h")
+    # rows that have their id already get a key of no token, spread over many values
+    other = F.concat(F.lit("\u0000 "), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
+    known = known.withColumn("__k", F.when(F.col("__hid").isNull() & F.col("token").isNotNull(), F.col("token")).otherwise(other))
+    found = known.join(tail, F.col("__k") == F.col("__l"), "left")
+    item = F.when(F.col("token").isNotNull(), F.transform("at", lambda i: F.struct(
+        i.alias("pos"), F.coalesce("__hid", "__tid", F.lit(UNK).cast("long")).alias("id"))))
+    ids = found.groupBy(key, "n_tokens").agg(F.array_sort(F.flatten(F.collect_list(item))).alias("__s"))
     out = ids.withColumn("__b", F.transform("__s", lambda s: s["id"]))
-    pad = F.array_repeat(F.lit(PAD), F.lit(keep) - F.size("__b"))
+    pad = F.array_repeat(F.lit(PAD).cast("long"), F.lit(keep) - F.size("__b"))
     return out.select(
         key, "n_tokens",
-        F.concat(F.array(F.lit(BOS)), F.col("__b"), F.array(F.lit(EOS)), pad).alias("input_ids"),
+        F.concat(F.array(F.lit(BOS).cast("long")), F.col("__b"), F.array(F.lit(EOS).cast("long")), pad).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("__b") + 2), F.array_repeat(F.lit(0), F.lit(keep) - F.size("__b")))
         .alias("attention_mask"))

@@ -9,13 +9,13 @@ from __future__ import annotations
 from .oracle import FV, SQL, with_
 
 FG = FV + """,
-fg_src AS (SELECT CAST(vec_id % 25 AS INTEGER) AS step, vec_id, task, emotion_ind, x FROM fv),
+fg_src AS (SELECT CAST(vec_id // 20 AS INTEGER) AS step, vec_id, task, emotion_ind, x FROM fv),
 fg_el0 AS (
   SELECT step, task, 'encoder.P' AS param, i, sum((2 * emotion_ind - 1) * v) AS v
   FROM (SELECT step, task, emotion_ind, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM fg_src) GROUP BY 1, 2, 3, 4
   UNION ALL
   SELECT step, task, 'fc_layer.weight', i, sum(v)
-  FROM (SELECT step, task, unnest(x[1:16]) AS v, unnest(range(0, len(x[1:16]))) AS i FROM fg_src) GROUP BY 1, 2, 3, 4
+  FROM (SELECT step, task, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM fg_src) GROUP BY 1, 2, 3, 4
   UNION ALL SELECT step, task, 'fc_layer.bias', 0, CAST(count(*) AS DOUBLE) FROM fg_src GROUP BY 1, 2
   UNION ALL SELECT step, task, 'fc_layer.bias', 1, CAST(sum(emotion_ind) AS DOUBLE) FROM fg_src GROUP BY 1, 2
 ),
@@ -75,9 +75,9 @@ SELECT step, pair, grp, round(similarity, 6) AS similarity FROM sims WHERE conta
 
 SQL["grad_cosine_per_param"] = with_(FV + """,
 ph_src AS (
-  SELECT CAST(vec_id % 25 AS INTEGER) AS step, task, emotion_ind, x,
-         CASE WHEN (vec_id // 25) % 2 = 0 THEN 'inner' ELSE 'outer' END AS phase,
-         CASE WHEN (vec_id // 50) % 2 = 0 THEN 'episode' ELSE 'ref' END AS kind
+  SELECT CAST(vec_id // 80 AS INTEGER) AS step, task, emotion_ind, x,
+         CASE WHEN vec_id % 2 = 0 THEN 'inner' ELSE 'outer' END AS phase,
+         CASE WHEN (vec_id // 2) % 2 = 0 THEN 'episode' ELSE 'ref' END AS kind
   FROM fv
 ),
 ph_el AS (
@@ -85,7 +85,7 @@ ph_el AS (
   FROM (SELECT *, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM ph_src) GROUP BY 1, 2, 3, 4, 5, 6
   UNION ALL
   SELECT step, task, phase, kind, 'fc_layer.weight', i, sum(v)
-  FROM (SELECT *, unnest(x[1:16]) AS v, unnest(range(0, len(x[1:16]))) AS i FROM ph_src) GROUP BY 1, 2, 3, 4, 5, 6
+  FROM (SELECT *, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM ph_src) GROUP BY 1, 2, 3, 4, 5, 6
   UNION ALL SELECT step, task, phase, kind, 'fc_layer.bias', 0, CAST(count(*) AS DOUBLE) FROM ph_src GROUP BY 1, 2, 3, 4
   UNION ALL SELECT step, task, phase, kind, 'fc_layer.bias', 1, CAST(sum(emotion_ind) AS DOUBLE) FROM ph_src GROUP BY 1, 2, 3, 4
 ),

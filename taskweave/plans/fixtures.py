@@ -142,8 +142,8 @@ def fh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 # ---- FG: gradient table -------------------------------------------------------
-FG_STEPS = 25
-FG_HEAD_DIM = 16
+#: Rows of a step: the number of steps grows with the data.
+FG_STEP_ROWS = 20
 FG_PARAMS = (("encoder.P", 0), ("fc_layer.weight", 1), ("fc_layer.bias", 2))
 FG_ZERO_TASK = "tz"
 
@@ -151,15 +151,14 @@ FG_ZERO_TASK = "tz"
 def _fg_grads(v: DataFrame, keys: list[str]) -> DataFrame:
     """Per-group parameter gradients in one aggregate (no per-element rows).
 
-    ``encoder.P`` = sum of (2*emotion_ind - 1) * x, ``fc_layer.weight`` = sum of the
-    first 16 components, ``fc_layer.bias`` = [count, sum of emotion_ind].  Vector
+    ``encoder.P`` = sum of (2*emotion_ind - 1) * x, ``fc_layer.weight`` = sum of x, ``fc_layer.bias`` = [count, sum of emotion_ind].  Vector
     sums use ``Summarizer`` (JVM, map-side partial aggregation); the three
     parameters are then unpivoted into rows.
     """
     sign = (F.col("emotion_ind") * 2 - 1).cast("double")
     agg = v.groupBy(*keys).agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.transform("x", lambda e: e * sign)))).alias("p0"),
-        vector_to_array(Summarizer.sum(array_to_vector(F.slice("x", 1, FG_HEAD_DIM)))).alias("p1"),
+        vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("p1"),
         F.array(F.count(F.lit(1)).cast("double"), F.sum("emotion_ind").cast("double")).alias("p2"))
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("param"), F.lit(o).alias("param_ord"),
                                         F.col(f"p{o}").alias("g")) for name, o in FG_PARAMS]))
@@ -172,7 +171,7 @@ def fg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Includes task ``tz`` at step 0 with all-zero gradients (forces NaN cosines).
     """
-    v = fv(spark, sf_dir).withColumn("step", (F.col("vec_id") % FG_STEPS).cast("int"))
+    v = fv(spark, sf_dir).withColumn("step", F.floor(F.col("vec_id") / FG_STEP_ROWS).cast("int"))
     grads = _fg_grads(v, ["step", "task"])
     zero = (grads.where((F.col("step") == 0))
             .groupBy("step", "param", "param_ord", "chunk")
@@ -185,8 +184,7 @@ def fg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fg_phased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FG with ``phase`` (inner/outer) and ``kind`` (episode/ref) for per-parameter study."""
     v = (fv(spark, sf_dir)
-         .withColumn("step", (F.col("vec_id") % FG_STEPS).cast("int"))
-         .withColumn("phase", F.when(F.floor(F.col("vec_id") / FG_STEPS) % 2 == 0, "inner").otherwise("outer"))
-         .withColumn("kind", F.when(F.floor(F.col("vec_id") / (2 * FG_STEPS)) % 2 == 0, "episode")
-                     .otherwise("ref")))
+         .withColumn("step", F.floor(F.col("vec_id") / (4 * FG_STEP_ROWS)).cast("int"))
+         .withColumn("phase", F.when(F.col("vec_id") % 2 == 0, "inner").otherwise("outer"))
+         .withColumn("kind", F.when(F.floor(F.col("vec_id") / 2) % 2 == 0, "episode").otherwise("ref")))
     return _fg_grads(v, ["step", "task", "phase", "kind"])

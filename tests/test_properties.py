@@ -81,18 +81,28 @@ def test_series_index_contiguous(spark):
         assert r.lo == 0 and r.hi == r.n - 1
 
 
-def test_two_level_rank_equals_plain_window(spark):
-    v = X.fv(spark, SF_MID).withColumn("k", R.draw_key(3, "x", "row_id"))
-    bucket = F.struct(F.substring("k", 1, 1).alias("a"), F.substring("k", 2, 2).alias("b"))
-    got = R.bucketed_rank(v, ["task"], bucket, [F.col("k"), F.col("row_id")], "rk", total_col="tot",
-                          coarse=lambda b: b["a"])
-    ref = v.withColumn("rk2", F.row_number().over(Window.partitionBy("task").orderBy("k", "row_id"))) \
-        .withColumn("tot2", F.count("*").over(Window.partitionBy("task")))
-    j = got.join(ref, "row_id")
-    assert j.where((F.col("rk") != F.col("rk2")) | (F.col("tot") != F.col("tot2"))).count() == 0
-    g2 = R.bucketed_rank(v, [], bucket, [F.col("k"), F.col("row_id")], "rk", coarse=lambda b: b["a"])
-    r2 = v.withColumn("rk2", F.row_number().over(Window.orderBy("k", "row_id")))
-    assert g2.join(r2, "row_id").where(F.col("rk") != F.col("rk2")).count() == 0
+def test_range_rank_equals_plain_window(spark):
+    v = X.fv(spark, SF_MID).withColumn("k", F.substring(R.draw_key(3, "x", "row_id"), 1, 1))    # many ties
+    got = R.range_rank(v, [F.col("k").desc(), F.col("row_id")], "rk")
+    ref = v.withColumn("rk2", F.row_number().over(Window.orderBy(F.col("k").desc(), "row_id")))
+    assert got.join(ref, "row_id").where(F.col("rk") != F.col("rk2")).count() == 0 and got.count() == v.count()
+
+
+def test_vocabulary_with_a_hot_token_and_many_single_ones(spark):
+    from taskweave.operators import tokenize as TK
+    rows = spark.range(4000).selectExpr("cast(id as string) row_id", "concat(if(id % 2 = 0, 'the ', ''), 'aa', id, ' aa', id + 100000, if(id % 2 = 0, ' the', '')) tweet")
+    tok = TK.tokenize_text(rows)
+    vocab = {r.token: r.id for r in TK.build_vocab(tok).collect()}
+    assert vocab["the"] == 4 and sorted(vocab.values()) == list(range(4, 4 + len(vocab)))
+    singles = sorted(t for t in vocab if t != "the")
+    assert [vocab[t] for t in singles] == list(range(5, 5 + len(singles)))
+    for head in (1, 3, 20_000):
+        old, TK.HEAD_TOKENS = TK.HEAD_TOKENS, head
+        got = {r.row_id: r.input_ids for r in TK.encode_fixed(tok, TK.build_vocab(tok), max_len=6).collect()}
+        TK.HEAD_TOKENS = old
+        for r in rows.collect():
+            ids = [vocab[t] for t in r.tweet.split()][:4]
+            assert got[r.row_id] == [1, *ids, 2] + [0] * (4 - len(ids))
 
 
 def test_value_counts_rank_descending(spark):
@@ -122,16 +132,42 @@ def test_within_k_smallest_equals_rank_cut(spark):
             assert j.where(F.col("inside") != F.col("want")).count() == 0, (chars, name)
 
 
-def test_sampler_prefilter_path_is_identical(spark):
+def _plain_streams(rows, by, k, n_draws, salt, seed=3):
+    """Draw g of each stream: batch g mod nb of the pass g div nb, each pass a permutation by md5 (plain Python)."""
+    import hashlib
+    out = {}
+    groups = {}
+    for r in rows:
+        groups.setdefault(tuple(r[c] for c in by), []).append(r["row_id"])
+    for key, ids in groups.items():
+        nb = -(-len(ids) // k)
+        for g in range(n_draws):
+            order = sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{salt}{g // nb}:{i}".encode()).hexdigest(), i))
+            out[key, g] = order[g % nb * k:(g % nb + 1) * k]
+    return out
+
+
+def test_samplers_equal_plain_streams(spark):
     v = X.fv(spark, SF_SMALL).select("row_id", "task", "emotion_ind")
-    old = P.PREFILTER_RATIO
-    try:
-        P.PREFILTER_RATIO = 10.0          # always take the k-smallest prefilter
-        a = P.episode_sampler(v, k=10, epochs=2).collect()
-        b7 = P.multitask_step_schedule(v.select("row_id", "task"), 8, epochs=2).collect()
-        P.PREFILTER_RATIO = 0.0           # never
-        b = P.episode_sampler(v, k=10, epochs=2).collect()
-        c7 = P.multitask_step_schedule(v.select("row_id", "task"), 8, epochs=2).collect()
-    finally:
-        P.PREFILTER_RATIO = old
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and sorted(map(tuple, b7)) == sorted(map(tuple, c7))
+    rows = v.collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.task, r.emotion_ind] = sizes.get((r.task, r.emotion_ind), 0) + 1
+    least = min(-(-n // 7) for n in sizes.values())
+    got = {}
+    for r in P.episode_sampler(v, k=7, epochs=3).collect():
+        got.setdefault(((r.task, r.emotion_ind), r.epoch * least + r.episode), {})[r.pos] = r.row_id
+    want = _plain_streams(rows, ["task", "emotion_ind"], 7, 3 * least, "")
+    assert {k: [x for _, x in sorted(d.items())] for k, d in got.items()} == want
+    for mode in ("min", "mean_max_min"):
+        tasks = {}
+        for r in rows:
+            tasks[r.task] = tasks.get(r.task, 0) + 1
+        nb = [-(-n // 8) for n in tasks.values()]
+        steps = min(nb) if mode == "min" else int((max(nb) + min(nb)) / 2)
+        for epoch in range(2):
+            got = {}
+            for r in P.multitask_step_schedule(v.select("row_id", "task"), 8, epochs=2, mode=mode).where(F.col("epoch") == epoch).collect():
+                got.setdefault(((r.task,), r.step), {})[r.pos] = r.row_id
+            want = _plain_streams(rows, ["task"], 8, steps, f"{epoch}:")
+            assert {k: [x for _, x in sorted(d.items())] for k, d in got.items()} == want
