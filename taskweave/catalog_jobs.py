@@ -1,108 +1,82 @@
-"""Registered iterative jobs.
-
-These loop on the driver with one Spark aggregate per step, so DuckDB cannot
-express them; they are registered without oracle SQL and verified against NumPy
-replicas in ``tests/test_jobs.py``.
-"""
+"""Registered gradient and adaptation jobs (C1-C4): single plans at formula parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .catalog import query
+from .operators import interference as I
 from .operators import sampling as P
+from .operators.prototypes import sq_norm
 from .plans import fixtures as X
 from .plans import training as TR
+from .session import fresh_dir
+from .sources import similarity as S
 
 
 def _r(c, n=6):
     return F.round(c, n)
 
 
-def _split(spark, sf):
-    return P.split_holdout(X.fv(spark, sf))
+def _train(spark, sf):
+    return P.split_holdout(X.fv(spark, sf)).where(F.col("split") == "train")
 
 
-def _tasks(df):
-    # distinct task names: one row per task
-    return [r[0] for r in df.select("task").distinct().orderBy("task").collect()]
+def _similarity(grads, at):
+    pairs = I.task_pairs(I.task_order(grads))
+    return I.group_cosines(grads, pairs, at).select(*at, "pair", "grp", _r(F.col("similarity")).alias("similarity"))
 
 
 @query("job_joint_multitask")
 def q_job_joint_multitask(spark, sf):
-    s = _split(spark, sf)
-    train = s.where(F.col("split") == "train")
-    res = TR.joint_multitask(train, _tasks(train), epochs=2, batch_size=32, lr=2e-5, every_nth=10)
-    return res.similarity.withColumn("similarity", _r(F.col("similarity")))
+    """Pairwise gradient similarity of all tasks at every step of two epochs."""
+    return _similarity(TR.joint_gradients(_train(spark, sf)), ["epoch", "step"])
 
 
 @query("job_fomaml")
 def q_job_fomaml(spark, sf):
-    s = _split(spark, sf)
-    train = s.where(F.col("split") == "train")
-    res = TR.meta_train(train, _tasks(train), epochs=1, k=10, alpha=1e-5, beta=1e-5, prototypes=False,
-                        zero_head=True)
-    return res.episodes.withColumn("loss", _r(F.col("loss"))).withColumn("accuracy", _r(F.col("accuracy")))
+    """Query loss and accuracy after one step on the support half, and the size of the mean shared gradient."""
+    query_groups, shared = TR.shared_update(_train(spark, sf))
+    per_step = query_groups.groupBy("step").agg(F.avg("loss").alias("loss"), F.avg("accuracy").alias("accuracy"))
+    size = shared.select("step", sq_norm(F.col("g")).alias("sq_norm"))
+    return per_step.join(size, "step").select("step", *[_r(F.col(c)).alias(c) for c in ("loss", "accuracy", "sq_norm")])
 
 
 @query("job_protomaml")
 def q_job_protomaml(spark, sf):
-    s = _split(spark, sf)
-    train = s.where(F.col("split") == "train")
-    res = TR.meta_train(train, _tasks(train), epochs=2, k=10, alpha=1e-3, beta=1e-4, prototypes=True)
-    return res.similarity.withColumn("similarity", _r(F.col("similarity")))
+    """Query loss and accuracy of every episode and task after one inner step."""
+    _, groups = TR.episode_adaptation(_train(spark, sf), alpha=0.05)
+    return groups.select("epoch", "episode", "task", "n", _r(F.col("loss")).alias("loss"), _r(F.col("accuracy")).alias("accuracy"))
 
 
-@query("job_adapt_evaluate")
-def q_job_adapt_evaluate(spark, sf):
-    s = _split(spark, sf)
-    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    tasks = _tasks(train)
-    init = TR.init_params(tasks, 64)
-    out = TR.adapt_evaluate(train, val, init, tasks, k=10, alpha=1e-3, inner_steps=1)
-    return out.select("task", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))
+@query("job_protomaml_similarity")
+def q_job_protomaml_similarity(spark, sf):
+    """Pairwise similarity of the tasks' inner gradients in every episode."""
+    inner, _ = TR.episode_adaptation(_train(spark, sf), alpha=0.05)
+    return _similarity(TR.gradient_table(inner, ["epoch", "episode"]), ["epoch", "episode"])
 
 
-@query("job_train_from_saved_init")
-def q_job_train_from_saved_init(spark, sf):
-    s = _split(spark, sf)
-    train = s.where(F.col("split") == "train")
-    tasks = _tasks(train)
-    meta = TR.meta_train(train, tasks, epochs=1, k=10, prototypes=True)
-    path = TR.save_params(spark, meta.params)
-    res = TR.joint_multitask(train, tasks, epochs=2, batch_size=32, lr=2e-5, mode="min",
-                             init=TR.load_params(spark, path))
-    return res.metrics.select("epoch", "task", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))
+@query("job_conflict_study")
+def q_job_conflict_study(spark, sf):
+    """Two-task conflict study: six per-parameter cosine series by step, also written as wide CSVs (K1)."""
+    sims = I.per_param_cosines(TR.conflict_gradients(_train(spark, sf), "t0", "t1", alpha=0.05), "t0", "t1")
+    S.write_wide_csv(sims, fresh_dir(spark, "conflict-wide"), [p for p, _ in TR.PARAMS])
+    return sims.withColumn("similarity", _r(F.col("similarity")))
 
 
-@query("job_finetune_sequential")
-def q_job_finetune_sequential(spark, sf):
-    s = _split(spark, sf)
-    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    tasks = _tasks(train)
-    out = TR.finetune_sequential(train, val, TR.init_params(tasks, 64), tasks, epochs=2, batch_size=32, lr=1e-3)
-    return out.withColumn("accuracy", _r(F.col("accuracy"))).withColumn("loss", _r(F.col("loss")))
+def _adapted(spark, sf, inner_steps):
+    s = P.split_holdout(X.fv(spark, sf))
+    out = TR.adapt_evaluate(s.where(F.col("split") == "train"), s.where(F.col("split") == "val"), alpha=0.05, inner_steps=inner_steps)
+    return out.select("task", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))
 
 
-@query("job_adapt_evaluate_zero")
-def q_job_adapt_evaluate_zero(spark, sf):
-    """C4 with no inner step from an identity encoder: episode-0 prototype heads scored
-    on every validation row -- the case plain SQL can express."""
-    s = _split(spark, sf)
-    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    tasks = _tasks(train)
-    out = TR.adapt_evaluate(train, val, TR.identity_params(tasks, 64), tasks, k=10, inner_steps=0)
-    return out.select("task", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("loss")).alias("loss"))
+@query("job_adapt_evaluate")
+def q_job_adapt_evaluate(spark, sf):
+    """C4 with one inner step."""
+    return _adapted(spark, sf, 1)
 
 
-@query("job_conflict_study")
-def q_job_conflict_study(spark, sf):
-    """Two-task conflict study (single head, reference episodes): six per-parameter
-    cosine series per step, also written as wide CSVs (K1)."""
-    from .sources import similarity as S
-    from .session import fresh_dir
-    s = _split(spark, sf)
-    train = s.where(F.col("split") == "train")
-    res = TR.conflict_study(train, "t0", "t1", epochs=1, k=10, alpha=1e-3, beta=1e-4)
-    S.write_wide_csv(res.similarity, fresh_dir(spark, "conflict-wide"), list(TR.PARAM_ORDER))
-    return res.similarity.withColumn("similarity", _r(F.col("similarity")))
+@query("job_adapt_evaluate_zero")
+def q_job_adapt_evaluate_zero(spark, sf):
+    """C4 without an inner step."""
+    return _adapted(spark, sf, 0)

@@ -478,45 +478,3 @@ per_ep AS (
   FROM q_rows GROUP BY 1, 2, 3
 )
 SELECT count(*) AS n_episodes, round(avg(acc), 6) AS accuracy, round(avg(ls), 6) AS loss FROM per_ep"""
-
-SQL["job_adapt_evaluate_zero"] = with_(FV_SPLIT) + """,
-trn AS (SELECT * FROM fv_split WHERE split = 'train'),
-rk0 AS (
-  SELECT *, row_number() OVER (PARTITION BY task, emotion_ind ORDER BY md5('3:0:' || row_id), row_id) AS rk FROM trn
-),
-draw AS (SELECT * FROM rk0 WHERE rk <= 10),
-sup AS (
-  SELECT * FROM (SELECT *, CASE WHEN rk - 1 < floor(count(*) OVER (PARTITION BY task, emotion_ind) / 2)
-                               THEN 'support' ELSE 'query' END AS role FROM draw)
-  WHERE role = 'support'
-),
-sup_el AS (SELECT task, emotion_ind, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM sup),
-protos AS (SELECT task, emotion_ind AS k, i, avg(v) AS c FROM sup_el GROUP BY 1, 2, 3),
-heads AS (SELECT task, k, i, 2 * c AS w, -sum(c * c) OVER (PARTITION BY task, k) AS b FROM protos),
-val AS (
-  SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('3:0:0:' || row_id), row_id) AS vrk
-  FROM fv_split WHERE split = 'val'
-),
-val_el AS (SELECT row_id, task, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM val),
-logits AS (
-  SELECT e.row_id, h.k, sum(h.w * e.v) + min(h.b) AS logit
-  FROM val_el e JOIN heads h ON e.task = h.task AND e.i = h.i GROUP BY 1, 2
-),
-agg AS (
-  SELECT row_id, max(logit) AS m, ln(sum(exp(logit - mx))) AS lse0
-  FROM (SELECT *, max(logit) OVER (PARTITION BY row_id) AS mx FROM logits) GROUP BY row_id
-),
-scored AS (
-  SELECT v.task, v.emotion_ind, (v.vrk - 1) // 32 AS batch,
-         (SELECT min(l.k) FROM logits l WHERE l.row_id = v.row_id AND l.logit = a.m) AS pred,
-         a.m + a.lse0 - (SELECT l.logit FROM logits l WHERE l.row_id = v.row_id AND l.k = v.emotion_ind) AS loss
-  FROM val v JOIN agg a ON v.row_id = a.row_id
-),
-per_batch AS (
-  SELECT task, batch, count(*) AS n, sum(CASE WHEN pred = emotion_ind THEN 1 ELSE 0 END) AS ok, avg(loss) AS bl
-  FROM scored GROUP BY 1, 2
-),
-per_task AS (SELECT task, sum(ok) / sum(n) AS accuracy, avg(bl) AS loss FROM per_batch GROUP BY task)
-SELECT task, round(accuracy, 6) AS accuracy, round(loss, 6) AS loss FROM per_task
-UNION ALL
-SELECT '__macro__', round(avg(accuracy), 6), round(avg(loss), 6) FROM per_task"""

@@ -1,585 +1,196 @@
-"""Iterative jobs (C1-C4, C7, C8): data-parallel re-aims of the reference's training loops.
+"""Gradient and adaptation jobs (C1-C4) as single plans.
 
-Surrogate model over pre-computed sentence vectors ``x`` (d values): a shared
-linear encoder ``P`` (h x d) and one head ``W_t`` (C x h), ``b_t`` (C) per task.
-For a batch of ``n`` rows of task ``t`` with ``delta = softmax(logits) - onehot(y)``:
+The reference trains in a loop whose every step needs the one before.  What its studies look at
+-- the gradients of all tasks at common parameters, and what adapting to an episode does -- needs
+no loop: at given parameters every step, episode and task is a group of one plan.  Parameters come
+from a formula (``weight``) that any engine can compute.
 
-    M_t = sum delta x^T  (C x d),   g_t = sum delta
-    dW_t = M_t P^T / n,   db_t = g_t / n,   dP = W_t^T M_t / n
+Surrogate model over sentence vectors ``x`` (d values): a shared linear encoder ``P`` (h x d) and a
+head ``W`` (C x h), ``b`` (C) for each task.  For a group of n rows with delta = softmax(logits) - onehot(y)
 
-so one step is **one Spark aggregate grouped by task** (partial sums combined in
-the JVM by ``Summarizer``), and only O(tasks x C x d) numbers reach the driver.
-The driver holds the parameters (model-sized, not data-sized) and sends them back
-as a small per-task table whose size is checked before it is broadcast.
+    M = sum delta x^T (C x d),  dW = M P^T / n,  db = sum delta / n,  dP = W^T M / n
 
-Batches/episodes are sampled once (P4/P5/P7), written as parquet partitioned by
-``(epoch, step)`` in the shared checkpoint folder, and every step reads only its
-own partition -- lineage never grows with the number of steps and a lost
-executor only re-reads files.
+so a group's gradients follow from one aggregate (``Summarizer``: partial sums before the shuffle);
+rows are never exploded by component and nothing goes through the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
-import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import interference as I
 from ..operators import sampling as P
-from ..operators.prototypes import class_means, dot
+from ..operators.prototypes import dot, prototypes, sq_norm
 from ..session import fresh_dir
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-PARAM_SCHEMA = "task string, P array<array<double>>, W array<array<double>>, b array<double>"
+HIDDEN = 16
+PARAMS = (("encoder.P", 0), ("fc_layer.weight", 1), ("fc_layer.bias", 2))
 
 
-@dataclass
-class Params:
-    P: np.ndarray                                   # h x d shared encoder
-    W: dict[str, np.ndarray] = field(default_factory=dict)   # task -> C x h
-    b: dict[str, np.ndarray] = field(default_factory=dict)   # task -> C
+def weight(name: Column, i: Column, j: Column) -> Column:
+    """Parameter value: the first 8 hex digits of md5('name:i:j') as a number between -0.1 and 0.1."""
+    key = F.concat_ws(":", name, i.cast("string"), j.cast("string"))
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 2001 - 1000) / F.lit(10000.0)
 
-    def copy(self) -> "Params":
-        return Params(self.P.copy(), {k: v.copy() for k, v in self.W.items()}, {k: v.copy() for k, v in self.b.items()})
 
-    def task_view(self, task: str) -> "Params":
-        return Params(self.P.copy(), {task: self.W[task].copy()}, {task: self.b[task].copy()})
+def _matrix(name: Column, rows: Column, cols: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.transform(F.sequence(F.lit(0), cols - 1), lambda j: weight(name, i, j)))
 
 
-def init_params(tasks, d: int, h: int = 16, num_class: int = 2, seed: int = 3) -> Params:
-    rng = np.random.default_rng(seed)
-    p = Params(rng.normal(0.0, 0.1, (h, d)))
-    for t in tasks:
-        p.W[t] = rng.normal(0.0, 0.1, (num_class, h))
-        p.b[t] = np.zeros(num_class)
-    return p
+def base_params(rows: DataFrame, hidden: int = HIDDEN) -> DataFrame:
+    """``task, P, W, b`` at the formula's values; a task's head has as many classes as the task (A2)."""
+    sizes = rows.groupBy("task").agg(F.max(F.size("x")).alias("d"), F.count_distinct("y").cast("int").alias("c"))
+    return sizes.select("task", _matrix(F.lit("P"), F.lit(hidden), F.col("d")).alias("P"), _matrix(F.col("task"), F.col("c"), F.lit(hidden)).alias("W"),
+                        F.array_repeat(F.lit(0.0), F.col("c")).alias("b"))
 
 
-def identity_params(tasks, d: int, num_class: int = 2) -> Params:
-    """Identity encoder and zero heads: prototype heads then score raw vectors."""
-    p = Params(np.eye(d))
-    for t in tasks:
-        p.W[t] = np.zeros((num_class, d))
-        p.b[t] = np.zeros(num_class)
-    return p
-
-
-def params_frame(spark: SparkSession, per_task: dict[str, Params]) -> DataFrame:
-    """One row per task with that task's (possibly adapted) parameters.
-
-    Broadcast only when the table is provably small: its size is computed from
-    the parameter shapes, not from the data.
-    """
-    rows, size = [], 0
-    for t, p in per_task.items():
-        rows.append((t, p.P.tolist(), p.W[t].tolist(), p.b[t].tolist()))
-        size += 8 * (p.P.size + p.W[t].size + p.b[t].size)
-    df = spark.createDataFrame(rows, PARAM_SCHEMA)
-    return F.broadcast(df) if size <= BROADCAST_LIMIT_BYTES else df
-
-
-def _forward(rows: DataFrame, pframe: DataFrame) -> DataFrame:
-    j = rows.join(pframe, "task")
-    j = j.withColumn("__z", F.transform("P", lambda r: dot(r, F.col("x"))))
-    j = j.withColumn("__l", F.transform("W", lambda w, k: dot(w, F.col("__z")) + F.element_at(F.col("b"), k + 1)))
-    j = j.withColumn("__m", F.array_max("__l"))
-    j = j.withColumn("__e", F.transform("__l", lambda v: F.exp(v - F.col("__m"))))
+def forward(rows: DataFrame) -> DataFrame:
+    """Rows with ``x, y, P, W, b`` -> ``delta, loss, ok``."""
+    logits = F.transform("W", lambda w, k: dot(w, F.col("__z")) + F.element_at(F.col("b"), k + 1))
+    j = rows.withColumn("__z", F.transform("P", lambda r: dot(r, F.col("x")))).withColumn("__l", logits)
+    j = j.withColumn("__m", F.array_max("__l")).withColumn("__e", F.transform("__l", lambda v: F.exp(v - F.col("__m"))))
     j = j.withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, v: a + v))
     delta = F.transform("__e", lambda v, k: v / F.col("__s") - F.when(k == F.col("y"), 1.0).otherwise(0.0))
-    return (j.withColumn("__d", delta)
-             .withColumn("__loss", F.col("__m") + F.log("__s") - F.element_at("__l", F.col("y") + 1))
-             .withColumn("__ok", ((F.array_position("__l", F.col("__m")) - 1) == F.col("y")).cast("long")))
-
-
-@dataclass
-class Stats:
-    n: int
-    loss_sum: float
-    correct: int
-    M: np.ndarray
-    g: np.ndarray
-
-
-def batch_stats(rows: DataFrame, pframe: DataFrame, num_class: int, d: int) -> dict[str, Stats]:
-    """One aggregate: per task row count, loss sum, correct count, ``M_t`` and ``g_t``."""
-    f = _forward(rows, pframe)
-    outer = F.flatten(F.transform("__d", lambda dk: F.transform("x", lambda xi: dk * xi)))
-    agg = f.groupBy("task").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("__loss").alias("loss_sum"), F.sum("__ok").alias("correct"),
-        Summarizer.sum(array_to_vector(outer)).alias("M"), Summarizer.sum(array_to_vector("__d")).alias("g"))
-    out = {}
-    for r in agg.collect():    # one row per task: parameter-sized, not data-sized
-        out[r["task"]] = Stats(r["n"], r["loss_sum"], r["correct"],
-                               np.asarray(r["M"].toArray()).reshape(num_class, d), np.asarray(r["g"].toArray()))
-    return out
-
-
-def gradients(s: Stats, p: Params, task: str, scale: float = 1.0) -> dict[str, np.ndarray]:
-    n = max(s.n, 1)
-    return {"encoder.P": scale * p.W[task].T @ s.M / n,
-            "fc_layer.weight": scale * s.M @ p.P.T / n,
-            "fc_layer.bias": scale * s.g / n}
-
-
-PARAM_ORDER = {"encoder.P": 0, "fc_layer.weight": 1, "fc_layer.bias": 2}
+    return (j.withColumn("delta", delta).withColumn("loss", F.col("__m") + F.log("__s") - F.element_at("__l", F.col("y") + 1))
+            .withColumn("ok", ((F.array_position("__l", F.col("__m")) - 1) == F.col("y")).cast("long"))
+            .drop("__z", "__l", "__m", "__e", "__s"))
 
 
-def gradient_rows(step: int, grads: dict[str, dict[str, np.ndarray]]):
-    return [(step, t, name, PARAM_ORDER[name], 0, g.ravel().tolist())
-            for t, gs in grads.items() for name, g in gs.items()]
+def _combine(weights: Column, rows: Column) -> Column:
+    """sum_k weights[k] * rows[k]."""
+    first = F.transform(rows[0], lambda v: F.lit(0.0))
+    return F.aggregate(F.arrays_zip(weights.alias("w"), rows.alias("r")), first,
+                       lambda acc, e: F.zip_with(acc, e["r"], lambda a, v: a + e["w"] * v))
 
 
-GRAD_SCHEMA = "step int, task string, param string, param_ord int, chunk int, g array<double>"
+def group_gradients(rows: DataFrame, params: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """``keys``, n, loss, accuracy, ``gP, gW, gb`` of the mean loss, and the parameters they were taken at.
 
-
-class GradientLog:
-    """Sampled gradient records, appended to a parquet table in the shared folder.
-
-    The driver buffers at most one epoch of records; ``flush`` is called at epoch
-    boundaries, so the run's gradient history never accumulates on the driver.
+    ``params`` has a row for each ``on``; ``on`` is part of ``keys``.  The rows meet their parameters in an equi-join,
+    are reduced to one row for each group, and the groups meet the parameters again, so sums travel, not matrices.
     """
+    keys, on = list(keys), list(on)
+    f = forward(rows.select(*keys, "y", "x").join(params, on))
+    outer = F.flatten(F.transform("delta", lambda dk: F.transform("x", lambda xi: dk * xi)))
+    sums = f.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"), F.avg(F.col("ok").cast("double")).alias("accuracy"),
+        vector_to_array(Summarizer.sum(array_to_vector(outer))).alias("__M"), vector_to_array(Summarizer.sum(array_to_vector("delta"))).alias("__g"))
+    j = sums.join(params, on)
+    d = F.size(F.col("P")[0])
+    j = j.withColumn("__M", F.transform("W", lambda _, k: F.transform(F.slice("__M", k * d + 1, d), lambda v: v / F.col("n"))))
+    columns = F.transform("P", lambda _, i: F.transform("W", lambda w: F.element_at(w, i + 1)))          # W transposed
+    return (j.withColumn("gW", F.transform("__M", lambda m: F.transform("P", lambda p: dot(m, p))))
+            .withColumn("gP", F.transform(columns, lambda c: _combine(c, F.col("__M"))))
+            .withColumn("gb", F.transform("__g", lambda v: v / F.col("n"))).drop("__M", "__g"))
+
+
+def descend(groups: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
+    """``keys, P, W, b`` after one gradient step."""
+    def matrix(a, g):
+        return F.zip_with(a, g, lambda r, s: F.zip_with(r, s, lambda x, y: x - F.lit(alpha) * y))
+    return groups.select(*keys, matrix("P", "gP").alias("P"), matrix("W", "gW").alias("W"),
+                         F.zip_with("b", "gb", lambda x, y: x - F.lit(alpha) * y).alias("b"))
+
+
+def gradient_table(groups: DataFrame, at: Sequence[str], scale: float = 1.0, extra: Sequence[str] = ()) -> DataFrame:
+    """Gradients in the layout of V5-V9: ``at, task, param, param_ord, chunk, g``."""
+    parts = dict(zip((p for p, _ in PARAMS), (F.flatten("gP"), F.flatten("gW"), F.col("gb"))))
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(o).alias("param_ord"),
+                                        F.transform(parts[p], lambda v: v * F.lit(scale)).alias("g")) for p, o in PARAMS]))
+    return groups.select(*at, "task", *extra, rows.alias("r")).select(*at, "task", *extra, "r.param", "r.param_ord", F.lit(0).alias("chunk"), "r.g")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write sampled rows into the shared folder: they are read several times, and sampled once."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def __init__(self, spark: SparkSession, name: str, schema: str = GRAD_SCHEMA):
-        self.spark, self.path, self.buf, self.written = spark, fresh_dir(spark, name), [], False
-        self.schema = schema
-
-    def add(self, rows: list) -> None:
-        self.buf += rows
 
-    def flush(self) -> None:
-        if self.buf:
-            self.spark.createDataFrame(self.buf, self.schema).write.mode("append").parquet(self.path)
-            self.buf, self.written = [], True
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("row_id", "task", F.col("emotion_ind").alias("y"), "x")
 
-    def frame(self) -> DataFrame | None:
-        self.flush()
-        return self.spark.read.parquet(self.path) if self.written else None
 
+def joint_gradients(rows: DataFrame, epochs: int = 2, batch_size: int = 32, mode: str = "mean_max_min", seed: int = 3) -> DataFrame:
+    """Gradients of ``loss / 2`` of every (epoch, step, task) batch of the schedule P7, all at the same parameters."""
+    rows = _rows(rows)
+    steps = P.multitask_step_schedule(rows, batch_size, epochs=epochs, mode=mode, seed=seed)
+    return gradient_table(group_gradients(steps, base_params(rows), ["epoch", "step", "task"], ["task"]), ["epoch", "step"], 0.5)
 
-def similarity_frame(spark: SparkSession, grads: DataFrame | None, tasks) -> DataFrame:
-    """V6 on the recorded gradients: ``(step, pair, grp, similarity)`` in task-list order."""
-    if grads is None:
-        return spark.createDataFrame([], "step int, pair string, grp string, similarity double")
-    sims = I.group_cosines(grads, I.task_pairs(I.task_order(list(tasks), spark)))
-    return sims.select("step", "pair", "grp", "similarity")
 
+def shared_update(rows: DataFrame, batch_size: int = 16, alpha: float = 1e-2, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Batches of the shortest schedule, halved (P6): one step on the support half of each task's batch, the query
+    half's gradient at the adapted parameters, averaged over the tasks for the shared parameters only (A10).
 
-def _materialize(df: DataFrame, name: str, parts) -> str:
-    path = fresh_dir(df.sparkSession, name)
-    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
-    return path
-
-
-def _dim(stored: DataFrame) -> int:
-    """Vector length from one row of a materialised table (vectors have one fixed length)."""
-    return stored.select(F.size("x")).first()[0]
-
-
-# ---- C1 / C7: joint multi-task training ---------------------------------------------------
-
-@dataclass
-class JointResult:
-    params: Params
-    similarity: DataFrame
-    metrics: DataFrame
-
-
-def joint_multitask(rows: DataFrame, tasks, epochs: int = 2, batch_size: int = 32, lr: float = 2e-5,
-                    mode: str = "mean_max_min", seed: int = 3, every_nth: int = 10, hidden: int = 16,
-                    num_class: int = 2, init: Params | None = None,
-                    snapshot_dir: str | None = None) -> JointResult:
-    """Per step one batch per task; all task gradients of ``loss/2`` at the same
-    parameters; shared parameters move by the sum, each head by its own gradient.
-    Similarity of the task gradients on every ``every_nth`` step of an epoch.
-    With ``snapshot_dir`` the parameters are written after every epoch
-    (``<dir>/epoch=<e>``, readable by ``load_params``) so a restarted run can resume."""
-    spark = rows.sparkSession
-    tasks = list(tasks)
-    rows = rows.where(F.col("task").isin(tasks)).select("row_id", "task", F.col("emotion_ind").alias("y"), "x")
-    sched = P.multitask_step_schedule(rows, batch_size, epochs=epochs, mode=mode, seed=seed)
-    path = _materialize(sched.select("epoch", "step", "task", "y", "x"), "joint-schedule", ["epoch", "step"])
-    stored = spark.read.parquet(path)
-    steps = sorted((r[0], r[1]) for r in stored.select("epoch", "step").distinct().collect())
-    d = init.P.shape[1] if init is not None else _dim(stored)
-    params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
-    glog, metrics = GradientLog(spark, "joint-grads"), []
-    for i, (epoch, step) in enumerate(steps):
-        if i > 0 and steps[i - 1][0] != epoch:
-            glog.flush()
-            if snapshot_dir:
-                _snapshot(spark, params, snapshot_dir, steps[i - 1][0])
-        batch = stored.where((F.col("epoch") == epoch) & (F.col("step") == step))
-        stats = batch_stats(batch, params_frame(spark, {t: params for t in tasks}), num_class, d)
-        grads = {t: gradients(stats[t], params, t, 0.5) for t in tasks if t in stats}
-        for t in grads:
-            metrics.append((epoch, step, t, stats[t].n, stats[t].loss_sum / stats[t].n, stats[t].correct))
-        if step % every_nth == 0:
-            glog.add(gradient_rows(epoch * 100000 + step, grads))
-        params.P -= lr * sum(g["encoder.P"] for g in grads.values())
-        for t, g in grads.items():
-            params.W[t] -= lr * g["fc_layer.weight"]
-            params.b[t] -= lr * g["fc_layer.bias"].ravel()
-    if snapshot_dir and steps:
-        _snapshot(spark, params, snapshot_dir, steps[-1][0])
-    sims = similarity_frame(spark, glog.frame(), tasks)
-    sims = sims.select((F.col("step") / 100000).cast("int").alias("epoch"), (F.col("step") % 100000).alias("step"),
-                       "pair", "grp", "similarity")
-    m = spark.createDataFrame(metrics, "epoch int, step int, task string, n long, batch_loss double, correct long")
-    per_epoch = m.groupBy("epoch", "task").agg(
-        (F.sum("correct") / F.sum("n")).alias("accuracy"), F.avg("batch_loss").alias("loss"))
-    return JointResult(params, sims, per_epoch)
-
-
-# ---- C2 / C3: first-order MAML and ProtoMAML -------------------------------------------------
-
-@dataclass
-class MetaResult:
-    params: Params
-    similarity: DataFrame
-    episodes: DataFrame
-
-
-def _proto_heads(support: DataFrame, params: Params, tasks, num_class: int, d: int) -> dict[str, tuple]:
-    """V1 on encoder outputs: prototypes of ``z = P x`` are ``P`` times the class means of x."""
-    means = class_means(support.withColumnRenamed("y", "emotion_ind"), ["task"], "x").collect()
-    c_x = {t: np.full((num_class, d), np.nan) for t in tasks}
-    for r in means:
-        c_x[r["task"]][r["emotion_ind"]] = np.asarray(r["c"])
-    out = {}
-    for t in tasks:
-        c_z = c_x[t] @ params.P.T
-        out[t] = (2.0 * c_z, -np.sum(c_z * c_z, axis=1))
-    return out
-
-
-def meta_train(rows: DataFrame, tasks, epochs: int = 2, k: int = 10, alpha: float = 1e-3, beta: float = 1e-4,
-               inner_steps: int = 1, prototypes: bool = True, seed: int = 3, every_nth: int = 10,
-               hidden: int = 16, num_class: int = 2, init: Params | None = None,
-               zero_head: bool = False, query_prototypes: bool = False) -> MetaResult:
-    """C2 (``prototypes=False``) / C3 (``prototypes=True``), first-order.
-
-    Per episode and task: copy the parameters (head from support prototypes for C3,
-    zeroed for the multi-task C2 variant), ``inner_steps`` SGD steps on the support
-    rows, gradient of the query loss at the adapted parameters; then shared
-    parameters move by ``beta`` times the sum over tasks and each head by its own
-    task's query gradient.  All tasks adapt in the same aggregate (grouped by task).
-    The last inner-step gradients are compared pairwise every ``every_nth`` episodes.
-    """
-    spark = rows.sparkSession
-    tasks = list(tasks)
-    rows = rows.where(F.col("task").isin(tasks))
-    ep = P.episode_support_query(P.episode_sampler(rows.select("row_id", "task", "emotion_ind", "x"),
-                                                   k=k, epochs=epochs, seed=seed))
-    path = _materialize(ep.select("epoch", "episode", "task", "role", F.col("emotion_ind").alias("y"), "x"),
-                        "meta-episodes", ["epoch", "episode"])
-    stored = spark.read.parquet(path)
-    keys = sorted((r[0], r[1]) for r in stored.select("epoch", "episode").distinct().collect())
-    d = init.P.shape[1] if init is not None else _dim(stored)
-    params = init.copy() if init is not None else init_params(tasks, d, hidden, num_class, seed)
-    means_all = None
-    if prototypes or query_prototypes:
-        # class means of every episode in one aggregate: they do not depend on the parameters
-        means_path = _materialize(class_means(stored.withColumnRenamed("y", "emotion_ind"),
-                                              ["epoch", "episode", "task", "role"], "x"),
-                                  "meta-means", ["epoch", "episode"])
-        means_all = MeansByBlock(spark.read.parquet(means_path), "epoch", "episode", "task")
-    glog, log = GradientLog(spark, "meta-grads"), []
-    for i, (epoch, episode) in enumerate(keys):
-        if i > 0 and keys[i - 1][0] != epoch:
-            glog.flush()
-        this = stored.where((F.col("epoch") == epoch) & (F.col("episode") == episode))
-        support, query = this.where(F.col("role") == "support"), this.where(F.col("role") == "query")
-        means = {} if means_all is None else means_all.get(epoch, episode)
-        local = {t: params.task_view(t) for t in tasks}
-        if prototypes:
-            for t in tasks:
-                local[t].W[t], local[t].b[t] = _heads_from_means(means, t, params, "support", num_class, d)
-        elif zero_head:
-            for t in tasks:
-                local[t].W[t][:] = 0.0
-                local[t].b[t][:] = 0.0
-        inner = {}
-        for _ in range(inner_steps):
-            st = batch_stats(support, params_frame(spark, local), num_class, d)
-            inner = {t: gradients(st[t], local[t], t) for t in tasks if t in st}
-            for t, g in inner.items():
-                local[t].P -= alpha * g["encoder.P"]
-                local[t].W[t] -= alpha * g["fc_layer.weight"]
-                local[t].b[t] -= alpha * g["fc_layer.bias"].ravel()
-        if query_prototypes:      # H5: head rebuilt from the query rows before scoring them
-            for t in tasks:
-                local[t].W[t], local[t].b[t] = _heads_from_means(means, t, local[t], "query", num_class, d)
-        qs = batch_stats(query, params_frame(spark, local), num_class, d)
-        qg = {t: gradients(qs[t], local[t], t) for t in tasks if t in qs}
-        for t in qg:
-            log.append((epoch, episode, t, qs[t].loss_sum / qs[t].n, qs[t].correct / qs[t].n))
-        if episode % every_nth == 0 and len(inner) >= 2:
-            glog.add(gradient_rows(epoch * 100000 + episode, inner))
-        params.P -= beta * sum(g["encoder.P"] for g in qg.values())
-        for t, g in qg.items():
-            params.W[t] -= beta * g["fc_layer.weight"]
-            params.b[t] -= beta * g["fc_layer.bias"].ravel()
-    sims = similarity_frame(spark, glog.frame(), tasks).select(
-        (F.col("step") / 100000).cast("int").alias("epoch"), (F.col("step") % 100000).alias("episode"),
-        "pair", "grp", "similarity")
-    episodes = spark.createDataFrame(log, "epoch int, episode int, task string, loss double, accuracy double")
-    return MetaResult(params, sims, episodes)
-
-
-# ---- C3 two-task conflict study (single head, reference episodes, per-parameter cosines) -----
-
-@dataclass
-class StudyResult:
-    params: Params
-    similarity: DataFrame      # V7 long form: step, phase, pair, param, similarity
-    gradients: str             # shared-folder table the similarities were computed from
-
-
-class MeansByBlock:
-    """Per-episode class means, fetched a block of episodes at a time.
-
-    One small read per ``block`` episodes instead of one job per episode; driver
-    memory is bounded by ``block x keys x classes x dim`` regardless of run length.
+    Returns (query groups by epoch, step, task; the mean shared gradient by epoch and step).
     """
-
-    def __init__(self, frame: DataFrame, epoch_col: str, step_col: str, key_col: str, block: int = 64):
-        self.frame, self.e, self.s, self.k, self.block, self.cache = frame, epoch_col, step_col, key_col, block, {}
-
-    def get(self, epoch: int, step: int) -> dict:
-        if (epoch, step) not in self.cache:
-            rows = self.frame.where((F.col(self.e) == epoch) & (F.col(self.s) >= step)
-                                    & (F.col(self.s) < step + self.block)).collect()
-            self.cache = {}
-            for r in rows:
-                self.cache.setdefault((r[self.e], r[self.s]), {})[(r[self.k], r["role"], r["emotion_ind"])] = \
-                    np.asarray(r["c"])
-            self.cache.setdefault((epoch, step), {})
-        return self.cache[(epoch, step)]
-
-
-HEAD = "head"
-STUDY_SCHEMA = ("step int, task string, phase string, kind string, param string, param_ord int, chunk int, "
-                "g array<double>")
-
-
-def _heads_from_means(means: dict, key: str, p: Params, role: str, num_class: int, d: int):
-    c_x = np.full((num_class, d), np.nan)
-    for (k, r, y), c in means.items():
-        if k == key and r == role:
-            c_x[y] = c
-    c_z = c_x @ p.P.T
-    return 2.0 * c_z, -np.sum(c_z * c_z, axis=1)
-
-
-def conflict_study(rows: DataFrame, task_1: str, task_2: str, epochs: int = 1, k: int = 10, alpha: float = 1e-3,
-                   beta: float = 1e-4, inner_steps: int = 1, seed: int = 3, hidden: int = 16, num_class: int = 2,
-                   query_prototypes: bool = True, init: Params | None = None) -> StudyResult:
-    """Two-task ProtoMAML with a single shared head.
-
-    Every step consumes two consecutive draws of the persistent class streams: draw
-    ``2s`` is the episode, ``2s+1`` an independent reference episode.  For each of
-    the four (kind, task) episodes the head starts from support prototypes, takes
-    ``inner_steps`` SGD steps (the first inner step's gradients are kept), is rebuilt
-    from query prototypes when ``query_prototypes`` (the reference's behaviour), and
-    the query gradient is taken.  The initial parameters move by ``beta`` times the
-    sum of the two episode tasks' query gradients.  Six per-parameter cosine series
-    per step: {outer, inner} x {a-b, a-ref(a), b-ref(b)} (V7).
-    """
-    spark = rows.sparkSession
-    tasks = [task_1, task_2]
-    rows = rows.where(F.col("task").isin(tasks)).select("row_id", "task", "emotion_ind", "x")
-    sizes = rows.groupBy("task", "emotion_ind").count().collect()          # streams: tasks x classes
-    L = min(-(-r["count"] // k) for r in sizes)
-    ep = P.episode_support_query(P.episode_sampler(rows, k=k, epochs=2 * epochs, seed=seed))
-    g = F.col("epoch") * L + F.col("episode")
-    study = ep.select((g / (2 * L)).cast("int").alias("s_epoch"), ((g % (2 * L)) / 2).cast("int").alias("s_step"),
-                      F.when(g % 2 == 0, "episode").otherwise("ref").alias("kind"),
-                      F.concat(F.when(g % 2 == 0, "episode").otherwise("ref"), F.lit("|"), "task").alias("key"),
-                      "task", "role", F.col("emotion_ind").alias("y"), "x")
-    path = _materialize(study, "study-episodes", ["s_epoch", "s_step"])
-    stored = spark.read.parquet(path)
-    # class means of every draw in one aggregate: they do not depend on the parameters
-    means_path = _materialize(
-        class_means(stored.withColumnRenamed("y", "emotion_ind"), ["s_epoch", "s_step", "key", "role"], "x"),
-        "study-means", ["s_epoch", "s_step"])
-    means_all = MeansByBlock(spark.read.parquet(means_path), "s_epoch", "s_step", "key")
-    keys = sorted((r[0], r[1]) for r in stored.select("s_epoch", "s_step").distinct().collect())
-    d = init.P.shape[1] if init is not None else _dim(stored)
-    params = init.copy() if init is not None else init_params([HEAD], d, hidden, num_class, seed)
-    glog = GradientLog(spark, "study-grads", STUDY_SCHEMA)
-    for i, (epoch, step) in enumerate(keys):
-        if i > 0 and keys[i - 1][0] != epoch:
-            glog.flush()
-        this = stored.where((F.col("s_epoch") == epoch) & (F.col("s_step") == step)).withColumn("task", F.col("key"))
-        means = means_all.get(epoch, step)
-        ekeys = sorted({kk for kk, _, _ in means})
-        local = {}
-        for kk in ekeys:
-            lp = Params(params.P.copy())
-            lp.W[kk], lp.b[kk] = _heads_from_means(means, kk, params, "support", num_class, d)
-            local[kk] = lp
-        support, query = this.where(F.col("role") == "support"), this.where(F.col("role") == "query")
-        first_inner = {}
-        for it in range(inner_steps):
-            st = batch_stats(support, params_frame(spark, local), num_class, d)
-            for kk in ekeys:
-                if kk not in st:
-                    continue
-                gr = gradients(st[kk], local[kk], kk)
-                if it == 0:
-                    first_inner[kk] = gr
-                local[kk].P -= alpha * gr["encoder.P"]
-                local[kk].W[kk] -= alpha * gr["fc_layer.weight"]
-                local[kk].b[kk] -= alpha * gr["fc_layer.bias"].ravel()
-        if query_prototypes:
-            for kk in ekeys:
-                local[kk].W[kk], local[kk].b[kk] = _heads_from_means(means, kk, local[kk], "query", num_class, d)
-        qs = batch_stats(query, params_frame(spark, local), num_class, d)
-        outer = {kk: gradients(qs[kk], local[kk], kk) for kk in ekeys if kk in qs}
-        ep_keys = [f"episode|{t}" for t in tasks if f"episode|{t}" in outer]
-        params.P -= beta * sum(outer[kk]["encoder.P"] for kk in ep_keys)
-        params.W[HEAD] -= beta * sum(outer[kk]["fc_layer.weight"] for kk in ep_keys)
-        params.b[HEAD] -= beta * sum(outer[kk]["fc_layer.bias"].ravel() for kk in ep_keys)
-        gstep = epoch * 100000 + step
-        for phase, grads in (("outer", outer), ("inner", first_inner)):
-            for kk, gr in grads.items():
-                kind, task = kk.split("|", 1)
-                glog.add([(gstep, task, phase, kind, name, PARAM_ORDER[name], 0, v.ravel().tolist())
-                          for name, v in gr.items()])
-    glog_frame = glog.frame()
-    if glog_frame is None:
-        sims = spark.createDataFrame([], "step int, phase string, pair string, param string, similarity double")
-    else:
-        sims = I.per_param_cosines(glog_frame, task_1, task_2)
-    return StudyResult(params, sims, glog.path)
-
-
-# ---- C4: adapt from an initialisation and evaluate ------------------------------------------
-
-def evaluate(rows: DataFrame, per_task: dict[str, Params], num_class: int, d: int, batch_size: int = 32,
-             seed: int = 3) -> DataFrame:
-    """Micro accuracy and batch-mean loss per task of ``rows`` under per-task parameters."""
-    spark = rows.sparkSession
-    b = P.batch_shuffled(rows.select("row_id", "task", F.col("emotion_ind").alias("y"), "x"), batch_size, seed=seed)
-    f = _forward(b, params_frame(spark, per_task))
-    per_batch = f.groupBy("task", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("__ok").alias("ok"),
-                                               F.avg("__loss").alias("bl"))
-    return per_batch.groupBy("task").agg((F.sum("ok") / F.sum("n")).alias("accuracy"), F.avg("bl").alias("loss"))
-
-
-def adapt_evaluate(train_rows: DataFrame, val_rows: DataFrame, init: Params, tasks, k: int = 10,
-                   alpha: float = 1e-3, inner_steps: int = 1, seed: int = 3, num_class: int = 2) -> DataFrame:
-    """C4: one episode adapts each task from ``init`` (prototype head + inner steps),
-    then every validation row of the task is scored.  Adds a ``__macro__`` row."""
-    spark = train_rows.sparkSession
-    tasks = list(tasks)
-    d = init.P.shape[1]
-    ep = P.episode_support_query(P.episode_sampler(
-        train_rows.where(F.col("task").isin(tasks)).select("row_id", "task", "emotion_ind", "x"), k=k, epochs=1, seed=seed))
-    support = ep.where((F.col("episode") == 0) & (F.col("role") == "support")) \
-        .select("task", F.col("emotion_ind").alias("y"), "x")
-    local = {t: init.task_view(t) for t in tasks}
-    for t, (w, b) in _proto_heads(support, init, tasks, num_class, d).items():
-        local[t].W[t], local[t].b[t] = w, b
-    for _ in range(inner_steps):
-        st = batch_stats(support, params_frame(spark, local), num_class, d)
-        for t in tasks:
-            if t in st:
-                g = gradients(st[t], local[t], t)
-                local[t].P -= alpha * g["encoder.P"]
-                local[t].W[t] -= alpha * g["fc_layer.weight"]
-                local[t].b[t] -= alpha * g["fc_layer.bias"].ravel()
-    per_task = evaluate(val_rows.where(F.col("task").isin(tasks)), local, num_class, d)
+    rows = _rows(rows)
+    halves = _stored(P.batch_support_query(P.multitask_step_schedule(rows, batch_size, epochs=1, mode="zip_shortest", seed=seed)), "halves")
+    keys = ["epoch", "step", "task"]
+    inner = group_gradients(halves.where("role = 'support'"), base_params(rows), keys, ["task"])
+    query = group_gradients(halves.where("role = 'query'"), descend(inner, keys, alpha), keys, keys)
+    table = gradient_table(query, ["step"])
+    return query, I.accumulate(table, "mean_shared_only")
+
+
+def prototype_params(episodes: DataFrame, params: DataFrame, num_class: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """V1 on encoder outputs: ``keys, P, W, b`` with heads from the support prototypes of ``z = P x``."""
+    keys = list(keys)
+    support = episodes.where("role = 'support'").withColumnRenamed("y", "emotion_ind")
+    means = prototypes(support, keys, num_class, drawn=episodes).select(*keys, F.struct("emotion_ind", "c").alias("m"))
+    heads = means.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("__c")).join(params.select("task", "P"), "task")   # a row for each class
+    z = heads.withColumn("__z", F.transform("__c", lambda m: F.transform("P", lambda p: dot(p, m["c"]))))
+    return z.select(*keys, "P", F.transform("__z", lambda r: F.transform(r, lambda v: v * 2.0)).alias("W"), F.transform("__z", lambda r: -sq_norm(r)).alias("b"))
+
+
+def episode_rows(rows: DataFrame, k: int, epochs: int, seed: int) -> DataFrame:
+    ep = P.episode_support_query(P.episode_sampler(rows.select("row_id", "task", "emotion_ind", "x"), k=k, epochs=epochs, seed=seed))
+    return _stored(ep.select("epoch", "episode", "task", "role", F.col("emotion_ind").alias("y"), "x"), "episodes")
+
+
+def num_classes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("task").agg(F.count_distinct("emotion_ind").alias("num_class"))
+
+
+def episode_adaptation(rows: DataFrame, k: int = 10, epochs: int = 2, alpha: float = 1e-3, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """For every (epoch, episode, task) a prototype head, one inner step on the support rows, and the query rows'
+    gradient at the adapted parameters.  Returns (inner groups, query groups)."""
+    ep = episode_rows(rows, k, epochs, seed)
+    keys = ["epoch", "episode", "task"]
+    start = prototype_params(ep, base_params(_rows(rows)), num_classes(rows), keys)
+    inner = group_gradients(ep.where("role = 'support'"), start, keys, keys)
+    return inner, group_gradients(ep.where("role = 'query'"), descend(inner, keys, alpha), keys, keys)
+
+
+def conflict_gradients(rows: DataFrame, task_1: str, task_2: str, k: int = 10, alpha: float = 1e-3, seed: int = 3) -> DataFrame:
+    """Two-task conflict study: draw ``2s`` of the class streams is step s's episode, draw ``2s + 1`` its reference.
+    Gradients of both (inner: support, outer: query after one step) in the layout of V7, for ``per_param_cosines``."""
+    rows = rows.where(F.col("task").isin(task_1, task_2))
+    inner, query = episode_adaptation(rows, k=k, epochs=1, alpha=alpha, seed=seed)
+    parts = []
+    for phase, groups in (("inner", inner), ("outer", query)):
+        kind = F.when(F.col("episode") % 2 == 0, "episode").otherwise("ref")
+        g = gradient_table(groups.withColumn("kind", kind).withColumn("phase", F.lit(phase)), ["epoch", "episode"], extra=["phase", "kind"])
+        parts.append(g.withColumn("step", F.floor(F.col("episode") / 2).cast("int")))
+    return _stored(parts[0].unionByName(parts[1]), "conflict-gradients")
+
+
+def adapt_evaluate(train: DataFrame, val: DataFrame, k: int = 10, alpha: float = 1e-3, inner_steps: int = 1, batch_size: int = 32,
+                   seed: int = 3) -> DataFrame:
+    """C4: the first episode adapts each task (prototype head, then 0 or 1 inner step); every validation row is scored.
+    ``task, accuracy, loss`` (loss: mean over shuffled batches) and a ``__macro__`` row."""
+    ep = episode_rows(train, k, 1, seed).where("epoch = 0 AND episode = 0")
+    params = prototype_params(ep, base_params(_rows(train)), num_classes(train), ["task"])
+    if inner_steps:
+        params = descend(group_gradients(ep.where("role = 'support'"), params, ["task"], ["task"]), ["task"], alpha)
+    scored = forward(_rows(val).join(params, "task")).select("row_id", "task", "loss", "ok")
+    batches = P.batch_shuffled(scored, batch_size, seed=seed)          # narrow rows only
+    per_batch = batches.groupBy("task", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"), F.avg("loss").alias("bl"))
+    per_task = per_batch.groupBy("task").agg((F.sum("ok") / F.sum("n")).alias("accuracy"), F.avg("bl").alias("loss"))
     macro = per_task.agg(F.lit("__macro__").alias("task"), F.avg("accuracy").alias("accuracy"), F.avg("loss").alias("loss"))
     return per_task.unionByName(macro)
-
-
-# ---- parameter tables (C7 input) -------------------------------------------------------------
-
-def params_to_frame(spark: SparkSession, p: Params) -> DataFrame:
-    rows = [(None, "encoder.P", p.P.shape[0], p.P.ravel().tolist())]
-    for t in p.W:
-        rows.append((t, "fc_layer.weight", p.W[t].shape[0], p.W[t].ravel().tolist()))
-        rows.append((t, "fc_layer.bias", 1, p.b[t].ravel().tolist()))
-    return spark.createDataFrame(rows, "task string, param string, n_rows int, g array<double>")
-
-
-def save_params(spark: SparkSession, p: Params, path: str | None = None) -> str:
-    path = path or fresh_dir(spark, "params")
-    params_to_frame(spark, p).write.mode("overwrite").parquet(path)
-    return path
-
-
-def _snapshot(spark: SparkSession, p: Params, directory: str, epoch: int) -> None:
-    save_params(spark, p, f"{directory.rstrip('/')}/epoch={epoch}")
-
-
-def load_params(spark: SparkSession, path: str) -> Params:
-    rows = spark.read.parquet(path).collect()      # model-sized table
-    out = Params(np.zeros((0, 0)))
-    for r in rows:
-        a = np.asarray(r["g"]).reshape(r["n_rows"], -1)
-        if r["param"] == "encoder.P":
-            out.P = a
-        elif r["param"] == "fc_layer.weight":
-            out.W[r["task"]] = a
-        else:
-            out.b[r["task"]] = a.ravel()
-    return out
-
-
-# ---- C8: sequential fine-tuning with clipping and best-per-task -----------------------------
-
-def finetune_sequential(train_rows: DataFrame, val_rows: DataFrame, init: Params, tasks, epochs: int = 2,
-                        batch_size: int = 32, lr: float = 1e-3, max_norm: float = 1.0, seed: int = 3,
-                        num_class: int = 2) -> DataFrame:
-    """From ``init`` with all heads zeroed, evaluate, then train with tasks updated one
-    after another inside each step (``zip_shortest`` schedule), each task's gradient
-    clipped to ``max_norm``; after each epoch keep a task's accuracy when it strictly
-    beats its best so far (best starts at 0).  Returns ``(task, epoch, accuracy, loss,
-    improved)`` with epoch -1 for the evaluation before training."""
-    spark = train_rows.sparkSession
-    tasks = list(tasks)
-    rows = train_rows.where(F.col("task").isin(tasks))
-    d = init.P.shape[1]
-    params = init.copy()
-    for t in tasks:
-        params.W[t] = np.zeros((num_class, params.P.shape[0]))
-        params.b[t] = np.zeros(num_class)
-    val = val_rows.where(F.col("task").isin(tasks))
-    sched = P.multitask_step_schedule(rows.select("row_id", "task", F.col("emotion_ind").alias("y"), "x"),
-                                      batch_size, epochs=epochs, mode="zip_shortest", seed=seed)
-    path = _materialize(sched.select("epoch", "step", "task", "y", "x"), "finetune-schedule", ["epoch", "step"])
-    stored = spark.read.parquet(path)
-    steps = sorted((r[0], r[1]) for r in stored.select("epoch", "step").distinct().collect())
-    history = [(-1, r["task"], r["accuracy"], r["loss"]) for r in evaluate(val, {t: params for t in tasks},
-                                                                            num_class, d).collect()]
-    for epoch in range(epochs):
-        for e, step in steps:
-            if e != epoch:
-                continue
-            batch = stored.where((F.col("epoch") == e) & (F.col("step") == step))
-            for t in tasks:        # tasks update one after another
-                st = batch_stats(batch.where(F.col("task") == t), params_frame(spark, {t: params}), num_class, d)
-                if t not in st:
-                    continue
-                g = gradients(st[t], params, t)
-                norm = np.sqrt(sum(float(np.sum(v * v)) for v in g.values()))
-                coef = min(1.0, max_norm / (norm + 1e-6))
-                params.P -= lr * coef * g["encoder.P"]
-                params.W[t] -= lr * coef * g["fc_layer.weight"]
-                params.b[t] -= lr * coef * g["fc_layer.bias"].ravel()
-        history += [(epoch, r["task"], r["accuracy"], r["loss"])
-                    for r in evaluate(val, {t: params for t in tasks}, num_class, d).collect()]
-    best, out = {t: 0.0 for t in tasks}, []
-    for epoch, t, acc, loss in sorted(history, key=lambda r: (r[0], r[1])):
-        improved = epoch >= 0 and acc > best[t]
-        if improved:
-            best[t] = acc
-        out.append((t, epoch, float(acc), float(loss), bool(improved)))
-    return spark.createDataFrame(out, "task string, epoch int, accuracy double, loss double, improved boolean")
-

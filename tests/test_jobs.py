@@ -1,163 +1,105 @@
-"""Iterative jobs against independent NumPy replicas (same batches, same maths)."""
+"""Gradient jobs against NumPy on the same sampled rows (the oracles cover them in SQL)."""
 
+import hashlib
 import itertools
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from taskweave.operators import interference as I
 from taskweave.operators import sampling as P
 from taskweave.plans import fixtures as X
 from taskweave.plans import training as TR
 
 
-def _train(spark):
-    s = P.split_holdout(X.fv(spark, SF_SMALL))
-    train = s.where(F.col("split") == "train")
-    tasks = sorted(r[0] for r in train.select("task").distinct().collect())
-    return s, train, tasks
+def weight(name, i, j):
+    return (int(hashlib.md5(f"{name}:{i}:{j}".encode()).hexdigest()[:8], 16) % 2001 - 1000) / 10000.0
 
 
-def _grads(Pm, W, b, Xb, y, scale=1.0):
-    z = Xb @ Pm.T
+def matrix(name, n, m):
+    return np.array([[weight(name, i, j) for j in range(m)] for i in range(n)])
+
+
+def grads(Pm, W, b, x, y):
+    z = x @ Pm.T
     logits = z @ W.T + b
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p = e / e.sum(axis=1, keepdims=True)
-    delta = p - np.eye(W.shape[0])[y]
+    delta = e / e.sum(axis=1, keepdims=True) - np.eye(len(W))[y]
     n = len(y)
-    return (scale * W.T @ delta.T @ Xb / n, scale * delta.T @ z / n, scale * delta.sum(0) / n)
+    return W.T @ delta.T @ x / n, delta.T @ z / n, delta.sum(0) / n
 
 
-def _cos(a, b):
-    na, nb = np.linalg.norm(a), np.linalg.norm(b)
-    return float("nan") if na == 0 or nb == 0 else float(a @ b / (na * nb))
+@pytest.fixture(scope="module")
+def train(spark):
+    return P.split_holdout(X.fv(spark, SF_SMALL)).where(F.col("split") == "train")
 
 
-def test_joint_multitask_matches_numpy(spark):
-    _, train, tasks = _train(spark)
-    res = TR.joint_multitask(train, tasks, epochs=2, batch_size=16, lr=0.5, every_nth=2)
-    rows = P.multitask_step_schedule(train.select("row_id", "task", F.col("emotion_ind").alias("y"), "x"), 16,
-                                     epochs=2, mode="mean_max_min").collect()
+def test_joint_gradients(train):
+    got = {(r.epoch, r.step, r.task, r.param): r.g for r in TR.joint_gradients(train, epochs=2, batch_size=16).collect()}
+    rows = P.multitask_step_schedule(train.select("row_id", "task", "emotion_ind", "x"), 16, epochs=2).collect()
     batches = defaultdict(list)
     for r in rows:
-        batches[(r.epoch, r.step, r.task)].append((r.pos, r.x, r.y))
-    p = TR.init_params(tasks, 64)
-    sims = {}
-    for epoch, step in sorted({(e, s) for e, s, _ in batches}):
-        grads = {}
-        for t in tasks:
-            b = sorted(batches[(epoch, step, t)])
-            Xb, y = np.array([x for _, x, _ in b]), np.array([v for _, _, v in b])
-            grads[t] = _grads(p.P, p.W[t], p.b[t], Xb, y, 0.5)
-        if step % 2 == 0:
-            for a, c in itertools.combinations(tasks, 2):
-                ga, gc = grads[a], grads[c]
-                sims[(epoch, step, f"{a}-{c}", "encoder")] = _cos(ga[0].ravel(), gc[0].ravel())
-                sims[(epoch, step, f"{a}-{c}", "fc_layer")] = _cos(np.r_[ga[1].ravel(), ga[2]], np.r_[gc[1].ravel(), gc[2]])
-                sims[(epoch, step, f"{a}-{c}", "all_model")] = _cos(np.r_[ga[0].ravel(), ga[1].ravel(), ga[2]],
-                                                                   np.r_[gc[0].ravel(), gc[1].ravel(), gc[2]])
-        p.P -= 0.5 * sum(g[0] for g in grads.values())
-        for t, g in grads.items():
-            p.W[t] -= 0.5 * g[1]
-            p.b[t] -= 0.5 * g[2]
-    assert np.allclose(res.params.P, p.P, atol=1e-9)
-    for t in tasks:
-        assert np.allclose(res.params.W[t], p.W[t], atol=1e-9) and np.allclose(res.params.b[t], p.b[t], atol=1e-9)
-    got = {(r.epoch, r.step, r.pair, r.grp): r.similarity for r in res.similarity.collect()}
-    assert set(got) == set(sims)
-    assert all(abs(got[k] - v) < 1e-9 for k, v in sims.items())
-
-
-def test_protomaml_matches_numpy(spark):
-    _, train, tasks = _train(spark)
-    res = TR.meta_train(train, tasks, epochs=1, k=10, alpha=0.3, beta=0.2, inner_steps=2, prototypes=True)
-    ep = P.episode_support_query(P.episode_sampler(train.select("row_id", "task", "emotion_ind", "x"),
-                                                   k=10, epochs=1)).collect()
-    groups = defaultdict(list)
-    for r in ep:
-        groups[(r.epoch, r.episode, r.task, r.role)].append((r.x, r.emotion_ind))
-    p = TR.init_params(tasks, 64)
-    for epoch, episode in sorted({(e, s) for e, s, _, _ in groups}):
-        qg = {}
-        for t in tasks:
-            Xs = np.array([x for x, _ in groups[(epoch, episode, t, "support")]])
-            ys = np.array([y for _, y in groups[(epoch, episode, t, "support")]])
-            Xq = np.array([x for x, _ in groups[(epoch, episode, t, "query")]])
-            yq = np.array([y for _, y in groups[(epoch, episode, t, "query")]])
-            cz = np.stack([Xs[ys == c].mean(axis=0) for c in range(2)]) @ p.P.T
-            Pl, Wl, bl = p.P.copy(), 2 * cz, -np.sum(cz * cz, axis=1)
-            for _ in range(2):
-                dP, dW, db = _grads(Pl, Wl, bl, Xs, ys)
-                Pl, Wl, bl = Pl - 0.3 * dP, Wl - 0.3 * dW, bl - 0.3 * db
-            qg[t] = _grads(Pl, Wl, bl, Xq, yq)
-        p.P -= 0.2 * sum(g[0] for g in qg.values())
-        for t, g in qg.items():
-            p.W[t] -= 0.2 * g[1]
-            p.b[t] -= 0.2 * g[2]
-    assert np.allclose(res.params.P, p.P, atol=1e-9)
-    for t in tasks:
-        assert np.allclose(res.params.W[t], p.W[t], atol=1e-9)
-
-
-def test_saved_params_round_trip(spark):
-    p = TR.init_params(["a", "b"], 8, 4)
-    q = TR.load_params(spark, TR.save_params(spark, p))
-    assert np.array_equal(p.P, q.P) and all(np.array_equal(p.W[t], q.W[t]) for t in "ab")
-
-
-def test_joint_snapshots_each_epoch(spark):
-    from taskweave.session import fresh_dir
-    _, train, tasks = _train(spark)
-    snap = fresh_dir(spark, "snap")
-    res = TR.joint_multitask(train, tasks, epochs=2, batch_size=32, lr=0.5, snapshot_dir=snap)
-    last = TR.load_params(spark, f"{snap}/epoch=1")
-    first = TR.load_params(spark, f"{snap}/epoch=0")
-    assert np.allclose(last.P, res.params.P) and not np.allclose(first.P, res.params.P)
-
-
-def test_conflict_study_matches_numpy(spark):
-    _, train, _ = _train(spark)
-    tasks = ["t0", "t1"]
-    res = TR.conflict_study(train, "t0", "t1", epochs=1, k=10, alpha=0.3, beta=0.2, inner_steps=2)
-    rows = train.where(F.col("task").isin(tasks)).select("row_id", "task", "emotion_ind", "x")
-    sizes = rows.groupBy("task", "emotion_ind").count().collect()
-    L = min(-(-r["count"] // 10) for r in sizes)
-    ep = P.episode_support_query(P.episode_sampler(rows, k=10, epochs=2)).collect()
+        batches[r.epoch, r.step, r.task].append(r)
+    assert {k[:3] for k in got} == set(batches)
+    for (epoch, step, task), b in batches.items():
+        want = grads(matrix("P", 16, 64), matrix(task, 2, 16), np.zeros(2), np.array([r.x for r in b]), np.array([r.emotion_ind for r in b]))
+        for param, g in zip(("encoder.P", "fc_layer.weight", "fc_layer.bias"), want):
+            assert np.allclose(got[epoch, step, task, param], g.ravel() / 2)
+
+
+def test_episode_adaptation(train):
+    _, query = TR.episode_adaptation(train, k=10, epochs=1, alpha=0.3)
+    got = {(r.epoch, r.episode, r.task): r for r in query.collect()}
+    ep = P.episode_support_query(P.episode_sampler(train.select("row_id", "task", "emotion_ind", "x"), k=10, epochs=1)).collect()
     groups = defaultdict(list)
     for r in ep:
-        g = r.epoch * L + r.episode
-        groups[(g // (2 * L), (g % (2 * L)) // 2, "episode" if g % 2 == 0 else "ref", r.task, r.role)].append(
-            (r.x, r.emotion_ind))
-    p = TR.init_params([TR.HEAD], 64)
-    sims = {}
-    for epoch, step in sorted({(e, s) for e, s, _, _, _ in groups}):
-        outer, inner = {}, {}
-        for kind in ("episode", "ref"):
-            for t in tasks:
-                sup, qry = groups[(epoch, step, kind, t, "support")], groups[(epoch, step, kind, t, "query")]
-                Xs, ys = np.array([x for x, _ in sup]), np.array([y for _, y in sup])
-                Xq, yq = np.array([x for x, _ in qry]), np.array([y for _, y in qry])
-                cz = np.stack([Xs[ys == c].mean(axis=0) for c in range(2)]) @ p.P.T
-                Pl, Wl, bl = p.P.copy(), 2 * cz, -np.sum(cz * cz, axis=1)
-                for it in range(2):
-                    gP, gW, gb = _grads(Pl, Wl, bl, Xs, ys)
-                    if it == 0:
-                        inner[(kind, t)] = (gP, gW, gb)
-                    Pl, Wl, bl = Pl - 0.3 * gP, Wl - 0.3 * gW, bl - 0.3 * gb
-                cq = np.stack([Xq[yq == c].mean(axis=0) for c in range(2)]) @ Pl.T
-                Wl, bl = 2 * cq, -np.sum(cq * cq, axis=1)
-                outer[(kind, t)] = _grads(Pl, Wl, bl, Xq, yq)
-        for phase, gr in (("outer", outer), ("inner", inner)):
-            for name, i in (("encoder.P", 0), ("fc_layer.weight", 1), ("fc_layer.bias", 2)):
-                sims[(step, phase, "t0_t1", name)] = _cos(gr[("episode", "t0")][i].ravel(), gr[("episode", "t1")][i].ravel())
-                sims[(step, phase, "t0_t0", name)] = _cos(gr[("episode", "t0")][i].ravel(), gr[("ref", "t0")][i].ravel())
-                sims[(step, phase, "t1_t1", name)] = _cos(gr[("episode", "t1")][i].ravel(), gr[("ref", "t1")][i].ravel())
-        for i, attr in ((0, "P"),):
-            p.P -= 0.2 * (outer[("episode", "t0")][0] + outer[("episode", "t1")][0])
-        p.W[TR.HEAD] -= 0.2 * (outer[("episode", "t0")][1] + outer[("episode", "t1")][1])
-        p.b[TR.HEAD] -= 0.2 * (outer[("episode", "t0")][2] + outer[("episode", "t1")][2])
-    assert np.allclose(res.params.P, p.P, atol=1e-9)
-    got = {(r.step % 100000, r.phase, r.pair, r.param): r.similarity for r in res.similarity.collect()}
-    assert set(got) == set(sims)
-    assert all(abs(got[k] - v) < 1e-8 for k, v in sims.items())
+        groups[(r.epoch, r.episode, r.task), r.role].append(r)
+    checked = 0
+    for key, r in got.items():
+        s, q = groups[key, "support"], groups[key, "query"]
+        xs, ys, xq, yq = (np.array([getattr(a, c) for a in part]) for part in (s, q) for c in ("x", "emotion_ind"))
+        if len(set(ys)) < 2:
+            assert np.isnan(r.loss)      # the prototype of no row is NaN
+            continue
+        Pm = matrix("P", 16, 64)
+        c = np.stack([xs[ys == k].mean(0) for k in (0, 1)]) @ Pm.T
+        W, b = 2 * c, -(c * c).sum(1)
+        gp, gw, gb = grads(Pm, W, b, xs, ys)
+        want = grads(Pm - 0.3 * gp, W - 0.3 * gw, b - 0.3 * gb, xq, yq)
+        for g, found in zip(want, (r.gP, r.gW, r.gb)):
+            assert np.allclose(np.array(found), g)
+        checked += 1
+    assert checked
+
+
+def test_similarity_of_late_steps_in_two_epochs(spark):
+    """Steps above 100,000 and equal steps of different epochs stay apart: both columns are join keys."""
+    r = np.random.default_rng(0)
+    rows = [(e, s, t, "encoder.w", 0, 0, r.normal(size=4).tolist()) for e in (0, 1, 30000) for s in (0, 99_999, 100_000, 250_000) for t in "abc"]
+    g = spark.createDataFrame(rows, "epoch int, step int, task string, param string, param_ord int, chunk int, g array<double>")
+    got = {(x.epoch, x.step, x.pair, x.grp): x.similarity for x in I.group_cosines(g, I.task_pairs(I.task_order(g)), ["epoch", "step"]).collect()}
+    by = {(e, s, t): np.array(v) for e, s, t, *_, v in rows}
+    assert len(got) == 12 * 3 * 2
+    for (e, s, pair, _), similarity in got.items():
+        a, b = (by[e, s, t] for t in pair.split("-"))
+        assert similarity == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+
+def test_parameter_trajectory_in_blocks(spark):
+    r = np.random.default_rng(1)
+    u = r.normal(size=(70, 5))
+    t0 = spark.createDataFrame([("p", 0, [1.0] * 5)], "param string, chunk int, g array<double>")
+    steps = spark.createDataFrame([(i, "p", 0, v.tolist()) for i, v in enumerate(u)], "step int, param string, chunk int, g array<double>")
+    for block in (1, 8, 1000):
+        got = {x.step: x.g for x in I.parameter_trajectory(t0, steps, 0.1, block).collect()}
+        want = 1 - 0.1 * np.cumsum(u, axis=0)
+        assert all(np.allclose(got[i], want[i]) for i in range(70))
+
+
+def test_pairs_are_complete(train):
+    sims = I.group_cosines(TR.joint_gradients(train, epochs=1), I.task_pairs(I.task_order(train))).select("pair").distinct().collect()
+    tasks = sorted(r.task for r in train.select("task").distinct().collect())
+    assert sorted(r.pair for r in sims) == [f"{a}-{b}" for a, b in itertools.combinations(tasks, 2)]
