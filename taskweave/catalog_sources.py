@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .operators import interference as I
+from .functions import text as T
+from .plans import corpus_sources as CS
 from .plans import fixtures as X
 from .session import fresh_dir
 from .sources import delimited as D
@@ -24,12 +26,12 @@ LINE_PERIOD = 50
 
 @query("src_csv_header")
 def q_src_csv_header(spark, sf):
-    rows = X.fd_raw(spark, sf).select("row_id", "tweet", "label")
+    rows = X.ft(spark, sf).select("row_id", "tweet", F.length("tweet").alias("label"))
     out = []
     for fmt, sep in (("csv", ","), ("tsv", "\t")):
         path = fresh_dir(spark, f"fd-{fmt}")
         D.write_delimited(rows, path, header=True, sep=sep)
-        back = D.read_delimited(spark, path, "row_id STRING, tweet STRING, label INT", header=True, sep=sep)
+        back = D.read_delimited(spark, path, "row_id STRING, tweet STRING, label INT", header=True, sep=sep, multi_line=True)
         out.append(back.withColumn("fmt", F.lit(fmt)))
     return out[0].unionByName(out[1])
 
@@ -43,7 +45,7 @@ def q_src_csv_headerless(spark, sf):
 
 
 def _line_files(spark, sf):
-    rows = X.fd_raw(spark, sf).where(F.col("task") == "toxic").select("doc_id", "tweet", "emotion_ind")
+    rows = X.ft(spark, sf).select("doc_id", "tweet", (F.col("doc_id") % 2).cast("int").alias("emotion_ind"))
     special = None
     for k, v in LINE_SPECIALS:
         cond = F.col("doc_id") % LINE_PERIOD == k
@@ -139,3 +141,30 @@ def q_sink_metric_scalars(spark, sf):
     S.write_metric_scalars(X.fm(spark, sf), path)
     back = spark.read.parquet(path)
     return back.select("run", "tag", "step", F.round("value", 6).alias("value"))
+
+
+@query("corpus_build_sources")
+def q_corpus_build_sources(spark, sf):
+    """C0 through all loaders: the documents and events are written as the four families' files, then read back."""
+    docs = X.ft(spark, sf).select(F.col("doc_id").alias("id"), "tweet", (F.col("doc_id") % 3).cast("int").alias("label"))
+    test = F.col("id") % 5 == 0
+    paths = {n: fresh_dir(spark, f"sources-{n}") for n in ("a-train", "a-test", "b-train", "b-text", "b-gold", "ei")}
+    D.write_delimited(docs.where(~test), paths["a-train"])
+    D.write_delimited(docs.where(test), paths["a-test"])
+    D.write_delimited(docs.where(~test), paths["b-train"], sep="\t")
+    D.write_delimited(docs.where(test).select("id", "tweet"), paths["b-text"], sep="\t")
+    D.write_delimited(docs.where(test).select("id", "label"), paths["b-gold"], header=False)
+    fi = X.fi(spark, sf).where(F.col("id").rlike("^[0-9]+$"))
+    split = F.element_at(F.array(*[F.lit(x) for x in CS.GIVEN_SPLITS]), (F.col("id").cast("long") % 3).cast("int") + 1)
+    (fi.select(F.col("id").alias("ID"), F.concat(F.lit("RT tweet "), F.col("id")).alias("Tweet"), F.col("dimension").alias("Affect Dimension"),
+               F.col("intensity").alias("Intensity Class"), F.concat(F.lit("EI-oc-En-"), F.col("dimension"), F.lit("-"), split).alias("stem"))
+       .write.partitionBy("stem").option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').csv(paths["ei"]))
+    files = {}
+    for n, name in enumerate(("train", "val", "test")):
+        part = docs.where(F.col("id") % 3 == n).withColumn("line", F.regexp_replace("tweet", "[\r\n]", " ")).withColumn("two", F.col("id") % 2)
+        files[name] = (fresh_dir(spark, f"sources-text-{name}"), fresh_dir(spark, f"sources-label-{name}"))
+        LN.write_lines(part, files[name][0], "id", "line")
+        LN.write_lines(part, files[name][1], "id", "two")
+    return CS.build_from_sources([CS.load_headed(spark, paths["a-train"], paths["a-test"], "sarcasm"),
+                                  CS.load_by_id(spark, paths["b-train"], paths["b-text"], paths["b-gold"], "offensive"),
+                                  CS.load_emotions(spark, paths["ei"]), CS.load_lines(spark, files, "hate")])

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..session import fresh_dir
 
 DEFAULT_BUCKET_CHARS = 4  # 65,536 hash buckets per group
+#: Thresholds of up to so many groups (some 100 bytes each) are broadcast; beyond, Spark joins them by sort and merge.
+BROADCAST_GROUPS = 50_000
 
 
 def draw_key(seed, salt, row_id) -> Column:
@@ -88,30 +90,30 @@ def within_k_smallest(df: DataFrame, by: Sequence[str], key: str, tiebreak: str,
                       bucket_chars: int = DEFAULT_BUCKET_CHARS) -> DataFrame:
     """Flag rows among the ``k`` smallest ``(key, tiebreak)`` of their group, without ranking them all.
 
-    Only bucket counts are shuffled.  ``k_fn`` receives the small per-bucket table
-    (``*by, __b, __n, __off, __tot``) and returns it with a ``__k`` column, so ``k``
-    may depend on the group size or on other groups (e.g. the smallest group).
-    A one-row-per-group cut table (boundary bucket + offset) is broadcast: rows of
-    lower buckets are in, of higher buckets out, and only the boundary bucket --
-    about 1/16^bucket_chars of a group -- is ranked.  Equals
-    ``row_number() over (partition by by order by key, tiebreak) <= k``.
+    ``k_fn`` receives the small per-bucket table (``*by, __b, __n, __off, __tot``) and returns it with a
+    ``__k`` column, so ``k`` may depend on the group size or on other groups (e.g. the smallest group).
+    From key columns only, the bucket that holds the k-th row of each group is found and ranked, which gives
+    the exact k-th ``(key, tiebreak)``; the rows themselves are compared with it in one pass.  The thresholds
+    are stored, one row for each group, and broadcast if there are at most ``BROADCAST_GROUPS`` of them.
+    Equals ``row_number() over (partition by by order by key, tiebreak) <= k``.
     """
     by = list(by)
-    df = df.withColumn("__b", F.substring(F.col(key), 1, bucket_chars))
-    counts = df.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    keys = df.select(*by, F.col(key).alias("__key"), F.col(tiebreak).alias("__tie")) \
+        .withColumn("__b", F.substring("__key", 1, bucket_chars))
+    counts = keys.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*by, "__b", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
                            F.sum("__n").over(Window.partitionBy(*by)).alias("__tot"))
     counts = k_fn(counts).withColumn("__k", F.least(F.col("__k"), F.col("__tot")))
-    # one row per group (groups are task/split labels): the bucket holding the k-th row
+    # one row for each group: the bucket with the k-th row
     cut = counts.where((F.col("__off") < F.col("__k")) & (F.col("__k") <= F.col("__off") + F.col("__n"))) \
-        .select(*by, F.col("__b").alias("__cb"), F.col("__off").alias("__coff"), "__k")
-    j = df.join(F.broadcast(cut), by, "left")
-    at = F.col("__b") == F.col("__cb")
-    rest = j.where(~at | F.col("__cb").isNull()).withColumn(
-        flag_col, F.coalesce(F.col("__b") < F.col("__cb"), F.lit(False)))
-    boundary = j.where(at)
-    ranked = boundary.withColumn(
-        flag_col, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(key), F.col(tiebreak)))
-        + F.col("__coff") <= F.col("__k"))
-    return rest.unionByName(ranked).drop("__b", "__cb", "__coff", "__k")
+        .select(*by, "__b", "__off", "__k")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__key", "__tie")) + F.col("__off")
+    path = fresh_dir(df.sparkSession, "thresholds")
+    (keys.join(cut, [*by, "__b"]).withColumn("__place", place).where(F.col("__place") == F.col("__k"))
+         .select(*by, F.struct("__key", "__tie").alias("__last")).write.parquet(path))
+    thresholds = df.sparkSession.read.parquet(path)
+    if thresholds.count() <= BROADCAST_GROUPS:
+        thresholds = F.broadcast(thresholds)
+    inside = F.struct(F.col(key).alias("__key"), F.col(tiebreak).alias("__tie")) <= F.col("__last")
+    return df.join(thresholds, by, "left").withColumn(flag_col, F.coalesce(inside, F.lit(False))).drop("__last")

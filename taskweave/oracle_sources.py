@@ -3,26 +3,26 @@ computed directly from the parquet tables."""
 
 from __future__ import annotations
 
-from .oracle import FD_RAW, FH, FI, SQL, with_
+from .oracle import FH, FI, FT, SQL, intensity_class_sql, sanitize_sql, with_
 from .oracle_interference import FG
 
 # pandas' default missing-value strings.
 NA = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
       "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
 
-SQL["src_csv_header"] = with_(FD_RAW) + f"""
-SELECT row_id, CASE WHEN tweet IN ({NA}) THEN NULL ELSE tweet END AS tweet, label, 'csv' AS fmt FROM fd_raw
+SQL["src_csv_header"] = with_(FT) + f"""
+SELECT row_id, CASE WHEN tweet IN ({NA}) THEN NULL ELSE tweet END AS tweet, CAST(length(tweet) AS INTEGER) AS label, 'csv' AS fmt FROM ft
 UNION ALL
-SELECT row_id, CASE WHEN tweet IN ({NA}) THEN NULL ELSE tweet END, label, 'tsv' FROM fd_raw"""
+SELECT row_id, CASE WHEN tweet IN ({NA}) THEN NULL ELSE tweet END, CAST(length(tweet) AS INTEGER), 'tsv' FROM ft"""
 
 SQL["src_csv_headerless"] = with_(FH) + "SELECT id, off_label FROM fh_a"
 
-LINES = FD_RAW + f""",
+LINES = FT + f""",
 lines AS (
-  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, emotion_ind,
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, CAST(doc_id % 2 AS INTEGER) AS emotion_ind,
          CASE WHEN doc_id % 50 = 7 THEN '' WHEN doc_id % 50 = 13 THEN '"' WHEN doc_id % 50 = 21 THEN 'NA'
               ELSE regexp_replace(tweet, '[\\r\\n]', ' ', 'g') END AS line
-  FROM fd_raw WHERE task = 'toxic'
+  FROM ft
 ),
 txt AS (SELECT pos, CASE WHEN line IN ({NA}) THEN NULL ELSE line END AS tweet FROM lines),
 labs AS (SELECT pos, emotion_ind FROM lines WHERE doc_id < (SELECT max(doc_id) FROM lines))"""
@@ -71,3 +71,30 @@ fm AS (
 SELECT run, CASE WHEN split = 'train' THEN 'Training' ELSE 'Validation' END || ' ' || name || '_' || task AS tag,
        CAST(epoch + 1 AS BIGINT) AS step, round(value, 6) AS value
 FROM fm"""
+
+SQL["corpus_build_sources"] = with_(FT, FI) + f"""
+, one AS (
+  SELECT t || ':' || doc_id AS row_id, tweet, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS emotion_ind, t AS task,
+         doc_id % 5 = 0 AS is_test
+  FROM ft, (VALUES ('sarcasm'), ('offensive')) f(t)
+), two AS (
+  SELECT *, CASE WHEN is_test THEN 'test'
+                 WHEN row_number() OVER (PARTITION BY task, is_test ORDER BY md5('3:split:' || row_id), row_id)
+                      <= ceil(count(*) OVER (PARTITION BY task, is_test) * CAST(0.3 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split
+  FROM one
+), three AS (
+  SELECT (['train', 'val', 'test'])[CAST(doc_id % 3 AS INTEGER) + 1] AS split, doc_id,
+         row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS pos, regexp_replace(tweet, '[\\r\\n]', ' ', 'g') AS tweet,
+         CAST(doc_id % 2 AS INTEGER) AS emotion_ind
+  FROM ft
+), rows AS (
+  SELECT row_id, tweet, emotion_ind, CASE WHEN emotion_ind = 0 THEN 'non_' || task ELSE task END AS emotion, task, split FROM two
+  UNION ALL
+  SELECT 'hate:' || split || ':' || pos, tweet, emotion_ind, CASE WHEN emotion_ind = 0 THEN 'non_hate' ELSE 'hate' END, 'hate', split FROM three
+  UNION ALL
+  SELECT 'ei:' || id, 'RT tweet ' || id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 0 ELSE 1 END, {intensity_class_sql('intensity')},
+         dimension, (['train', 'val', 'test'])[CAST(CAST(id AS BIGINT) % 3 AS INTEGER) + 1]
+  FROM fi_base
+)
+SELECT row_id, {sanitize_sql('tweet')} AS tweet, emotion, emotion_ind, task, split FROM rows
+WHERE emotion IS NOT NULL AND tweet NOT IN ({NA})"""

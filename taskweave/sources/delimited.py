@@ -25,17 +25,18 @@ def null_na_tokens(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, header: bool = True,
-                   sep: str = ",", mode: str = "as_written", na_tokens: bool = True) -> DataFrame:
-    """CSV or TSV with double-quote quoting and quoted newlines.
+                   sep: str = ",", mode: str = "as_written", na_tokens: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV or TSV with double-quote quoting.
 
     ``mode="as_written"`` keeps quote processing for TSV as the reference does (an
     unbalanced quote swallows following rows); ``"intended"`` turns quoting off for
-    TSV.  ``multiLine`` reading makes each file one task; many files read in parallel.
+    TSV.  Files are split over many tasks; ``multi_line`` is for texts with quoted line
+    breaks and makes each file one task.
     """
     quote = '"' if (sep != "\t" or mode == "as_written") else "\u0000"
     df = (spark.read.schema(schema)
           .option("header", header).option("sep", sep).option("quote", quote).option("escape", '"')
-          .option("multiLine", True).option("mode", "PERMISSIVE")
+          .option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .csv(list(paths) if not isinstance(paths, str) else paths))
     return null_na_tokens(df) if na_tokens else df
 
@@ -47,13 +48,13 @@ def write_delimited(df: DataFrame, path: str, header: bool = True, sep: str = ",
 
 
 def read_with_provenance(spark: SparkSession, base: str, schema: StructType | str, pattern: str,
-                         groups: Sequence[str], sep: str = "\t", header: bool = True) -> DataFrame:
+                         groups: Sequence[str], sep: str = "\t", header: bool = True, multi_line: bool = False) -> DataFrame:
     """One logical table from many files; provenance columns parsed from each file's path.
 
     ``pattern`` is a regex over the file path whose capture groups map to ``groups``.
     """
     df = (spark.read.schema(schema).option("header", header).option("sep", sep)
-          .option("quote", '"').option("escape", '"').option("multiLine", True)
+          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
           .option("recursiveFileLookup", True).csv(base))
     path = F.col("_metadata.file_path")
     df = df.withColumns({g: F.regexp_extract(path, pattern, i + 1) for i, g in enumerate(groups)})

@@ -48,7 +48,7 @@ def test_positions_across_files_and_splits(spark):
 def test_csv_na_tokens_and_multiline(spark):
     d = tempfile.mkdtemp()
     write(f"{d}/a.csv", 'id,tweet\n1,"multi\nline, with comma"\n2,NA\n3,null\n4,""\n5,ok\n')
-    df = D.read_delimited(spark, d, "id INT, tweet STRING")
+    df = D.read_delimited(spark, d, "id INT, tweet STRING", multi_line=True)
     assert [tuple(r) for r in df.orderBy("id").collect()] == [
         (1, "multi\nline, with comma"), (2, None), (3, None), (4, None), (5, "ok")]
 
@@ -73,7 +73,7 @@ def test_similarity_json_round_trip_and_reference_form(spark):
 def test_tsv_quote_modes(spark):
     d = tempfile.mkdtemp()
     write(f"{d}/a.tsv", 'id\ttweet\n1\t"unbalanced quote\n2\tnext\n3\tlast\n')
-    as_written = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="as_written").collect()
-    intended = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="intended").orderBy("id").collect()
+    as_written = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="as_written", multi_line=True).collect()
+    intended = D.read_delimited(spark, d, "id INT, tweet STRING", sep="\t", mode="intended", multi_line=True).orderBy("id").collect()
     assert len(as_written) < 3                       # the open quote swallows the following rows
     assert [tuple(r) for r in intended] == [(1, '"unbalanced quote'), (2, "next"), (3, "last")]
