@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_sample, stored
 
 #: Pivots, rows from which they are chosen (those with the smallest hashed ids), and rows of an annulus.
 PIVOTS, PIVOT_SAMPLE, ANNULUS_ROWS = 32, 1024, 8192
@@ -122,7 +122,7 @@ def search(spark: SparkSession, vectors: DataFrame, k: int, query_every: int, id
     norm are all that the driver holds.
     """
     own = stored(spark, scaled_vectors(vectors, id_col, vector_col), "topk-vectors")
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
+    sample = bounded_sample(own, own.count(), PIVOT_SAMPLE, "vec_id", "vec").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 

@@ -41,3 +41,11 @@ def test_fewer_rows_than_shards_and_none(spark, odd_docs, no_docs):
     few = shuffle.shard_documents(spark, odd_docs.limit(3), 40).collect()
     assert sorted(r.shard for r in few) == [0, 1, 2] and {r.slot for r in few} == {0}
     assert shuffle.shard_documents(spark, no_docs, 40).count() == 0
+
+
+def test_bounded_sample(spark):
+    from taskweave.llm.common import bounded_sample
+    df = spark.range(5000)
+    got = [r.id for r in bounded_sample(df, 5000, 100, "id").collect()]
+    assert len(got) == 100 and got == [r.id for r in df.orderBy(__import__("pyspark").sql.functions.xxhash64("id"), "id").limit(100).collect()]
+    assert bounded_sample(df.limit(7), 7, 100, "id").count() == 7
