@@ -59,7 +59,16 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), words_each=4, most=4)
 
 
-@query("op5_exact_topk")
+@query("op5_exact_topk", r"""
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op5_exact_topk(spark, sf_dir):
     return topk.search(spark, read_table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
@@ -74,10 +83,42 @@ def op7_quality_rules(spark, sf_dir):
     return quality.judge(spark, read_table(spark, sf_dir, "documents"))
 
 
-@query("op8_line_dedup")
+@query("op8_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, unnest(str_split(text, chr(10))) AS line, unnest(range(0, len(str_split(text, chr(10))))) AS i,
+         len(str_split(text, chr(10))) AS total FROM documents),
+w AS (
+  SELECT doc_id, i, total, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+f AS (
+  SELECT doc_id, i, array_to_string(ws, ' ') AS norm, len(ws) AS n, row_number() OVER d - 1 AS k, coalesce(lead(i) OVER d, total) - 1 AS stop
+  FROM w WHERE len(ws) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS until, sum(n) OVER (PARTITION BY doc_id ORDER BY k) - n AS since FROM f),
+p AS (
+  SELECT a.doc_id, a.k AS first, b.k AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.until >= a.since + 50),
+win AS (
+  SELECT doc_id, first, min(last) AS last FROM p GROUP BY doc_id, first
+  UNION SELECT doc_id, max(first), last FROM p GROUP BY doc_id, last),
+t AS (
+  SELECT win.doc_id, win.first, win.last, string_agg(c.norm, chr(10) ORDER BY c.k) AS content, min(c.i) AS a, max(c.stop) AS z
+  FROM win JOIN c ON c.doc_id = win.doc_id AND c.k BETWEEN win.first AND win.last GROUP BY 1, 2, 3),
+h AS (
+  SELECT content, min(struct_pack(d := doc_id, a := a, z := z)) AS head FROM t GROUP BY content HAVING count(*) > 1),
+g AS (
+  SELECT t.doc_id, CASE WHEN t.doc_id = h.head.d THEN greatest(t.a, h.head.z + 1) ELSE t.a END AS a, t.z, h.head.d AS source
+  FROM t JOIN h ON t.content = h.content WHERE NOT (t.doc_id = h.head.d AND t.a = h.head.a AND t.z = h.head.z)),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND l.i BETWEEN g.a AND g.z) GROUP BY l.doc_id),
+s AS (SELECT doc_id, min(source) AS first_source FROM g WHERE a <= z GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text,
+       CAST(CASE WHEN s.doc_id IS NULL THEN 0 ELSE len(str_split(d.text, chr(10))) - coalesce(kept.n, 0) END AS INTEGER) AS removed_lines,
+       s.first_source
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""")
 def op8_line_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(spark, docs)
+    out = line_dedup.dedup_lines(spark, docs)
+    return out.select("doc_id", "text", "removed_lines", F.array_min("copied_from").alias("first_source"))
 
 
 @query("op9_mixing", r"""

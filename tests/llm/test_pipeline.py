@@ -96,7 +96,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found = con.sql(SQL[name])
     got = QUERIES[name](spark, sf).select(*found.columns)
