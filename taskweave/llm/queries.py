@@ -78,9 +78,61 @@ def op6_sharding(spark, sf_dir):
     return shuffle.shard_documents(spark, read_table(spark, sf_dir, "documents"), 40)
 
 
-@query("op7_quality_rules")
+@query("op7_quality_rules", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+w AS (
+  SELECT doc_id, lang, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+         unnest(range(0, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))) AS pos FROM d),
+n AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY doc_id),
+g AS (
+  SELECT doc_id, pos, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN
+         word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o END AS g
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+again AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g WHERE g IS NOT NULL),
+rep AS (
+  SELECT doc_id, count(*) AS n_repeat FROM (SELECT DISTINCT doc_id, pos + o AS pos FROM again, (SELECT unnest(range(0, 5)) AS o) WHERE times > 1) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM d),
+dup AS (
+  SELECT doc_id, sum(times - 1) AS n_dup FROM (SELECT doc_id, line, count(*) AS times FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+cls AS (
+  SELECT doc_id, lang, length(text) AS chars, unnest(['a-z', 'A-Z', '0-9', '\x20\x09-\x0D', '.,;:!?''"()\-', '\x{80}-\x{10FFFF}']) AS c, text FROM d),
+seven AS (
+  SELECT doc_id, lang, chars, c, chars - length(regexp_replace(text, '[' || c || ']', '', 'g')) AS k FROM cls
+  UNION ALL
+  SELECT doc_id, lang, chars, 'symbol', chars - sum(chars - length(regexp_replace(text, '[' || c || ']', '', 'g'))) FROM cls GROUP BY doc_id, lang, chars),
+sizes AS (SELECT lang, count(*) AS size FROM w GROUP BY lang),
+known AS (SELECT lang, size FROM sizes WHERE size >= 0.001 * (SELECT sum(size) FROM sizes)),
+refc AS (SELECT lang, c, sum(k) / sum(sum(k)) OVER (PARTITION BY lang) AS q FROM seven WHERE lang IN (SELECT lang FROM known) GROUP BY lang, c),
+jc AS (
+  SELECT s.doc_id, min(s.chars) AS chars, sum(CASE WHEN k > 0 THEN k / s.chars * log2(k / s.chars / ((k / s.chars + q) / 2)) ELSE 0 END) AS dp,
+         sum(CASE WHEN q > 0 THEN q * log2(q / ((k / s.chars + q) / 2)) ELSE 0 END) AS dq
+  FROM seven s JOIN refc r ON r.lang = s.lang AND r.c = s.c WHERE s.chars >= 200 GROUP BY s.doc_id),
+low AS (SELECT doc_id, lang, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM w),
+ranked AS (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM low GROUP BY lang, word),
+top AS (SELECT t.lang, word, n / size AS q FROM ranked t JOIN known k ON k.lang = t.lang WHERE place <= 100),
+own AS (
+  SELECT doc_id, lang, coalesce(t.word, '') AS bin, count(*) AS k FROM (SELECT low.doc_id, low.lang, top.word FROM low LEFT JOIN top ON top.lang = low.lang AND top.word = low.word) t GROUP BY 1, 2, 3),
+refw AS (SELECT lang, word AS bin, q FROM top UNION ALL SELECT lang, '', 1 - sum(q) FROM top GROUP BY lang),
+jw AS (
+  SELECT o.doc_id, min(n.n_words) AS n, sum(o.k / n.n_words * log2(o.k / n.n_words / ((o.k / n.n_words + r.q) / 2))) AS dp,
+         sum(CASE WHEN r.q > 0 THEN r.q * log2(r.q / ((o.k / n.n_words + r.q) / 2)) ELSE 0 END) + 1 - sum(r.q) AS dq
+  FROM own o JOIN n ON n.doc_id = o.doc_id JOIN refw r ON r.lang = o.lang AND r.bin = o.bin WHERE n.n_words >= 50 GROUP BY o.doc_id),
+a AS (
+  SELECT d.doc_id, coalesce(n.n_words, 0) AS n_words, coalesce(n.word_chars, 0) AS word_chars,
+         length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n_dup, 0) AS n_dup_lines, coalesce(rep.n_repeat, 0) AS n_repeat_words,
+         CASE WHEN jc.dp IS NOT NULL THEN sqrt(greatest(0, (jc.dp + jc.dq) / 2)) END AS by_class, jc.chars, CASE WHEN jw.dp IS NOT NULL THEN sqrt(greatest(0, (jw.dp + jw.dq) / 2)) END AS by_word
+  FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id
+  LEFT JOIN jc ON jc.doc_id = d.doc_id LEFT JOIN jw ON jw.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM a)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, failed AS base_failed,
+       NOT failed AND NOT coalesce(by_class > 0.2 + 3 / sqrt(chars), false) AND NOT coalesce(by_word > 0.15 + 4 / sqrt(n_words), false) AS kept,
+       round(by_class, 6) AS class_distance, round(by_word, 6) AS word_distance
+FROM b""")
 def op7_quality_rules(spark, sf_dir):
-    return quality.judge(spark, read_table(spark, sf_dir, "documents"))
+    out = quality.judge(spark, read_table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @query("op8_line_dedup", r"""
