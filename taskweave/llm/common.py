@@ -14,7 +14,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str, **partitioned) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into a new folder of the shared checkpoint folder and read it back.
 
     This cuts the lineage: what follows survives the loss of executors without running the past again.

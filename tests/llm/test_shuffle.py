@@ -2,8 +2,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taskweave.llm import shuffle
+from taskweave.llm.common import bounded_sample
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 65, 1000, 4097])
@@ -44,8 +46,7 @@ def test_fewer_rows_than_shards_and_none(spark, odd_docs, no_docs):
 
 
 def test_bounded_sample(spark):
-    from taskweave.llm.common import bounded_sample
     df = spark.range(5000)
     got = [r.id for r in bounded_sample(df, 5000, 100, "id").collect()]
-    assert len(got) == 100 and got == [r.id for r in df.orderBy(__import__("pyspark").sql.functions.xxhash64("id"), "id").limit(100).collect()]
+    assert len(got) == 100 and got == [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
     assert bounded_sample(df.limit(7), 7, 100, "id").count() == 7
