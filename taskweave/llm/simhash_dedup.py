@@ -122,6 +122,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words_each: int =
         return pd.Series(np.array([fingerprint(t, words_each, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
     own_fp = new_name(docs, "__fp")
-    marked = docs.withColumn(own_fp, fp(F.col(text_col).cast("string")))
+    # else the join's filter on the key runs the function a second time
+    marked = docs.withColumn(own_fp, fp.asNondeterministic()(F.col(text_col).cast("string")))
     alive = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(id_mark)) & (F.col(own_fp) == F.col(fp_mark)), "left_semi")
     return alive.dropDuplicates([id_col, own_fp]).select(*docs.columns)
