@@ -20,6 +20,8 @@ DECODED = "doc_id long, ids array<int>, decoded binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words longer than this are merged with a heap.
 SHORT = 48
+#: The cache of pieces between spaces is emptied beyond so many entries (some 200 bytes each).
+PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -103,6 +105,8 @@ def word_splitter(pattern: str):
     def split(text: str):
         if inside(text):
             return map(numbers.__getitem__, find(text))
+        if len(chunks) > PIECES:
+            chunks.clear()
         first, *rest = text.split(" ")
         return chain([numbers[w] for w in find(first)], chain.from_iterable(map(chunks.__getitem__, rest)))
 

@@ -105,7 +105,8 @@ def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYT
     serial = 0
 
     def flush():
-        nonlocal serial
+        nonlocal serial, split
+        split = None  # and with it the splitter's caches, before the batch is sorted
         flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
         words = [w.encode() if isinstance(w, str) else w for w in vocabulary]
         uses = np.bincount(flat, minlength=len(words))
