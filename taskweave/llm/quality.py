@@ -148,8 +148,9 @@ def references(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(),
     counted = (docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
                .mapInArrow(count, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "class")
-    most = stored(spark, counted.withColumn("place", F.row_number().over(order))
-                  .where(F.col("place") <= F.when(F.col("word").isNull(), len(CLASSES) + 1).otherwise(limits.common_words)), "quality-counts")
+    # a literal bound lets every task cut its own counts before they are dealt by language
+    bound = max(limits.common_words, len(CLASSES) + 1)
+    most = stored(spark, counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bound), "quality-counts")
     sizes = most.where(F.col("class") == len(CLASSES)).select(F.col("lang").alias("known"), F.col("n").alias("size"))
     everything = sizes.agg(F.sum("size")).first()[0] or 0
     sizes = sizes.where(F.col("size") >= limits.least_share * everything)
@@ -157,7 +158,8 @@ def references(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(),
     for r in most.join(sizes, F.col("lang").eqNullSafe(F.col("known"))).orderBy("lang", "place").collect():
         classes, words, size = out.setdefault(r["lang"], (np.zeros(len(CLASSES)), [], r["size"]))
         if r["word"] is not None:
-            words.append((r["word"].encode(), r["n"]))
+            if len(words) < limits.common_words:
+                words.append((r["word"].encode(), r["n"]))
         elif r["class"] < len(CLASSES):
             classes[r["class"]] = r["n"]
     return {lang: (classes, {w: i for i, (w, _) in enumerate(words)}, np.array([n for _, n in words] + [size - sum(n for _, n in words)], float))
