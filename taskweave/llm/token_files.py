@@ -32,8 +32,8 @@ MANIFEST = "shard int, path string, n_docs long, n_ids long, n_null long, first_
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Texts between which a missing piece is encoded together with others, and pieces in each such text.
 PIECES = 1000
-#: The piece cache of a task is emptied beyond so many entries.
-CACHE = 400_000
+#: The piece cache of a Python worker is emptied beyond so many entries.
+CACHE = 600_000
 #: Documents are read in blocks of about so many bytes.
 READ_BYTES = 4 << 20
 
@@ -94,6 +94,18 @@ class PieceEncoder:
         return [next(alone).tobytes() + (b"" if s is None else b"".join(map(known, s[1:]))) + self.end for s in split]
 
 
+def piece_encoder(path: str, end_id: int) -> PieceEncoder:
+    """The encoder of this Python worker: it and its cache are kept for the worker's later tasks.
+
+    Functions are pickled by value, so a global of this module would not last; the library's module does.
+    """
+    import tokenizers
+    kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
+    if (path, end_id) not in kept:
+        kept[path, end_id] = PieceEncoder(path, end_id)
+    return kept[path, end_id]
+
+
 class ShardWriter:
     """Writes one shard under a name of its own and moves it into place when it is whole."""
 
@@ -196,7 +208,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
                 s = b.slice(at, 256)
                 ids = s.column(0).to_pylist()
                 if writer is None:
-                    encoder = PieceEncoder(tokenizer_path, end_id)
+                    encoder = piece_encoder(tokenizer_path, end_id)
                     path = f"{folder}/shard-{number:06d}.ids"
                     writer = ShardWriter(path, encoder.dtype, end_id)
                 for i, raw in zip(ids, encoder.encode([t or "" for t in s.column(1).to_pylist()])):
