@@ -183,31 +183,37 @@ def answers(packed: DataFrame, n_parts: int, answer) -> DataFrame:
     return words.mapInArrow(answered, "batch long, part int, body binary")
 
 
+def joined(it, assemble):
+    """What ``assemble(head, answers)`` yields for each batch of a task's rows (see ``by_batch``)."""
+    head = batch = None
+    found: list[bytes] = []
+    for b in it:
+        for i, p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if i != batch:
+                if head is not None:
+                    yield from assemble(Head(head), found)
+                batch, head, found = i, None, []
+            if p < 0:
+                head = body.as_py()
+            else:
+                found.append(body.as_py())
+    if head is not None:
+        yield from assemble(Head(head), found)
+
+
+def by_batch(packed: DataFrame, back: DataFrame) -> DataFrame:
+    """``batch, part, body``: each batch's documents, followed by the answers to their words."""
+    heads = packed.where("part < 0").select("batch", "part", F.col("head").alias("body"))
+    return heads.unionByName(back).repartition("batch").sortWithinPartitions("batch", "part")
+
+
 def assembled(packed: DataFrame, back: DataFrame, assemble, schema) -> DataFrame:
     """Documents joined with the answers to their words.
 
     ``assemble(head, answers)`` gets a batch's documents and its parts' answers in order and yields Arrow batches of
     ``schema``.
     """
-    def joined(it):
-        head = batch = None
-        found: list[bytes] = []
-        for b in it:
-            for i, p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if i != batch:
-                    if head is not None:
-                        yield from assemble(Head(head), found)
-                    batch, head, found = i, None, []
-                if p < 0:
-                    head = body.as_py()
-                else:
-                    found.append(body.as_py())
-        if head is not None:
-            yield from assemble(Head(head), found)
-
-    heads = packed.where("part < 0").select("batch", "part", F.col("head").alias("body"))
-    return (heads.unionByName(back).repartition("batch").sortWithinPartitions("batch", "part")
-            .mapInArrow(joined, schema))
+    return by_batch(packed, back).mapInArrow(lambda it: joined(it, assemble), schema)
 
 
 class Head:
