@@ -7,6 +7,7 @@ that allow for the noise of short texts, and texts below a minimum length aren't
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "beyond_asc
 SENTENCE = b".,;:!?'\"()-"
 JUDGED = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
           "kept boolean, class_distance double, word_distance double")
+#: Languages whose references are broadcast, the largest; those of the others are joined to their documents.
+BROADCAST_LANGS = 1000
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,8 @@ class Limits:
     repeat_window: int = 5              # base rule: words in windows of so many words that occur again in the text ...
     most_repeated: int = 20             # ... fail above so many per cent of all words
     common_words: int = 100             # words of a language's histogram, the most frequent; all others share one bin
-    least_share: float = 0.001          # a language with a smaller share of all words has no reference
+    least_share: float = 0.0            # a language with a smaller share of all words has no reference (none by default)
+    least_words: int = 500              # a language with fewer words in all its documents has no reference
     class_chars: int = 200              # shorter texts (code points) aren't compared by character class
     class_distance: tuple = (0.2, 3.0)  # bound a + b / sqrt(characters)
     word_words: int = 50                # texts with fewer words aren't compared by common words
@@ -107,12 +111,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (divergence(p) + divergence(q)) / 2)))
 
 
-def references(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Language -> (character-class counts, common word -> its bin, common-word histogram), over all documents.
+def references(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``known, size, body``: each language with a reference, its words, and the reference (see ``reference``), over all documents.
 
     Each task counts its words by language and hands its counts on now and then; they are summed by (language, word), so
     a language or word with a third of all rows is no hot key.  Only the most frequent words of each language (``common_words``,
-    ties by word) leave the sum.  The driver gets at most 1 / least_share languages.  A null language is one of its own.
+    ties by word) leave the sum.  A null language is one of its own.
     """
     def count(it):
         words: dict = {}
@@ -151,19 +155,56 @@ def references(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(),
     # a literal bound lets every task cut its own counts before they are dealt by language
     bound = max(limits.common_words, len(CLASSES) + 1)
     most = stored(spark, counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bound), "quality-counts")
-    sizes = most.where(F.col("class") == len(CLASSES)).select(F.col("lang").alias("known"), F.col("n").alias("size"))
-    everything = sizes.agg(F.sum("size")).first()[0] or 0
-    sizes = sizes.where(F.col("size") >= limits.least_share * everything)
-    out: dict = {}
-    for r in most.join(sizes, F.col("lang").eqNullSafe(F.col("known"))).orderBy("lang", "place").collect():
-        classes, words, size = out.setdefault(r["lang"], (np.zeros(len(CLASSES)), [], r["size"]))
-        if r["word"] is not None:
-            if len(words) < limits.common_words:
-                words.append((r["word"].encode(), r["n"]))
-        elif r["class"] < len(CLASSES):
-            classes[r["class"]] = r["n"]
-    return {lang: (classes, {w: i for i, (w, _) in enumerate(words)}, np.array([n for _, n in words] + [size - sum(n for _, n in words)], float))
-            for lang, (classes, words, size) in out.items()}
+    is_size = F.col("class") == len(CLASSES)
+    whole = most.groupBy(F.col("lang").alias("known")).agg(
+        F.max(F.when(is_size, F.col("n"))).alias("size"),
+        F.to_json(F.struct(F.max(F.when(is_size, F.col("n"))).alias("size"),
+                           F.collect_list(F.when(F.col("class") < len(CLASSES), F.struct("class", "n"))).alias("classes"),
+                           F.sort_array(F.collect_list(F.when(F.col("word").isNotNull() & (F.col("place") <= limits.common_words),
+                                                              F.struct("place", "word", "n")))).alias("words"))).alias("body"))
+    whole = whole.where(F.col("size") >= limits.least_words)
+    if limits.least_share > 0:
+        everything = most.where(is_size).agg(F.sum("n")).first()[0] or 0
+        whole = whole.where(F.col("size") >= limits.least_share * everything)
+    return stored(spark, whole, "quality-references")
+
+
+def reference(body: str) -> tuple:
+    """Character-class counts, common word -> its bin, common-word histogram."""
+    found = json.loads(body)
+    classes = np.zeros(len(CLASSES))
+    for c in found["classes"]:
+        classes[c["class"]] = c["n"]
+    n = [w["n"] for w in found["words"]]
+    return classes, {w["word"].encode(): i for i, w in enumerate(found["words"])}, np.array([*n, found["size"] - sum(n)], float)
+
+
+def with_references(spark: SparkSession, docs: DataFrame, limits: Limits, text_col: str, lang_col: str, name: str):
+    """``docs`` with the reference body of its language in a column ``name``, and a broadcast language -> reference.
+
+    The references of the ``BROADCAST_LANGS`` languages with most words are broadcast, and the body of their documents is
+    null.  Any other language has at most one of so many parts of all words, so joining by language makes no hot key.
+    """
+    refs = references(spark, docs, limits, text_col, lang_col)
+    order = [F.desc("size"), F.col("known")]
+    found = refs.orderBy(*order).limit(BROADCAST_LANGS).collect()
+    shared = spark.sparkContext.broadcast({r["known"]: reference(r["body"]) for r in found})
+    none = F.lit(None).cast("string").alias(name)
+    if len(found) < BROADCAST_LANGS:
+        return docs.select("*", none), shared
+    lang = F.col(lang_col).cast("string")
+    top = [r["known"] for r in found if r["known"] is not None]
+    first = lambda c: F.coalesce(c.isin(top), F.lit(len(top) < len(found)))
+    known, body = new_name(docs, "__known"), F.col("body").alias(name)
+    others = refs.where(~first(F.col("known"))).select(F.col("known").alias(known), body)
+    rare = docs.where(~first(lang)).join(others, lang.eqNullSafe(F.col(known)), "left").drop(known)
+    return docs.where(first(lang)).select("*", none).unionByName(rare), shared
+
+
+def judge_texts(texts, langs, bodies, refs: dict, limits: Limits) -> list[tuple]:
+    """``judge_text`` of each text, by the reference in its body if it has one, else by that of ``refs``."""
+    own = {body: reference(body) for body in set(bodies) if body is not None}
+    return [judge_text(t, lang, refs if body is None else {lang: own[body]}, limits) for t, lang, body in zip(texts, langs, bodies)]
 
 
 def judge_text(text: str | None, lang: str | None, refs: dict, limits: Limits) -> tuple:
@@ -201,7 +242,9 @@ def judge(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(), id_co
     of its own, null and repeated ids are kept.  Words are compared as bytes; A-Z is lower-cased for the common words.
     An empty table gives an empty result.  Other columns are not read.
     """
-    shared = spark.sparkContext.broadcast(references(spark, docs, limits, text_col, lang_col))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
+                         F.col(text_col).cast("string").alias("text"))
+    ready, shared = with_references(spark, narrow, limits, "text", "lang", "body")
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = [c.split()[0] for c in JUDGED.split(", ")]
 
@@ -209,20 +252,22 @@ def judge(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(), id_co
         for b in it:
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
-                found = [judge_text(t, lang, shared.value, limits) for lang, t in zip(s.column(1).to_pylist(), s.column(2).to_pylist())]
+                lang, text, body = (s.column(i).to_pylist() for i in (1, 2, 3))
+                found = judge_texts(text, lang, body, shared.value, limits)
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, t) for c, t in zip(zip(*found), types))], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
-                       F.col(text_col).cast("string").alias("text")).mapInArrow(rows, JUDGED)
+    return ready.mapInArrow(rows, JUDGED)
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns."""
-    shared = spark.sparkContext.broadcast(references(spark, docs, limits, text_col, lang_col))
+    body = new_name(docs, "__reference")
+    ready, shared = with_references(spark, docs, limits, text_col, lang_col, body)
 
     @F.pandas_udf("boolean")
-    def kept(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([judge_text(t, lang, shared.value, limits)[6] for t, lang in zip(texts, langs)], dtype=bool)
+    def kept(texts: pd.Series, langs: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([v[6] for v in judge_texts(texts, langs, bodies, shared.value, limits)], dtype=bool)
 
     mark = new_name(docs, "__kept")
-    return docs.withColumn(mark, kept(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))).where(F.col(mark)).select(*docs.columns)
+    return (ready.withColumn(mark, kept(F.col(text_col).cast("string"), F.col(lang_col).cast("string"), F.col(body))).where(F.col(mark))
+            .select(*docs.columns))

@@ -94,3 +94,20 @@ def test_repeats_in_long_texts():
     w = [str(r.randint(0, 10 ** 6)).encode() for _ in range(20000)]
     assert quality.repeated_words(w, 5) == 0
     assert quality.repeated_words(w + w[100:110] + [b"x"] + w[5000:5004], 5) == 20
+
+
+@pytest.mark.parametrize("broadcast", [1000, 2])
+def test_small_languages_are_compared_however_large_the_others(spark, monkeypatch, broadcast):
+    import random
+    monkeypatch.setattr(quality, "BROADCAST_LANGS", broadcast)
+    r = random.Random(2)
+    pool = ["the", "of", "and", "to"] * 12 + [f"{a}{b}" for a in ("ba", "do", "ki", "su") for b in ("la", "mer", "ton", "vi", "na")]
+    prose = [(lang, " ".join(r.choice(pool) for _ in range(100)) + ".") for lang in ("aa", None) for _ in range(30)]
+    junk = [(lang, prose[0][1].upper().replace(" ", "!! ")) for lang in ("aa", None)]
+    large = [(lang, " ".join(r.choice(pool) for _ in range(400_000))) for lang in ("x", "y") for _ in range(6)]
+    rows = [(i, lang, t, 1) for i, (lang, t) in enumerate(prose + junk + large)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, body int").repartition(4)
+    judged = {x.doc_id: x for x in quality.judge(spark, docs).collect()}
+    assert len(judged) == len(rows) and all(x.class_distance is not None and x.word_distance is not None for x in judged.values())
+    assert not any(judged[i].kept for i in (60, 61)) and all(judged[i].kept for i in range(60))
+    assert {x.doc_id for x in quality.drop_rejected(spark, docs).collect()} == {i for i, x in judged.items() if x.kept}
