@@ -122,9 +122,12 @@ def search(spark: SparkSession, vectors: DataFrame, k: int, query_every: int, id
     norm are all that the driver holds.
     """
     own = stored(spark, scaled_vectors(vectors, id_col, vector_col), "topk-vectors")
-    sample = bounded_sample(own, own.count(), PIVOT_SAMPLE, "vec_id", "vec").collect()
-    if not sample:
+    n_rows = own.count()
+    if not n_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample = bounded_sample(own, n_rows, PIVOT_SAMPLE, "vec_id", "vec").collect()
+    if not sample:  # equal rows share a hash, so a few distinct rows can all be above the bound
+        sample = bounded_sample(own, 0, PIVOT_SAMPLE, "vec_id", "vec").collect()
 
     def norms(it):
         for b in it:

@@ -39,3 +39,17 @@ def test_fewer_candidates_than_k_and_none(spark):
 def test_large_components_stay_exact(spark):
     rows = [(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [3e6, 2.5]), (3, [-3e6, 0.0])]
     assert search(spark, rows, k=3, query_every=4) == brute(rows, 3, 4)
+
+
+def test_one_vector_repeated_beyond_the_pivot_sample(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(3000).select(F.array(*[F.lit(25 / 256)] * 4).alias("embedding"))
+    for i in range(50, 1050, 50):  # the first id whose hash is above the bound
+        repeated = rows.withColumn("vec_id", F.lit(i).cast("long"))
+        own = topk.scaled_vectors(repeated, "vec_id", "embedding")
+        if not topk.bounded_sample(own, 3000, topk.PIVOT_SAMPLE, "vec_id", "vec").count():
+            break
+    else:
+        pytest.fail("no case whose thinned sample is empty")
+    found = topk.search(spark, repeated, k=2, query_every=50).collect()
+    assert len(found) == 6000 and {r.score for r in found} == {4 * 25 * 25}
