@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_paths import SF_SMALL
 from taskweave.operators import interference as I
 from taskweave.operators import sampling as P
 from taskweave.plans import fixtures as X

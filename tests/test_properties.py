@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from table_paths import SF_MID, SF_SMALL
 from taskweave.operators import metrics as M
 from taskweave.operators import ranking as R
 from taskweave.operators import sampling as P

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_paths import SF_SMALL
 from taskweave.operators import interference as I
 from taskweave.plans import fixtures as X
 from taskweave.sources import delimited as D

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_paths import SF_SMALL
 from taskweave.functions import text as T
 from taskweave.plans import fixtures as X
 from taskweave.session import fresh_dir
