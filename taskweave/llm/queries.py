@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, lm_scoring, mixing, quality, shuffle, simhash_dedup, token_files, topk, url_filter
+from . import byte_bpe, filter_audit, line_dedup, lm_scoring, mixing, quality, shuffle, simhash_dedup, token_files, topk, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -206,3 +206,40 @@ def op10_lm_scoring(spark, sf_dir):
     import public_tokenizers
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return lm_scoring.score_documents(spark, read_table(spark, sf_dir, "documents"), ranks)
+
+
+@query("op13_filter_audit", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+f AS (
+  SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+k AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT f.part, concat(CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END,
+         CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END,
+         CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN f.doc_id > least THEN 'E' ELSE '' END) AS fails,
+         coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic FROM f LEFT JOIN k ON k.doc_id = f.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (
+  SELECT part, fails, n, good, toxic, filter_order, least(
+           CASE WHEN contains(fails, 'A') THEN instr(filter_order, 'A') ELSE 9 END, CASE WHEN contains(fails, 'B') THEN instr(filter_order, 'B') ELSE 9 END,
+           CASE WHEN contains(fails, 'C') THEN instr(filter_order, 'C') ELSE 9 END, CASE WHEN contains(fails, 'D') THEN instr(filter_order, 'D') ELSE 9 END,
+           CASE WHEN contains(fails, 'E') THEN instr(filter_order, 'E') ELSE 9 END) AS goes FROM c, o),
+s AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, sum(CASE WHEN goes > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN goes = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN goes < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN goes = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN goes = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM s""")
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
