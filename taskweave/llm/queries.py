@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, line_dedup, lm_scoring, mixing, quality, shuffle, simhash_dedup, token_files, topk, url_filter
+from . import (byte_bpe, centroids, filter_audit, line_dedup, lm_scoring, mixing, quality, shuffle, simhash_dedup, suffix_dedup, token_files, topk,
+               url_filter)
 from .common import read_table
 
 QUERIES: dict = {}
@@ -208,6 +209,55 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.score_documents(spark, read_table(spark, sf_dir, "documents"), ranks)
 
 
+def _cluster_sql(k: int, rounds: int) -> str:
+    """Plain rounds: every vector against every centroid."""
+    parts = [f"""WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, any_value(v.vec_id) AS vec_id, any_value(v.e) AS e, min(struct_pack(d := list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.e, c.e)]), c := c.c)) AS near
+  FROM v, c{i} c GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+  SELECT c, list(s ORDER BY i) AS e FROM (
+    SELECT c, i, floor(sum(x) / count(*)) AS s FROM (SELECT near.c AS c, unnest(e) AS x, unnest(range(0, 64)) AS i FROM a{i}) GROUP BY c, i) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c)""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, near.c AS cluster, CAST(near.d AS BIGINT) AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) FOR x IN c.e], ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.near.c"""
+
+
+@query("op11_centroids", _cluster_sql(8, 10))
+def op11_centroids(spark, sf_dir):
+    return centroids.cluster_vectors(spark, read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
+@query("op12_suffix_dedup", r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING count(*) > 1),
+f AS (
+  SELECT s.doc_id, s.i, s.i - lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS gap FROM s JOIN m ON s.g = m.g WHERE s.doc_id > m.least),
+n AS (
+  SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM f),
+p AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY doc_id, span),
+q AS (
+  SELECT d.doc_id, p.a, p.z, substr(h, 2 * p.z + 1, 2 * (coalesce(lead(p.a) OVER (PARTITION BY d.doc_id ORDER BY p.a), length(h) // 2) - p.z)) AS behind,
+         substr(h, 1, 2 * min(p.a) OVER (PARTITION BY d.doc_id)) AS before FROM p JOIN d ON d.doc_id = p.doc_id),
+k AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, any_value(before) || string_agg(behind, '' ORDER BY a) AS kept FROM q GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(spark, read_table(spark, sf_dir, "documents"), length=50))
+
+
 @query("op13_filter_audit", r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
