@@ -42,7 +42,7 @@ BATCH_BYTES, PART_BYTES, LEAST_PARTS = 8 << 20, 64 << 20, 32
 #: Strings of an anchor with more occurrences are dealt one by one.
 HOT = 1 << 14
 #: Segment bytes that are merged at a time (segments of one anchor stay together), and shards in which they are sorted.
-MERGE_BYTES, SHARDS = 2 << 20, 4
+MERGE_BYTES, SHARDS = 1 << 18, 4
 #: Positions whose anchors are found at a time.
 STRIDE = 1 << 17
 PACKED = "batch long, n_bytes long, body binary"
@@ -227,24 +227,26 @@ class Segments:
 class Shard:
     """Suffix order and Burrows-Wheeler transform of segments that each end with a symbol of its own.
 
-    Symbols are bytes plus one; the ends are 0 and are ordered as their segments are.
+    ``alphabet`` maps bytes to symbols from 1 on; the ends are 0 and are ordered as their segments are.  A segment counts as
+    a ring: its end stands before its first symbol.  ``transform`` is the symbol before each suffix, ``before`` the one
+    before that.
     """
 
     PACK = 7  # symbols of 9 bits in a long
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], alphabet: np.ndarray):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         ends = np.cumsum(sizes) - 1
         symbols = np.zeros(int(sizes.sum()), np.uint16)
         inner = np.ones(len(symbols), bool)
         inner[ends] = False
-        symbols[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
+        symbols[inner] = alphabet[np.frombuffer(b"".join(texts), np.uint8)]
         self.order = self._sorted(symbols, np.repeat(ends, sizes))
-        self.ends = len(texts)
-        self.transform = symbols[self.order - 1]  # before the first symbol of all stands the last end
-        begins = np.zeros(len(symbols), bool)
-        begins[ends - sizes + 1] = True
-        self.transform[begins[self.order]] = 0
+        back = np.arange(-1, len(symbols) - 1)
+        back[ends - sizes + 1] = ends
+        one = back[self.order]
+        self.transform, self.before = symbols[one], symbols[back[one]]
+        self.lasts = symbols[ends - 1]
 
     def _sorted(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Prefix doubling from packed symbols; a suffix that reaches its end is told apart from all others."""
@@ -276,26 +278,48 @@ class Shard:
             depth *= 2
 
 
-def interleave(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(shards: list[Shard], length: int, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms: the shard of each row and a mark where a row's common prefix with the row before is shorter than
-    ``length``; a shard's rows keep their order."""
+    ``length``; a shard's rows keep their order.
+
+    A pass reads two symbols at a time (one, for an odd length) and deals the rows by them.  Rows that begin with an end,
+    or with one symbol and an end, are told apart by their segments, so their places are fixed.
+    """
     n = sum(len(s.order) for s in shards)
-    n_ends = sum(s.ends for s in shards)
-    ends_from = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.ends for s in shards])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
+    number = np.arange(len(shards), dtype=np.uint8)
+    of_end = np.repeat(number, [len(s.lasts) for s in shards])
+    lasts = np.concatenate([s.lasts for s in shards])
+    kind = np.uint16 if n_symbols <= 256 else np.uint32  # 16 bits are dealt by counting
+    pairs = [s.before.astype(kind) * kind(n_symbols) + s.transform.astype(kind) for s in shards]
+    dealt = np.sort(np.concatenate(pairs))
+    new_symbol = np.r_[True, dealt[1:] != dealt[:-1]]
+    by_last = np.flatnonzero((dealt % kind(n_symbols) == 0) & (dealt > 0))  # one symbol and an end
+    of_last = of_end[np.argsort(lasts, kind="stable")]
+    source = np.repeat(number, [len(s.order) for s in shards])
     block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.uint16)
     new = np.zeros(n, bool)
-    for _ in range(length):
-        for k, s in enumerate(shards):
-            symbol[source == k] = s.transform
+
+    def deal(symbols, changes):
+        nonlocal source, block
+        symbol = np.empty(n, symbols[0].dtype)
+        for k, own in enumerate(symbols):
+            symbol[source == k] = own
         row = np.argsort(symbol, kind="stable")
-        source, block, symbol_ = source[row], block[row], symbol[row]
-        source[:n_ends] = ends_from  # ends come first, in the order of their segments
-        new[0] = True
+        source, block = source[row], block[row]
+        source[:len(of_end)] = of_end  # ends come first, in the order of their segments
         np.not_equal(block[1:], block[:-1], out=new[1:])
-        new[1:] |= symbol_[1:] != symbol_[:-1]
-        new[:n_ends + 1] = True
+        np.logical_or(new, changes, out=new)
+        new[:len(of_end) + 1] = True
+
+    if length % 2:
+        single = [s.transform for s in shards]
+        first = np.sort(np.concatenate(single))
+        deal(single, np.r_[True, first[1:] != first[:-1]])
+        np.cumsum(new, dtype=np.int32, out=block)
+    for _ in range(length // 2):
+        deal(pairs, new_symbol)
+        source[by_last] = of_last
+        new[by_last] = True
         np.cumsum(new, dtype=np.int32, out=block)
     return source, new
 
@@ -303,9 +327,12 @@ def interleave(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray
 def least_holders(texts: list[bytes], least: np.ndarray, length: int, n_shards: int = SHARDS) -> np.ndarray:
     """For each string of ``length`` bytes in the segments, one segment after the other, the smallest id of the segments
     that hold it (``least``: a segment's own)."""
+    known = np.flatnonzero(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    alphabet = np.zeros(256, np.uint16)
+    alphabet[known] = np.arange(1, len(known) + 1)
     cuts = np.linspace(0, len(texts), min(n_shards, len(texts)) + 1).astype(int).tolist()
-    shards = [Shard(texts[i:j]) for i, j in zip(cuts, cuts[1:])]
-    source, new = interleave(shards, length)
+    shards = [Shard(texts[i:j], alphabet) for i, j in zip(cuts, cuts[1:])]
+    source, new = interleave(shards, length, len(known) + 1)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     total = int(sizes.sum())
     position = np.empty(total, np.int64)
@@ -356,7 +383,10 @@ def answered(rows: list, length: int, merge_bytes: int) -> list[bytes]:
     chunk = (np.cumsum(sizes) - sizes) // merge_bytes
     heads = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
     chunk = np.repeat(chunk[heads], np.diff(np.append(heads, len(order))))
-    bits: list = [None] * len(texts)
+    # a segment alone with its anchor shares no string with others
+    bits: list = [np.zeros(len(t) - (length - 1), bool) for t in texts]
+    shared = np.repeat(np.diff(np.append(heads, len(order))) > 1, np.diff(np.append(heads, len(order))))
+    order, sizes, chunk = order[shared], sizes[shared], chunk[shared]
     for _, i, j in by_part(chunk):
         own = order[i:j]
         holders = least_holders([texts[k] for k in own], lowest[own], length)

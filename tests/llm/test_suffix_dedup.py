@@ -70,23 +70,25 @@ def test_no_documents(spark, no_docs):
 def test_shard_order_and_transform():
     r = random.Random(2)
     texts = [bytes(r.choice(b"ab\xff\0") for _ in range(r.randint(1, 60))) for _ in range(30)] + [b"a" * 50] * 3
-    shard = S.Shard(texts)
-    # symbols: ends below all bytes, in the order of their segments
-    whole = [(k, tuple([len(texts) + c for c in t[a:]] + [k])) for k, t in enumerate(texts) for a in range(len(t) + 1)]
-    before = [0 if a == 0 else t[a - 1] + 1 for t in texts for a in range(len(t) + 1)]
-    order = sorted(range(len(whole)), key=lambda i: whole[i][1])
+    shard = S.Shard(texts, np.arange(1, 257).astype(np.uint16))
+    # symbols: ends below all bytes, in the order of their segments; a segment is a ring
+    whole = [tuple([len(texts) + c for c in t[a:]] + [k]) for k, t in enumerate(texts) for a in range(len(t) + 1)]
+    rings = [[c + 1 for c in t] + [0] for t in texts]
+    order = sorted(range(len(whole)), key=whole.__getitem__)
     assert shard.order.tolist() == order
-    assert shard.transform.tolist() == [before[i] for i in order]
+    before = [(ring[a - 1], ring[a - 2]) for ring in rings for a in range(len(ring))]
+    assert list(zip(shard.transform.tolist(), shard.before.tolist())) == [before[i] for i in order]
 
 
 def test_merged_intervals_are_those_of_a_sorted_collection():
     r = random.Random(6)
-    for n_shards in (1, 2, 5):
-        texts = list({words(r, r.randint(4, 9), "ab").encode().ljust(20, b"z") for _ in range(40)})
+    for n_shards, length, kinds in ((1, 20, b"ab"), (2, 20, b"ab"), (5, 19, b"a\0\xff"), (3, 12, bytes(range(256)))):
+        base = bytes(r.choice(kinds) for _ in range(400))
+        texts = list({base[a:a + r.randint(length, 2 * length)] for a in (r.randint(0, 330) for _ in range(60))} | {bytes(range(256))})
         least = np.array([r.randint(0, 30) for _ in texts])
         held = defaultdict(list)
         for t, i in zip(texts, least.tolist()):
-            for a in range(len(t) - 19):
-                held[t[a:a + 20]].append(i)
-        expected = [min(held[t[a:a + 20]]) for t in texts for a in range(len(t) - 19)]
-        assert S.least_holders(texts, least, 20, n_shards).tolist() == expected
+            for a in range(len(t) - length + 1):
+                held[t[a:a + length]].append(i)
+        expected = [min(held[t[a:a + length]]) for t in texts for a in range(len(t) - length + 1)]
+        assert S.least_holders(texts, least, length, n_shards).tolist() == expected
