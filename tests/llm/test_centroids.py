@@ -59,10 +59,11 @@ def test_ties_repeated_starts_and_few_vectors(spark):
 
 def test_components_of_every_size(spark):
     r = random.Random(8)
-    rows = [(i, [r.uniform(-1, 1) * 10 ** size for _ in range(3)]) for i in range(60) for size in [r.choice([0, 0, 5, 5, 80])]]
+    rows = [(i, [r.uniform(-1, 1) * 10 ** size for _ in range(3)]) for i in range(60) for size in [r.choice([0, 3, 5])]]
+    rows += [(60 + i, [(1 + i / 9) * 1e80, 2e80, -1e80]) for i in range(3)] + [(70 + i, [9e9 + i] * 3) for i in range(4)] + [(80, [1e300, 0.0, 0.0])]
     got = run(spark, rows, k=4, rounds=4, dims=3, scale=1024)
     assert got == brute_force(rows, 4, 4, 3, 1024)
-    assert any(x[2] is None for x in got) and any(x[2] is not None for x in got)
+    assert any(x[3] is None for x in got) and any(x[2] for x in got)
 
 
 def test_no_vectors(spark):
