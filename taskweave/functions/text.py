@@ -17,7 +17,6 @@ explicit classes are used.  The same pattern text also runs unchanged in RE2.
 
 from __future__ import annotations
 
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +26,21 @@ WS = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x1c-\x1f \x{85}\p{Z}]"
 # Unicode word characters as matched by Python's \w on str.
 WORD = r"[\p{L}\p{N}_]"
-# Emoji sequences are built from the Emoji property of the public Unicode data (see emoji_class).
+# Code points with the property Emoji in the public Unicode data, version 17.0, without digits, # and * (which are emoji
+# in keycaps only): ranges in hexadecimal, ascending.
+EMOJI_RANGES = """
+A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0
+25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A 262E-262F 2638-263A 2640 2642 2648-2653
+265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 269B-269C 26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE
+26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716
+271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07
+2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1E6-1F1FF 1F201-1F202
+1F21A 1F22F 1F232-1F23A 1F250-1F251 1F300-1F321 1F324-1F393 1F396-1F397 1F399-1F39B 1F39E-1F3F0 1F3F3-1F3F5
+1F3F7-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567 1F56F-1F570 1F573-1F57A 1F587 1F58A-1F58D 1F590 1F595-1F596
+1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3 1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F
+1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6D9 1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A
+1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FAC6 1FAC8 1FACC-1FADD 1FADF-1FAEB 1FAEF-1FAFA
+"""
 EMOJI_MOD = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]"
 EMOJI_TAGS = r"(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
 EMOJI_KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
@@ -47,26 +60,19 @@ AS_WRITTEN = "as_written"
 INTENDED = "intended"
 
 
-def emoji_class() -> str:
-    """A character class of all code points with the Unicode property Emoji, without digits, ``#`` and ``*``,
-    which are emoji in keycaps only."""
-    is_emoji = regex.compile(r"\p{Emoji}").match
-    ranges: list[list[int]] = []
-    for c in range(0x80, 0x1FB00):
-        if not 0xD800 <= c < 0xE000 and is_emoji(chr(c)):
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "]"
+def emoji_class(ranges: str = EMOJI_RANGES) -> str:
+    """A character class of the ranges."""
+    ends = [r.split("-") for r in ranges.split()]
+    return "[" + "".join(f"\\x{{{r[0]}}}" + (f"-\\x{{{r[1]}}}" if len(r) > 1 else "") for r in ends) + "]"
 
 
 EMOJI_BASE = emoji_class()
 EMOJI_ONE = EMOJI_BASE + EMOJI_MOD + "*" + EMOJI_TAGS
-EMOJI = "(?:" + EMOJI_KEYCAP + "|" + EMOJI_ONE + r"(?:\x{200D}" + EMOJI_ONE + ")*)"
-# Every emoji sequence starts with a keycap base or a code point of U+00A9..U+1FAFF; the look-ahead lets Java reject
-# ASCII letters and blanks with one range test instead of walking the whole class.
-EMOJI_GATED = r"(?=[0-9#*\x{A9}-\x{1FAFF}])" + EMOJI
+EMOJI_SEQUENCE = EMOJI_ONE + r"(?:\x{200D}" + EMOJI_ONE + ")*"
+# Nearly all characters of a text are none of these few ranges, which hold every first code point of a sequence: letters
+# of all scripts and common punctuation are below, between or above them.  So the long class is walked for symbols only.
+EMOJI_FIRST = r"[\x{A9}\x{AE}\x{203C}-\x{303D}\x{3297}-\x{3299}\x{1F004}-\x{1FAFF}]"
+EMOJI = "(?:" + EMOJI_KEYCAP + "|(?=" + EMOJI_FIRST + ")" + EMOJI_SEQUENCE + ")"
 
 
 def _col(c) -> Column:
@@ -80,7 +86,7 @@ def _check(mode: str) -> None:
 
 def strip_emoji(c) -> Column:
     """Delete emoji sequences (flags, ZWJ families, skin tones, keycaps)."""
-    return F.regexp_replace(_col(c), EMOJI_GATED, "")
+    return F.regexp_replace(_col(c), EMOJI, "")
 
 
 def strip_emoticon(c, mode: str = AS_WRITTEN) -> Column:
@@ -121,11 +127,12 @@ def strip_url(c, mode: str = AS_WRITTEN) -> Column:
 def sanitize(c, mode: str = AS_WRITTEN) -> Column:
     """The full cleaning chain as one expression.
 
-    Callers in the reference strip emoji and then run the chain, which strips emoji
-    again first, so T1 is applied twice.
+    Callers in the reference strip emoji and then run the chain, which strips emoji again first.  The first pass leaves
+    no emoji code point behind, so all that the second can find are keycaps that close up where an emoji stood between
+    their parts; it looks for these alone.
     """
     _check(mode)
-    c = strip_emoji(strip_emoji(_col(c)))
+    c = F.regexp_replace(strip_emoji(_col(c)), EMOJI_KEYCAP, "")
     if mode == AS_WRITTEN:
         c = strip_emoticon(c, mode)
         c = strip_mention(c)

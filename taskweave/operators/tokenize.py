@@ -7,11 +7,11 @@ the vocabulary is a corpus-scale aggregate and encoding is a join:
 * vocabulary: token counts, ids by descending count then token -- an exact global
   rank over a range shuffle (``range_rank``), so no task gets more than its range,
   however many tokens share a count or a prefix;
-* encoding: the first ``max_len - 2`` tokens of each text, each distinct token once
-  with its positions, are joined to the vocabulary in two steps: the ``HEAD_TOKENS``
-  most frequent tokens (a proven bound) by broadcast, all others by shuffle.  So a
-  token that stands in half of all texts never travels by its own key.  The ids are
-  put back in place per row, wrapped in start/end ids, padded with 0 and given a mask.
+* encoding: the first ``max_len - 2`` tokens of each text, one row each with its
+  position, meet the ``HEAD_TOKENS`` most frequent tokens (a proven bound) by broadcast;
+  only the rare rest is shuffled by token.  So a token that stands in half of all texts
+  never travels by its own key.  The ids are collected per text before the shuffle, put
+  in order there, wrapped in start/end ids, padded with 0 and given a mask.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ PAD, BOS, EOS, UNK = 0, 1, 2, 3
 FIRST_ID = 4
 #: So many of the most frequent tokens are broadcast (a few MB); rarer tokens can't be hot keys.
 HEAD_TOKENS = 20_000
+#: A position and an id travel in one long: the id in the low bits.
+ID_BITS = 40
 
 
 def tokens(text) -> "F.Column":
     """Whitespace tokens of a text (empty strings dropped)."""
-    return F.filter(F.split(text, WS + "+"), lambda t: t != "")
+    return F.array_remove(F.split(text, WS + "+"), "")
 
 
 def tokenize_text(rows: DataFrame, text: str = "tweet", key: str = "row_id", materialize: bool = True) -> DataFrame:
@@ -64,21 +66,18 @@ def encode_fixed(tok: DataFrame, vocab: DataFrame, max_len: int = 180, key: str
     """Adds ``n_tokens`` (whole text), ``input_ids`` and ``attention_mask`` (both ``max_len``)."""
     keep = max_len - 2
     sized = tok.select(key, F.size("tokens").alias("n_tokens"), F.slice("tokens", 1, keep).alias("__t"))
-    # explode_outer keeps token-less rows (token NULL), so no join back is needed
-    places = F.transform(F.array_distinct("__t"), lambda t: F.struct(
-        t.alias("token"), F.filter(F.transform("__t", lambda u, i: F.when(u == t, i)), lambda i: i.isNotNull()).alias("at")))
-    rows = sized.select(key, "n_tokens", F.explode_outer(places).alias("p")).select(key, "n_tokens", "p.token", "p.at")
-    head = vocab.where(F.col("id") < FIRST_ID + HEAD_TOKENS).select(F.col("token").alias("__h"), F.col("id").alias("__hid"))
-    tail = vocab.where(F.col("id") >= FIRST_ID + HEAD_TOKENS).select(F.col("token").alias("__l"), F.col("id").alias("__tid"))
-    known = rows.join(F.broadcast(head), F.col("token") == F.col("__h"), "left").drop("__h")
-    # rows that have their id already get a key of no token, spread over many values
-    other = F.concat(F.lit("\u0000 "), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
-    known = known.withColumn("__k", F.when(F.col("__hid").isNull() & F.col("token").isNotNull(), F.col("token")).otherwise(other))
-    found = known.join(tail, F.col("__k") == F.col("__l"), "left")
-    item = F.when(F.col("token").isNotNull(), F.transform("at", lambda i: F.struct(
-        i.alias("pos"), F.coalesce("__hid", "__tid", F.lit(UNK).cast("long")).alias("id"))))
-    ids = found.groupBy(key, "n_tokens").agg(F.array_sort(F.flatten(F.collect_list(item))).alias("__s"))
-    out = ids.withColumn("__b", F.transform("__s", lambda s: s["id"]))
+    # posexplode_outer keeps token-less rows (token NULL), so no join back is needed
+    rows = sized.select(key, "n_tokens", F.posexplode_outer("__t").alias("__pos", "__token"))
+    head = vocab.where(F.col("id") < FIRST_ID + HEAD_TOKENS).select(F.col("token").alias("__token"), F.col("id").alias("__id"))
+    tail = vocab.where(F.col("id") >= FIRST_ID + HEAD_TOKENS).select(F.col("token").alias("__token"), F.col("id").alias("__rare"))
+    known = rows.join(F.broadcast(head), "__token", "left")
+    rare = F.col("__id").isNull() & F.col("__token").isNotNull()
+    rest = known.where(rare).drop("__id").join(tail, "__token", "left").withColumn("__id", F.coalesce("__rare", F.lit(UNK).cast("long")))
+    columns = [key, "n_tokens", "__pos", "__id"]
+    both = known.where(~rare).select(*columns).unionByName(rest.select(*columns))
+    place = F.shiftleft(F.col("__pos").cast("long"), ID_BITS).bitwiseOR(F.col("__id"))     # NULL without a token
+    ids = both.groupBy(key, "n_tokens").agg(F.sort_array(F.collect_list(place)).alias("__s"))
+    out = ids.withColumn("__b", F.transform("__s", lambda s: s.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
     pad = F.array_repeat(F.lit(PAD).cast("long"), F.lit(keep) - F.size("__b"))
     return out.select(
         key, "n_tokens",

@@ -1,8 +1,11 @@
 """File sources: quirks of the reference's readers, exercised on small files."""
 
 import os
+import random
 import tempfile
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from table_paths import SF_SMALL
@@ -14,7 +17,7 @@ from taskweave.sources import similarity as S
 
 
 def write(path, text):
-    with open(path, "w", encoding="utf-8") as f:
+    with open(path, "w", encoding="utf-8", newline="") as f:
         f.write(text)
 
 
@@ -53,6 +56,57 @@ def test_csv_na_tokens_and_multiline(spark):
         (1, "multi\nline, with comma"), (2, None), (3, None), (4, None), (5, "ok")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """File splits of some hundred bytes."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def quoted(r, ends):
+    """A field, quoted where it must be, with line breaks of both kinds, separators and quotes inside."""
+    text = "".join(r.choice(["a", "bc", " ", ",", "\t", '"', "\n", "\r\n", "é", "\n\n", "x" * r.randint(1, 40)]) for _ in range(r.randint(0, 9)))
+    plain = not any(c in text for c in ',\t"\n\r')
+    return text if plain and r.random() < 0.7 else '"' + text.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize("sep, ends", [(",", "\n"), ("\t", "\n"), (",", "\r\n")])
+def test_quoted_line_breaks_over_many_splits(spark, small_splits, sep, ends):
+    r = random.Random(len(sep + ends))
+    d = tempfile.mkdtemp()
+    for name in ("one", "two", "three"):
+        rows = [sep.join([str(i), quoted(r, ends), quoted(r, ends)]) for i in range(300)]
+        if name == "two":
+            rows[40] = sep.join(["40", '"' + "long\n" * 900 + '"', "over many splits"])  # a record over many splits
+            rows[70] = ends  # blank lines
+            rows[90:95] = [f'{i}{sep}a "quote" inside{sep}it' + "''" for i in range(90, 95)]
+        write(f"{d}/{name}.csv", ends.join(["id" + sep + "a" + sep + '"b\nc"', *rows]) + (ends if name != "three" else ""))
+    schema = "id INT, a STRING, b STRING"
+    whole = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+             .option("multiLine", True).csv(d))
+    got = D.read_delimited(spark, d, schema, sep=sep, multi_line=True, na_tokens=False)
+    assert got.rdd.getNumPartitions() > 20 and whole.rdd.getNumPartitions() <= 3
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert len(rows) == 899
+    if ends == "\n":  # Spark's own reader takes the line end of a file from its first line break
+        assert rows == sorted(map(tuple, whole.collect()), key=repr)
+    frames = [pd.read_csv(f"{d}/{name}.csv", sep=sep, dtype=str, keep_default_na=False) for name in ("one", "two", "three")]
+    assert sorted([(i, a or "", b or "") for i, a, b in rows]) == sorted((int(i), a, b) for f in frames for i, a, b in f.itertuples(index=False))
+    named = D.read_with_provenance(spark, d, schema, r"(one|two|three)", ["name"], sep=sep, multi_line=True)
+    assert {(x["name"], x["n"]) for x in named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()} == {("one", 300), ("two", 299), ("three", 300)}
+
+
+def test_unbalanced_quote_swallows_the_rest_of_its_file(spark, small_splits):
+    d = tempfile.mkdtemp()
+    write(f"{d}/a.csv", "id,a\n" + "".join(f"{i},x{i}\n" for i in range(100)) + '100,"open\n' + "".join(f"{i},y{i}\n" for i in range(100, 300)))
+    write(f"{d}/b.csv", "id,a\n" + "".join(f"{i},z{i}\n" for i in range(300, 400)))
+    rows = D.read_delimited(spark, d, "id INT, a STRING", multi_line=True).orderBy("id").collect()
+    assert [r.id for r in rows] == [*range(101), *range(300, 400)]
+    assert rows[100].a.startswith("open\n100,y100\n") and rows[100].a.rstrip().endswith("299,y299")
+
+
 def test_similarity_json_round_trip_and_reference_form(spark):
     g = X.fg(spark, SF_SMALL)
     sims = I.group_cosines(g, I.task_pairs(I.task_order(g))).withColumn("idx", F.col("step").cast("long"))
