@@ -5,17 +5,21 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import query
 from .operators import interference as I
 from .operators import metrics as M
 from .operators import windows as W
+from .operators.ranking import bucketed_rank
 from .plans import fixtures as X
 from .plans.interference_report import interference_report
 
 
+#: Steps that are numbered together.
+SLICE = 4096
+
+
 def _r(c, n=6):
     return F.round(c, n)
 
@@ -149,12 +153,22 @@ def q_best_macro_epoch(spark, sf):
                                                    F.coalesce("n_improvements", F.lit(0)).alias("n_improvements"))
 
 
+@query("best_task_epoch")
+def q_best_task_epoch(spark, sf):
+    """W4 for each task: the epoch with its best validation accuracy, and how often it improved."""
+    val = X.fm(spark, sf).where((F.col("split") == "val") & (F.col("name") == "accuracy")).select("run", "task", "epoch", "value")
+    better = M.running_best(val, ["run", "task"], idx="epoch").groupBy("run", "task").agg(F.count(F.lit(1)).alias("n_improvements"))
+    best = M.best_epoch(val, ["run", "task"], idx="epoch")
+    return best.join(better, ["run", "task"], "left").select("run", "task", "best_epoch", _r(F.col("best_value")).alias("best_value"),
+                                                             F.coalesce("n_improvements", F.lit(0)).alias("n_improvements"))
+
+
 @query("similarity_series")
 def q_similarity_series(spark, sf):
     """V6 -> F3 -> W1 -> W2: the smoothed similarity series of one anchor task, with its step axis."""
     sims = I.filter_pair_prefix(_group_sims(spark, sf), "t0")
-    place = Window.partitionBy("pair", "grp").orderBy("step")     # one row for each sampled step
-    series = sims.withColumn("idx", (F.row_number().over(place) - 1).cast("long"))
+    # one row for each sampled step; steps are numbered in slices, so no task sorts a whole series
+    series = bucketed_rank(sims, ["pair", "grp"], F.floor(F.col("step") / SLICE), [F.col("step")], "rk").withColumn("idx", F.col("rk") - 1)
     smooth = W.rolling_mean(series, ["pair", "grp"], value="similarity", window=5, block=4096)
     return W.step_axis(smooth, every=10).select("pair", "grp", "idx", "x", _r(F.col("similarity")).alias("similarity"),
                                                 _r(F.col("rolling")).alias("rolling"))

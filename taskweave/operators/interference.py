@@ -76,46 +76,43 @@ def _cosine(dotp: Column, n1: Column, n2: Column) -> Column:
     return F.when((n1 == 0) | (n2 == 0), F.lit(float("nan"))).otherwise(dotp / (F.sqrt(n1) * F.sqrt(n2)))
 
 
+def _nearby(gs: Column) -> Column:
+    """Of ``array<struct<task, g>>``: for every two tasks (first name smaller) their dot product and squared norms."""
+    known = F.transform(gs, lambda e: F.struct(e["task"].alias("task"), e["g"].alias("g"), sq_norm(e["g"]).alias("n")))
+    return F.flatten(F.transform(known, lambda a: F.transform(F.filter(known, lambda b: a["task"] < b["task"]), lambda b: F.struct(
+        a["task"].alias("low"), b["task"].alias("high"), dot(a["g"], b["g"]).alias("d"), a["n"].alias("n1"), b["n"].alias("n2")))))
+
+
 def group_cosines(grads: DataFrame, pairs: DataFrame, at: Sequence[str] = ("step",)) -> DataFrame:
     """V6: per step (columns ``at``), group and task pair: ``1 - cosine_distance`` of the concatenated gradients.
 
-    Each pair of chunks gives a dot product and two squared norms, summed per parameter group; ``all_model``
-    is the sum of the groups' sums, so no gradient array is copied or shuffled for it.
+    The tasks' gradients of one parameter chunk meet once, in one group, which gives the dot products of all pairs of
+    tasks and their norms (a Gram matrix); so a gradient travels once, not once for each pair.  A group holds a chunk of
+    each task.  The sums by parameter group are narrow, and ``all_model`` is the sum of the groups' sums.
     """
     at = list(at)
-    g = grads.select(*at, "task", param_key(F.col("param"), F.col("task")).alias("pkey"),
-                     param_group(F.col("param")).alias("grp"), "chunk", "g")
-    left = g.join(pairs.select("task_1", "task_2", "pair"), g["task"] == F.col("task_1")).drop("task")
-    right = g.select(*at, F.col("task").alias("task_2"), "grp", "pkey", "chunk", F.col("g").alias("g2"))
-    keys = [*at, "pair", "task_1", "task_2"]
-    sums = (left.join(right, [*at, "task_2", "grp", "pkey", "chunk"])
-            .select(*keys, "grp", dot(F.col("g"), F.col("g2")).alias("d"), sq_norm(F.col("g")).alias("n1"), sq_norm(F.col("g2")).alias("n2"))
-            .groupBy(*keys, "grp").agg(*[F.sum(c).alias(c) for c in ("d", "n1", "n2")]))
+    chunks = grads.select(*at, "task", param_key(F.col("param"), F.col("task")).alias("pkey"), param_group(F.col("param")).alias("grp"), "chunk", "g")
+    gram = chunks.groupBy(*at, "grp", "pkey", "chunk").agg(F.collect_list(F.struct("task", "g")).alias("gs"))
+    each = gram.select(*at, "grp", F.explode(_nearby(F.col("gs"))).alias("p")).select(*at, "grp", "p.*")
+    sums = each.groupBy(*at, "low", "high", "grp").agg(*[F.sum(c).alias(c) for c in ("d", "n1", "n2")])
     both = (sums.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit("all_model"))))
-            .groupBy(*keys, "grp").agg(*[F.sum(c).alias(c) for c in ("d", "n1", "n2")]))
-    return both.select(*keys, "grp", _cosine(F.col("d"), F.col("n1"), F.col("n2")).alias("similarity"))
+            .groupBy(*at, "low", "high", "grp").agg(*[F.sum(c).alias(c) for c in ("d", "n1", "n2")]))
+    named = pairs.select("pair", "task_1", "task_2", F.least("task_1", "task_2").alias("low"), F.greatest("task_1", "task_2").alias("high"))
+    return both.join(named, ["low", "high"]).select(*at, "pair", "task_1", "task_2", "grp", _cosine(F.col("d"), F.col("n1"), F.col("n2")).alias("similarity"))
 
 
 def per_param_cosines(grads: DataFrame, task_1: str, task_2: str, at: Sequence[str] = ("step",)) -> DataFrame:
     """V7: per step, phase and parameter, three series: ``a_b``, ``a_a`` (vs. reference
     episode of a) and ``b_b``.  ``grads`` carries ``phase`` and ``kind`` (episode/ref)."""
-    g = grads.withColumn("pkey", param_key(F.col("param"), F.col("task")))
-    ep = g.where(F.col("kind") == "episode")
-    ref = g.where(F.col("kind") == "ref")
     keys = [*at, "phase", "pkey", "chunk"]
-
-    def side(df, task, name):
-        return df.where(F.col("task") == task).select(*keys, F.col("g").alias(name))
-
-    combos = [(f"{task_1}_{task_2}", side(ep, task_1, "a"), side(ep, task_2, "b")),
-              (f"{task_1}_{task_1}", side(ep, task_1, "a"), side(ref, task_1, "b")),
-              (f"{task_2}_{task_2}", side(ep, task_2, "a"), side(ref, task_2, "b"))]
-    parts = []
-    for name, a, b in combos:
-        parts.append(a.join(b, keys).select(F.lit(name).alias("pair"), *keys,
-                                            dot(F.col("a"), F.col("b")).alias("d"),
-                                            sq_norm(F.col("a")).alias("na"), sq_norm(F.col("b")).alias("nb")))
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sides = {"a": (task_1, "episode"), "b": (task_2, "episode"), "ra": (task_1, "ref"), "rb": (task_2, "ref")}
+    g = grads.where(F.col("task").isin(task_1, task_2)).withColumn("pkey", param_key(F.col("param"), F.col("task")))
+    # the four gradients of a parameter chunk meet once
+    met = g.groupBy(*keys).agg(*[F.first(F.when((F.col("task") == t) & (F.col("kind") == k), F.col("g")), ignorenulls=True).alias(n) for n, (t, k) in sides.items()])
+    combos = ((f"{task_1}_{task_2}", "a", "b"), (f"{task_1}_{task_1}", "a", "ra"), (f"{task_2}_{task_2}", "b", "rb"))
+    u = met.select(*keys, F.explode(F.array(*[F.struct(
+        F.lit(name).alias("pair"), dot(F.col(x), F.col(y)).alias("d"), F.when(F.col(y).isNotNull(), sq_norm(F.col(x))).alias("na"),
+        F.when(F.col(x).isNotNull(), sq_norm(F.col(y))).alias("nb")) for name, x, y in combos])).alias("c")).select(*keys, "c.*").where("d IS NOT NULL")
     agg = u.groupBy("pair", *at, "phase", "pkey").agg(F.sum("d").alias("d"), F.sum("na").alias("na"),
                                                         F.sum("nb").alias("nb"))
     return agg.select(*at, "phase", "pair", F.col("pkey").alias("param"),
@@ -157,28 +154,62 @@ def accumulate(grads: DataFrame, mode: str = "sum") -> DataFrame:
     return out.select("step", "owner", F.col("pkey").alias("param"), "chunk", "g")
 
 
+def _add(a, b) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _running(siblings) -> Column:
+    """``array<struct<at, g>>`` in order of ``at`` -> the same with ``g`` the sum of all up to it and ``before`` the sum before it."""
+    zero = F.transform(siblings[0]["g"], lambda _: F.lit(0.0))
+    item = F.struct(F.lit(None).cast("long").alias("at"), zero.alias("before"), zero.alias("g"))
+    start = F.struct(zero.alias("sum"), F.slice(F.array(item), 1, 0).alias("out"))
+
+    def step(state, e):
+        total = _add(state["sum"], e["g"])
+        return F.struct(total.alias("sum"), F.concat(state["out"], F.array(F.struct(e["at"].alias("at"), state["sum"].alias("before"), total.alias("g")))).alias("out"))
+
+    return F.aggregate(siblings, start, step)["out"]
+
+
+def prefix_sums(vectors: DataFrame, keys: Sequence[str], block: int = 32) -> DataFrame:
+    """``*keys, at (long), g`` -> the same with ``g`` the sum of all vectors of ``keys`` up to ``at`` (one row for each ``at``, 0 or more).
+
+    A scan in levels: the sums of blocks of ``block`` places are summed in blocks again, until one block is left (up-sweep);
+    then each block learns what came before it from the block above (down-sweep).  A group at any level has at most
+    ``block`` vectors, so no task holds a whole run, and the levels above the first hold a ``block``-th of it each.
+    """
+    keys = list(keys)
+    levels = [vectors.select(*keys, F.col("at").cast("long").alias("at"), "g")]
+    last = vectors.agg(F.max("at")).first()[0] or 0
+    while last >= block:
+        below = levels[-1]
+        levels.append(below.groupBy(*keys, F.floor(F.col("at") / block).cast("long").alias("at"))
+                      .agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
+        last //= block
+    before = None
+    for level in reversed(levels):
+        inner = (level.groupBy(*keys, F.floor(F.col("at") / block).cast("long").alias("__up"))
+                 .agg(F.sort_array(F.collect_list(F.struct("at", "g"))).alias("__s"))
+                 .select(*keys, "__up", F.explode(_running(F.col("__s"))).alias("r")).select(*keys, "__up", "r.at", "r.before", "r.g"))
+        if before is not None:
+            inner = inner.join(before, [*keys, "__up"]).withColumns({"before": _add("before", "__above"), "g": _add("g", "__above")}).drop("__above")
+        before = inner.select(*keys, F.col("at").alias("__up"), F.col("before").alias("__above"))
+        result = inner.select(*keys, "at", "g")
+    return result
+
+
 def parameter_trajectory(theta0: DataFrame, updates: DataFrame, lr: float, block: int = 32) -> DataFrame:
     """V8: ``theta_s = theta_0 - lr * sum_{s' <= s} G_s'`` for every step of ``updates``.
 
     ``theta0``: ``param, chunk, g`` (initial values); ``updates``: ``step, param, chunk, g``.
-    Whole chunks travel, never single elements.  The steps are cut into blocks of ``block``: block sums are
-    prefix-summed per chunk over the few blocks, and each block sums up its own steps, so no task holds a whole run.
+    Whole chunks travel, never single elements (see ``prefix_sums``).
     Returns ``step, param, chunk, g`` (the parameter after the step).
     """
     keys = ["param", "chunk"]
-    u = updates.select("step", *keys, "g").withColumn("__b", F.floor(F.col("step") / block))
-
-    def add(column, window):
-        return F.aggregate(F.collect_list(column).over(window), F.array().cast("array<double>"),
-                           lambda acc, v: F.when(F.size(acc) == 0, v).otherwise(F.zip_with(acc, v, lambda p, q: p + q)))
-
-    totals = u.groupBy(*keys, "__b").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("__s"))
-    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "__b", add("__s", earlier).alias("__before"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    j = u.withColumn("__in", add("g", inside)).join(before, [*keys, "__b"]).join(theta0.select(*keys, F.col("g").alias("__t0")), keys)
-    moved = F.when(F.size("__before") == 0, F.col("__in")).otherwise(F.zip_with("__in", "__before", lambda p, q: p + q))
-    return j.select("step", *keys, F.zip_with("__t0", moved, lambda t, m: t - F.lit(lr) * m).alias("g"))
+    moved = prefix_sums(updates.select(F.col("step").alias("at"), *keys, "g"), keys, block)
+    j = moved.join(theta0.select(*keys, F.col("g").alias("__t0")), keys)
+    step = F.col("at").cast(updates.schema["step"].dataType).alias("step")
+    return j.select(step, *keys, F.zip_with("__t0", "g", lambda t, m: t - F.lit(lr) * m).alias("g"))
 
 
 def clip_global_norm(grads: DataFrame, max_norm: float = 1.0, keys: Sequence[str] = ("step", "task")) -> DataFrame:

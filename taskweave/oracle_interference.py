@@ -212,6 +212,16 @@ SELECT 'fs' AS run, CAST(coalesce(max(CASE WHEN value = mx THEN -epoch END), 0)
        round(max(value), 6) AS best_value, count(*) FILTER (WHERE value > prev AND value > 0) AS n_improvements
 FROM (SELECT *, max(value) OVER () AS mx FROM seen)"""
 
+SQL["best_task_epoch"] = with_(FS) + """,
+acc AS (SELECT series AS task, idx // 4 AS epoch, value % 1 AS value FROM fs WHERE idx % 4 = 2),
+seen AS (
+  SELECT *, coalesce(max(value) OVER (PARTITION BY task ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev,
+         max(value) OVER (PARTITION BY task) AS mx FROM acc
+)
+SELECT 'fs' AS run, task, CAST(coalesce(min(CASE WHEN value = mx AND mx > 0 THEN epoch END), 0) AS BIGINT) AS best_epoch, round(max(value), 6) AS best_value,
+       count(*) FILTER (WHERE value > prev AND value > 0) AS n_improvements
+FROM seen GROUP BY task"""
+
 SQL["similarity_series"] = with_(FG) + """,
 own AS (
   SELECT pair, grp, row_number() OVER (PARTITION BY pair, grp ORDER BY step) - 1 AS idx,
