@@ -1,4 +1,4 @@
-"""Registered gradient and adaptation jobs (C1-C4): single plans at formula parameters."""
+"""Registered gradient and adaptation jobs: C1-C4 at formula parameters as single plans, C1, C2, C7 and C8 in full-table rounds."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from .operators import interference as I
 from .operators import sampling as P
 from .operators.prototypes import sq_norm
 from .plans import fixtures as X
+from .plans import rounds as R
 from .plans import training as TR
 from .session import fresh_dir
 from .sources import similarity as S
@@ -80,3 +81,44 @@ def q_job_adapt_evaluate(spark, sf):
 def q_job_adapt_evaluate_zero(spark, sf):
     """C4 without an inner step."""
     return _adapted(spark, sf, 0)
+
+
+@query("job_protomaml_query_prototypes")
+def q_job_protomaml_query_prototypes(spark, sf):
+    """C3 with heads built from the query rows' own classes."""
+    _, groups = TR.episode_adaptation(_train(spark, sf), alpha=0.05, query_prototypes=True)
+    return groups.select("epoch", "episode", "task", "n", _r(F.col("loss")).alias("loss"), _r(F.col("accuracy")).alias("accuracy"))
+
+
+def _rounds(history):
+    return history.select("round", "task", "n", *[_r(F.col(c)).alias(c) for c in ("loss", "accuracy", "p_norm", "w_norm")])
+
+
+@query("job_joint_rounds")
+def q_job_joint_rounds(spark, sf):
+    """C1 with updates: three full-table rounds; loss, accuracy and sizes of the parameters before each and after the last."""
+    return _rounds(R.joint_rounds(_train(spark, sf), rounds=3, rate=1.0)[0])
+
+
+@query("job_fomaml_rounds")
+def q_job_fomaml_rounds(spark, sf):
+    """C2 with updates: two rounds of two inner steps on half of each task's rows and an outer step by the other half."""
+    return _rounds(R.fomaml_rounds(_train(spark, sf), rounds=2, alpha=1.0, beta=1.0, inner_steps=2)[0])
+
+
+@query("job_train_from_saved_init")
+def q_job_train_from_saved_init(spark, sf):
+    """Joint rounds that start from the parameters that C2's rounds have stored."""
+    train = _train(spark, sf)
+    _, start = R.fomaml_rounds(train, rounds=1, alpha=1.0, beta=1.0, inner_steps=1)
+    return _rounds(R.joint_rounds(train, rounds=2, rate=1.0, start=start)[0])
+
+
+@query("job_finetune_sequential")
+def q_job_finetune_sequential(spark, sf):
+    """From C2's parameters the tasks train one after another; validation before and after the round."""
+    s = P.split_holdout(X.fv(spark, sf))
+    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+    _, start = R.fomaml_rounds(train, rounds=1, alpha=1.0, beta=1.0, inner_steps=1)
+    out = R.sequential_rounds(train, val, start, rounds=1, rate=1.0)
+    return out.select("round", "task", "n", _r(F.col("loss")).alias("loss"), _r(F.col("accuracy")).alias("accuracy"))

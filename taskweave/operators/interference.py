@@ -178,7 +178,7 @@ def prefix_sums(vectors: DataFrame, keys: Sequence[str], block: int = 32) -> Dat
     then each block learns what came before it from the block above (down-sweep).  A group at any level has at most
     ``block`` vectors, so no task holds a whole run, and the levels above the first hold a ``block``-th of it each.
     """
-    keys = list(keys)
+    keys, block = list(keys), max(block, 2)
     levels = [vectors.select(*keys, F.col("at").cast("long").alias("at"), "g")]
     last = vectors.agg(F.max("at")).first()[0] or 0
     while last >= block:

@@ -98,6 +98,19 @@ def episode_sampler(df: DataFrame, k: int = 10, epochs: int = 1, seed: int = 3,
             .withColumn("episode", (F.col("g") % F.col("L")).cast("int")).drop("g", "L"))
 
 
+def first_episode(df: DataFrame, k: int = 10, seed: int = 3, row_id: str = "row_id") -> DataFrame:
+    """The rows of the first episode of the first epoch only (``epoch, episode`` 0, ``pos``), as ``episode_sampler`` draws them.
+
+    It is the first draw of every stream, so no other row is ranked, copied or moved: each stream's K-th smallest key is
+    found and the rows are compared with it.
+    """
+    by = ["task", "emotion_ind"]
+    keyed = df.withColumn("__key", draw_key(seed, "0", row_id))
+    drawn = within_k_smallest(keyed, by, "__key", row_id, lambda c: c.withColumn("__k", F.lit(k).cast("long")), "__in").where("__in").drop("__in")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__key", row_id))           # at most k rows each
+    return drawn.withColumn("pos", (place - 1).cast("int")).withColumns({"epoch": F.lit(0), "episode": F.lit(0)}).drop("__key")
+
+
 def support_query(df: DataFrame, group: Sequence[str], pos: str = "pos") -> DataFrame:
     """First ``floor(len/2)`` rows of each draw (by ``pos``) are support, the rest query."""
     cnt = F.count(F.lit(1)).over(Window.partitionBy(*group))

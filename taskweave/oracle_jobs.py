@@ -151,3 +151,68 @@ UNION ALL SELECT '__macro__', round(avg(accuracy), 6), round(avg(loss), 6) FROM
 FIRST = (episode_sql(1) + groups_of("eg") + prototype_heads("sup")).replace("FROM er)", "FROM er WHERE epoch = 0 AND episode = 0)")
 SQL["job_adapt_evaluate_zero"] = with_(FIRST + evaluated("bp", "hw", "hb"))
 SQL["job_adapt_evaluate"] = with_(FIRST + gradients("s", "sup", "bp", "hw", "hb") + stepped("a", "s", "bp", "hw", "hb", 0.05) + evaluated("a_p", "a_w", "a_b"))
+
+
+def adapted_by_query() -> str:
+    """The support step, then heads from the query rows' class means after the adapted encoder."""
+    steps = episode_sql(2) + groups_of("eg") + prototype_heads("sup") + gradients("s", "sup", "bp", "hw", "hb") + stepped("a", "s", "bp", "hw", "hb", 0.05)
+    again = prototype_heads("qry")
+    for name in ("pa", "pk", "pm", "pz", "hw", "hb"):
+        again = again.replace(f"{name} AS", f"q{name} AS").replace(f"FROM {name}", f"FROM q{name}").replace(f"JOIN {name} ", f"JOIN q{name} ")
+    return steps + again.replace("JOIN bp p", "JOIN a_p p") + gradients("q", "qry", "a_p", "qhw", "qhb")
+
+
+SQL["job_protomaml_query_prototypes"] = with_(adapted_by_query()) + """
+SELECT CAST(gk.a AS INTEGER) AS epoch, CAST(gk.s AS INTEGER) AS episode, task, n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy FROM q_q"""
+
+WHOLE = PARAMS + """,
+b AS (SELECT 0 AS gk, task, row_id, emotion_ind AS y, x FROM trn)""" + groups_of("b")
+
+
+def outer(name: str, grads: str, p: str, rate: str) -> str:
+    """CTE ``{name}``: the common encoder after a step against the sum over the tasks."""
+    return f""",
+{name} AS (SELECT p.gk, p.task, p.i, p.j, p.v - {rate} * s.v AS v FROM {p} p JOIN (SELECT i, j, sum(v) AS v FROM {grads}_gp GROUP BY 1, 2) s USING (i, j))"""
+
+
+def joint(first: int, rounds: int, p: str, w: str, b: str, rate: float) -> tuple[str, list[str]]:
+    """CTEs of ``rounds`` joint rounds (names from number ``first`` on), and the statements that read them."""
+    sql, reads = "", []
+    for r in range(rounds + 1):
+        n = f"j{first + r}"
+        sql += gradients(n, "b", p, w, b)
+        reads.append(f"""SELECT {r} AS round, q.task, q.n, round(q.loss, 6) AS loss, round(q.accuracy, 6) AS accuracy,
+       round((SELECT sum(v * v) FROM {p} x WHERE x.task = q.task), 6) AS p_norm, round((SELECT sum(v * v) FROM {w} x WHERE x.task = q.task), 6) AS w_norm FROM {n}_q q""")
+        if r < rounds:
+            sql += outer(f"{n}o", n, p, str(rate / 2)) + stepped(f"{n}s", n, p, w, b, rate / 2)
+            p, w, b = f"{n}o", f"{n}s_w", f"{n}s_b"
+    return sql, reads
+
+
+def fomaml(rounds: int, alpha: float, beta: float, inner: int) -> tuple[str, list[str], str]:
+    """CTEs of ``rounds`` first-order rounds with zero heads ``zw, zb``, the statements that read them, and the last encoder."""
+    sql, reads, p = """,
+zw AS (SELECT gk, task, k, i, 0.0::DOUBLE AS v FROM bw), zb AS (SELECT gk, task, k, 0.0::DOUBLE AS v FROM bb)""", [], "bp"
+    for r in range(rounds):
+        n = f"f{r}"
+        sql += f""",
+{n}h AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('3:half{r}:' || row_id), row_id) <= floor(count(*) OVER (PARTITION BY task) / 2) AS support FROM b),
+{n}u AS (SELECT * FROM {n}h WHERE support), {n}y AS (SELECT * FROM {n}h WHERE NOT support)"""
+        at = (p, "zw", "zb")
+        for i in range(inner):
+            sql += gradients(f"{n}i{i}", f"{n}u", *at) + stepped(f"{n}a{i}", f"{n}i{i}", *at, alpha)
+            at = tuple(f"{n}a{i}_{x}" for x in "pwb")
+        sql += gradients(f"{n}q", f"{n}y", *at) + outer(f"{n}o", f"{n}q", p, f"{beta} / (SELECT count(*) FROM ncls)")
+        reads.append(f"""SELECT {r} AS round, q.task, q.n, round(q.loss, 6) AS loss, round(q.accuracy, 6) AS accuracy,
+       round((SELECT sum(v * v) FROM {at[0]} x WHERE x.task = q.task), 6) AS p_norm, round((SELECT sum(v * v) FROM {at[1]} x WHERE x.task = q.task), 6) AS w_norm FROM {n}q_q q""")
+        p = f"{n}o"
+    return sql, reads, p
+
+
+_CTES, _READS = joint(0, 3, "bp", "bw", "bb", 1.0)
+SQL["job_joint_rounds"] = with_(WHOLE + _CTES) + " UNION ALL ".join(_READS)
+_CTES, _READS, _ = fomaml(2, 1.0, 1.0, 2)
+SQL["job_fomaml_rounds"] = with_(WHOLE + _CTES) + " UNION ALL ".join(_READS)
+_INIT, _, _P = fomaml(1, 1.0, 1.0, 1)
+_CTES, _READS = joint(0, 2, _P, "zw", "zb", 1.0)
+SQL["job_train_from_saved_init"] = with_(WHOLE + _INIT + _CTES) + " UNION ALL ".join(_READS)

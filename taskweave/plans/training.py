@@ -138,12 +138,14 @@ def shared_update(rows: DataFrame, batch_size: int = 16, alpha: float = 1e-2, se
     return query, I.accumulate(table, "mean_shared_only")
 
 
-def prototype_params(episodes: DataFrame, params: DataFrame, num_class: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """V1 on encoder outputs: ``keys, P, W, b`` with heads from the support prototypes of ``z = P x``."""
+def prototype_params(episodes: DataFrame, params: DataFrame, num_class: DataFrame, keys: Sequence[str], role: str = "support",
+                     on: Sequence[str] = ("task",)) -> DataFrame:
+    """V1 on encoder outputs: ``keys, P, W, b`` with heads from the prototypes of ``z = P x`` of the ``role`` rows.
+    ``params`` has a row (with the encoder) for each ``on``."""
     keys = list(keys)
-    support = episodes.where("role = 'support'").withColumnRenamed("y", "emotion_ind")
-    means = prototypes(support, keys, num_class, drawn=episodes).select(*keys, F.struct("emotion_ind", "c").alias("m"))
-    heads = means.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("__c")).join(params.select("task", "P"), "task")   # a row for each class
+    own = episodes.where(F.col("role") == role).withColumnRenamed("y", "emotion_ind")
+    means = prototypes(own, keys, num_class, drawn=episodes).select(*keys, F.struct("emotion_ind", "c").alias("m"))
+    heads = means.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("__c")).join(params.select(*on, "P"), list(on))   # a row for each class
     z = heads.withColumn("__z", F.transform("__c", lambda m: F.transform("P", lambda p: dot(p, m["c"]))))
     return z.select(*keys, "P", F.transform("__z", lambda r: F.transform(r, lambda v: v * 2.0)).alias("W"), F.transform("__z", lambda r: -sq_norm(r)).alias("b"))
 
@@ -153,18 +155,31 @@ def episode_rows(rows: DataFrame, k: int, epochs: int, seed: int) -> DataFrame:
     return _stored(ep.select("epoch", "episode", "task", "role", F.col("emotion_ind").alias("y"), "x"), "episodes")
 
 
+def first_episode_rows(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    ep = P.episode_support_query(P.first_episode(rows.select("row_id", "task", "emotion_ind", "x"), k=k, seed=seed))
+    return _stored(ep.select("epoch", "episode", "task", "role", F.col("emotion_ind").alias("y"), "x"), "first-episode")
+
+
 def num_classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task").agg(F.count_distinct("emotion_ind").alias("num_class"))
 
 
-def episode_adaptation(rows: DataFrame, k: int = 10, epochs: int = 2, alpha: float = 1e-3, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+def episode_adaptation(rows: DataFrame, k: int = 10, epochs: int = 2, alpha: float = 1e-3, seed: int = 3,
+                       query_prototypes: bool = False) -> tuple[DataFrame, DataFrame]:
     """For every (epoch, episode, task) a prototype head, one inner step on the support rows, and the query rows'
-    gradient at the adapted parameters.  Returns (inner groups, query groups)."""
+    gradient at the adapted parameters.  Returns (inner groups, query groups).
+
+    With ``query_prototypes`` the head is built anew from the query rows' own classes at the adapted encoder before they are scored, as
+    the single-head variant does (it sees the labels that it is scored on).
+    """
     ep = episode_rows(rows, k, epochs, seed)
     keys = ["epoch", "episode", "task"]
-    start = prototype_params(ep, base_params(_rows(rows)), num_classes(rows), keys)
-    inner = group_gradients(ep.where("role = 'support'"), start, keys, keys)
-    return inner, group_gradients(ep.where("role = 'query'"), descend(inner, keys, alpha), keys, keys)
+    classes = num_classes(rows)
+    inner = group_gradients(ep.where("role = 'support'"), prototype_params(ep, base_params(_rows(rows)), classes, keys), keys, keys)
+    adapted = descend(inner, keys, alpha)
+    if query_prototypes:
+        adapted = prototype_params(ep, adapted, classes, keys, role="query", on=keys)
+    return inner, group_gradients(ep.where("role = 'query'"), adapted, keys, keys)
 
 
 def conflict_gradients(rows: DataFrame, task_1: str, task_2: str, k: int = 10, alpha: float = 1e-3, seed: int = 3) -> DataFrame:
@@ -184,7 +199,7 @@ def adapt_evaluate(train: DataFrame, val: DataFrame, k: int = 10, alpha: float =
                    seed: int = 3) -> DataFrame:
     """C4: the first episode adapts each task (prototype head, then 0 or 1 inner step); every validation row is scored.
     ``task, accuracy, loss`` (loss: mean over shuffled batches) and a ``__macro__`` row."""
-    ep = episode_rows(train, k, 1, seed).where("epoch = 0 AND episode = 0")
+    ep = first_episode_rows(train, k, seed)
     params = prototype_params(ep, base_params(_rows(train)), num_classes(train), ["task"])
     if inner_steps:
         params = descend(group_gradients(ep.where("role = 'support'"), params, ["task"], ["task"]), ["task"], alpha)
