@@ -278,7 +278,7 @@ def added_up(blocks: DataFrame, k: int, dims: int) -> Moved:
         yield pa.RecordBatch.from_arrays([pa.array([total.dump()])], ["moved"])
 
     total = Moved(k, dims)
-    for r in blocks.where("lane IS NOT NULL").repartition(LANES, "lane").select("moved").mapInArrow(merged, "moved string").collect():
+    for r in blocks.where("lane IS NOT NULL").repartition("lane").select("moved").mapInArrow(merged, "moved string").collect():
         total.add(*json.loads(r["moved"]))
     return total
 
