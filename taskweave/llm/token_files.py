@@ -32,14 +32,23 @@ MANIFEST = "shard int, path string, n_docs long, n_ids long, n_null long, first_
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Texts between which a missing piece is encoded together with others, and pieces in each such text.
 PIECES = 1000
-#: The piece cache of a Python worker is emptied beyond so many entries.
-CACHE = 600_000
+#: Pieces in each of the two generations of a Python worker's cache.
+CACHE = 800_000
+#: How a single line break is cut off as the beginning of a piece (no text holds a lone surrogate).
+NEWLINE = " \udc0a"
 #: Documents are read in blocks of about so many bytes.
 READ_BYTES = 4 << 20
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark resolves it to, so that executors open the same place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class PieceEncoder:
@@ -47,22 +56,27 @@ class PieceEncoder:
 
     A text is cut before single spaces, where byte-level pre-tokenizers always begin a new word (see
     ``byte_bpe.word_splitter``).  Missing pieces without other white space are encoded many to a text and cut again where
-    a token begins with a space.  Texts with a space inside a run of white space are encoded as a whole.
+    a token begins with a space.  Where no white space stands beside other white space, texts are cut before line breaks too,
+    which are pre-tokens of their own there.  Texts with a space inside a run of white space, and those that hold the string of an
+    added (special) token, are encoded as a whole.  Pieces are kept in two generations: a full one becomes the old one,
+    from which pieces come back when they are seen again, so frequent pieces stay.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, tokenizer: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings that look like special tokens are ordinary text
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         size = max([end_id, *vocabulary.values()]) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.starts = np.zeros(size, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.inside, self.space = re.compile(r"\s (?:\s|\Z)").search, re.compile(r"\s").search
+        self.inside, self.double = re.compile(r"\s (?:\s|\Z)").search, re.compile(r"\s\s").search
+        self.space = re.compile(rf"[\s{NEWLINE[1]}]").search
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,35 +91,28 @@ class PieceEncoder:
                 raw, cuts = ids.tobytes(), cuts.tolist()
                 self.pieces.update(zip(group, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
         odd = [p for p in missing if not p or self.space(p)]
-        self.pieces.update(zip(odd, [x.tobytes() for x in self._encode([" " + p for p in odd])]))
+        whole = ["\n" + p[1:] if p[:1] == NEWLINE[1] else " " + p for p in odd]
+        self.pieces.update(zip(odd, [x.tobytes() for x in self._encode(whole)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The raw ids of each text, the end id included."""
-        split = [None if self.inside(t) else t.split(" ") for t in texts]
+        split = [None if self.inside(t) or any(a in t for a in self.added)
+                 else (t if "\n" not in t or self.double(t) else t.replace("\n", NEWLINE)).split(" ") for t in texts]
         if len(self.pieces) > CACHE:
-            self.pieces = {}
+            self.pieces, self.old = {}, self.pieces
         wanted: set[str] = set()
         for s in split:
             if s:
                 wanted.update(s[1:])
-        self._learn([p for p in wanted if p not in self.pieces])
+        unseen = wanted.difference(self.pieces)
+        old = self.old
+        self.pieces.update([(p, old[p]) for p in unseen if p in old])
+        self._learn([p for p in unseen if p not in old])
         alone = iter(self._encode([t if s is None else s[0] for t, s in zip(texts, split)]))
         known = self.pieces.__getitem__
         return [next(alone).tobytes() + (b"" if s is None else b"".join(map(known, s[1:]))) + self.end for s in split]
 
 
-def piece_encoder(path: str, end_id: int) -> PieceEncoder:
-    """The encoder of this Python worker: it and its cache are kept for the worker's later tasks.
-
-    Functions are pickled by value, so a global of this module would not last; the library's module does.
-    """
-    import tokenizers
-    kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
-    if (path, end_id) not in kept:
-        kept[path, end_id] = PieceEncoder(path, end_id)
-    return kept[path, end_id]
-
-
 class ShardWriter:
     """Writes one shard under a name of its own and moves it into place when it is whole."""
 
@@ -191,14 +198,17 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all documents and write shard files under ``folder``; returns the stored manifest, a row for each shard.
 
-    Documents are dealt by range on (doc_id, text hash), so shards are even even if one doc_id repeats very often, sorted
-    within each shard and streamed into its file; shards in order hold the documents in ascending doc_id order, nulls first.
+    Documents are dealt by range on (doc_id, text hash, place in the input), so shards are even even if one doc_id or one
+    whole row repeats very often, sorted within each shard and streamed into its file; shards in order hold the documents in ascending doc_id order, nulls first.
     A task that runs again writes the same file again.  A null text counts as empty (only the end id).  Empty tables
     give an empty manifest.
     """
-    folder = folder or fresh_dir(spark, "token-shards")
+    folder = qualified(spark, folder or fresh_dir(spark, "token-shards"))
     files, local = file_system(folder)
     files.create_dir(local, recursive=True)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        # a worker keeps the value of a broadcast for its later tasks, and with it the encoder and its cache
+        shared = spark.sparkContext.broadcast({"tokenizer": f.read()})
 
     def write(it):
         writer = encoder = None
@@ -208,7 +218,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
                 s = b.slice(at, 256)
                 ids = s.column(0).to_pylist()
                 if writer is None:
-                    encoder = piece_encoder(tokenizer_path, end_id)
+                    encoder = shared.value.get("encoder") or PieceEncoder(shared.value["tokenizer"], end_id)
+                    shared.value["encoder"] = encoder
                     path = f"{folder}/shard-{number:06d}.ids"
                     writer = ShardWriter(path, encoder.dtype, end_id)
                 for i, raw in zip(ids, encoder.encode([t or "" for t in s.column(1).to_pylist()])):
@@ -221,8 +232,10 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [c.split()[0] for c in MANIFEST.split(", ")])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    ranged = narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"),
+                         F.monotonically_increasing_id().alias("at"))
+    order = ["doc_id", "tie", "at"]
+    ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(spark, ranged.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -274,4 +287,4 @@ def read_shards(spark: SparkSession, manifest: DataFrame, keys: DataFrame) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [c.split()[0] for c in RECORDS.split(", ")])
 
     routed = keys.distinct().mapInArrow(route, "shard int, key long")
-    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(look_up, RECORDS)
+    return routed.repartition(max(len(shards), 1), "shard").sortWithinPartitions("shard").mapInArrow(look_up, RECORDS)

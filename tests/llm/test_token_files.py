@@ -14,9 +14,7 @@ PATH = public.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 700, 20000])
@@ -37,8 +35,14 @@ def test_pieces_equal_the_library(library):
     r = random.Random(2)
     alphabet = list("ab'sréñ ßI \n\t\r\x1c\x85\u2003\u3000٣Ⅷ²½😀 .,'tll中文") + [" ", " ", "\n", "the", "<|endoftext|>"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 20))) for _ in range(3000)]
-    got = token_files.PieceEncoder(PATH, 2).encode(texts)
+    texts += ["a<|endoftext|>b", "x <|endoftext|> y", "one\ntwo three\nfour\n", "\nfirst", "a\n\nb\nc d"]
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.PieceEncoder(f.read(), 2)
+    got = encoder.encode(texts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    token_files.CACHE, many = 50, token_files.CACHE  # generations that fill up all the time
+    assert [g for i in range(0, len(texts), 40) for g in encoder.encode(texts[i:i + 40])] == got
+    token_files.CACHE = many
 
 
 @pytest.fixture
@@ -73,6 +77,19 @@ def test_keyed_access(spark, odd_docs, many_shards):
     assert token_files.ShardReader(shard.path).footer["n_docs"] == shard.n_docs
 
 
+def test_rows_that_repeat_are_dealt_over_shards(spark, many_shards):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "'same text' AS text").repartition(5)
+    manifest = token_files.write_shards(spark, docs, PATH, 2)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) > 4 and sum(sizes) == 4000 and max(sizes) < 2000
+    assert token_files.read_shards(spark, manifest, docs.select("doc_id")).count() == 4000
+
+
+def test_paths_carry_the_scheme_that_spark_gives_them(spark, odd_docs, tmp_path):
+    manifest = token_files.write_shards(spark, odd_docs, PATH, 2, folder=f"{tmp_path}/shards")
+    assert all(r.path.startswith(f"file://{tmp_path}/shards/") for r in manifest.collect())
+
+
 def test_empty_table(spark, no_docs):
     manifest = token_files.write_shards(spark, no_docs, PATH, 2)
     assert manifest.count() == 0
