@@ -74,7 +74,6 @@ class PieceEncoder:
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.end = np.array([end_id], self.dtype).tobytes()
         self.inside, self.double = re.compile(r"\s (?:\s|\Z)").search, re.compile(r"\s\s").search
-        self.space = re.compile(rf"[\s{NEWLINE[1]}]").search
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -82,7 +81,8 @@ class PieceEncoder:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
-        plain = [p for p in missing if p and not self.space(p)]
+        is_plain = [p.split() == [p] and p[0] != NEWLINE[1] for p in missing]  # neither empty nor with white space
+        plain = [p for p, yes in zip(missing, is_plain) if yes]
         for at in range(0, len(plain), PIECES * 32):
             some = plain[at:at + PIECES * 32]
             groups = [some[i:i + PIECES] for i in range(0, len(some), PIECES)]
@@ -90,7 +90,7 @@ class PieceEncoder:
                 cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * self.dtype.itemsize
                 raw, cuts = ids.tobytes(), cuts.tolist()
                 self.pieces.update(zip(group, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
-        odd = [p for p in missing if not p or self.space(p)]
+        odd = [p for p, yes in zip(missing, is_plain) if not yes]
         whole = ["\n" + p[1:] if p[:1] == NEWLINE[1] else " " + p for p in odd]
         self.pieces.update(zip(odd, [x.tobytes() for x in self._encode(whole)]))
 
@@ -100,17 +100,21 @@ class PieceEncoder:
                  else (t if "\n" not in t or self.double(t) else t.replace("\n", NEWLINE)).split(" ") for t in texts]
         if len(self.pieces) > CACHE:
             self.pieces, self.old = {}, self.pieces
-        wanted: set[str] = set()
-        for s in split:
-            if s:
-                wanted.update(s[1:])
-        unseen = wanted.difference(self.pieces)
-        old = self.old
-        self.pieces.update([(p, old[p]) for p in unseen if p in old])
+        pieces, old = self.pieces, self.old
+        found = [None if s is None else list(map(pieces.get, s)) for s in split]
+        holes = [(s, f, [i for i, x in enumerate(f) if x is None]) for s, f in zip(split, found) if f and None in f[1:]]
+        unseen = {s[i] for s, _, at in holes for i in at if i}
+        pieces.update([(p, old[p]) for p in unseen if p in old])
         self._learn([p for p in unseen if p not in old])
-        alone = iter(self._encode([t if s is None else s[0] for t, s in zip(texts, split)]))
-        known = self.pieces.__getitem__
-        return [next(alone).tobytes() + (b"" if s is None else b"".join(map(known, s[1:]))) + self.end for s in split]
+        for s, f, at in holes:
+            for i in at:
+                f[i] = pieces.get(s[i])
+        out = []
+        for f, ids in zip(found, self._encode([t if s is None else s[0] for t, s in zip(texts, split)])):
+            parts = f or [b""]
+            parts[0] = ids.tobytes()  # no space stands before a first piece
+            out.append(b"".join(parts) + self.end)
+        return out
 
 
 class ShardWriter:
