@@ -162,17 +162,21 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
     return assembled(packed, answers(packed, n_parts, answer), assemble, schema)
 
 
+def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, bytes]:
+    """The token-byte table: length of each id's bytes, and all bytes one after the other."""
+    size = max(ranks.values()) + 1 if ranks else 0
+    table = [b""] * size
+    for token, rank in ranks.items():
+        table[rank] = token
+    return np.fromiter(map(len, table), np.int64, size), b"".join(table)
+
+
 class TokenBytes:
     """The token-byte table as arrays indexed by id; ids join it in numpy."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        size = max(ranks.values()) + 1 if ranks else 0
-        table = [b""] * size
-        for token, rank in ranks.items():
-            table[rank] = token
-        self.length = np.fromiter(map(len, table), np.int64, size)
-        self.start = np.cumsum(self.length) - self.length
-        self.body = np.frombuffer(b"".join(table), np.uint8)
+    def __init__(self, length: np.ndarray, body: bytes):
+        self.length, self.body = length, np.frombuffer(body, np.uint8)
+        self.start = np.cumsum(length) - length
 
     def decode(self, lists: pa.ListArray) -> list[bytes]:
         """The bytes of each id list of an array; a null list gives none."""
@@ -199,12 +203,13 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int]) ->
     The table has a row for each token of the vocabulary, whose size doesn't depend on the data; it is broadcast and
     joined by id inside Arrow batches.  A null array decodes to no bytes.
     """
-    table = spark.sparkContext.broadcast(TokenBytes(ranks))
+    shared = spark.sparkContext.broadcast(token_table(ranks))
 
     def rows(it):
+        table = TokenBytes(*shared.value)
         for b in it:
             for s in _pieces(b):
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(table.value.decode(s.column(1)), pa.binary())],
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(table.decode(s.column(1)), pa.binary())],
                                                  ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, DECODED)
@@ -213,10 +218,10 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int]) ->
 def encode_digest(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, **columns) -> DataFrame:
     """Encode all documents, decode the ids again, and return the digests of both: ``doc_id, n_tokens, ids_sha256
     (of the ids as little-endian unsigned 32-bit integers), decoded_sha256``."""
-    table = spark.sparkContext.broadcast(TokenBytes(ranks))
+    shared = spark.sparkContext.broadcast(token_table(ranks))
 
     def rows(ids, lists):
-        decoded = table.value.decode(lists)
+        decoded = TokenBytes(*shared.value).decode(lists)
         ends, values = np.asarray(lists.offsets).tolist(), np.asarray(lists.values).astype("<u4")
         yield pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array([j - i for i, j in zip(ends, ends[1:])], pa.int64()),

@@ -1,12 +1,17 @@
 """Line dedup by winnowing over line hashes: later copies of runs of lines are deleted.
 
-The texts' lines (white space normalised, lines without words left out) are cut into windows: the shortest runs of lines
+The texts' lines (white space normalised, lines without words left out) are seen through windows: the shortest runs of lines
 with at least ``min_words`` words that begin at a line, and those that end at a line.  Every repeated run with so many
-words is the union of such windows, wherever it stands and whatever stands around it.  A window's fingerprint is the
-minimum of its line hashes, so equal windows have equal fingerprints; it is joined together with a hash of the whole
-window.  Fingerprints alone would match a frequent short line with its first position only, whose neighbours may differ,
-and matching all positions with each other would square a hot line; with the window in the key one join against the
-first position is enough.  Matches extend both ways line by line, as the windows of a run overlap.
+words is the union of such windows, wherever it stands and whatever stands around it.
+
+1. Winnowing: each window selects its line with the least hash (the first of equals).  Neighbouring windows mostly select the
+   same line, so few lines are selected, and equal windows select the same line: a repeated run shares a selected line.
+2. Positions are joined by the hashes of the selected lines, the fingerprints.  One that occurs once leaves here, with all
+   its windows.  A fingerprint carries its neighbourhood, the hashes of the windows that selected it: a frequent short line
+   has as many neighbourhoods, and matching all its positions with each other would square it.
+3. Matches are extended both ways, by a window at a time: of the windows around a fingerprint that met, equal ones are
+   matched with their first position, and those that follow each other make up the run, up to where the texts differ.
+4. All positions of a run but the first are deleted.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import new_name, stored
 
 MIN_WORDS = 50
-WINDOWS = "doc_id long, text_key long, fingerprint long, window binary, first int, last int"
+SELECTED = "doc_id long, text_key long, fingerprint long, around array<struct<window: binary, first: int, last: int>>"
+AROUND = pa.list_(pa.struct([("window", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
 SOURCE = "array<long>"
 
 
@@ -50,39 +56,51 @@ def windows_of(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, text_key, text`` -> the windows of all texts."""
+def selected(words: list[int], hashes: list[int], min_words: int) -> dict[int, list[tuple[int, int]]]:
+    """The selected lines of a text (the first with the least hash of any window), each with the windows that select it."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for first, last in windows_of(words, min_words):
+        found.setdefault(min(range(first, last + 1), key=hashes.__getitem__), []).append((first, last))
+    return found
+
+
+def winnowed(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, text_key, text`` -> the selected lines of all texts: their hash and the windows around them."""
     def rows(it):
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-        names = [c.split()[0] for c in WINDOWS.split(", ")]
+        types = (pa.int64(), pa.int64(), pa.int64(), AROUND)
+        names = ["doc_id", "text_key", "fingerprint", "around"]
         for b in it:
             for at in range(0, b.num_rows, 1024):
                 s = b.slice(at, 1024)
                 out = []
                 for i, k, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), s.column(2).to_pylist()):
                     numbers, stops, words, digests, hashes = lines_of(text or "")
-                    for first, last in windows_of(words, min_words):
-                        whole = digests[first] if first == last else xxhash.xxh3_128_digest(b"".join(digests[first:last + 1]))
-                        out.append((i, k, min(hashes[first:last + 1]), whole, numbers[first], stops[last]))
+                    for line, around in selected(words, hashes, min_words).items():
+                        out.append((i, k, hashes[line], [
+                            {"window": digests[a] if a == z else xxhash.xxh3_128_digest(b"".join(digests[a:z + 1])), "first": numbers[a], "last": stops[z]}
+                            for a, z in around]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return docs.mapInArrow(rows, WINDOWS)
+    return docs.mapInArrow(rows, SELECTED)
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text_key, text`` -> ``doc_id, text_key, runs, sources`` for the texts with later copies.
 
     ``runs`` are (first, last) line numbers to delete, ``sources`` the ids of the documents where they stand first.
-    Positions are ordered by doc_id (nulls last), text key and line.  Only windows that occur more than once are joined
-    to their first position; their minima are pre-aggregated before the shuffle, and Spark splits a hot window in the join.
+    Positions are ordered by doc_id (nulls last), text key and line.  Only windows whose fingerprint occurs
+    more than once go on, and only those that occur more than once themselves are joined to their first position; counts and
+    minima are pre-aggregated before the shuffle, and Spark splits a hot fingerprint or window in the joins.
     A copy that overlaps its first position in the same text loses only the lines behind it.
     """
-    found = stored(spark, windows(docs, min_words), "line-windows")
+    lines = stored(spark, winnowed(docs, min_words), "line-fingerprints")
+    again = lines.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = lines.join(again, "fingerprint", "left_semi")
+    found = stored(spark, met.select("doc_id", "text_key", F.inline("around")), "line-windows")
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "first", "last")
-    heads = (found.groupBy("fingerprint", "window").agg(F.min(at).alias("head"), F.max(at).alias("end"))
-             .where("head != end").drop("end"))
-    later = (found.join(heads, ["fingerprint", "window"]).where(at != F.col("head"))
+    heads = found.groupBy("window").agg(F.min(at).alias("head"), F.max(at).alias("end")).where("head != end").drop("end")
+    later = (found.join(heads, "window").where(at != F.col("head"))
              .withColumn("same", F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key")))
              .withColumn("first", F.when(F.col("same"), F.greatest("first", F.col("head.last") + 1)).otherwise(F.col("first")))
              .where("first <= last"))

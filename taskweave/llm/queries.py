@@ -81,7 +81,7 @@ def op6_sharding(spark, sf_dir):
 
 @query("op7_quality_rules", r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IS NULL THEN 'null' ELSE 'lang ' || lang END AS lang FROM documents),  -- null is one of its own
 w AS (
   SELECT doc_id, lang, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
          unnest(range(0, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))) AS pos FROM d),
@@ -104,7 +104,7 @@ seven AS (
   UNION ALL
   SELECT doc_id, lang, chars, 'symbol', chars - sum(chars - length(regexp_replace(text, '[' || c || ']', '', 'g'))) FROM cls GROUP BY doc_id, lang, chars),
 sizes AS (SELECT lang, count(*) AS size FROM w GROUP BY lang),
-known AS (SELECT lang, size FROM sizes WHERE size >= 0.001 * (SELECT sum(size) FROM sizes)),
+known AS (SELECT lang, size FROM sizes WHERE size >= 500),
 refc AS (SELECT lang, c, sum(k) / sum(sum(k)) OVER (PARTITION BY lang) AS q FROM seven WHERE lang IN (SELECT lang FROM known) GROUP BY lang, c),
 jc AS (
   SELECT s.doc_id, min(s.chars) AS chars, sum(CASE WHEN k > 0 THEN k / s.chars * log2(k / s.chars / ((k / s.chars + q) / 2)) ELSE 0 END) AS dp,
