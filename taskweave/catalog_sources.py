@@ -17,6 +17,7 @@ from .plans import fixtures as X
 from .session import fresh_dir
 from .sources import delimited as D
 from .sources import lines as LN
+from .sources import series_json
 from .sources import similarity as S
 
 # Fixed values of the line-file fixture: positions replaced by special lines.
@@ -85,18 +86,15 @@ def _sims_long(spark, sf):
 def q_sink_similarity_json(spark, sf):
     path = fresh_dir(spark, "similarity-json")
     S.write_similarity_json(_sims_long(spark, sf), path)
-    # the raw line is checked too: NaN must be a bare token
-    m = spark.read.text(path).select(F.from_json("value", S.SIM_SCHEMA).alias("m"),
-                                     F.regexp_count("value", F.lit(r"[\[,]NaN\b")).alias("n_bare_nan"),
-                                     F.regexp_count("value", F.lit('"NaN"')).alias("n_quoted_nan"))
-    e = m.select(F.explode("m").alias("pair", "s"), "n_bare_nan", "n_quoted_nan")
+    # the raw values are checked too: NaN must be a bare token
+    tokens = series_json.read_tokens(spark, path)
+    number = F.when(~F.col("token").isin("NaN", '"NaN"'), F.col("token").cast("double"))
     cols = []
     for g in S.GROUPS:
-        vals = F.col("s")[g]
-        cols += [F.size(vals).alias(f"n_{g}"),
-                 F.round(F.aggregate(F.filter(vals, lambda v: ~F.isnan(v)), F.lit(0.0), lambda a, v: a + v), 6)
-                 .alias(f"sum_{g}")]
-    return e.select("pair", *cols, "n_bare_nan", "n_quoted_nan")
+        mine = F.col("grp") == g
+        cols += [F.count(F.when(mine, F.lit(1))).cast("int").alias(f"n_{g}"), F.round(F.coalesce(F.sum(F.when(mine, number)), F.lit(0.0)), 6).alias(f"sum_{g}")]
+    return tokens.groupBy("pair").agg(*cols, F.count(F.when(F.col("token") == "NaN", F.lit(1))).cast("int").alias("n_bare_nan"),
+                                      F.count(F.when(F.col("token") == '"NaN"', F.lit(1))).cast("int").alias("n_quoted_nan"))
 
 
 @query("src_similarity_json")

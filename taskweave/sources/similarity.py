@@ -1,10 +1,4 @@
-"""Similarity-series and metric files (S4 source; K1, K2, K3 sinks).
-
-K2 writes JSON Lines, one object per task pair: ``{"a-b": {"all_model": [...],
-"encoder": [...], "fc_layer": [...]}}``.  Merging the lines gives the reference's
-single-object file; ``read_similarity_json`` reads either form (one object per
-line, or a whole file holding one object) because both parse as a map.
-"""
+"""Similarity-series and metric files (S4 source; K1, K2, K3 sinks)."""
 
 from __future__ import annotations
 
@@ -13,46 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import series_json
+
 GROUPS = ("all_model", "encoder", "fc_layer")
-SIM_SCHEMA = "map<string, struct<all_model: array<double>, encoder: array<double>, fc_layer: array<double>>>"
 
 
-def series_to_json(long: DataFrame, key: str = "pair", grp: str = "grp", idx: str = "idx",
-                   value: str = "similarity") -> DataFrame:
-    """Long ``(pair, grp, idx, value)`` -> one JSON text line per pair.
+def write_similarity_json(long: DataFrame, path: str, key: str = "pair", grp: str = "grp", idx: str = "idx", value: str = "similarity") -> None:
+    """K2: ``{"a-b": {"all_model": [...], "encoder": [...], "fc_layer": [...]}, ...}``, series in order of ``idx``.
 
-    A series is one (pair, group) list whose length is the number of sampled
-    training steps, so the per-series collection is bounded by the run length.
+    A folder of files whose texts in order of their names are the one object; Spark's committer makes it visible as a whole.
     """
-    per = (long.groupBy(key, grp)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))).alias("s"))
-           .select(key, grp, F.transform("s", lambda e: e["v"]).alias("vals")))
-    by_pair = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(grp, "vals"))).alias("m"))
-    body = [F.concat(F.lit(f'"{g}":['), F.concat_ws(",", F.transform(F.col("m")[g], _number)), F.lit("]")) for g in GROUPS]
-    name = F.to_json(F.array(F.col(key)))                     # ["name"], escaped
-    return by_pair.select(F.concat(F.lit("{"), F.substring(name, 2, F.length(name) - 2), F.lit(":{"),
-                                   F.concat_ws(",", *body), F.lit("}}")).alias("value"))
-
-
-def _number(v):
-    """A number as JSON text; NaN and infinities are bare tokens, as the reference writes them (to_json quotes them)."""
-    return F.when(v.isNull(), F.lit("null")).otherwise(v.cast("string"))
-
-
-def write_similarity_json(long: DataFrame, path: str, **kw) -> None:
-    """K2: write the nested similarity series."""
-    series_to_json(long, **kw).write.mode("overwrite").text(path)
+    series_json.document(long, GROUPS, key, grp, idx, value).write.mode("overwrite").text(path)
 
 
 def read_similarity_json(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
-    """Nested similarity JSON -> long ``(pair, grp, idx, similarity)``; NaN tokens allowed."""
-    raw = spark.read.text(path, wholetext=wholetext)
-    m = raw.select(F.from_json("value", SIM_SCHEMA, {"allowNonNumericNumbers": "true"}).alias("m"))
-    pairs = m.select(F.explode("m").alias("pair", "s"))
-    grps = pairs.select("pair", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col("s")[g].alias("vals"))
-                                                     for g in GROUPS])).alias("x"))
-    return grps.select("pair", F.col("x.grp").alias("grp"),
-                       F.posexplode(F.col("x.vals")).alias("idx", "similarity"))
+    """Nested similarity JSON -> long ``(pair, grp, idx, similarity)``; NaN tokens allowed.
+
+    One object over a file or a folder of files, or an object on each line; all are read in many splits, so ``wholetext``
+    makes no difference.
+    """
+    return series_json.read(spark, path)
 
 
 def write_wide_csv(long: DataFrame, path: str, params: Sequence[str], key_cols: Sequence[str] = ("pair", "phase"),

@@ -57,10 +57,11 @@ def _by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, Ite
 
 
 def read_splits(found: DataFrame, summarise: Callable[[Iterator[str]], Any], combine: Callable[[Any, Any], Any], first: Any,
-                read: Callable[[str, int, Iterator[str], Any], Iterator[tuple]], schema: str) -> DataFrame:
+                read: Callable[[str, int, Iterator[str], Any], Iterator[tuple]], schema: str, one_text: bool = False) -> DataFrame:
     """Rows (``schema``) that ``read(path, start, pieces, state)`` yields for each split.
 
-    ``summarise(pieces)`` describes a split, ``combine(state, summary)`` is the state behind it; a file begins in ``first``.
+    ``summarise(pieces)`` describes a split, ``combine(state, summary)`` is the state behind it; a file begins in ``first``,
+    or, if the files in order of their names are ``one_text``, in the state behind the one before.
     """
     def summaries(batches):
         for path, start, own in _by_split(batches):
@@ -70,8 +71,9 @@ def read_splits(found: DataFrame, summarise: Callable[[Iterator[str]], Any], com
     states: dict[tuple[str, int], Any] = {}
     at, state = None, first
     for r in found.mapInArrow(summaries, "path string, start long, summary binary").orderBy("path", "start").toLocalIterator():
-        if r["path"] != at:
-            at, state = r["path"], first
+        if r["path"] != at and not (one_text and at):
+            state = first
+        at = r["path"]
         if state != first:
             states[r["path"], r["start"]] = state
         state = combine(state, cloudpickle.loads(r["summary"]))

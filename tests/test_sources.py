@@ -1,5 +1,6 @@
 """File sources: quirks of the reference's readers, exercised on small files."""
 
+import json
 import os
 import random
 import tempfile
@@ -124,6 +125,48 @@ def test_similarity_json_round_trip_and_reference_form(spark):
     assert len(one) == 3 and {r.grp for r in one} == {"all_model", "fc_layer"}
 
 
+def series(r, names, lengths):
+    value = lambda: r.choice([r.uniform(-1, 1), r.uniform(-1, 1), float("nan"), None, 1, -2e-7])
+    return {n: {g: [value() for _ in range(r.choice(lengths))] for g in S.GROUPS} for n in names}
+
+
+def long_form(data):
+    return sorted((repr((p, g, i, None if v is None else float(v))) for p, gs in data.items() for g, vs in gs.items() for i, v in enumerate(vs)))
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_json_object_over_many_splits(spark, small_splits, indent):
+    r = random.Random(3)
+    data = series(r, ["a-b", 'with "quotes" \\ and, commas, in, it', "c" * 700 + ", long", "é-ü", "[x]:{y}-z"], [0, 1, 5, 900])
+    d = tempfile.mkdtemp()
+    write(f"{d}/one.json", json.dumps(data, indent=indent))
+    got = S.read_similarity_json(spark, f"{d}/one.json")
+    assert got.rdd.getNumPartitions() > 20
+    assert sorted(repr(tuple(x)) for x in got.collect()) == long_form(data)
+    lines = [{n: s} for n, s in data.items()]
+    write(f"{d}/lines.json", "\n".join(json.dumps(x) for x in lines))
+    assert sorted(repr(tuple(x)) for x in S.read_similarity_json(spark, f"{d}/lines.json").collect()) == long_form(data)
+
+
+def test_long_series_are_written_in_pieces(spark, small_splits):
+    r = random.Random(4)
+    data = series(r, ["a-b", 'q"uote, d', "b-c", "z"], [0, 3, 700])
+    data["m-n"] = {g: [0.5, 0.25] for g in S.GROUPS}
+    rows = [(p, g, 10 + 3 * i, None if v is None else float(v)) for p, gs in data.items() for g, vs in gs.items() for i, v in enumerate(vs)]
+    r.shuffle(rows)
+    d = tempfile.mkdtemp()
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    S.write_similarity_json(spark.createDataFrame(rows, "pair string, grp string, idx int, similarity double"), f"{d}/s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    parts = sorted(x for x in os.listdir(f"{d}/s") if x.startswith("part-"))
+    text = "".join(open(f"{d}/s/{x}", encoding="utf-8").read() for x in parts)
+    assert len(parts) > 3 and max(map(len, text.split("\n"))) < 100
+    written = {p: gs for p, gs in data.items() if any(gs.values())}
+    assert repr(json.loads(text)) == repr({p: {g: [None if v is None else float(v) for v in vs] for g, vs in gs.items()} for p, gs in sorted(written.items())})
+    assert sorted(repr(tuple(x)) for x in S.read_similarity_json(spark, f"{d}/s").collect()) == long_form(data)
+
+
 def test_tsv_quote_modes(spark):
     d = tempfile.mkdtemp()
     write(f"{d}/a.tsv", 'id\ttweet\n1\t"unbalanced quote\n2\tnext\n3\tlast\n')
