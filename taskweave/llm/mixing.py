@@ -64,13 +64,15 @@ def plan_mix(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col:
     size, source, total, target, rate, copies = (new_name(docs, f"__{c}") for c in ("size", "source", "total", "target", "rate", "copies"))
     sized = docs.select(*keep, n_words(F.col(text_col).cast("string")).alias(size),
                         F.col(source_col).cast("string").alias(source), chance(F.col(id_col), seed).alias(rate))
-    sizes = (docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-             .groupBy("source").agg(F.sum("size").alias("source_size")))
+    if text_col not in keep:
+        sized = stored(docs.sparkSession, sized, "mix-sizes")  # narrow: words are counted once
+    sizes = sized.select(F.col(source).alias("source"), F.col(size).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = new_name(docs, "__source_key")
     targets = stored(docs.sparkSession, source_targets(sizes, weights, share, most), "mix-targets").select(
-        F.col("source").alias("__source_key"), F.col("source_size").alias(total), F.col("target").alias(target))
+        F.col("source").alias(by), F.col("source_size").alias(total), F.col("target").alias(target))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col("__source_key")))
+    joined = sized.join(targets, F.col(source).eqNullSafe(F.col(by)))
     wanted = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
     taken = (F.floor(wanted) + (F.col(rate) < wanted - F.floor(wanted)).cast("long")).cast("long")
     return joined.select(*keep, size, total, target, wanted.alias(rate), taken.alias(copies))

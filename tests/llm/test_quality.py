@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -111,3 +112,27 @@ def test_small_languages_are_compared_however_large_the_others(spark, monkeypatc
     assert len(judged) == len(rows) and all(x.class_distance is not None and x.word_distance is not None for x in judged.values())
     assert not any(judged[i].kept for i in (60, 61)) and all(judged[i].kept for i in range(60))
     assert {x.doc_id for x in quality.drop_rejected(spark, docs).collect()} == {i for i, x in judged.items() if x.kept}
+
+
+def test_the_statement_agrees_at_every_bound(spark, tmp_path):
+    """Languages of 499 and 500 words, no language beside the empty one, texts at the bounds of both distances."""
+    import duckdb
+
+    from taskweave.llm.queries import QUERIES, SQL
+    r = random.Random(7)
+    some = lambda n, kinds: " ".join("".join(r.choice(kinds) for _ in range(r.randint(2, 6))) for _ in range(n))
+    rows = [(1, some(499, "abcdef"), "few"), (2, some(500, "abcdef"), "just"), (3, some(600, "ghij"), None), (4, some(600, "klmn"), "")]
+    rows += [(10 + i, some(n, "ghij"), lang) for i, (n, lang) in enumerate((n, lang) for n in (9, 10, 49, 50, 51, 70) for lang in ("499", "500", None, ""))]
+    rows += [(60 + i, "w" * n, "500") for i, n in enumerate((199, 200, 201))] + [(70, None, "500"), (71, "", None)]
+    rows += [(80 + i, some(300, "aeiou"), "big") for i in range(8)] + [(90, some(60, "AEIOU"), "big"), (91, some(60, "01234"), "big")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = con.execute(SQL["op7_quality_rules"])
+    names = [d[0] for d in found.description]
+    want = sorted((dict(zip(names, x)) for x in found.fetchall()), key=lambda x: x["doc_id"])
+    got = sorted((x.asDict() for x in QUERIES["op7_quality_rules"](spark, str(tmp_path)).collect()), key=lambda x: x["doc_id"])
+    assert [{k: x[k] for k in names} for x in got] == [{k: pytest.approx(v, abs=2e-6) if isinstance(v, float) else v for k, v in x.items()} for x in want]
+    by_id = {x["doc_id"]: x for x in got}
+    assert by_id[1]["word_distance"] is None and by_id[2]["word_distance"] is not None
+    assert by_id[3]["word_distance"] != by_id[4]["word_distance"] and not by_id[90]["kept"]

@@ -33,8 +33,8 @@ def brute_components(fps, most=4):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("most", [1, 3, 4, 7])
-def test_links_are_whole(spark, most):
+@pytest.mark.parametrize("most, depth", [(1, 2), (3, 2), (3, 3), (4, 2), (4, 3), (7, 2)])
+def test_links_are_whole(spark, most, depth):
     r = random.Random(most)
     centre = r.getrandbits(64)
     fps = {0, (1 << 64) - 1, centre}
@@ -44,11 +44,20 @@ def test_links_are_whole(spark, most):
             x ^= 1 << b
         fps.add(x)
     signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
-    got = {(x.a, x.b) for x in simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most).collect()}
+    got = {(x.a, x.b) for x in simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most, depth).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= most}
     assert got == want and want
 
 
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert [simhash_dedup.key_depth(n, 4) for n in (0, 10 ** 6, 10 ** 8, 10 ** 9, 10 ** 11)] == [2, 2, 2, 3, 3]
+    segments = simhash_dedup.ring(4)
+    assert len(simhash_dedup.flips(0, 2, 4, segments)) == 14 and len(simhash_dedup.flips(2, 2, 4, segments)) == 14
+    for mask in simhash_dedup.flips(1, 3, 4, segments):
+        (a, w), (b, v) = segments[2], segments[3]
+        assert (mask >> a & (1 << w) - 1).bit_count() <= 1 and mask.bit_count() <= 2 and mask >> a << a == mask and mask < 1 << b + v
+
+
 def test_components(spark):
     r = random.Random(0)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(500, 501), (501, 500), (7, 7), (-9, 500), (900, 900)]
