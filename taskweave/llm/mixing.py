@@ -10,35 +10,52 @@ from .common import n_words, new_name, stored
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Up to so many sources (some 100 bytes each) their targets are broadcast; beyond, they join by sort and merge.
+#: Up to so many sources (some 100 bytes each) are summed up in one task and their targets broadcast; beyond, their sums are
+#: taken by ranges and the targets join by sort and merge.
 BROADCAST_SOURCES = 50_000
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with each of ``sums`` over all rows that come before in ``order``: rows are dealt by range and summed up
+    inside their range, and the ranges' totals (a row for each shuffle partition) are summed up before them."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    placed = stored(spark, ranged, "mix-ranges")
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
+    local = placed.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return local.join(offsets, "__range").withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
+
+
+def _in_one_task(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
+
+
+def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, few: bool = True) -> DataFrame:
     """``source, source_size`` -> the same with ``target`` (one row for each source).
 
     Sources by code point, null last, get ``weights`` in turn and share ``share`` of all sizes by weight; a target
     stops at ``most`` times its source's size and what is above goes to the others by weight, until none is above.
     That fixed point is the water level L with ``target = least(L * weight, most * size)``: sources fill up in the
     order of ``most * size / weight``, so L follows from running sums in that order.  With ``share > most`` all
-    sources end full.  Sources of size 0 have target 0.
+    sources end full.  Sources of size 0 have target 0.  The running sums of ``few`` sources are one task's, else they are
+    taken by ranges.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    turn = ((F.row_number().over(by_name) - 1) % len(weights)).cast("int")
-    s = sizes.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), turn))
+    running = _in_one_task if few else _running
+    unnamed = F.col("source").isNull()
+    s = running(sizes, [unnamed, F.col("source")], {"turn": F.lit(1)})
+    s = s.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights)).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("full_at", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("full_at", F.col("source").isNull(), F.col("source"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    s = (s.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-         .withColumn("full_caps", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-         .withColumn("open_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-         .withColumn("level", (F.col("total") - F.col("full_caps")) / F.col("open_weight")))
+    s = running(s.drop("turn"), [F.col("full_at"), unnamed, F.col("source")], {"full_caps": F.col("cap"), "full_weight": F.col("weight")})
+    total, weight = s.agg((F.sum("source_size") * F.lit(float(share))), F.sum("weight")).first()
+    s = s.withColumn("level", (F.lit(total).cast("double") - F.col("full_caps")) / (F.lit(weight).cast("double") - F.col("full_weight")))
     # the level is the first one that does not fill its own source
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "source", "level"))).over(everything)
-    return s.withColumn("water", level["level"]).select(
-        "source", "source_size",
-        F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight"))).alias("target"))
+    (first,) = s.agg(F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", unnamed.alias("unnamed"), "source", "level")))).first()
+    level = F.lit(first["level"] if first else None).cast("double")
+    return s.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight"))).alias("target"))
 
 
 def chance(doc_id: Column, seed: int) -> Column:
@@ -68,9 +85,11 @@ def plan_mix(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col:
         sized = stored(docs.sparkSession, sized, "mix-sizes")  # narrow: words are counted once
     sizes = sized.select(F.col(source).alias("source"), F.col(size).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     by = new_name(docs, "__source_key")
-    targets = stored(docs.sparkSession, source_targets(sizes, weights, share, most), "mix-targets").select(
+    sizes = stored(docs.sparkSession, sizes, "mix-sources")
+    few = sizes.count() <= BROADCAST_SOURCES
+    targets = stored(docs.sparkSession, source_targets(sizes, weights, share, most, few), "mix-targets").select(
         F.col("source").alias(by), F.col("source_size").alias(total), F.col("target").alias(target))
-    if targets.count() <= BROADCAST_SOURCES:
+    if few:
         targets = F.broadcast(targets)
     joined = sized.join(targets, F.col(source).eqNullSafe(F.col(by)))
     wanted = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))

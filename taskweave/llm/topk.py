@@ -107,6 +107,26 @@ def top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[:k - len(above)]])
 
 
+def reached(bounds: DataFrame, asking: DataFrame) -> DataFrame:
+    """``asker, block``: the annuli (``block, pivot, low, high``) that meet the intervals (``asker, pivot, from, to``).
+
+    Annuli of a pivot follow each other, so those that an interval meets do too.  One sweep over all ends of a pivot, in order,
+    counts the annuli below the interval's beginning and those that begin before its end; the numbers between are the
+    annuli, so only what is met is listed.
+    """
+    numbered = bounds.withColumn("number", F.row_number().over(Window.partitionBy("pivot").orderBy("low", "high", "block")) - 1)
+    none = F.lit(None).cast("long").alias("asker")
+    ends = bounds.select("pivot", none, F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("kind")), F.struct(F.col("high").alias("at"), F.lit(2).alias("kind")))))
+    asked = asking.select("pivot", "asker", F.explode(F.array(F.struct(F.col("from").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("to").alias("at"), F.lit(3).alias("kind")))))
+    # at equal places: beginnings of intervals, of annuli, ends of annuli, of intervals
+    sweep = Window.partitionBy("pivot").orderBy("col.at", "col.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda kind: F.sum((F.col("col.kind") == kind).cast("long")).over(sweep)
+    swept = ends.unionByName(asked).select("pivot", "asker", F.col("col.kind").alias("kind"), count(1).alias("begun"), count(2).alias("over")).where("asker IS NOT NULL")
+    runs = swept.groupBy("asker", "pivot").agg(F.max(F.when(F.col("kind") == 0, F.col("over"))).alias("first"), F.max(F.when(F.col("kind") == 3, F.col("begun"))).alias("end"))
+    met = runs.where("first < end").select("asker", "pivot", F.explode(F.sequence("first", F.col("end") - 1)).alias("number"))
+    return met.join(numbered, ["pivot", "number"]).select("asker", "block")
+
+
 def search(spark: SparkSession, vectors: DataFrame, k: int, query_every: int, id_col: str = "vec_id", vector_col: str = "embedding",
            n_pivots: int = PIVOTS, annulus_rows: int = ANNULUS_ROWS) -> DataFrame:
     """The ``k`` best candidates of each query: ``query_id, rank, vec_id, score`` (all candidates, if fewer).
@@ -117,7 +137,7 @@ def search(spark: SparkSession, vectors: DataFrame, k: int, query_every: int, id
     with zeros.  Rows that repeat an id are rows of their own.  Empty tables give an empty result.
 
     Annuli come from a range shuffle on (pivot, distance, id), so a pivot or vector with a third of all rows is cut into
-    many.  Only an annulus' bounds are joined to the bounds of the queries of each annulus (on the pivot); the queries
+    many.  Only an annulus' bounds meet the bounds of the queries of each annulus (``reached``); the queries
     then travel to the annuli they reach, and each annulus returns at most ``k`` rows a query.  Pivots and the largest
     norm are all that the driver holds.
     """
@@ -200,8 +220,8 @@ def search(spark: SparkSession, vectors: DataFrame, k: int, query_every: int, id
     bounds = index.select("block", "pivot", "low", "high")
     asking = (index.where(F.col("queries").isNotNull()).select(F.col("block").alias("asker"), "reach", F.posexplode(F.arrays_zip("nearest", "farthest")))
               .select("asker", "reach", F.col("pos").alias("pivot"), "col.nearest", "col.farthest"))
-    least = F.greatest(F.lit(0.0), F.col("nearest") - F.col("high"), F.col("low") - F.col("farthest"))
-    visits = asking.join(bounds, "pivot").where(least <= F.col("reach") + slack).select("asker", "block")
+    wide = F.col("reach") + F.lit(slack)
+    visits = reached(bounds, asking.select("asker", "pivot", (F.col("nearest") - wide).alias("from"), (F.col("farthest") + wide).alias("to")))
     sent = visits.join(index.where(F.col("queries").isNotNull()).select(F.col("block").alias("asker"), "queries"), "asker")
 
     def answer(it):

@@ -33,6 +33,17 @@ def test_targets(spark, sizes):
     got = {r.source: r.target for r in mixing.source_targets(df).collect()}
     want = brute_targets(sizes)
     assert got == pytest.approx(want)
+    assert {r.source: r.target for r in mixing.source_targets(df.repartition(4), few=False).collect()} == pytest.approx(want)
+
+
+def test_many_sources_by_ranges(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat('w ', cast(id % 11 + 1 as int)) text", "concat('s', id % 700) source")
+    few = mixing.plan_mix(docs, keep=["doc_id"]).collect()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    many = mixing.plan_mix(docs, keep=["doc_id"]).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [tuple(map(pytest.approx, r)) for r in sorted(map(tuple, few))] == sorted(map(tuple, many))
 
 
 def test_mix(spark, odd_docs, no_docs):

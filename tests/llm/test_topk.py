@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -53,3 +55,21 @@ def test_one_vector_repeated_beyond_the_pivot_sample(spark):
         pytest.fail("no case whose thinned sample is empty")
     found = topk.search(spark, repeated, k=2, query_every=50).collect()
     assert len(found) == 6000 and {r.score for r in found} == {4 * 25 * 25}
+
+
+def test_intervals_meet_annuli(spark):
+    r = random.Random(1)
+    bounds, number = [], 0
+    for pivot in range(4):
+        at = 0.0
+        for _ in range(r.choice([1, 5, 30])):
+            low = at + r.choice([0.0, 0.0, r.random()])
+            at = low + r.choice([0.0, r.random()])
+            bounds.append((number, pivot, low, at))
+            number += 1
+    ends = [x for _, _, low, high in bounds for x in (low, high)] + [-1.0, 99.0, float("inf"), float("-inf")]
+    asking = [(a, p, *sorted((r.choice(ends), r.choice(ends)))) for a in range(60) for p in range(5)]
+    got = topk.reached(spark.createDataFrame(bounds, "block long, pivot int, low double, high double"),
+                       spark.createDataFrame(asking, "asker long, pivot int, `from` double, `to` double"))
+    want = sorted((a, b) for a, p, x, y in asking for b, q, low, high in bounds if p == q and low <= y and high >= x)
+    assert sorted(map(tuple, got.collect())) == want
