@@ -32,11 +32,6 @@ def join_inner_id(text: DataFrame, labels: DataFrame, key: str = "id") -> DataFr
     return text.join(labels, key, "inner")
 
 
-# Valid label combinations of the three-level offensive scheme.
-VALID_HIERARCHY = (("NOT", None, None), ("OFF", "UNT", None), ("OFF", "TIN", "IND"),
-                   ("OFF", "TIN", "GRP"), ("OFF", "TIN", "OTH"))
-
-
 def label_hierarchy(a: DataFrame, b: DataFrame, c: DataFrame, key: str = "id") -> DataFrame:
     """Level A left-join B left-join C on ``key`` with a validity flag.
 

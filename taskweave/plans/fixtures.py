@@ -29,7 +29,7 @@ FI_EMOTIONS = ("sadness", "joy", "anger", "fear", "calm")  # 'calm' names no emo
 FI_EDGE_CASES = ("10: joy", ": fear", "2: a: b", None)
 FH_LEVEL_C = ("IND", "GRP", "OTH")
 FM_SLOTS = (("train", "accuracy"), ("train", "loss"), ("val", "accuracy"), ("val", "loss"))
-FS_BUCKET_SECONDS = 3600
+FS_BUCKET_SECONDS = 60
 #: Emoji: plain, text style, with a variation selector, keycap, flag, family, skin tone, tag sequence; then look-alikes.
 EMOJI_CASES = ("\U0001F600", "\u2122", "\u00a9", "\u203c\ufe0f", "\u2194", "\u25b6\ufe0f", "\u3030", "1\ufe0f\u20e3", "\U0001F1E9\U0001F1EA",
                "\U0001F468\u200d\U0001F469\u200d\U0001F467", "\U0001F44D\U0001F3FD", "\u2764\ufe0f",
@@ -81,7 +81,7 @@ def fv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FS: ``series, idx (0-based), value, ts, event_id`` ordered by ``(ts, event_id)``.
 
-    The position is an exact rank computed per hour slice, so no series is ever
+    The position is an exact rank computed per minute, so no series is ever
     sorted in a single task.
     """
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
