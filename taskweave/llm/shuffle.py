@@ -111,9 +111,10 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int, seed: i
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = stored(spark, docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("hash")), "shard-rows")
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("hash"),
+        F.monotonically_increasing_id().alias("at")), "shard-rows")
     n = narrow.count()
-    numbered = row_numbers(spark, narrow, ["doc_id", "text_crc32", "size", "hash"])
+    numbered = row_numbers(spark, narrow, ["doc_id", "text_crc32", "size", "hash", "at"])  # the last one splits equal rows
 
     @F.pandas_udf(T.LongType())
     def place(rows: pd.Series) -> pd.Series:
