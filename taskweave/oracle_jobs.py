@@ -66,16 +66,16 @@ bw AS (SELECT gs.gk, gs.task, w0.k, w0.i, w0.v FROM gs JOIN w0 ON w0.task = gs.t
 bb AS (SELECT DISTINCT gk, task, k, 0.0::DOUBLE AS v FROM bw)"""
 
 
-def prototype_heads(rows: str) -> str:
-    """CTEs ``hw, hb``: heads from the support rows' class means after the encoder ``bp``."""
+def prototype_heads(rows: str, p: str = "bp", x: str = "") -> str:
+    """CTEs ``hw, hb`` (names after ``x``): heads from the class means of ``rows`` after the encoder ``p``."""
     return f""",
-pa AS (SELECT gk, task, y AS k, j, avg(v) AS v FROM (SELECT gk, task, y, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM {rows}) GROUP BY 1, 2, 3, 4),
-pk AS (SELECT gs.gk, gs.task, c.k, dims.j FROM gs JOIN (SELECT task, unnest(range(0, nc)) AS k FROM ncls) c ON c.task = gs.task, dims),
-pm AS (SELECT pk.gk, pk.task, pk.k, pk.j, coalesce(pa.v, CAST('NaN' AS DOUBLE)) AS v  -- the mean of no row
-  FROM pk LEFT JOIN pa ON pa.gk = pk.gk AND pa.task = pk.task AND pa.k = pk.k AND pa.j = pk.j),
-pz AS (SELECT c.gk, c.task, c.k, p.i, sum(p.v * c.v) AS v FROM pm c JOIN bp p ON p.gk = c.gk AND p.task = c.task AND p.j = c.j GROUP BY 1, 2, 3, 4),
-hw AS (SELECT gk, task, k, i, 2 * v AS v FROM pz),
-hb AS (SELECT gk, task, k, -sum(v * v) AS v FROM pz GROUP BY 1, 2, 3)"""
+{x}pa AS (SELECT gk, task, y AS k, j, avg(v) AS v FROM (SELECT gk, task, y, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM {rows}) GROUP BY 1, 2, 3, 4),
+{x}pk AS (SELECT gs.gk, gs.task, c.k, dims.j FROM gs JOIN (SELECT task, unnest(range(0, nc)) AS k FROM ncls) c ON c.task = gs.task, dims),
+{x}pm AS (SELECT k.gk, k.task, k.k, k.j, coalesce(a.v, CAST('NaN' AS DOUBLE)) AS v  -- the mean of no row
+  FROM {x}pk k LEFT JOIN {x}pa a ON a.gk = k.gk AND a.task = k.task AND a.k = k.k AND a.j = k.j),
+{x}pz AS (SELECT c.gk, c.task, c.k, p.i, sum(p.v * c.v) AS v FROM {x}pm c JOIN {p} p ON p.gk = c.gk AND p.task = c.task AND p.j = c.j GROUP BY 1, 2, 3, 4),
+{x}hw AS (SELECT gk, task, k, i, 2 * v AS v FROM {x}pz),
+{x}hb AS (SELECT gk, task, k, -sum(v * v) AS v FROM {x}pz GROUP BY 1, 2, 3)"""
 
 
 def cosines(name: str, scale: float = 1.0) -> str:
@@ -156,10 +156,7 @@ SQL["job_adapt_evaluate"] = with_(FIRST + gradients("s", "sup", "bp", "hw", "hb"
 def adapted_by_query() -> str:
     """The support step, then heads from the query rows' class means after the adapted encoder."""
     steps = episode_sql(2) + groups_of("eg") + prototype_heads("sup") + gradients("s", "sup", "bp", "hw", "hb") + stepped("a", "s", "bp", "hw", "hb", 0.05)
-    again = prototype_heads("qry")
-    for name in ("pa", "pk", "pm", "pz", "hw", "hb"):
-        again = again.replace(f"{name} AS", f"q{name} AS").replace(f"FROM {name}", f"FROM q{name}").replace(f"JOIN {name} ", f"JOIN q{name} ")
-    return steps + again.replace("JOIN bp p", "JOIN a_p p") + gradients("q", "qry", "a_p", "qhw", "qhb")
+    return steps + prototype_heads("qry", "a_p", "q") + gradients("q", "qry", "a_p", "qhw", "qhb")
 
 
 SQL["job_protomaml_query_prototypes"] = with_(adapted_by_query()) + """
