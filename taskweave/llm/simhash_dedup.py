@@ -105,7 +105,8 @@ def links(fps: DataFrame, most: int = MOST, depth: int = 2) -> DataFrame:
     for l in range(3, m):
         masks = [long(mask_of(i, l)) for i in range(m)]
         chains = chains & (F.bit_count(differ.bitwiseAND(F.get(F.array(*masks), probes["chain"]))) <= l * most // m)
-    return (probes.join(holders, (probes["chain"] == holders["chain"]) & (probes["key"] == holders["key"]) & (F.col("a") < F.col("b"))
+    # sizes are guessed from the few columns before the rows are listed, so without the hint a side might be broadcast
+    return (probes.hint("merge").join(holders.hint("merge"), (probes["chain"] == holders["chain"]) & (probes["key"] == holders["key"]) & (F.col("a") < F.col("b"))
                         & chains & (F.bit_count(differ) <= most))
             .select("a", "b").distinct())
 
