@@ -213,3 +213,32 @@ SQL["job_fomaml_rounds"] = with_(WHOLE + _CTES) + " UNION ALL ".join(_READS)
 _INIT, _, _P = fomaml(1, 1.0, 1.0, 1)
 _CTES, _READS = joint(0, 2, _P, "zw", "zb", 1.0)
 SQL["job_train_from_saved_init"] = with_(WHOLE + _INIT + _CTES) + " UNION ALL ".join(_READS)
+
+
+def sequential(tasks: int, p: str, w: str, b: str, rate: float) -> tuple[str, list[str]]:
+    """One round of the first ``tasks`` tasks, one after another with clipping at norm 1, and validation before and after."""
+    sql, reads = """,
+vb AS (SELECT 0 AS gk, task, row_id, emotion_ind AS y, x FROM fv_split WHERE split = 'val'),
+tk AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS place FROM ncls)""", []
+
+    def score(r):
+        reads.append(f"SELECT {r} AS round, task, n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy FROM v{r}_q")
+        return gradients(f"v{r}", "vb", p, w, b)
+
+    sql += score(0)
+    for t in range(tasks):
+        n = f"t{t}"
+        sql += f""",
+{n}r AS (SELECT b.* FROM b JOIN tk ON tk.task = b.task WHERE tk.place = {t})""" + gradients(n, f"{n}r", p, w, b) + f""",
+{n}c AS (SELECT {rate} * least(1.0::DOUBLE, 1.0 / (sqrt(coalesce((SELECT sum(v * v) FROM {n}_gp), 0) + coalesce((SELECT sum(v * v) FROM {n}_gw), 0)
+  + coalesce((SELECT sum(v * v) FROM {n}_gb), 0)) + 1e-6)) AS c),
+{n}p AS (SELECT p.gk, p.task, p.i, p.j, p.v - {n}c.c * coalesce(g.v, 0) AS v FROM {p} p LEFT JOIN {n}_gp g ON g.i = p.i AND g.j = p.j, {n}c),
+{n}w AS (SELECT w.gk, w.task, w.k, w.i, w.v - {n}c.c * coalesce(g.v, 0) AS v FROM {w} w LEFT JOIN {n}_gw g ON g.task = w.task AND g.k = w.k AND g.i = w.i, {n}c),
+{n}b AS (SELECT b.gk, b.task, b.k, b.v - {n}c.c * coalesce(g.v, 0) AS v FROM {b} b LEFT JOIN {n}_gb g ON g.task = b.task AND g.k = b.k, {n}c)"""
+        p, w, b = f"{n}p", f"{n}w", f"{n}b"
+    sql += score(1)
+    return sql, reads
+
+
+_CTES, _READS = sequential(5, _P, "zw", "zb", 1.0)
+SQL["job_finetune_sequential"] = with_(WHOLE + _INIT + _CTES) + " UNION ALL ".join(_READS)
