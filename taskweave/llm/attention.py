@@ -2,10 +2,10 @@
 
 One head attends over a window of the last subwords.  What it gathers gives weights over ``mixtures`` distributions of
 the next subword, so that a probability costs ``mixtures`` products instead of a sum over the vocabulary:
-P(next | window) = sum_k weight_k(window) * table[next, k].  The attention is trained by gradients (Adam) on a sample, with
-tables by expectation and maximisation over the same steps (``train``).  From there ``Learner`` goes on in tasks, each over
-its own part of the corpus, and the tasks' changes are averaged (``moved``).  ``Scorer.expect`` gives each mixture's share in
-every subword of any text, so that the final tables (``retabled``) can be summed over the whole training corpus.
+P(next | window) = sum_k weight_k(window) * table[next, k].  The attention gets starting values by gradients (Adam) on a few
+windows, with tables by expectation and maximisation over the same steps (``train``).  From there ``Learner`` goes on in tasks,
+each over every window of its own part of the corpus, and the tasks' changes are averaged (``moved``).  The same steps give
+each mixture's share in every subword, so that the final tables (``retabled``) are sums over the whole training corpus.
 """
 
 from __future__ import annotations
@@ -44,6 +44,16 @@ def causal(n: int) -> np.ndarray:
     return np.where(np.tril(np.ones((n, n), bool)), 0, -1e9).astype(np.float32)
 
 
+def by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, where each begins in the order of ids, and the sum of its rows."""
+    order = np.argsort(ids, kind="stable")
+    found = ids.take(order)
+    at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    rows = rows.take(order, 0)
+    paired = np.result_type(rows, np.complex64) if rows.shape[1] % 2 == 0 else rows.dtype  # two sums in one number
+    return found.take(at).astype(np.int64), at, np.add.reduceat(rows.view(paired), at).view(rows.dtype)
+
+
 class Model:
     """``params``: embed, place (positions), query, key, value, out, mix, bias; ``table``: next subword x mixture."""
 
@@ -89,7 +99,8 @@ class Model:
             out[name] = flat(x).T @ flat(grad)
         out["place"] = gx.sum(0)
         out["embed"] = np.zeros_like(p["embed"])
-        np.add.at(out["embed"], ids.reshape(-1), flat(gx))
+        own, _, sums = by_id(ids.reshape(-1), flat(gx))
+        out["embed"][own] = sums
         return out
 
 
@@ -132,7 +143,8 @@ def train(windows: np.ndarray, counts: np.ndarray, shape: Shape = Shape()) -> Mo
             second[name] += 0.01 * (g * g - second[name])
             ahead = first[name] / (1 - 0.9 ** step)
             model.params[name] -= np.float32(rate) * ahead / (np.sqrt(second[name] / (1 - 0.99 ** step)) + 1e-8)
-        np.add.at(seen, after.reshape(-1), wanted.reshape(-1, shape.mixtures))
+        own, _, shares = by_id(after.reshape(-1), wanted.reshape(-1, shape.mixtures))
+        seen[own] += shares
         if step % 10 == 0:
             if step <= shape.steps * 0.7:
                 seen *= 0.9  # forget what an early model thought
@@ -144,64 +156,109 @@ def train(windows: np.ndarray, counts: np.ndarray, shape: Shape = Shape()) -> Mo
 class Learner:
     """Gradient steps from a model on: Adam for the small matrices, AdaGrad for the vectors of the subwords that are met.
 
-    ``change`` gives what the steps did to the parameters and how often each subword was met, to be averaged by ``moved``.
+    ``seen`` holds each mixture's expected count of each subword, gathered in the same steps.  ``change`` gives what the steps
+    did to the parameters and how often each subword was met, to be averaged by ``moved``.
     """
 
     RATE, VECTOR_RATE = 0.003, 0.1
 
     def __init__(self, model: Model):
-        self.shape, self.start, self.table = model.shape, model.params, model.table
-        self.params = {n: v.copy() for n, v in model.params.items()}
-        self.first = {n: np.zeros_like(v) for n, v in self.params.items() if n != "embed"}
-        self.second = {n: np.zeros_like(v) for n, v in self.first.items()}
-        self.squares = np.full(len(self.params["embed"]), 1e-6, np.float32)
-        self.met = np.zeros(len(self.squares), np.float32)
-        self.mask, self.steps = causal(self.shape.window), 0
-
-    def step(self, before: np.ndarray, after: np.ndarray, inside: np.ndarray) -> None:
-        """One step on windows (rows x window): the subwords before, the next ones, and which places count."""
-        p, d, (n, w) = self.params, self.shape.width, before.shape
-        scale = np.float32(d ** -0.5)
-        heads = np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
-        x = (p["embed"][before] + p["place"]).reshape(-1, d)
-        q, k, v = (np.ascontiguousarray(t).reshape(n, w, d) for t in np.split(x @ heads, 3, axis=1))
-        a = softmax(np.matmul(q, k.swapaxes(1, 2)) + self.mask)
-        c = np.matmul(a, v).reshape(-1, d)
-        h = np.tanh(x + c @ p["out"])
-        weights = softmax(h @ p["mix"] + p["bias"])
-        wanted = weights * self.table[after.reshape(-1)]
-        wanted /= wanted.sum(1, keepdims=True) + 1e-30
-        g = (weights - wanted) * (inside.reshape(-1, 1) / np.float32(max(1, inside.sum())))
-        grads = {"mix": h.T @ g, "bias": g.sum(0)}
-        gh = (g @ p["mix"].T) * (1 - h * h)
-        grads["out"] = c.T @ gh
-        gc = (gh @ p["out"].T).reshape(n, w, d)
-        ga = np.matmul(gc, v.swapaxes(1, 2))
-        ga = a * (ga - (ga * a).sum(-1, keepdims=True))
-        parts = np.concatenate([t.reshape(-1, d) for t in (np.matmul(ga, k), np.matmul(ga.swapaxes(1, 2), q), np.matmul(a.swapaxes(1, 2), gc))], axis=1)
-        grads["query"], grads["key"], grads["value"] = np.split(x.T @ parts, 3, axis=1)
-        grads["query"] = grads["query"] * scale
-        gx = gh + parts @ heads.T
-        grads["place"] = gx.reshape(n, w, d).sum(0)
+        self.shape, self.table = model.shape, model.table
+        self.embed, self.start_embed = model.params["embed"].copy(), model.params["embed"]
+        names = sorted(n for n in model.params if n != "embed")
+        self.start = np.concatenate([model.params[n].reshape(-1) for n in names])
+        self.dense, self.grad, self.first, self.second = self.start.copy(), *(np.zeros_like(self.start) for _ in range(3))
+        self.params, self.grads, at = {}, {}, 0  # views
+        for n in names:
+            to = at + model.params[n].size
+            self.params[n], self.grads[n] = (t[at:to].reshape(model.params[n].shape) for t in (self.dense, self.grad))
+            at = to
+        size, w = len(self.embed), self.shape.window
+        self.squares = np.full(size, 1e-6, np.float32)
+        self.met = np.zeros(size)
+        self.seen = np.zeros((size, self.shape.mixtures))
+        self.ids = np.uint16 if size <= 1 << 16 else np.int64  # short ones are sorted by radix
+        self.causal = np.tril(np.ones((w, w), np.float32))
+        self.steps = 0
+
+    def step(self, before: np.ndarray, after: np.ndarray, inside: np.ndarray, move: bool = True) -> None:
+        """One step on windows (rows x window): the subwords before, the next ones, and which places count.
+
+        Without ``move`` the expected counts are gathered alone.  Queries and keys are one product of matrices, and so are
+        values and what leads out; products with ones sum rows faster than sums do.
+        """
+        p, grads, d, (n, w) = self.params, self.grads, self.shape.width, before.shape
+        in_row, in_mix, down = (np.ones(m, np.float32) for m in (w, self.shape.mixtures, n * w))
+        query = p["query"] * np.float32(d ** -0.5)
+        heads = np.concatenate([query @ p["key"].T, p["value"] @ p["out"]], axis=1)
+        x = self.embed.take(before, 0)
+        x += p["place"]
+        both = (x.reshape(-1, d) @ heads).reshape(n, w, 2 * d)
+        q, v = both[..., :d], both[..., d:]
+        a = np.matmul(q, x.swapaxes(1, 2))
+        np.exp(np.clip(a, -60, 60, out=a), out=a)
+        a *= self.causal
+        a /= (a.reshape(-1, w) @ in_row).reshape(n, w, 1)
+        h = np.matmul(a, v)
+        h += x
+        x, h = x.reshape(-1, d), np.tanh(h, out=h).reshape(-1, d)
+        weights = h @ p["mix"]
+        weights += p["bias"]
+        np.exp(np.clip(weights, -60, 60, out=weights), out=weights)
+        wanted = self.table.take(after.reshape(-1), 0)
+        wanted *= weights
+        wanted /= (wanted @ in_mix + np.float32(1e-30))[:, None]
+        outside = np.flatnonzero(~inside)
+        wanted[outside] = 0
+        own, _, shares = by_id(after.reshape(-1).astype(self.ids), wanted)
+        self.seen[own] += shares
+        if not move:
+            return
+        g = weights
+        g /= (weights @ in_mix)[:, None]
+        g -= wanted
+        g[outside] = 0
+        per = np.float32(1 / max(1, inside.size - len(outside)))
+        np.matmul(h.T, g, out=grads["mix"])
+        np.matmul(down, g, out=grads["bias"])
+        gh = g @ p["mix"].T
+        h *= h
+        gh *= np.subtract(1, h, out=h)
+        deep = gh.reshape(n, w, d)
+        ga = np.matmul(deep, v.swapaxes(1, 2))
+        ga *= a
+        ga -= a * (ga.reshape(-1, w) @ in_row).reshape(n, w, 1)
+        parts = np.empty_like(both)
+        np.matmul(ga, x.reshape(n, w, d), out=parts[..., :d])
+        np.matmul(a.swapaxes(1, 2), deep, out=parts[..., d:])
+        parts = parts.reshape(-1, 2 * d)
+        gx = parts @ heads.T
+        gx += gh
+        gx += np.matmul(ga.swapaxes(1, 2), q).reshape(-1, d)
+        joint = x.T @ parts
+        grads["query"][:] = joint[:, :d] @ p["key"] * np.float32(d ** -0.5)
+        grads["key"][:] = joint[:, :d].T @ query
+        grads["value"][:] = joint[:, d:] @ p["out"].T
+        grads["out"][:] = p["value"].T @ joint[:, d:]
+        grads["place"][:] = (down[:n] @ gx.reshape(n, w * d)).reshape(w, d)
         self.steps += 1
         rate = np.float32(self.RATE * min(1.0, self.steps / 20))
-        for name, grad in grads.items():
-            self.first[name] += 0.1 * (grad - self.first[name])
-            self.second[name] += 0.01 * (grad * grad - self.second[name])
-            ahead = self.first[name] / (1 - 0.9 ** self.steps)
-            p[name] -= rate * ahead / (np.sqrt(self.second[name] / (1 - 0.99 ** self.steps)) + 1e-8)
-        ids = before.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        own, ge = ids[order[at]], np.add.reduceat(gx[order], at)
-        self.met[own] += np.diff(np.append(at, len(ids)))
-        self.squares[own] += (ge * ge).mean(1)
-        p["embed"][own] -= np.float32(self.VECTOR_RATE) * ge / np.sqrt(self.squares[own])[:, None]
+        self.grad *= per
+        self.first += 0.1 * (self.grad - self.first)
+        self.second += 0.01 * (self.grad * self.grad - self.second)
+        self.dense -= rate * (self.first / (1 - 0.9 ** self.steps)) / (np.sqrt(self.second / (1 - 0.99 ** self.steps)) + 1e-8)
+        before = before.reshape(-1)
+        own, at, ge = by_id(before.astype(self.ids), gx)
+        ge *= per
+        self.met[own] += np.diff(at, append=len(before))
+        np.subtract.at(self.met, before[outside], 1)
+        squares = self.squares[own] + (ge * ge).mean(1)
+        self.squares[own] = squares
+        self.embed[own] -= np.float32(self.VECTOR_RATE) * ge / np.sqrt(squares)[:, None]
 
     def change(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(times each subword was met, change of its vector times that, change of the matrices times the steps, in one row)."""
-        dense = np.concatenate([(self.params[n] - self.start[n]).reshape(-1) for n in sorted(self.first)])
-        return self.met, (self.params["embed"] - self.start["embed"]) * self.met[:, None], dense * self.steps
+        return self.met, (self.embed - self.start_embed) * self.met[:, None], (self.dense - self.start).astype(np.float64) * self.steps
 
 
 def moved(model: Model, met: np.ndarray, vectors: np.ndarray, dense: np.ndarray, steps: float) -> Model:
@@ -223,17 +280,17 @@ class Scorer:
         """``begins``: whether a subword can stand first in a word (the end included)."""
         p, s = model.params, model.shape
         self.shape, self.batch = s, batch
-        heads = np.concatenate([p["query"] * np.float32(s.width ** -0.5), p["key"], p["value"] @ p["out"], np.eye(s.width, dtype=np.float32)], axis=1)
-        self.of_id, self.of_place = p["embed"] @ heads, p["place"] @ heads  # queries, keys, values and inputs, as sums
-        self.mask = causal(s.window)
+        heads = np.concatenate([p["query"] * np.float32(s.width ** -0.5) @ p["key"].T, p["value"] @ p["out"], np.eye(s.width, dtype=np.float32)], axis=1)
+        self.of_id, self.of_place = p["embed"] @ heads, p["place"] @ heads  # queries of inputs, values and inputs, as sums
+        self.causal = np.tril(np.ones((s.window, s.window), np.float32))
         self.ones = np.ones(max(s.window, s.mixtures), np.float32)  # products sum rows faster than sums do
         self.mix, self.bias, self.table = p["mix"], p["bias"], model.table
         self.begin = model.table[begins].sum(0).astype(np.float32)
 
     @staticmethod
-    def windows(ids: np.ndarray, lengths: np.ndarray, end: int, shape: Shape, stride: int, batch: int, chosen=None):
+    def windows(ids: np.ndarray, lengths: np.ndarray, end: int, shape: Shape, stride: int, batch: int):
         """Batches of windows over documents' subwords: positions, the subwords before them, which are inside the document,
-        and the number of each window in it.  ``chosen(begin, nth)`` picks windows."""
+        and the number of each window in it."""
         ends = np.cumsum(lengths)
         starts = ends - lengths
         before = np.empty_like(ids)
@@ -243,9 +300,6 @@ class Scorer:
         doc = np.repeat(np.arange(len(lengths)), many)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
         begin, stop = starts[doc] + nth * stride, ends[doc]
-        if chosen is not None:
-            some = np.flatnonzero(chosen(begin, nth))
-            begin, stop, nth = begin[some], stop[some], nth[some]
         span = np.arange(shape.window)
         for i in range(0, len(begin), batch):
             at = begin[i:i + batch, None] + span
@@ -259,18 +313,18 @@ class Scorer:
         span, d = np.arange(s.window), s.width
         for at, before, inside, nth in self.windows(ids, lengths, end, s, stride, self.batch):
             new = inside & ((span >= s.window - stride) | (nth == 0))
-            x = self.of_id[before]
+            x = self.of_id.take(before, 0)
             x += self.of_place
-            a = np.matmul(x[:, :, :d], x[:, :, d:2 * d].swapaxes(1, 2))
-            a += self.mask
-            np.exp(np.minimum(a, 60, out=a), out=a)
-            c = np.matmul(a, x[:, :, 2 * d:3 * d])
-            c /= (a @ self.ones[:s.window])[:, :, None]
-            c += x[:, :, 3 * d:]
+            a = np.matmul(x[:, :, :d], x[:, :, 2 * d:].swapaxes(1, 2))
+            np.exp(np.clip(a, -60, 60, out=a), out=a)
+            a *= self.causal
+            c = np.matmul(a, x[:, :, d:2 * d])
+            c /= (a.reshape(-1, s.window) @ self.ones[:s.window]).reshape(*before.shape, 1)
+            c += x[:, :, 2 * d:]
             h = np.tanh(c[new])
             w = h @ self.mix
             w += self.bias
-            np.exp(np.minimum(w, 60, out=w), out=w)
+            np.exp(np.clip(w, -60, 60, out=w), out=w)
             yield at[new], w
 
     def score(self, ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,16 +332,6 @@ class Scorer:
         log_p, log_b = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
         for to, w in self.weights(ids, lengths, end, self.shape.stride):
             total = w @ self.ones[:self.shape.mixtures]
-            log_p[to] = np.log(np.einsum("ij,ij->i", w, self.table[ids[to]]) / total)
+            log_p[to] = np.log(np.einsum("ij,ij->i", w, self.table.take(ids[to], 0)) / total)
             log_b[to] = np.log(w @ self.begin / total)
         return log_p, log_b
-
-    def expect(self, ids: np.ndarray, lengths: np.ndarray, end: int, seen: np.ndarray) -> None:
-        """Add each mixture's share in every subword (windows side by side, as in training) to ``seen``: subword x mixture."""
-        for to, w in self.weights(ids, lengths, end, self.shape.window):
-            w *= self.table[ids[to]]
-            w /= (w @ self.ones[:self.shape.mixtures])[:, None] + np.float32(1e-30)
-            order = np.argsort(ids[to], kind="stable")
-            found = ids[to[order]]
-            at = np.flatnonzero(np.r_[True, np.diff(found) != 0])
-            seen[found[at]] += np.add.reduceat(w[order], at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,10 +15,10 @@ from .byte_bpe import merge
 from .common import bounded_sample, stored
 from .word_exchange import Numbers, answers, assembled, by_batch, flatten, gather, joined, pack, pack_ints, pack_many, unpack_ints, unpack_many, unpack_strings
 
-#: Training documents from which the attention is trained first (those with the smallest hashes), and windows of each.
+#: Training documents that give the attention its starting values (those with the smallest hashes), and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 24
-#: From there it goes on in tasks, over one of so many windows of the whole training corpus.
-LEARN_EVERY = 16
+#: From there it learns in tasks from the whole training corpus; one of so many batches of windows is a gradient step (1: all).
+LEARN_EVERY = 1
 #: Share of the spelled word in a word's probability, and what is taken off each word's count for it.
 SHARE, DISCOUNT = 0.1, 0.75
 #: Words of so many bytes are merged with a heap, whose time doesn't grow with the square of the length.
@@ -74,7 +76,8 @@ def training_windows(docs: DataFrame, n_train: int, shared, end: int, shape: Sha
 
 def spelled(head, found, end: int):
     """Slices of a batch's documents: first and end document, first word, end word, word numbers (ends included), whether
-    each is a word, number of subwords of each, the subwords one after the other, and the training counts by word number."""
+    each is a word, number of subwords of each, the subwords one after the other, and by word number the training counts and
+    the first subwords."""
     fields = [unpack_many(a) for a in found]
     none = [np.empty(0, np.uint32)]
     column = lambda i: np.concatenate(none + [unpack_ints(f[i]) for f in fields]).astype(np.int64)
@@ -84,6 +87,7 @@ def spelled(head, found, end: int):
     seen[order], count[order], start[order] = column(0) + (column(1) << 32), sizes, np.cumsum(sizes) - sizes
     flat = np.append(column(3), end)
     seen[-1], count[-1], start[-1] = 0, 1, len(flat) - 1  # the end is the last word number
+    begin = flat[start]
     for i, j, a, b in head.slices(100_000):
         word_ends = np.cumsum(head.lengths[i:j] + 1) - 1
         words = np.full(b - a + j - i, len(order), np.int64)
@@ -91,23 +95,15 @@ def spelled(head, found, end: int):
         is_word[word_ends] = False
         words[is_word] = head.numbers[a:b]
         per_word = count[words]
-        yield i, j, words, is_word, per_word, flat[gather(start[words], per_word)], seen
-
-
-def chosen_windows(ids: np.ndarray, every: int):
-    """Picks one of ``every`` windows by a hash of two of its subwords and its number."""
-    def pick(begin, nth):
-        h = (ids[begin] * 0x9E3779B1 + ids[np.minimum(begin + 7, len(ids) - 1)] * 0x85EBCA77 + nth * 0xC2B2AE3D) & 0xFFFFFFFF
-        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-        return (h ^ h >> 13) % every == 0
-    return pick
+        yield i, j, words, is_word, per_word, flat[gather(start[words], per_word)], (seen, begin)
 
 
-def learnt(packed: DataFrame, back: DataFrame, model: Model, begins: np.ndarray, end: int, size: int, every: int, counts: np.ndarray) -> Model:
+def learnt(packed: DataFrame, back: DataFrame, model: Model, end: int, size: int, every: int, counts: np.ndarray) -> Model:
     """The model after one pass over all training documents, in tasks.
 
-    Every subword adds to the expected counts of the mixtures, from which the tables follow; one of ``every`` windows also is
-    a step of the task's own gradient descent from ``model`` on, and the tasks' changes are averaged by what they have seen.
+    Every subword adds to the expected counts of the mixtures, from which the tables follow, and every window (of one of
+    ``every`` batches, if that isn't 1) to a step of the task's own gradient descent from ``model`` on; the tasks' changes are
+    averaged by what they have seen.
     Each task's sums are dealt by blocks of subwords; block -1 holds the matrices.
     """
     spark = packed.sparkSession
@@ -117,9 +113,8 @@ def learnt(packed: DataFrame, back: DataFrame, model: Model, begins: np.ndarray,
     columns = "block int, body binary"
 
     def gathered(it):
-        start = Model(shape, *shared.value)
-        scorer, learner = Scorer(start, begins), Learner(start)
-        seen = np.zeros((size, k))
+        learner = Learner(Model(shape, *shared.value))
+        batches = itertools.count()
 
         def add(head, found):
             for i, j, _, _, per_word, ids, _ in spelled(head, found, end):
@@ -127,14 +122,13 @@ def learnt(packed: DataFrame, back: DataFrame, model: Model, begins: np.ndarray,
                 lengths = np.add.reduceat(per_word, doc_starts)
                 training = head.marks[i:j] == 0
                 ids, lengths = ids[np.repeat(training, lengths)], lengths[training]
-                scorer.expect(ids, lengths, end, seen)
-                for at, before, inside, _ in scorer.windows(ids, lengths, end, shape, shape.window, shape.batch, chosen_windows(ids, every)):
-                    learner.step(before, ids[at], inside)
+                for at, before, inside, _ in Scorer.windows(ids, lengths, end, shape, shape.window, shape.batch):
+                    learner.step(before, ids[at], inside, next(batches) % every == 0)
             return ()
 
         for _ in joined(it, add):
             pass
-        met, vectors, dense = learner.change()
+        seen, (met, vectors, dense) = learner.seen, learner.change()
         rows = [(-1, pack_many(np.array([learner.steps], "<f8").tobytes(), dense.astype("<f8").tobytes()))] if learner.steps else []
         for b in range(0, size, BLOCK):
             at = np.flatnonzero(seen[b:b + BLOCK].any(1) | (met[b:b + BLOCK] > 0))
@@ -188,8 +182,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
     unknown words go on.
     So P sums to one over all words.  Counts of words and subwords cover all training documents (a global distinct-word
     shuffle, see ``word_exchange``).  The attention starts from weights trained on the driver, on at most ``sample_docs`` *
-    ``sample_windows`` windows, and goes on in tasks over one of ``learn_every`` windows of the whole training corpus; what the
-    mixtures say of the next subword is gathered from every subword of every training document in the same pass (``learnt``).
+    ``sample_windows`` windows, and learns in tasks from every window of every training document (``learn_every`` 1; else one of so
+    many batches of windows); what the mixtures say of the next subword is gathered from every subword of every training
+    document in the same pass (``learnt``).
     Whole texts are scored in overlapping windows, each subword once.
 
     Nulls: a null text is empty (its end is scored), a null doc_id counts as the empty text and so as training.  Repeated
@@ -247,7 +242,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
     begins = np.array([i for token, i in ranks.items() if token[:1] == b" "] + [end])
     asked = back.where("batch >= 0")
     if n_train:
-        model = learnt(packed, asked, model, begins, end, size, learn_every, counts)
+        model = learnt(packed, asked, model, end, size, learn_every, counts)
     final = spark.sparkContext.broadcast((model.params, model.table))
     with np.errstate(divide="ignore", invalid="ignore"):
         by_count = np.where(begun > 0, (1 - share) / begun, 0.0)           # of a word's discounted count, by first subword
@@ -256,8 +251,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
 
     def assemble(head, found):
         scorer = Scorer(Model(shape, *final.value), begins)
-        for i, j, words, is_word, per_word, ids, seen in spelled(head, found, end):
-            seen[-1] = n_train
+        base = None
+        for i, j, words, is_word, per_word, ids, (seen, begin) in spelled(head, found, end):
+            if base is None:  # of each distinct word of the batch
+                seen[-1] = n_train
+                by_count, by_spelling = (t[begin] for t in tables.value)
+                with np.errstate(divide="ignore"):
+                    by_count, by_spelling = np.log(np.maximum(seen - discount, 0) * by_count), np.log(by_spelling)
+                base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))
             lengths = head.lengths[i:j]
             word_ends = np.cumsum(lengths + 1) - 1
             first = np.cumsum(per_word) - per_word
@@ -267,15 +268,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
             log_first = log_p[first] - log_b
             log_rest = np.add.reduceat(log_p.astype(np.float64), first) - log_p[first]
             log_rest[is_word] += log_b[np.flatnonzero(is_word) + 1]  # a word ends where the next one, or the end, begins
-            c = seen[words].astype(np.float64)
-            by_count, by_spelling = (t[ids[first]] for t in tables.value)
-            with np.errstate(divide="ignore"):
-                log_word = log_first + np.logaddexp(np.log(np.maximum(c - discount, 0) * by_count), log_rest + np.log(by_spelling))
-            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            log_word = log_first + np.logaddexp(by_count[words], log_rest + by_spelling[words])
             each = lambda t: np.add.reduceat(t, doc_starts)
             yield pa.RecordBatch.from_arrays([
-                pa.array(head.ids[i:j], pa.int64()), pa.array(head.marks[i:j].astype(bool)), pa.array(lengths + 1), pa.array(each((c > 0).astype(np.int64))),
-                pa.array(np.full(j - i, n, np.int64)), pa.array(each(base)), pa.array(each(log_word) / np.log(10.0))],
+                pa.array(head.ids[i:j], pa.int64()), pa.array(head.marks[i:j].astype(bool)), pa.array(lengths + 1), pa.array(each((seen[words] > 0).astype(np.int64))),
+                pa.array(np.full(j - i, n, np.int64)), pa.array(each(base[words])), pa.array(each(log_word) / np.log(10.0))],
                 [x.split()[0] for x in SCORED.split(", ")])
 
     return assembled(packed, asked, assemble, SCORED)

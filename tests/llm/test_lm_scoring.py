@@ -148,6 +148,34 @@ def test_expected_counts_are_those_of_every_training_subword(spark, odd_docs, mo
     np.testing.assert_allclose(got[0].sum(1), want, rtol=1e-4, atol=1e-3)
 
 
+def test_every_training_window_moves_the_attention(spark, odd_docs, monkeypatch):
+    """Each place of each training document is met once by the gradient steps."""
+    docs = sample_docs(spark, odd_docs)
+    want = np.zeros(max(RANKS.values()) + 2)
+    for r in docs.collect():
+        if not held_out(r.doc_id):
+            for i in [len(want) - 1] + [i for w in tokens(r.text) for i in merge(b" " + w, RANKS)]:
+                want[i] += 1
+    got = []
+    kept = lm_scoring.moved
+    monkeypatch.setattr(lm_scoring, "moved", lambda model, met, *a: got.append(met) or kept(model, met, *a))
+    lm_scoring.score_documents(spark, docs, RANKS, shape=SMALL)
+    np.testing.assert_array_equal(got[0], want)
+
+
+def test_places_outside_documents_are_not_learnt():
+    r = np.random.default_rng(6)
+    shape = Shape(width=4, mixtures=4, window=6, stride=3)
+    model = Model.fresh(shape, r.integers(1, 9, 20))
+    ids, after, inside = r.integers(0, 20, (5, 6)), r.integers(0, 20, (5, 6)), np.arange(6) < np.array([6, 2, 1, 6, 5])[:, None]
+    one, other = Learner(model), Learner(model)
+    one.step(ids, after, inside)
+    other.step(np.where(inside, ids, 7), np.where(inside, after, 3), inside)
+    for a, b in zip((one.seen, *one.change()), (other.seen, *other.change())):
+        np.testing.assert_allclose(a, b, atol=1e-6)
+    np.testing.assert_allclose(one.seen.sum(1), np.bincount(after[inside], minlength=20), atol=1e-5)
+
+
 def test_a_learners_steps_are_those_of_the_gradients():
     r = np.random.default_rng(3)
     shape = Shape(width=4, mixtures=3, window=6, stride=3)
