@@ -55,8 +55,11 @@ def tokenize_text(rows: DataFrame, text: str = "tweet", key: str = "row_id", mat
 
 
 def build_vocab(tok: DataFrame) -> DataFrame:
-    """``token, count, id`` over every token of every text (``tok`` from ``tokenize_text``)."""
-    counts = (tok.select(F.explode("tokens").alias("token"))
+    """``token, count, id`` over every token of every text (``tok`` from ``tokenize_text``).
+
+    A plain ``explode`` makes Spark filter by ``size(tokens) > 0`` first, which would clean and split every text again for it.
+    """
+    counts = (tok.select(F.explode_outer("tokens").alias("token")).where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     ranked = range_rank(counts, [F.col("count").desc(), F.col("token")], "rk")
     return ranked.select("token", "count", (F.col("rk") - 1 + FIRST_ID).alias("id"))

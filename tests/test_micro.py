@@ -138,3 +138,18 @@ def test_clip_global_norm(spark):
     g = spark.createDataFrame([(0, "a", "p", [3.0, 4.0])], "step int, task string, param string, g array<double>")
     r = I.clip_global_norm(g, 1.0).first()
     assert abs(r.total_norm - 5.0) < 1e-12 and abs(r.g[0] - 3.0 / (5.0 + 1e-6)) < 1e-12
+
+
+def test_vocabulary_cleans_each_text_once(spark):
+    from taskweave.operators import tokenize as TK
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def cleaned(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(["b a b", "", None, "  ", "a c", "b"])], "row_id string, tweet string")
+    tok = TK.tokenize_text(rows.select("row_id", cleaned("tweet").alias("tweet")), materialize=False)
+    assert [tuple(r) for r in TK.build_vocab(tok).orderBy("id").collect()] == [("b", 3, 4), ("a", 2, 5), ("c", 1, 6)]
+    assert seen.value == 6
