@@ -73,6 +73,10 @@ EMOJI_SEQUENCE = EMOJI_ONE + r"(?:\x{200D}" + EMOJI_ONE + ")*"
 # of all scripts and common punctuation are below, between or above them.  So the long class is walked for symbols only.
 EMOJI_FIRST = r"[\x{A9}\x{AE}\x{203C}-\x{303D}\x{3297}-\x{3299}\x{1F004}-\x{1FAFF}]"
 EMOJI = "(?:" + EMOJI_KEYCAP + "|(?=" + EMOJI_FIRST + ")" + EMOJI_SEQUENCE + ")"
+# A keycap has this mark.  A text without it has no keycaps, so no character below the first of EMOJI_FIRST matters there,
+# which one comparison tells.
+KEYCAP_MARK = "\u20e3"
+EMOJI_NO_KEYCAP = r"(?=[\x{A9}-\x{1FAFF}])(?=" + EMOJI_FIRST + ")" + EMOJI_SEQUENCE
 
 
 def _col(c) -> Column:
@@ -86,7 +90,12 @@ def _check(mode: str) -> None:
 
 def strip_emoji(c) -> Column:
     """Delete emoji sequences (flags, ZWJ families, skin tones, keycaps)."""
-    return F.regexp_replace(_col(c), EMOJI, "")
+    return _strip_emoji(_col(c), lambda c: F.regexp_replace(c, EMOJI, ""))
+
+
+def _strip_emoji(c: Column, with_keycaps) -> Column:
+    """``with_keycaps`` of texts that hold a keycap's mark; of the others no more is looked for than can be there."""
+    return F.when(F.contains(c, F.lit(KEYCAP_MARK)), with_keycaps(c)).otherwise(F.regexp_replace(c, EMOJI_NO_KEYCAP, ""))
 
 
 def strip_emoticon(c, mode: str = AS_WRITTEN) -> Column:
@@ -132,7 +141,7 @@ def sanitize(c, mode: str = AS_WRITTEN) -> Column:
     their parts; it looks for these alone.
     """
     _check(mode)
-    c = F.regexp_replace(strip_emoji(_col(c)), EMOJI_KEYCAP, "")
+    c = _strip_emoji(_col(c), lambda c: F.regexp_replace(F.regexp_replace(c, EMOJI, ""), EMOJI_KEYCAP, ""))
     if mode == AS_WRITTEN:
         c = strip_emoticon(c, mode)
         c = strip_mention(c)

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir
 from .splits import pieces, read_splits
 
 #: A whole record, the end of a record that began in an earlier split, the beginning of one that goes on in a later split.
@@ -63,7 +64,8 @@ def _records(lines: Lines, own: Iterator[str], inside: bool, begun: bool) -> Ite
 def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"', recursive: bool = False) -> DataFrame:
     """``path, leads, record``: the text of every record of the files; ``leads`` marks the first record of a file.
 
-    Line breaks are ``\\n`` or ``\\r\\n``.  A quoted text that isn't closed goes on to the end of its file.
+    Line breaks are ``\\n`` or ``\\r\\n``.  A quoted text that isn't closed goes on to the end of its file.  The records are
+    stored once in the shared folder: whole and crossing ones, and every later pass, would each read the files again.
     """
     lines = Lines(sep, quote)
 
@@ -83,7 +85,9 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = ","
         (inside, begun), (ends, filled) = state, summary
         return ends[inside], begun or filled
 
-    found = read_splits(pieces(spark, paths, "\n", recursive), summarise, combine, (False, False), read, RECORDS)
+    path = fresh_dir(spark, "records")
+    read_splits(pieces(spark, paths, "\n", recursive), summarise, combine, (False, False), read, RECORDS).write.parquet(path)
+    found = spark.read.schema(RECORDS).parquet(path)
     # a record that crosses splits begins with a TAIL, all up to the next TAIL of the file belongs to it
     parts = found.where(F.col("kind") != WHOLE)
     chain = F.sum((F.col("kind") == TAIL).cast("int")).over(Window.partitionBy("path").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0))

@@ -10,6 +10,7 @@ from taskweave.operators import interference as I
 from taskweave.operators import metrics as M
 from taskweave.operators import sampling as P
 from taskweave.operators import windows as W
+from taskweave.plans import fixtures as X
 
 
 def one(spark, col_expr, values, schema="v string"):
@@ -153,3 +154,21 @@ def test_vocabulary_cleans_each_text_once(spark):
     tok = TK.tokenize_text(rows.select("row_id", cleaned("tweet").alias("tweet")), materialize=False)
     assert [tuple(r) for r in TK.build_vocab(tok).orderBy("id").collect()] == [("b", 3, 4), ("a", 2, 5), ("c", 1, 6)]
     assert seen.value == 6
+
+
+def test_texts_without_a_keycap_mark_are_not_searched_for_keycaps(spark):
+    # both ways give what the whole pattern gives, keycaps that close up where an emoji stood included
+    texts = [*X.EMOJI_CASES, "1\u20e3 2", "1\U0001F600\u20e3", "#\u2122\ufe0f\u20e3 a", "\u20e3", "\u2764\ufe0f\u200d\U0001F525x", "é1#*中\u2713\u3030", "", None]
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace("v", T.EMOJI, ""), T.EMOJI, ""), T.EMOJI, "")
+    assert one(spark, F.regexp_replace(T.strip_emoji("v"), "[#@]", ""), texts) == one(spark, F.regexp_replace(F.regexp_replace("v", T.EMOJI, ""), "[#@]", ""), texts)
+    assert one(spark, T.sanitize("v"), texts) == one(spark, F.regexp_replace(whole, "#", ""), texts)
+    # the pattern for texts without the mark holds no keycap alternative
+    assert "20E3" not in T.EMOJI_NO_KEYCAP
+
+
+def test_records_of_files_are_read_once_whatever_follows(spark, tmp_path):
+    from taskweave.sources import records
+    (tmp_path / "a.csv").write_text('id,t\n1,"x\ny"\n2,z\n')
+    found = records.read_records(spark, str(tmp_path / "a.csv"))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.record for r in found.where("NOT leads").collect()) == ['1,"x\ny"', "2,z"]
