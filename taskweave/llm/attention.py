@@ -44,14 +44,14 @@ def causal(n: int) -> np.ndarray:
     return np.where(np.tril(np.ones((n, n), bool)), 0, -1e9).astype(np.float32)
 
 
-def by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, where each begins in the order of ids, and the sum of its rows."""
+def by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in ascending order, and the sum of the rows of each."""
     order = np.argsort(ids, kind="stable")
     found = ids.take(order)
     at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
     rows = rows.take(order, 0)
     paired = np.result_type(rows, np.complex64) if rows.shape[1] % 2 == 0 else rows.dtype  # two sums in one number
-    return found.take(at).astype(np.int64), at, np.add.reduceat(rows.view(paired), at).view(rows.dtype)
+    return found.take(at).astype(np.int64), np.add.reduceat(rows.view(paired), at).view(rows.dtype)
 
 
 class Model:
@@ -99,7 +99,7 @@ class Model:
             out[name] = flat(x).T @ flat(grad)
         out["place"] = gx.sum(0)
         out["embed"] = np.zeros_like(p["embed"])
-        own, _, sums = by_id(ids.reshape(-1), flat(gx))
+        own, sums = by_id(ids.reshape(-1), flat(gx))
         out["embed"][own] = sums
         return out
 
@@ -143,7 +143,7 @@ def train(windows: np.ndarray, counts: np.ndarray, shape: Shape = Shape()) -> Mo
             second[name] += 0.01 * (g * g - second[name])
             ahead = first[name] / (1 - 0.9 ** step)
             model.params[name] -= np.float32(rate) * ahead / (np.sqrt(second[name] / (1 - 0.99 ** step)) + 1e-8)
-        own, _, shares = by_id(after.reshape(-1), wanted.reshape(-1, shape.mixtures))
+        own, shares = by_id(after.reshape(-1), wanted.reshape(-1, shape.mixtures))
         seen[own] += shares
         if step % 10 == 0:
             if step <= shape.steps * 0.7:
@@ -161,6 +161,8 @@ class Learner:
     """
 
     RATE, VECTOR_RATE = 0.003, 0.1
+    #: Windows whose arrays are worked on at once (the step is the same for any number).
+    PART = 64
 
     def __init__(self, model: Model):
         self.shape, self.table = model.shape, model.table
@@ -173,88 +175,108 @@ class Learner:
             to = at + model.params[n].size
             self.params[n], self.grads[n] = (t[at:to].reshape(model.params[n].shape) for t in (self.dense, self.grad))
             at = to
-        size, w = len(self.embed), self.shape.window
+        size, (w, d, k) = len(self.embed), (self.shape.window, self.shape.width, self.shape.mixtures)
         self.squares = np.full(size, 1e-6, np.float32)
         self.met = np.zeros(size)
-        self.seen = np.zeros((size, self.shape.mixtures))
+        self.seen = np.zeros((size, k))
         self.ids = np.uint16 if size <= 1 << 16 else np.int64  # short ones are sorted by radix
         self.causal = np.tril(np.ones((w, w), np.float32))
+        self.ones = np.ones(max(w * self.PART, k), np.float32)  # products with ones sum rows faster than sums do
+        self.work = [np.empty((w * self.PART, m), np.float32) for m in (d, 2 * d, w, d, d, k, d, w, 2 * d, d)]
         self.steps = 0
 
     def step(self, before: np.ndarray, after: np.ndarray, inside: np.ndarray, move: bool = True) -> None:
         """One step on windows (rows x window): the subwords before, the next ones, and which places count.
 
-        Without ``move`` the expected counts are gathered alone.  Queries and keys are one product of matrices, and so are
-        values and what leads out; products with ones sum rows faster than sums do.
+        Without ``move`` the expected counts are gathered alone.  The windows are gone through in parts whose arrays fit the
+        cache of a core; the step is taken on the sum of their gradients.
         """
-        p, grads, d, (n, w) = self.params, self.grads, self.shape.width, before.shape
-        in_row, in_mix, down = (np.ones(m, np.float32) for m in (w, self.shape.mixtures, n * w))
+        p, grads, d = self.params, self.grads, self.shape.width
+        before, after = before.reshape(-1), after.reshape(-1)
+        counted = inside.reshape(-1).astype(np.float32)
         query = p["query"] * np.float32(d ** -0.5)
         heads = np.concatenate([query @ p["key"].T, p["value"] @ p["out"]], axis=1)
-        x = self.embed.take(before, 0)
-        x += p["place"]
-        both = (x.reshape(-1, d) @ heads).reshape(n, w, 2 * d)
-        q, v = both[..., :d], both[..., d:]
-        a = np.matmul(q, x.swapaxes(1, 2))
-        np.exp(np.clip(a, -60, 60, out=a), out=a)
-        a *= self.causal
-        a /= (a.reshape(-1, w) @ in_row).reshape(n, w, 1)
-        h = np.matmul(a, v)
-        h += x
-        x, h = x.reshape(-1, d), np.tanh(h, out=h).reshape(-1, d)
-        weights = h @ p["mix"]
-        weights += p["bias"]
-        np.exp(np.clip(weights, -60, 60, out=weights), out=weights)
-        wanted = self.table.take(after.reshape(-1), 0)
-        wanted *= weights
-        wanted /= (wanted @ in_mix + np.float32(1e-30))[:, None]
-        outside = np.flatnonzero(~inside)
-        wanted[outside] = 0
-        own, _, shares = by_id(after.reshape(-1).astype(self.ids), wanted)
+        wide = np.abs(p["mix"]).sum(0).max() + np.abs(p["bias"]).max() > 60  # else no weight overflows
+        wanted = np.empty((len(before), self.shape.mixtures), np.float32)
+        gx = np.empty((len(before), d), np.float32)
+        joint, size = np.zeros_like(heads), self.shape.window * self.PART
+        self.grad[:] = 0
+        for i in range(0, len(before), size):
+            at = slice(i, i + size)
+            self._part(before[at], after[at], counted[at], heads, wide, wanted[at], gx[at] if move else None, joint)
+        own, shares = by_id(after.astype(self.ids), wanted)
         self.seen[own] += shares
         if not move:
             return
-        g = weights
-        g /= (weights @ in_mix)[:, None]
-        g -= wanted
-        g[outside] = 0
-        per = np.float32(1 / max(1, inside.size - len(outside)))
-        np.matmul(h.T, g, out=grads["mix"])
-        np.matmul(down, g, out=grads["bias"])
-        gh = g @ p["mix"].T
-        h *= h
-        gh *= np.subtract(1, h, out=h)
-        deep = gh.reshape(n, w, d)
-        ga = np.matmul(deep, v.swapaxes(1, 2))
-        ga *= a
-        ga -= a * (ga.reshape(-1, w) @ in_row).reshape(n, w, 1)
-        parts = np.empty_like(both)
-        np.matmul(ga, x.reshape(n, w, d), out=parts[..., :d])
-        np.matmul(a.swapaxes(1, 2), deep, out=parts[..., d:])
-        parts = parts.reshape(-1, 2 * d)
-        gx = parts @ heads.T
-        gx += gh
-        gx += np.matmul(ga.swapaxes(1, 2), q).reshape(-1, d)
-        joint = x.T @ parts
+        per = np.float32(1 / max(1.0, counted.sum()))
         grads["query"][:] = joint[:, :d] @ p["key"] * np.float32(d ** -0.5)
         grads["key"][:] = joint[:, :d].T @ query
         grads["value"][:] = joint[:, d:] @ p["out"].T
         grads["out"][:] = p["value"].T @ joint[:, d:]
-        grads["place"][:] = (down[:n] @ gx.reshape(n, w * d)).reshape(w, d)
         self.steps += 1
         rate = np.float32(self.RATE * min(1.0, self.steps / 20))
         self.grad *= per
         self.first += 0.1 * (self.grad - self.first)
         self.second += 0.01 * (self.grad * self.grad - self.second)
         self.dense -= rate * (self.first / (1 - 0.9 ** self.steps)) / (np.sqrt(self.second / (1 - 0.99 ** self.steps)) + 1e-8)
-        before = before.reshape(-1)
-        own, at, ge = by_id(before.astype(self.ids), gx)
+        np.add.at(self.met, before, counted.astype(np.float64))
+        own, ge = by_id(before.astype(self.ids), gx)
         ge *= per
-        self.met[own] += np.diff(at, append=len(before))
-        np.subtract.at(self.met, before[outside], 1)
-        squares = self.squares[own] + (ge * ge).mean(1)
+        squares = self.squares.take(own)
+        squares += np.einsum("ij,ij->i", ge, ge) / np.float32(d)
         self.squares[own] = squares
-        self.embed[own] -= np.float32(self.VECTOR_RATE) * ge / np.sqrt(squares)[:, None]
+        ge *= (np.float32(self.VECTOR_RATE) / np.sqrt(squares))[:, None]
+        self.embed[own] -= ge
+
+    def _part(self, before: np.ndarray, after: np.ndarray, counted: np.ndarray, heads: np.ndarray, wide: bool, wanted: np.ndarray, gx: np.ndarray | None, joint: np.ndarray):
+        """Fills ``wanted``, each mixture's share in the next subwords (zero where none counts), and, unless it is None, ``gx``,
+        the gradients of the inputs; adds those of the matrices to ``joint`` (queries and keys, values and what leads out, each
+        as one product) and ``self.grads``."""
+        p, grads, (d, w) = self.params, self.grads, (self.shape.width, self.shape.window)
+        m = len(before)
+        x, both, a, c, h, weights, gh, ga, parts, gk = (t[:m] for t in self.work)
+        windows = lambda t: t.reshape(-1, w, t.shape[-1])
+        self.embed.take(before, 0, out=x, mode="clip")
+        x3, both3, a3, ga3, parts3 = map(windows, (x, both, a, ga, parts))
+        x3 += p["place"]
+        np.matmul(x, heads, out=both)
+        q, v = both3[..., :d], both3[..., d:]
+        np.matmul(q, x3.swapaxes(1, 2), out=a3)
+        np.exp(a.clip(-60, 60, out=a), out=a)
+        a3 *= self.causal
+        a *= (1 / (a @ self.ones[:w]))[:, None]
+        np.matmul(a3, v, out=windows(c))
+        np.tanh(np.add(c, x, out=h), out=h)
+        np.matmul(h, p["mix"], out=weights)
+        weights += p["bias"]
+        if wide:
+            weights.clip(-60, 60, out=weights)
+        np.exp(weights, out=weights)
+        self.table.take(after, 0, out=wanted, mode="clip")
+        wanted *= weights
+        in_mix = self.ones[:weights.shape[1]]
+        wanted *= (counted / (wanted @ in_mix + np.float32(1e-30)))[:, None]
+        if gx is None:
+            return
+        weights *= (counted / (weights @ in_mix))[:, None]
+        weights -= wanted
+        grads["mix"] += h.T @ weights
+        grads["bias"] += self.ones[:m] @ weights
+        np.matmul(weights, p["mix"].T, out=gh)
+        h *= h
+        gh *= np.subtract(1, h, out=h)
+        gh3 = windows(gh)
+        np.matmul(gh3, v.swapaxes(1, 2), out=ga3)
+        ga -= (np.multiply(gh, c, out=c) @ self.ones[:d])[:, None]
+        ga *= a
+        np.matmul(ga3, x3, out=parts3[..., :d])
+        np.matmul(a3.swapaxes(1, 2), gh3, out=parts3[..., d:])
+        np.matmul(parts, heads.T, out=gx)
+        gx += gh
+        np.matmul(ga3.swapaxes(1, 2), q, out=windows(gk))
+        gx += gk
+        joint += x.T @ parts
+        grads["place"] += (self.ones[:m // w] @ gx.reshape(-1, w * d)).reshape(w, d)
 
     def change(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(times each subword was met, change of its vector times that, change of the matrices times the steps, in one row)."""
@@ -276,21 +298,24 @@ def moved(model: Model, met: np.ndarray, vectors: np.ndarray, dense: np.ndarray,
 class Scorer:
     """Natural logs of the probabilities of subwords, each scored once, in batches of overlapping windows."""
 
-    def __init__(self, model: Model, begins: np.ndarray, batch: int = 128):
+    def __init__(self, model: Model, begins: np.ndarray, batch: int = 64):
         """``begins``: whether a subword can stand first in a word (the end included)."""
         p, s = model.params, model.shape
         self.shape, self.batch = s, batch
         heads = np.concatenate([p["query"] * np.float32(s.width ** -0.5) @ p["key"].T, p["value"] @ p["out"], np.eye(s.width, dtype=np.float32)], axis=1)
         self.of_id, self.of_place = p["embed"] @ heads, p["place"] @ heads  # queries of inputs, values and inputs, as sums
         self.causal = np.tril(np.ones((s.window, s.window), np.float32))
-        self.ones = np.ones(max(s.window, s.mixtures), np.float32)  # products sum rows faster than sums do
-        self.mix, self.bias, self.table = p["mix"], p["bias"], model.table
-        self.begin = model.table[begins].sum(0).astype(np.float32)
+        self.ones = np.ones(s.window, np.float32)  # products sum rows faster than sums do
+        self.mix = p["mix"]
+        self.wide = np.abs(self.mix).sum(0).max() > 60  # else no weight overflows
+        by_bias = np.exp(np.clip(p["bias"], -60, 60))  # the factor of each weight, in the tables once
+        self.table = model.table * by_bias
+        self.sums = np.stack([by_bias, model.table[begins].sum(0) * by_bias], axis=1).astype(np.float32)
 
     @staticmethod
-    def windows(ids: np.ndarray, lengths: np.ndarray, end: int, shape: Shape, stride: int, batch: int):
+    def windows(ids: np.ndarray, lengths: np.ndarray, end: int, shape: Shape, stride: int, batch: int, later: bool | None = None):
         """Batches of windows over documents' subwords: positions, the subwords before them, which are inside the document,
-        and the number of each window in it."""
+        and the number of each window in it.  ``later``: documents' first windows alone (False) or all others (True)."""
         ends = np.cumsum(lengths)
         starts = ends - lengths
         before = np.empty_like(ids)
@@ -299,6 +324,8 @@ class Scorer:
         many = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - shape.window) // stride)), 0)
         doc = np.repeat(np.arange(len(lengths)), many)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        if later is not None:
+            doc, nth = (t[(nth > 0) == later] for t in (doc, nth))
         begin, stop = starts[doc] + nth * stride, ends[doc]
         span = np.arange(shape.window)
         for i in range(0, len(begin), batch):
@@ -308,30 +335,34 @@ class Scorer:
             yield at, before[at], inside, nth[i:i + batch, None]
 
     def weights(self, ids: np.ndarray, lengths: np.ndarray, end: int, stride: int):
-        """Positions of documents' subwords, each once, and their mixture weights (to be divided by their sum), batch by batch."""
+        """Positions of documents' subwords, each once, and their mixture weights (without the bias, and to be divided by their
+        sum), batch by batch.  In all but a document's first window only the last ``stride`` places ask."""
         s = self.shape
-        span, d = np.arange(s.window), s.width
-        for at, before, inside, nth in self.windows(ids, lengths, end, s, stride, self.batch):
-            new = inside & ((span >= s.window - stride) | (nth == 0))
-            x = self.of_id.take(before, 0)
-            x += self.of_place
-            a = np.matmul(x[:, :, :d], x[:, :, 2 * d:].swapaxes(1, 2))
-            np.exp(np.clip(a, -60, 60, out=a), out=a)
-            a *= self.causal
-            c = np.matmul(a, x[:, :, d:2 * d])
-            c /= (a.reshape(-1, s.window) @ self.ones[:s.window]).reshape(*before.shape, 1)
-            c += x[:, :, 2 * d:]
-            h = np.tanh(c[new])
-            w = h @ self.mix
-            w += self.bias
-            np.exp(np.clip(w, -60, 60, out=w), out=w)
-            yield at[new], w
+        d, w = s.width, s.window
+        for later, old in ((False, 0), (True, w - stride)):
+            x_of, a_of, c_of = (np.empty((self.batch, r, m), np.float32) for r, m in ((w, 3 * d), (w - old, w), (w - old, d)))
+            for at, before, inside, _ in self.windows(ids, lengths, end, s, stride, self.batch, later):
+                x, a, c = x_of[:len(before)], a_of[:len(before)], c_of[:len(before)]
+                self.of_id.take(before, 0, out=x, mode="clip")
+                x += self.of_place
+                np.matmul(x[:, old:, :d], x[:, :, 2 * d:].swapaxes(1, 2), out=a)
+                np.exp(a.clip(-60, 60, out=a), out=a)
+                a *= self.causal[old:]
+                np.matmul(a, x[:, :, d:2 * d], out=c)
+                c *= (1 / (a.reshape(-1, w) @ self.ones)).reshape(len(c), -1, 1)
+                c += x[:, old:, 2 * d:]
+                new = np.flatnonzero(inside[:, old:])
+                h = c.reshape(-1, d).take(new, 0)
+                weights = np.tanh(h, out=h) @ self.mix
+                if self.wide:
+                    weights.clip(-60, 60, out=weights)
+                yield at[:, old:].reshape(-1).take(new), np.exp(weights, out=weights)
 
     def score(self, ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents' subwords, end ids included, one after the other -> log P(subword), log P(some word begins here)."""
         log_p, log_b = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
         for to, w in self.weights(ids, lengths, end, self.shape.stride):
-            total = w @ self.ones[:self.shape.mixtures]
-            log_p[to] = np.log(np.einsum("ij,ij->i", w, self.table.take(ids[to], 0)) / total)
-            log_b[to] = np.log(w @ self.begin / total)
+            total, begin = (w @ self.sums).T
+            log_p[to] = np.log(np.einsum("ij,ij->i", w, self.table.take(ids.take(to), 0)) / total)
+            log_b[to] = np.log(begin / total)
         return log_p, log_b

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .attention import Learner, Model, Scorer, Shape, moved, retabled, train
 from .byte_bpe import merge
 from .common import bounded_sample, stored
-from .word_exchange import Numbers, answers, assembled, by_batch, flatten, gather, joined, pack, pack_ints, pack_many, unpack_ints, unpack_many, unpack_strings
+from .word_exchange import Numbers, SpacedWords, answers, assembled, by_batch, flatten, gather, joined, pack, pack_ints, pack_many, unpack_ints, unpack_many, unpack_strings
 
 #: Training documents that give the attention its starting values (those with the smallest hashes), and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 24
@@ -28,11 +28,6 @@ BLOCK = 512
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def space_splitter():
-    numbers = Numbers()
-    return (lambda text: map(numbers.__getitem__, text.encode().lower().split())), numbers
-
-
 class Subwords:
     """Word -> subword ids, the space before it included, so that the first one tells that a word begins.
 
@@ -196,7 +191,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
     shared = spark.sparkContext.broadcast({"ranks": ranks})
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.cast("int").alias("mark"), F.col(text_col).cast("string").alias("text"))
-    packed, n_parts = pack(spark, narrow, space_splitter, "lm-words", count_words=True)
+    packed, n_parts = pack(spark, narrow, SpacedWords, "lm-words", count_words=True)
 
     def answer(parts):
         subwords = Subwords(shared)

@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -88,44 +89,77 @@ class Numbers(dict):
         return n
 
 
-def _heads(ids: list, marks: list, lengths: list, numbers: np.ndarray, sizes: np.ndarray) -> bytes:
+class Split:
+    """The texts of a batch as word numbers, by a function text -> (iterable of word numbers) and the dict word -> number that it
+    fills; words are bytes or strings."""
+
+    def __init__(self, split, vocabulary: dict):
+        self.split, self.vocabulary, self.numbers = split, vocabulary, []
+
+    def add(self, texts: pa.Array) -> None:
+        self.numbers += [np.fromiter(self.split(t or ""), np.uint32) for t in texts.to_pylist()]
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(numbers of all words one after the other, words of each text, the distinct words)."""
+        flat = np.concatenate(self.numbers) if self.numbers else np.empty(0, np.uint32)
+        return flat, np.fromiter(map(len, self.numbers), np.int64), [w.encode() if isinstance(w, str) else w for w in self.vocabulary]
+
+
+class SpacedWords:
+    """The same for the words between ASCII white space, A-Z lower-cased: they are split and numbered whole columns at a time."""
+
+    def __init__(self):
+        self.words, self.lengths = [], [np.empty(0, np.int64)]
+
+    def add(self, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = lists.flatten()
+        some = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty word
+        before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        self.lengths.append(np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]))
+        self.words.append(words.filter(some))
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        numbered = pa.chunked_array(self.words, pa.string()).dictionary_encode().combine_chunks()
+        return numbered.indices.to_numpy().astype(np.uint32), np.concatenate(self.lengths), numbered.dictionary.cast(pa.binary()).to_pylist()
+
+
+def _heads(ids: list, marks: list, lengths: np.ndarray, numbers: np.ndarray, sizes: np.ndarray) -> bytes:
     known = np.array([x is not None for x in ids], dtype=np.uint8)
     return pack_many(known.tobytes(), np.array([x or 0 for x in ids], dtype="<i8").tobytes(), np.array(marks, dtype=np.uint8).tobytes(),
-                     np.array(lengths, dtype="<i8").tobytes(), pack_ints(numbers), pack_ints(sizes))
+                     lengths.astype("<i8").tobytes(), pack_ints(numbers), pack_ints(sizes))
 
 
 def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYTES, count_words: bool = False):
     """Arrow batches of ``id, mark, text`` -> rows of the packed table.
 
-    ``make_splitter()`` gives a function text -> (iterable of word numbers) and the dict word -> number that it fills;
-    words are bytes or strings.  ``mark`` is a 0/1 flag of a document.  With ``count_words`` each word is sent with the
-    number of its occurrences in the documents of mark 0.
+    ``make_splitter()`` gives what numbers a batch's words (like ``SpacedWords``), or the arguments of ``Split``.  ``mark`` is
+    a 0/1 flag of a document.  With ``count_words`` each word is sent with the number of its occurrences in the documents of
+    mark 0.
     """
     task = TaskContext.get().partitionId()
     serial = 0
 
     def flush():
-        nonlocal serial, split
-        split = None  # and with it the splitter's caches, before the batch is sorted
-        flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
-        words = [w.encode() if isinstance(w, str) else w for w in vocabulary]
+        nonlocal serial, splitter
+        flat, lengths, words = splitter.done()
+        splitter = None  # and with it its caches, before the batch is sorted
         uses = np.bincount(flat, minlength=len(words))
         # Frequent words get small numbers, which compress well.  Inside a class of like frequency words are numbered by part
         # and spelling, so the numbers of a part's words follow from the sizes of the classes alone.
-        spelled = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        spelled = pc.array_sort_indices(pa.array(words, pa.large_binary())).to_numpy().astype(np.int64)
         kind = CLASSES - 1 - np.minimum(np.log2(np.maximum(uses, 1)).astype(np.int64), CLASSES - 1)
-        part = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int64, len(words))
+        part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n_parts
+        short = np.min_scalar_type(n_parts * CLASSES)  # small keys are sorted by radix
+        by = lambda key: spelled.take(np.argsort(key.take(spelled).astype(short), kind="stable"))
         rank = np.empty(len(words), np.uint32)
-        rank[spelled[np.lexsort((part[spelled], kind[spelled]))]] = np.arange(len(words), dtype=np.uint32)
-        order = spelled[np.lexsort((kind[spelled], part[spelled]))]
+        rank[by(kind * n_parts + part)] = np.arange(len(words), dtype=np.uint32)
+        order = by(part * CLASSES + kind)
         sizes = np.bincount(part * CLASSES + kind, minlength=n_parts * CLASSES)
         batch = (task << 33) + serial
         serial += 1
-        lengths = [len(x) for x in numbers]
-        seen = None
         if count_words:
-            training = [x for x, m in zip(numbers, marks) if not m]
-            seen = np.bincount(np.concatenate(training) if training else flat[:0], minlength=len(words))
+            seen = np.bincount(flat[np.repeat(np.array(marks) == 0, lengths)], minlength=len(words))
         out = [(batch, -1, _heads(ids, marks, lengths, rank[flat], sizes), None)]
         cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
         for p in range(n_parts):
@@ -137,21 +171,28 @@ def pack_batches(rows, make_splitter, n_parts: int, batch_bytes: int = BATCH_BYT
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                                            pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["batch", "part", "head", "words"])
 
-    split, vocabulary = make_splitter()
-    ids, marks, numbers, size = [], [], [], 0
+    def fresh():
+        made = make_splitter()
+        return Split(*made) if isinstance(made, tuple) else made
+
+    splitter, ids, marks, size = fresh(), [], [], 0
     for b in rows:
         for at in range(0, b.num_rows, 256):
             s = b.slice(at, 256)
-            for i, m, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), s.column(2).to_pylist()):
-                text = text or ""
-                if ids and size + len(text) > batch_bytes:
+            i = 0
+            sizes = pc.fill_null(pc.utf8_length(s.column(2)), 0).to_pylist()
+            while i < len(sizes):
+                j = i
+                while j < len(sizes) and (size + sizes[j] <= batch_bytes or not (ids or j > i)):
+                    size += sizes[j]
+                    j += 1
+                splitter.add(s.column(2).slice(i, j - i))
+                ids += s.column(0).slice(i, j - i).to_pylist()
+                marks += [1 if m else 0 for m in s.column(1).slice(i, j - i).to_pylist()]
+                if j < len(sizes):
                     yield flush()
-                    split, vocabulary = make_splitter()
-                    ids, marks, numbers, size = [], [], [], 0
-                ids.append(i)
-                marks.append(1 if m else 0)
-                numbers.append(np.fromiter(split(text), np.uint32))
-                size += len(text)
+                    splitter, ids, marks, size = fresh(), [], [], 0
+                i = j
     if ids:
         yield flush()
 

@@ -3,11 +3,13 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from taskweave.llm import lm_scoring
+from taskweave.llm import lm_scoring, word_exchange
 from taskweave.llm.attention import Learner, Model, Scorer, Shape, moved, train
 from taskweave.llm.byte_bpe import merge
 
@@ -267,3 +269,63 @@ def test_scores_by_their_definition(spark, odd_docs, monkeypatch):
     for r in short:
         want[r.doc_id] += score(r.text)
     assert len(want) > 80 and all(got[i] == pytest.approx(want[i], rel=1e-3, abs=2e-2) for i in want)
+
+
+ODD_TEXTS = [" A  b\t\x0bC\r\n\x0c", "", None, "x", "\x1c\x85 \xc9\xa0 z K", "   ", "b a A \xe9", "\n"]
+
+
+def test_words_of_whole_columns_are_those_of_each_text():
+    splitter, numbers = word_exchange.SpacedWords(), word_exchange.Numbers()
+    column = pa.array(["skipped", *ODD_TEXTS])
+    splitter.add(column.slice(1, 3))
+    splitter.add(column.slice(4))
+    flat, lengths, words = splitter.done()
+    want = [[numbers[w] for w in tokens(t)] for t in ODD_TEXTS]
+    assert flat.tolist() == [n for x in want for n in x] and lengths.tolist() == [len(x) for x in want] and words == list(numbers)
+    splitter = word_exchange.SpacedWords()
+    splitter.add(pa.array([None, ""], pa.string()))
+    flat, lengths, words = splitter.done()
+    assert (len(flat), lengths.tolist(), words) == (0, [0, 0], [])
+
+
+def test_packed_batches_are_those_of_words_numbered_one_by_one(monkeypatch):
+    """The same rows, byte for byte, whichever way words are numbered and wherever batches end."""
+    def one_by_one():
+        numbers = word_exchange.Numbers()
+        return (lambda text: map(numbers.__getitem__, tokens(text))), numbers
+
+    monkeypatch.setattr(word_exchange, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    r = random.Random(8)
+    texts = [r.choice(ODD_TEXTS) if r.random() < 0.2 else " ".join(r.choice(["the", "The", "a", "zo\xe9", str(r.randint(0, 99))]) for _ in range(r.randint(0, 40))) for _ in range(600)]
+    rows = pa.RecordBatch.from_arrays([pa.array([None, *range(1, 600)], pa.int64()), pa.array([i % 3 == 0 for i in range(600)]).cast(pa.int32()), pa.array(texts)], ["doc_id", "mark", "text"])
+    for size in (1, 100, 5000, 1 << 20):
+        got, want = (list(word_exchange.pack_batches([rows.slice(0, 50), rows.slice(50)], f, 4, size, True)) for f in (word_exchange.SpacedWords, one_by_one))
+        assert len(got) == len(want) and all(a.equals(b) for a, b in zip(got, want))
+        assert len(got) > (1 if size < 1 << 20 else 0)
+
+
+def test_a_step_in_parts_is_the_step_on_all_windows(monkeypatch):
+    r = np.random.default_rng(7)
+    shape = Shape(width=4, mixtures=3, window=6, stride=3)
+    model = Model.fresh(shape, r.integers(1, 9, 20))
+    model.params["mix"] *= 40  # weights that have to be kept from overflowing
+    steps = [(r.integers(0, 20, (n, 6)), r.integers(0, 20, (n, 6)), r.random((n, 6)) < 0.8) for n in (7, 3)]
+    found = []
+    for part in (2, 7):
+        monkeypatch.setattr(Learner, "PART", part)
+        learner = Learner(model)
+        for x in steps:
+            learner.step(*x)
+        found.append((learner.seen, *learner.change()))
+    for a, b in zip(*found):
+        assert np.isfinite(a).all()
+        np.testing.assert_allclose(a, b, rtol=1e-3, atol=1e-4)
+
+
+def test_first_and_later_windows_are_all_windows():
+    lengths = np.array([1, 3, SMALL.window, SMALL.window + 1, 40, 0, 2])
+    ids = np.arange(lengths.sum())
+    begins = lambda later: [int(a[0]) for at, *_ in Scorer.windows(ids, lengths, 99, SMALL, SMALL.stride, 4, later) for a in at]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0].tolist()
+    assert begins(False) == starts and sorted(begins(False) + begins(True)) == sorted(begins(None))
+    assert not set(begins(True)) & set(starts)
