@@ -191,24 +191,26 @@ class Learner:
         Without ``move`` the expected counts are gathered alone.  The windows are gone through in parts whose arrays fit the
         cache of a core; the step is taken on the sum of their gradients.
         """
-        p, grads, d = self.params, self.grads, self.shape.width
+        p, grads, (d, w) = self.params, self.grads, (self.shape.width, self.shape.window)
         before, after = before.reshape(-1), after.reshape(-1)
         counted = inside.reshape(-1).astype(np.float32)
         query = p["query"] * np.float32(d ** -0.5)
         heads = np.concatenate([query @ p["key"].T, p["value"] @ p["out"]], axis=1)
         wide = np.abs(p["mix"]).sum(0).max() + np.abs(p["bias"]).max() > 60  # else no weight overflows
+        bias = np.tile(p["bias"], w)  # a window's, so that fewer and longer rows are added
         wanted = np.empty((len(before), self.shape.mixtures), np.float32)
         gx = np.empty((len(before), d), np.float32)
-        joint, size = np.zeros_like(heads), self.shape.window * self.PART
+        joint, size = np.zeros_like(heads), w * self.PART
         self.grad[:] = 0
         for i in range(0, len(before), size):
             at = slice(i, i + size)
-            self._part(before[at], after[at], counted[at], heads, wide, wanted[at], gx[at] if move else None, joint)
+            self._part(before[at], after[at], counted[at], heads, bias, wide, wanted[at], gx[at] if move else None, joint)
         own, shares = by_id(after.astype(self.ids), wanted)
         self.seen[own] += shares
         if not move:
             return
         per = np.float32(1 / max(1.0, counted.sum()))
+        grads["place"][:] = gx.reshape(-1, w, d).sum(0)
         grads["query"][:] = joint[:, :d] @ p["key"] * np.float32(d ** -0.5)
         grads["key"][:] = joint[:, :d].T @ query
         grads["value"][:] = joint[:, d:] @ p["out"].T
@@ -228,7 +230,8 @@ class Learner:
         ge *= (np.float32(self.VECTOR_RATE) / np.sqrt(squares))[:, None]
         self.embed[own] -= ge
 
-    def _part(self, before: np.ndarray, after: np.ndarray, counted: np.ndarray, heads: np.ndarray, wide: bool, wanted: np.ndarray, gx: np.ndarray | None, joint: np.ndarray):
+    def _part(self, before: np.ndarray, after: np.ndarray, counted: np.ndarray, heads: np.ndarray, bias: np.ndarray, wide: bool, wanted: np.ndarray,
+              gx: np.ndarray | None, joint: np.ndarray) -> None:
         """Fills ``wanted``, each mixture's share in the next subwords (zero where none counts), and, unless it is None, ``gx``,
         the gradients of the inputs; adds those of the matrices to ``joint`` (queries and keys, values and what leads out, each
         as one product) and ``self.grads``."""
@@ -248,7 +251,8 @@ class Learner:
         np.matmul(a3, v, out=windows(c))
         np.tanh(np.add(c, x, out=h), out=h)
         np.matmul(h, p["mix"], out=weights)
-        weights += p["bias"]
+        by_window = weights.reshape(-1, w * weights.shape[1])
+        by_window += bias
         if wide:
             weights.clip(-60, 60, out=weights)
         np.exp(weights, out=weights)
@@ -276,7 +280,6 @@ class Learner:
         np.matmul(ga3.swapaxes(1, 2), q, out=windows(gk))
         gx += gk
         joint += x.T @ parts
-        grads["place"] += (self.ones[:m // w] @ gx.reshape(-1, w * d)).reshape(w, d)
 
     def change(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(times each subword was met, change of its vector times that, change of the matrices times the steps, in one row)."""

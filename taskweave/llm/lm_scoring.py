@@ -75,12 +75,13 @@ def spelled(head, found, end: int):
     the first subwords."""
     fields = [unpack_many(a) for a in found]
     none = [np.empty(0, np.uint32)]
-    column = lambda i: np.concatenate(none + [unpack_ints(f[i]) for f in fields]).astype(np.int64)
+    column = lambda i, kind=np.int64: np.concatenate(none + [unpack_ints(f[i]) for f in fields]).astype(kind)
     order = head.order()
-    seen, count, start = (np.empty(len(order) + 1, np.int64) for _ in range(3))
+    seen, start = (np.empty(len(order) + 1, np.int64) for _ in range(2))
+    count = np.empty(len(order) + 1, np.int32)
     sizes = column(2)
     seen[order], count[order], start[order] = column(0) + (column(1) << 32), sizes, np.cumsum(sizes) - sizes
-    flat = np.append(column(3), end)
+    flat = np.append(column(3, np.int32), np.int32(end))  # short ones, which are fetched at random
     seen[-1], count[-1], start[-1] = 0, 1, len(flat) - 1  # the end is the last word number
     begin = flat[start]
     for i, j, a, b in head.slices(100_000):
@@ -89,8 +90,8 @@ def spelled(head, found, end: int):
         is_word = np.ones(len(words), bool)
         is_word[word_ends] = False
         words[is_word] = head.numbers[a:b]
-        per_word = count[words]
-        yield i, j, words, is_word, per_word, flat[gather(start[words], per_word)], (seen, begin)
+        per_word = count.take(words).astype(np.int64)
+        yield i, j, words, is_word, per_word, flat.take(gather(start.take(words), per_word)).astype(np.int64), (seen, begin)
 
 
 def learnt(packed: DataFrame, back: DataFrame, model: Model, end: int, size: int, every: int, counts: np.ndarray) -> Model:
@@ -246,14 +247,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
 
     def assemble(head, found):
         scorer = Scorer(Model(shape, *final.value), begins)
-        base = None
+        of_word = None
         for i, j, words, is_word, per_word, ids, (seen, begin) in spelled(head, found, end):
-            if base is None:  # of each distinct word of the batch
+            if of_word is None:  # of each distinct word of the batch, in a row
                 seen[-1] = n_train
                 by_count, by_spelling = (t[begin] for t in tables.value)
                 with np.errstate(divide="ignore"):
                     by_count, by_spelling = np.log(np.maximum(seen - discount, 0) * by_count), np.log(by_spelling)
-                base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))
+                of_word = np.stack([by_count, by_spelling, np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), seen > 0], axis=1)
+            by_count, by_spelling, base, known = of_word.take(words, 0).T
             lengths = head.lengths[i:j]
             word_ends = np.cumsum(lengths + 1) - 1
             first = np.cumsum(per_word) - per_word
@@ -263,11 +265,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int
             log_first = log_p[first] - log_b
             log_rest = np.add.reduceat(log_p.astype(np.float64), first) - log_p[first]
             log_rest[is_word] += log_b[np.flatnonzero(is_word) + 1]  # a word ends where the next one, or the end, begins
-            log_word = log_first + np.logaddexp(by_count[words], log_rest + by_spelling[words])
+            log_rest += by_spelling
+            more, less = np.maximum(by_count, log_rest), np.abs(by_count - log_rest)  # log(exp + exp), where a count of none has -inf
+            log_word = log_first + more + np.log(1 + np.exp(-less))
             each = lambda t: np.add.reduceat(t, doc_starts)
             yield pa.RecordBatch.from_arrays([
-                pa.array(head.ids[i:j], pa.int64()), pa.array(head.marks[i:j].astype(bool)), pa.array(lengths + 1), pa.array(each((seen[words] > 0).astype(np.int64))),
-                pa.array(np.full(j - i, n, np.int64)), pa.array(each(base[words])), pa.array(each(log_word) / np.log(10.0))],
+                pa.array(head.ids[i:j], pa.int64()), pa.array(head.marks[i:j].astype(bool)), pa.array(lengths + 1), pa.array(each(known).astype(np.int64)),
+                pa.array(np.full(j - i, n, np.int64)), pa.array(each(base)), pa.array(each(log_word) / np.log(10.0))],
                 [x.split()[0] for x in SCORED.split(", ")])
 
     return assembled(packed, asked, assemble, SCORED)
